@@ -64,14 +64,14 @@ def daily_sales(spark, sf_dir) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     per_day = (li.groupBy(F.to_date("l_shipdate").alias("ds"))
-               .agg(F.sum("l_extendedprice").alias("sales")))
+               .agg(F.round(F.sum("l_extendedprice"), 2).alias("sales")))
     cal = (per_day.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
            .select(F.explode(F.sequence("lo", "hi")).alias("ds")))
     return cal.join(per_day, "ds", "left").select("ds", "sales")
 
 
 SQL_DAILY_SALES = """per_day AS (
-  SELECT CAST(l_shipdate AS DATE) AS ds, SUM(l_extendedprice) AS sales
+  SELECT CAST(l_shipdate AS DATE) AS ds, round(SUM(l_extendedprice), 2) AS sales
   FROM lineitem GROUP BY 1),
 cal AS (
   SELECT CAST(d AS DATE) AS ds FROM (
@@ -85,11 +85,11 @@ def daily_events(spark, sf_dir) -> DataFrame:
     """Mean event value by day and event type (many short series)."""
     ev = table(spark, sf_dir, "events")
     return (ev.groupBy(F.to_date("ts").alias("ds"), "event_type")
-            .agg(F.avg("value").alias("value")))
+            .agg(F.round(F.avg("value"), 4).alias("value")))
 
 
 SQL_DAILY_EVENTS = """daily_events AS (
-  SELECT CAST(ts AS DATE) AS ds, event_type, AVG(value) AS value
+  SELECT CAST(ts AS DATE) AS ds, event_type, round(AVG(value), 4) AS value
   FROM events GROUP BY 1, 2)"""
 
 
@@ -97,14 +97,14 @@ def hourly_events(spark, sf_dir) -> DataFrame:
     """Mean event value per hour with every hour present (empty hours null)."""
     ev = table(spark, sf_dir, "events")
     per_hour = (ev.groupBy(F.date_trunc("hour", "ts").alias("hr"))
-                .agg(F.avg("value").alias("value")))
+                .agg(F.round(F.avg("value"), 4).alias("value")))
     cal = (per_hour.agg(F.min("hr").alias("lo"), F.max("hr").alias("hi"))
            .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hr")))
     return cal.join(per_hour, "hr", "left").select("hr", "value")
 
 
 SQL_HOURLY_EVENTS = """per_hour AS (
-  SELECT date_trunc('hour', ts) AS hr, AVG(value) AS value FROM events GROUP BY 1),
+  SELECT date_trunc('hour', ts) AS hr, round(AVG(value), 4) AS value FROM events GROUP BY 1),
 hcal AS (
   SELECT UNNEST(generate_series(MIN(hr), MAX(hr), INTERVAL 1 HOUR)) AS hr FROM per_hour),
 hourly_events AS (
@@ -161,3 +161,17 @@ SQL_BALANCE_SET = """balance_set AS (
          CAST(len(regexp_split_to_array(trim(d.text), '\\s+')) AS DOUBLE) AS n_words,
          l.toxic AS label
   FROM labels l JOIN documents d USING (doc_id))"""
+
+
+def daily_sales_gaps(spark, sf_dir) -> DataFrame:
+    """daily_sales with deterministic gaps (days 3-5 of each month, and dayofyear % 17 = 0)
+    so that fills and interpolation have runs of nulls to work on."""
+    ds = daily_sales(spark, sf_dir)
+    gap = F.dayofmonth("ds").between(3, 5) | (F.dayofyear("ds") % 17 == 0)
+    return ds.select("ds", F.when(gap, None).otherwise(F.col("sales")).alias("sales"))
+
+
+SQL_DAILY_SALES_GAPS = SQL_DAILY_SALES + """,
+daily_sales_gaps AS (
+  SELECT ds, CASE WHEN dayofmonth(ds) BETWEEN 3 AND 5 OR dayofyear(ds) % 17 = 0 THEN NULL ELSE sales END AS sales
+  FROM daily_sales)"""
