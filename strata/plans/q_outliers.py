@@ -1 +1,122 @@
-"""Registered queries."""
+"""Registered outlier queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.operators import outliers as O
+from strata.operators import relational as RL
+from strata.plans.q_windows import rnd
+from strata.plans.registry import register
+from strata.sources import tables as T
+
+OC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _li(spark, sf):
+    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *OC)
+
+
+Q_SQL = "q AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in OC) + " FROM lineitem)"
+
+
+def _iqr_flag(c):
+    return f"({c} < q1_{c} - 1.5 * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c}))"
+
+
+@register("outlier_iqr", f"WITH {Q_SQL}\nSELECT l_orderkey, l_linenumber, " + ", ".join(OC) + ", " + ", ".join(
+    f"{_iqr_flag(c)} AS {c}_outlier" for c in OC) + " FROM lineitem, q")
+def q_outlier_iqr(spark, sf):
+    return O.outlier_iqr(_li(spark, sf), OC)
+
+
+@register("outlier_zscore", "WITH s AS (SELECT " + ", ".join(
+    f"AVG({c}) AS m_{c}, STDDEV_SAMP({c}) AS s_{c}" for c in OC) + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, "
+    + ", ".join(OC) + ", " + ", ".join(
+    f"CASE WHEN s_{c} > 0 THEN abs({c} - m_{c}) / s_{c} > 3 END AS {c}_outlier" for c in OC) + " FROM lineitem, s")
+def q_outlier_zscore(spark, sf):
+    return O.outlier_zscore(_li(spark, sf), OC)
+
+
+@register("outlier_dbscan_1d", """
+WITH f AS (SELECT o_orderkey, COALESCE(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)) AS x FROM orders),
+z AS (SELECT o_orderkey, (x - AVG(x) OVER ()) / STDDEV_POP(x) OVER () AS z FROM f),
+c AS (SELECT *, COUNT(*) OVER (ORDER BY z RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) >= 5 AS core FROM z),
+n AS (SELECT *, SUM(CASE WHEN core THEN 1 ELSE 0 END) OVER (ORDER BY z RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) AS near FROM c)
+SELECT o.o_orderkey, o.o_totalprice, (NOT n.core AND n.near = 0) AS o_totalprice_outlier
+FROM orders o JOIN n USING (o_orderkey)""")
+def q_outlier_dbscan_1d(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return O.outlier_dbscan_1d(o, "o_totalprice", "o_orderkey")
+
+
+@register("outlier_lof_1d")
+def q_outlier_lof_1d(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return O.outlier_lof_1d(o, "o_totalprice", "o_orderkey")
+
+
+@register("outlier_isolation_forest")
+def q_outlier_isolation_forest(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return O.outlier_isolation_forest(o, ["o_totalprice"], "o_orderkey")
+
+
+@register("outlier_auto_choice", f"""
+SELECT n_rows, n_features, CASE WHEN n_rows < 50 THEN 'iqr' WHEN n_rows < 1000 AND n_features < 10 THEN 'isolation_forest'
+  WHEN n_features >= 10 THEN 'lof' ELSE 'isolation_forest' END AS method
+FROM (SELECT COUNT(*) AS n_rows, {len(OC)} AS n_features FROM lineitem)""")
+def q_outlier_auto_choice(spark, sf):
+    li = _li(spark, sf).select(*OC)
+    n = li.count()
+    feats = len(O._eligible(li, OC))
+    return spark.createDataFrame([(n, feats, O.choose_outlier_method(n, feats))],
+                                 "n_rows long, n_features int, method string")
+
+
+@register("cap_outliers", f"WITH {Q_SQL}\nSELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"round(greatest(least({c}, q3_{c} + 1.5 * (q3_{c} - q1_{c})), q1_{c} - 1.5 * (q3_{c} - q1_{c})), 6) AS {c}"
+    for c in OC) + " FROM lineitem, q")
+def q_cap_outliers(spark, sf):
+    return rnd(O.cap_outliers(_li(spark, sf), OC), 6)
+
+
+@register("remove_outliers", f"WITH {Q_SQL}\nSELECT l_orderkey, l_linenumber, " + ", ".join(OC) +
+          " FROM lineitem, q WHERE NOT (" + " OR ".join(_iqr_flag(c) for c in OC) + ")")
+def q_remove_outliers(spark, sf):
+    flagged = O.outlier_iqr(_li(spark, sf), OC)
+    return O.remove_outliers(flagged, [f"{c}_outlier" for c in OC])
+
+
+@register("outlier_summary", f"WITH {Q_SQL},\nf AS (SELECT " + ", ".join(
+    f"COUNT(*) FILTER (WHERE {_iqr_flag(c)}) AS c_{c}" for c in OC) + ", COUNT(*) AS n FROM lineitem, q),\n"
+    + "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", c_{c} AS count, n FROM f" for c in OC) + ")\n"
+    + f"""SELECT "column", count, round(count * 100.0 / n, 6) AS percentage, SUM(count) OVER () AS total_outliers,
+  round(SUM(count) OVER () * 100.0 / (n * {len(OC)}), 6) AS total_percentage,
+  CASE WHEN SUM(count) OVER () * 100.0 / (n * {len(OC)}) > 10 THEN 'extreme_outliers'
+       WHEN SUM(count) OVER () * 100.0 / (n * {len(OC)}) > 5 THEN 'cap_outliers' ELSE 'keep_outliers' END AS advice FROM u""")
+def q_outlier_summary(spark, sf):
+    flagged = O.outlier_iqr(_li(spark, sf), OC)
+    s = O.outlier_summary(flagged, [f"{c}_outlier" for c in OC])
+    return s.withColumn("percentage", F.round("percentage", 6)).withColumn("total_percentage",
+                                                                          F.round("total_percentage", 6))
+
+
+@register("union_masks", f"""WITH {Q_SQL},
+s AS (SELECT AVG(l_extendedprice) AS m, STDDEV_SAMP(l_extendedprice) AS sd FROM lineitem),
+f AS (SELECT l_orderkey, l_linenumber, {_iqr_flag('l_extendedprice')} AS iqr_flag,
+        abs(l_extendedprice - m) / sd > 3 AS z_flag,
+        {_iqr_flag('l_quantity')} AS q_flag FROM lineitem, q, s)
+SELECT l_orderkey, l_linenumber, iqr_flag, z_flag, q_flag,
+  (CAST(iqr_flag AS INT) + CAST(z_flag AS INT) + CAST(q_flag AS INT)) >= 1 AS any_flag,
+  (CAST(iqr_flag AS INT) + CAST(z_flag AS INT) + CAST(q_flag AS INT)) >= 2 AS majority_flag FROM f""")
+def q_union_masks(spark, sf):
+    li = _li(spark, sf)
+    a = O.outlier_iqr(li, ["l_extendedprice", "l_quantity"])
+    a = (a.withColumnRenamed("l_extendedprice_outlier", "iqr_flag").withColumnRenamed("l_quantity_outlier", "q_flag"))
+    b = O.outlier_zscore(a, ["l_extendedprice"]).withColumnRenamed("l_extendedprice_outlier", "z_flag")
+    flags = ["iqr_flag", "z_flag", "q_flag"]
+    j = RL.union_masks(b, flags, "any", "any_flag")
+    j = RL.union_masks(j, flags, "majority", "majority_flag")
+    return j.select("l_orderkey", "l_linenumber", *flags, "any_flag", "majority_flag")

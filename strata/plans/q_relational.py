@@ -216,7 +216,8 @@ def q_filter_unexpired(spark, sf):
 
 @register("seeded_sample")
 def q_seeded_sample(spark, sf):
-    return RL.seeded_sample(T.table(spark, sf, "lineitem"), 1000, ["l_orderkey", "l_linenumber"], seed=42)
+    return RL.seeded_sample(T.table(spark, sf, "lineitem"), 1000,
+                            ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=42)
 
 
 def _inf_input(spark, sf):
@@ -357,10 +358,11 @@ def q_sort_by_abs(spark, sf):
 
 
 @register("head_non_null", _with(T.SQL_LINEITEM_NULLS) + """
-SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem_nulls WHERE l_quantity IS NOT NULL
-ORDER BY l_orderkey, l_linenumber LIMIT 10""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem_nulls WHERE l_quantity IS NOT NULL
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10""")
 def q_head_non_null(spark, sf):
-    return RL.head_non_null(T.lineitem_nulls(spark, sf), "l_quantity", ["l_orderkey", "l_linenumber"], 10)
+    return RL.head_non_null(T.lineitem_nulls(spark, sf), "l_quantity",
+                            ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 10)
 
 
 @register("top_one_class", """
