@@ -24,4 +24,4 @@ def load_all() -> None:
     """Import every query module so its registrations run."""
     from strata.plans import (q_profile, q_relational, q_windows, q_series,  # noqa: F401
                               q_prep, q_outliers, q_learn, q_forecast, q_explain,
-                              q_quality, q_streams)
+                              q_quality, q_streams, q_neighbors, q_balance)
