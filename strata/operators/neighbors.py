@@ -267,3 +267,17 @@ def predict_knn_classifier(train: DataFrame, test: DataFrame, id_col: str, label
     w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") == 0, F.lit(1e12)).otherwise(1.0 / F.col("dist"))
     votes = nb.withColumn("w", w).groupBy(id_col, "label").agg(F.sum("w").alias("score"))
     return votes.groupBy(id_col).agg(F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("prediction"))
+
+
+def block_pairs(queries: DataFrame, donors: DataFrame, fn, schema: str, q_key: str, d_key: str,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Generic block-pair driver: ``fn(query_block_pdf, donor_block_pdf) -> pdf`` runs once per
+    (query block, donor block); callers aggregate inside ``fn`` so only per-query summaries leave
+    a task. Queries are sent to every donor block and donors to every query block."""
+    nq, nd = queries.count(), donors.count()
+    Q, D = _blocks(nq, block_rows), _blocks(nd, block_rows)
+    qb = queries.select("*", F.pmod(F.xxhash64(q_key), F.lit(Q)).alias("__qb"),
+                        F.explode(F.sequence(F.lit(0), F.lit(D - 1))).alias("__db"))
+    db = donors.select("*", F.pmod(F.xxhash64(d_key), F.lit(D)).alias("__db"),
+                       F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("__qb"))
+    return qb.groupBy("__qb", "__db").cogroup(db.groupBy("__qb", "__db")).applyInPandas(fn, schema)

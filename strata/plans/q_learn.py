@@ -1 +1,211 @@
-"""Registered queries."""
+"""Registered learning queries: split, classifiers, regressors, grid search, clustering, reduction."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from strata.operators import cluster as CL
+from strata.operators import learn as L
+from strata.operators import reduce as RD
+from strata.operators.neighbors import recommend_eps
+from strata.plans.q_windows import rnd
+from strata.plans.registry import register
+from strata.session import checkpoint_dir
+from strata.sources import tables as T
+
+FEATS = ["n_chars", "n_words"]
+
+
+def _split(spark, sf):
+    return L.train_test_split(T.balance_set(spark, sf), "doc_id", "label", 0.2, 42)
+
+
+def _h(x: str, salt: int, seed: int = 42) -> str:
+    a = f"(({x} % 4294967296) * 1103515245 + {seed * 97 + salt * 7919}) % 4294967296"
+    return f"(({a}) * 40503 + 12345) % 4294967296"
+
+
+@register("train_test_split", f"""WITH {T.SQL_BALANCE_SET}
+SELECT doc_id, n_chars, n_words, label,
+  CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_h('doc_id', 0)}, doc_id) - 1
+            < floor(COUNT(*) OVER (PARTITION BY label) * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM balance_set""")
+def q_train_test_split(spark, sf):
+    return _split(spark, sf)
+
+
+def _pred_out(pred, id_col="doc_id"):
+    cols = [id_col, F.col("prediction").cast("double").alias("prediction")]
+    if "probability" in pred.columns:
+        cols.append(vector_to_array("probability")[1].alias("p1"))
+    return pred.select(*cols)
+
+
+@register("fit_random_forest_classifier")
+def q_fit_rf_classifier(spark, sf):
+    s = _split(spark, sf)
+    m = L.fit_random_forest_classifier(s.where("split = 'train'"), FEATS, "label", n_estimators=100)
+    return _pred_out(m.transform(s.where("split = 'test'")))
+
+
+@register("fit_logistic_regression")
+def q_fit_logistic_regression(spark, sf):
+    s = _split(spark, sf)
+    m = L.fit_logistic_regression(s.where("split = 'train'"), FEATS, "label", C=1.0, class_weight="balanced")
+    return _pred_out(m.transform(s.where("split = 'test'")))
+
+
+@register("fit_svc")
+def q_fit_svc(spark, sf):
+    s = _split(spark, sf)
+    m, _ = L.fit_svc(s.where("split = 'train'"), FEATS, "label", C=1.0, kernel="linear")
+    return _pred_out(m.transform(s.where("split = 'test'")))
+
+
+@register("fit_svc_rbf")
+def q_fit_svc_rbf(spark, sf):
+    s = _split(spark, sf)
+    train = s.where("split = 'train'")
+    m, info = L.fit_svc(train, FEATS, "label", C=1.0, kernel="rbf", gamma="scale")
+    test = L.random_fourier_features(s.where("split = 'test'"), FEATS, info["gamma"], out="features")
+    return _pred_out(m.transform(test))
+
+
+def _li_reg(spark, sf):
+    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+
+
+@register("fit_random_forest_regressor")
+def q_fit_rf_regressor(spark, sf):
+    li = _li_reg(spark, sf)
+    m = L.fit_random_forest_regressor(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
+                                      n_estimators=50, max_depth=5)
+    return m.transform(li).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction")
+
+
+@register("fit_gbt_regressor")
+def q_fit_gbt_regressor(spark, sf):
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "gradient_boosting")
+    return info["model"].transform(info["train_frame"]).select("ds", "sales", "prediction")
+
+
+@register("fit_linear_regression", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS coef, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept
+FROM lineitem""")
+def q_fit_linear_regression(spark, sf):
+    li = _li_reg(spark, sf)
+    m = L.fit_linear_regression(li, ["l_quantity"], "l_extendedprice").stages[-1]
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 4))],
+                                 "coef double, intercept double")
+
+
+@register("preset_grid_search")
+def q_preset_grid_search(spark, sf):
+    s = _split(spark, sf).where("split = 'train'")
+    _, table = L.preset_grid_search(s, FEATS, "label", "LogisticRegression", "Default", folds=3)
+    return table
+
+
+@register("knn_grid_search")
+def q_knn_grid_search(spark, sf):
+    e = T.table(spark, sf, "embeddings")
+    return L.knn_grid_search(e.where(F.col("vec_id") % 5 != 0), e.where(F.col("vec_id") % 5 == 0), "vec_id",
+                             "label", "embedding", "Fast Training")
+
+
+@register("forecast_ml_train")
+def q_forecast_ml_train(spark, sf):
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest", n_estimators=50)
+    return info["model"].transform(info["train_frame"]).select("ds", "sales", "prediction")
+
+
+@register("assemble_features", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_quantity, l_discount, l_tax] AS features FROM lineitem""")
+def q_assemble_features(spark, sf):
+    li = _li_reg(spark, sf)
+    a = L.assemble_features(li, ["l_quantity", "l_discount", "l_tax"])
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", vector_to_array("features").alias("features"))
+
+
+@register("impute_model")
+def q_impute_model(spark, sf):
+    d = T.lineitem_nulls(spark, sf).select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                                           "l_returnflag")
+    return L.impute_model(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("save_pipeline")
+def q_save_pipeline(spark, sf):
+    s = _split(spark, sf)
+    m = L.fit_logistic_regression(s.where("split = 'train'"), FEATS, "label")
+    path = os.path.join(checkpoint_dir(spark), "models", "logreg")
+    L.save_pipeline(m, path)
+    return _pred_out(L.load_pipeline(path).transform(s.where("split = 'test'")))
+
+
+def _emb(spark, sf):
+    return T.table(spark, sf, "embeddings")
+
+
+@register("cluster_kmeans")
+def q_cluster_kmeans(spark, sf):
+    return CL.cluster_kmeans(_emb(spark, sf), "embedding", 10).select("vec_id", "label", "cluster")
+
+
+@register("cluster_hierarchical")
+def q_cluster_hierarchical(spark, sf):
+    return CL.cluster_hierarchical(_emb(spark, sf), "embedding", 10).select("vec_id", "label", "cluster")
+
+
+@register("cluster_spectral")
+def q_cluster_spectral(spark, sf):
+    return CL.cluster_spectral(_emb(spark, sf), "vec_id", "embedding", 10).select("vec_id", "label", "cluster")
+
+
+@register("cluster_dbscan")
+def q_cluster_dbscan(spark, sf):
+    e = _emb(spark, sf)
+    r = recommend_eps(e, "vec_id", "embedding").first()
+    return CL.cluster_dbscan(e, "vec_id", "embedding", eps=r["recommended_eps"],
+                             min_samples=r["recommended_min_samples"]).select("vec_id", "label", "core", "cluster")
+
+
+@register("silhouette")
+def q_silhouette(spark, sf):
+    k = CL.cluster_kmeans(_emb(spark, sf), "embedding", 10)
+    s = CL.silhouette(k, "vec_id", "embedding")
+    return spark.createDataFrame([(10, float(s))], "k int, silhouette double")
+
+
+@register("cluster_kmodes")
+def q_cluster_kmodes(spark, sf):
+    c = T.table(spark, sf, "customer").select("c_custkey", "c_mktsegment",
+                                             F.col("c_nationkey").cast("string").alias("c_nationkey"))
+    return CL.cluster_kmodes(c, ["c_mktsegment", "c_nationkey"], 5, "c_custkey")
+
+
+@register("reduce_pca")
+def q_reduce_pca(spark, sf):
+    out, _ = RD.reduce_pca(_emb(spark, sf), "embedding", 5)
+    return rnd(out.drop("embedding"), 6)
+
+
+@register("reduce_truncated_svd")
+def q_reduce_truncated_svd(spark, sf):
+    out, _ = RD.reduce_truncated_svd(_emb(spark, sf), "embedding", 5)
+    return rnd(out.drop("embedding"), 6)
+
+
+@register("reduce_lda")
+def q_reduce_lda(spark, sf):
+    return rnd(RD.reduce_lda(_emb(spark, sf), "embedding", "label", 3).drop("embedding"), 6)
+
+
+@register("reduce_kernel_pca")
+def q_reduce_kernel_pca(spark, sf):
+    e = _emb(spark, sf).select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return rnd(RD.reduce_kernel_pca(e, [f"e{i}" for i in range(8)], 3, gamma=0.5), 6)
