@@ -1 +1,75 @@
-"""Registered queries."""
+"""Registered forecasting queries (F1-F8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.operators import forecast as FC
+from strata.operators import learn as L
+from strata.operators import series as SE
+from strata.operators.windows import chronological_split
+from strata.plans.q_windows import rnd
+from strata.plans.registry import register
+from strata.sources import tables as T
+
+
+def _events(spark, sf):
+    return T.daily_events(spark, sf)
+
+
+@register("forecast_arima")
+def q_forecast_arima(spark, sf):
+    fc, _ = FC.forecast_series(_events(spark, sf), "ds", "value", ("event_type",), "arima", steps=10)
+    return rnd(fc, 6)
+
+
+@register("model_coefficients")
+def q_model_coefficients(spark, sf):
+    _, coef = FC.forecast_series(_events(spark, sf), "ds", "value", ("event_type",), "arima", steps=10)
+    return coef
+
+
+@register("forecast_sarima")
+def q_forecast_sarima(spark, sf):
+    fc, _ = FC.forecast_series(T.daily_sales(spark, sf), "ds", "sales", (), "sarima", steps=10,
+                               seasonal_order=(1, 1, 1, 12))
+    return rnd(fc, 4)
+
+
+@register("forecast_sarimax")
+def q_forecast_sarimax(spark, sf):
+    ds = T.daily_sales(spark, sf)
+    orders = (T.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ds"))
+              .agg(F.count(F.lit(1)).cast("double").alias("n_orders")))
+    x = ds.join(orders, "ds", "left")
+    fc, _ = FC.forecast_series(x, "ds", "sales", (), "sarimax", steps=10, seasonal_order=(1, 1, 1, 12),
+                               exog_cols=("n_orders",))
+    return rnd(fc, 4)
+
+
+@register("forecast_holt_winters")
+def q_forecast_holt_winters(spark, sf):
+    monthly = SE.resample_mean(T.table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", "M")
+    fc, _ = FC.forecast_series(monthly, "bucket", "l_extendedprice", (), "holt_winters", steps=10, freq="M",
+                               trend="add", seasonal="add", seasonal_periods=12)
+    return rnd(fc, 4)
+
+
+@register("forecast_exp_smoothing")
+def q_forecast_exp_smoothing(spark, sf):
+    fc, _ = FC.forecast_series(_events(spark, sf), "ds", "value", ("event_type",), "exp_smoothing", steps=10,
+                               seasonal_periods=7)
+    return rnd(fc, 6)
+
+
+@register("forecast_future")
+def q_forecast_future(spark, sf):
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest", n_estimators=50)
+    return rnd(FC.forecast_future_ml(info, 10, "D", "zero"), 4)
+
+
+@register("evaluate_forecast")
+def q_evaluate_forecast(spark, sf):
+    ds = chronological_split(T.daily_sales(spark, sf), "ds")
+    info = L.forecast_ml_train(ds.where("split = 'train'").drop("split"), "ds", "sales", "linear")
+    return rnd(FC.evaluate_forecast(info, ds.where("split = 'test'").drop("split")), 6)
