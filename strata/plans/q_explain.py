@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered explanation queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from strata.operators import explain as X
+from strata.operators import learn as L
+from strata.operators.relational import seeded_sample
+from strata.plans.q_windows import rnd
+from strata.plans.registry import register
+from strata.sources import tables as T
+
+ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def _li(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+                     F.col("l_quantity").cast("double").alias("l_quantity"), "l_discount", "l_tax", "l_extendedprice",
+                     "l_returnflag")
+
+
+def _linear_attr(spark, sf):
+    li = _li(spark, sf)
+    m = L.fit_linear_regression(li, ["l_quantity"], "l_extendedprice").stages[-1]
+    return X.shap_linear({"l_quantity": float(m.coefficients[0])}, li, li, "id")
+
+
+LIN_SQL = f"""WITH a AS (SELECT {ID_SQL} AS id, 'l_quantity' AS feature, CAST(l_quantity AS DOUBLE) AS value,
+  regr_slope(l_extendedprice, l_quantity) OVER () * (l_quantity - AVG(l_quantity) OVER ()) AS attribution FROM lineitem)
+"""
+
+
+@register("shap_linear", LIN_SQL + "SELECT id, feature, value, round(attribution, 4) AS attribution FROM a")
+def q_shap_linear(spark, sf):
+    return rnd(_linear_attr(spark, sf), 4)
+
+
+@register("mean_abs_importance", LIN_SQL + "SELECT feature, round(AVG(abs(attribution)), 4) AS importance FROM a GROUP BY 1")
+def q_mean_abs_importance(spark, sf):
+    return rnd(X.mean_abs_importance(_linear_attr(spark, sf)), 4)
+
+
+@register("histogram", LIN_SQL + """,
+r AS (SELECT MIN(attribution) AS lo, MAX(attribution) AS hi FROM a)
+SELECT CAST(least(floor((attribution - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, COUNT(*) AS count FROM a, r GROUP BY 1""")
+def q_histogram(spark, sf):
+    return X.attribution_histogram(_linear_attr(spark, sf), 30).select("bin", "count")
+
+
+@register("attribution_scatter_data", LIN_SQL + "SELECT feature, value AS feature_value, round(attribution, 4) AS attribution FROM a")
+def q_attribution_scatter_data(spark, sf):
+    return rnd(X.attribution_scatter_data(_linear_attr(spark, sf)), 4)
+
+
+def _clf(spark, sf):
+    s = L.train_test_split(T.balance_set(spark, sf), "doc_id", "label")
+    train, test = s.where("split = 'train'"), s.where("split = 'test'")
+    model = L.fit_random_forest_classifier(train, ["n_chars", "n_words"], "label", n_estimators=50)
+    return model, train, test
+
+
+@register("shap_kernel")
+def q_shap_kernel(spark, sf):
+    model, train, test = _clf(spark, sf)
+    return rnd(X.shap_values(model, test, train, "doc_id", ["n_chars", "n_words"]), 6)
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf):
+    li = _li(spark, sf)
+    model = L.fit_random_forest_regressor(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
+                                          n_estimators=30, max_depth=5)
+    sample = seeded_sample(li, 200, ["id"])
+    return rnd(X.shap_values(model, sample, li, "id", ["l_quantity", "l_discount", "l_tax"], positive_class=None), 4)
+
+
+@register("lime_tabular")
+def q_lime_tabular(spark, sf):
+    s = L.train_test_split(T.balance_set(spark, sf), "doc_id", "label")
+    train, test = s.where("split = 'train'"), s.where("split = 'test'")
+    model = L.fit_logistic_regression(train, ["n_chars", "n_words"], "label")
+    return rnd(X.lime_tabular(model, test, train, "doc_id", ["n_chars", "n_words"], num_samples=500), 6)
+
+
+def _multiclass_attr(spark, sf):
+    e = T.table(spark, sf, "embeddings")
+    feats = [f"e{i}" for i in range(4)]
+    d = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    va = VectorAssembler(inputCols=feats, outputCol="features").transform(d)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=50).fit(va)
+    cm = lr.coefficientMatrix.toArray()
+    parts = None
+    for k in range(cm.shape[0]):
+        a = X.shap_linear({f: float(cm[k, j]) for j, f in enumerate(feats)}, d, d, "vec_id").withColumn(
+            "class", F.lit(k))
+        parts = a if parts is None else parts.unionByName(a)
+    return parts
+
+
+@register("combine_multiclass")
+def q_combine_multiclass(spark, sf):
+    return rnd(X.combine_multiclass(_multiclass_attr(spark, sf), "vec_id", "mean_abs"), 6)
+
+
+@register("importance_table")
+def q_importance_table(spark, sf):
+    comb = X.combine_multiclass(_multiclass_attr(spark, sf), "vec_id", "max_importance")
+    return rnd(X.importance_table(comb, 10, "max_importance"), 6)
+
+
+@register("batch_explain")
+def q_batch_explain(spark, sf):
+    li = _li(spark, sf)
+    m = L.fit_linear_regression(li, ["l_quantity"], "l_extendedprice").stages[-1]
+    coefs = {"l_quantity": float(m.coefficients[0])}
+    batches = [li.where(F.col("l_returnflag") == v) for v in ("A", "N", "R")]
+    _, status = X.batch_explain(lambda b: X.shap_linear(coefs, b, li, "id"), batches)
+    return status
+
+
+@register("explanation_report")
+def q_explanation_report(spark, sf):
+    model, train, test = _clf(spark, sf)
+    attr = X.shap_values(model, test, train, "doc_id", ["n_chars", "n_words"])
+    return X.explanation_report(attr, "shap")

@@ -120,3 +120,45 @@ def q_union_masks(spark, sf):
     j = RL.union_masks(b, flags, "any", "any_flag")
     j = RL.union_masks(j, flags, "majority", "majority_flag")
     return j.select("l_orderkey", "l_linenumber", *flags, "any_flag", "majority_flag")
+
+
+# ------------------------------------------------------------------ series anomalies
+
+from strata.operators import anomaly as AN  # noqa: E402
+
+
+def _ev(spark, sf):
+    return T.daily_events(spark, sf)
+
+
+@register("anomaly_iforest_series")
+def q_anomaly_iforest_series(spark, sf):
+    return rnd(AN.detect_series(_ev(spark, sf), "ds", "value", ("event_type",), "isolation_forest"), 6)
+
+
+@register("anomaly_kernel_novelty")
+def q_anomaly_kernel_novelty(spark, sf):
+    return rnd(AN.detect_series(_ev(spark, sf), "ds", "value", ("event_type",), "one_class_svm"), 6)
+
+
+@register("anomaly_reconstruction")
+def q_anomaly_reconstruction(spark, sf):
+    return rnd(AN.detect_series(T.spiked_series(spark, sf), "ds", "sales", (), "lstm_autoencoder"), 6)
+
+
+@register("anomaly_trend_season_residual")
+def q_anomaly_trend_season_residual(spark, sf):
+    return rnd(AN.detect_series(T.spiked_series(spark, sf), "ds", "sales", (), "prophet"), 6)
+
+
+@register("anomaly_ensemble")
+def q_anomaly_ensemble(spark, sf):
+    return AN.anomaly_ensemble(_ev(spark, sf), "ds", "value", ("event_type",))
+
+
+@register("anomaly_detect_all")
+def q_anomaly_detect_all(spark, sf):
+    _, summary = AN.detect_anomalies(T.spiked_series(spark, sf), "ds", "sales", (),
+                                     methods=["isolation_forest", "one_class_svm", "statistical",
+                                              "lstm_autoencoder", "prophet"])
+    return summary
