@@ -47,12 +47,11 @@ def distinct_and_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     vc = (_long_values(df, cols).where(F.col("v").isNotNull())
           .groupBy("column", "vn", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    stats = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"),
-                                     F.max("cnt").alias("top_count"))
-    # stats has one row per column: a size bound proven by the schema
-    top = (vc.join(F.broadcast(stats), "column").where(F.col("cnt") == F.col("top_count"))
-           .groupBy("column").agg(F.min_by("v", F.struct("vn", "v")).alias("most_frequent")))
-    return stats.join(top, "column", "left")
+    # one aggregate: distinct count, top count, and the top value (highest count, then
+    # smallest value) via min_by over (-count, numeric value, text value)
+    return vc.groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_count"), F.max("cnt").alias("top_count"),
+        F.min_by("v", F.struct(-F.col("cnt"), F.col("vn"), F.col("v"))).alias("most_frequent"))
 
 
 def _wide_stats(df: DataFrame, cols: list[str]) -> DataFrame:
