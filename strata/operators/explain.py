@@ -49,34 +49,44 @@ def _masks(M: int, seed: int) -> tuple[list[int], bool]:
     return sorted(masks), False
 
 
-def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                positive_class: int | None = 1, max_background: int = 100, seed: int = 42) -> DataFrame:
-    """X2 (and X3 for tree models): Shapley attributions against a background sample.
+def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
+                        max_background: int = 100, seed: int = 42) -> DataFrame:
+    """Every explained row x every coalition x every background row, as model inputs.
 
-    Returns (id, feature, value, attribution, base_value, prediction); per row the
-    attributions add up to prediction - base_value (efficiency)."""
+    Bounded factors: background <= ``max_background`` rows (seeded sample, shipped as literal
+    arrays), coalitions <= 2^10 (or 2M + 2048 sampled); produced by ``explode``, not a join."""
     from strata.operators.relational import seeded_sample
     M = len(features)
-    bg_ids = [c for c in background.columns if c in (id_col,)] or features
+    bg_ids = [id_col] if id_col in background.columns else features
     bg = seeded_sample(background.select(*features, *([id_col] if id_col in background.columns else [])),
                        max_background, bg_ids, seed).collect()
-    B = len(bg)
-    if B == 0:
+    if not bg:
         raise ValueError("empty background")
-    masks, exact = _masks(M, seed)
+    masks, _ = _masks(M, seed)
     bgv = {f: [float(r[f]) for r in bg] for f in features}
     ex = explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
     ex = ex.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask"))
-    ex = ex.select("*", F.explode(F.sequence(F.lit(1), F.lit(B))).alias("__b"))
+    ex = ex.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(bg)))).alias("__b"))
     cols = []
     for j, f in enumerate(features):
         on = F.shiftright(F.col("__mask"), j).bitwiseAND(F.lit(1)) == 1
         cols.append(F.when(on, F.col(f)).otherwise(F.element_at(F.array(*[F.lit(v) for v in bgv[f]]),
                                                                   F.col("__b"))).alias(f))
-    expanded = ex.select("__rid", "__mask", *cols)
+    return ex.select("__rid", "__mask", "__b", *cols)
+
+
+def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
+                positive_class: int | None = 1, max_background: int = 100, seed: int = 42) -> DataFrame:
+    """X2 (and X3 for tree models): Shapley attributions against a background sample.
+
+    Returns (id, feature, value, attribution, base_value, prediction); per row the
+    attributions add up to prediction - base_value (efficiency)."""
+    M = len(features)
+    _, exact = _masks(M, seed)
+    expanded = coalition_expansion(explain, background, id_col, features, max_background, seed).drop("__b")
     pred = model.transform(expanded)
     v = pred.groupBy("__rid", "__mask").agg(F.avg(_pred_col(pred, positive_class)).alias("v"))
-    rtype = dict(ex.dtypes)["__rid"]
+    rtype = dict(explain.dtypes)[id_col]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = dict(zip(pdf["__mask"].astype(np.int64), pdf["v"].astype(float)))
@@ -112,7 +122,8 @@ def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, f
 
     sh = v.groupBy("__rid").applyInPandas(
         solve, f"__rid {rtype}, feature string, attribution double, base_value double, prediction double")
-    vals = ex.select("__rid", *features).dropDuplicates(["__rid"]).unpivot("__rid", features, "feature", "value")
+    vals = (explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
+            .dropDuplicates(["__rid"]).unpivot("__rid", features, "feature", "value"))
     return sh.join(vals, ["__rid", "feature"]).withColumnRenamed("__rid", id_col).select(
         id_col, "feature", "value", "attribution", "base_value", "prediction")
 

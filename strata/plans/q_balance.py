@@ -93,3 +93,11 @@ def q_balance_report(spark, sf):
     return r.select("class", "n_before", "n_after", *[F.round(c, 6).alias(c) for c in
                                                       ("ratio_before", "ratio_after", "improvement")],
                     "samples_change", "advice")
+
+
+@register("oversample_union", f"""WITH {T.SQL_BALANCE_SET}, {CNT}
+SELECT label, false AS synthetic, COUNT(*) AS rows FROM balance_set GROUP BY 1
+UNION ALL SELECT {MIN_CLS}, true, (SELECT MAX(n) FROM cnt) - (SELECT MIN(n) FROM cnt)""")
+def q_oversample_union(spark, sf):
+    u = B.balance_random_over(_bs(spark, sf), "label", "doc_id")
+    return u.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))

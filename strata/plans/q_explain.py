@@ -127,3 +127,12 @@ def q_explanation_report(spark, sf):
     model, train, test = _clf(spark, sf)
     attr = X.shap_values(model, test, train, "doc_id", ["n_chars", "n_words"])
     return X.explanation_report(attr, "shap")
+
+
+@register("cross_background")
+def q_cross_background(spark, sf):
+    _, train, test = _clf(spark, sf)
+    e = X.coalition_expansion(test, train, "doc_id", ["n_chars", "n_words"])
+    return e.groupBy(F.col("__rid").alias("doc_id")).agg(F.count(F.lit(1)).alias("expanded_rows"),
+                                                        F.countDistinct("__mask").alias("coalitions"),
+                                                        F.countDistinct("__b").alias("background_rows"))

@@ -371,3 +371,20 @@ SELECT l_returnflag, round(total, 2) AS total FROM (
 def q_top_one_class(spark, sf):
     r = RL.top_one_class(T.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
     return r.select("l_returnflag", F.round("total", 2).alias("total"))
+
+
+@register("type_recommendations", _with(sql_prof("orders", ORDERS_KINDS)) + """
+SELECT col AS "column",
+  list_filter([CASE WHEN np > 0.5 THEN 'drop_high_missing' END, CASE WHEN pc THEN 'treat_as_categorical' END,
+               CASE WHEN ur > 0.9 THEN 'id_column' END, CASE WHEN uc <= 2 AND COALESCE(fr, 0) > 0.9 THEN 'binary' END,
+               CASE WHEN detected_type = 'object' THEN CASE WHEN is_dt THEN 'convert_datetime'
+                    WHEN NOT COALESCE(hs, false) AND COALESCE(al, 0) < 20 THEN 'categorical_encoding' END END],
+              lambda x: x IS NOT NULL) AS recommendations FROM conf""")
+def q_type_recommendations(spark, sf):
+    return TY.detect_column_types(T.table(spark, sf, "orders")).select("column", "recommendations")
+
+
+@register("is_datetime_column", _with(sql_prof("orders", ORDERS_KINDS)) + """
+SELECT col AS "column", is_dt AS is_datetime FROM prof""")
+def q_is_datetime_column(spark, sf):
+    return TY.detect_column_types(T.table(spark, sf, "orders")).select("column", "is_datetime")

@@ -224,3 +224,12 @@ def _fc(ds):
     from strata.functions.scalar import future_dates
     val = ds.orderBy(F.desc("ds")).limit(7).agg(F.avg("sales")).first()[0]
     return future_dates(ds, "ds", 10, "D").select("ds", F.lit(val).alias("sales"))
+
+
+@register("resample_mean", """
+WITH b AS (SELECT date_trunc('hour', ts) AS bucket, AVG(value) AS value FROM events GROUP BY 1),
+cal AS (SELECT UNNEST(generate_series(MIN(bucket), MAX(bucket), INTERVAL 1 HOUR)) AS bucket FROM b)
+SELECT cal.bucket, round(b.value, 6) AS value FROM cal LEFT JOIN b USING (bucket)""")
+def q_resample_mean(spark, sf):
+    ev = T.table(spark, sf, "events")
+    return rnd(SE.resample_mean(ev, "ts", "value", "H"), 6)

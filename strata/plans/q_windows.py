@@ -222,3 +222,7 @@ def q_centered_moving_average(spark, sf):
     # integer cents keep the frame sums exact in any summation order
     ds = T.daily_sales(spark, sf).select("ds", F.round(F.col("sales") * 100).cast("bigint").alias("cents"))
     return rnd(W.centered_moving_average(ds, "cents", "ds", 12))
+
+
+register("fill_series", _interp_sql("CAST(epoch_us(CAST(ds AS TIMESTAMP)) AS DOUBLE)", True))(
+    lambda spark, sf: rnd(W.fill_series(T.daily_sales_gaps(spark, sf), "sales", "ds", "auto")))
