@@ -58,8 +58,11 @@ def _bracket_probs(p: float, delta: float) -> tuple[float, float]:
     return max(0.0, p - delta), min(1.0, p + delta)
 
 
+MAX_BRACKET = 1_000_000  # in-bracket rows ranked per quantile; larger brackets are refined
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = 20000) -> dict[tuple[str, float], float | None]:
+                    accuracy: int = 20000, max_bracket: int = MAX_BRACKET) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles of whole columns without one-task funnels.
 
     Spark's exact ``percentile`` merges a map of every distinct value into one
@@ -69,8 +72,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
        each target rank (``percentile_approx`` has rank error <= n/accuracy);
     2. one aggregate counts exactly how many values fall below ``lo`` and checks
        that the target ranks lie inside the bracket (widening if not);
-    3. only the in-bracket values (about 6n/accuracy per quantile) are ranked,
-       each quantile in its own window partition.
+    3. in-bracket values (about 6n/accuracy per quantile) are collapsed to (value,
+       count) by a partial aggregate and ranked by running count, each quantile in its
+       own window partition; a repeated value is one row, so hot values cost nothing.
 
     Returns {(col, p): value}; null when the column has no values.
     """
@@ -104,40 +108,86 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             hi = None if phi >= 1 else approx[phi]
             tasks.append([len(tasks), i, p, r0, r1, h - r0, lo, hi, n])
 
-    # verify brackets with exact counts; widen until they hold
-    for _ in range(6):
+    # verify brackets with exact counts (one codegen'd aggregate); widen a bracket that
+    # misses its target, and refine one whose distinct in-bracket values still exceed
+    # ``max_bracket`` with another approximate quantile over just its values (each round
+    # shrinks it by about accuracy / 6), so the final ranking step is bounded at any size.
+    refine_rounds = 0
+    while True:
         aggs = []
         for t in tasks:
-            qid, i, _, _, _, _, lo, hi, _ = t
+            qid, i, lo, hi = t[0], t[1], t[6], t[7]
             c = F.col(f"c{i}")
+            inb_cond = c.isNotNull() & ((c >= lo) if lo is not None else F.lit(True)) \
+                & ((c <= hi) if hi is not None else F.lit(True))
             below = F.count_if(c < lo) if lo is not None else F.lit(0)
-            inb = F.count_if(c.isNotNull() & ((c >= lo) if lo is not None else F.lit(True))
-                             & ((c <= hi) if hi is not None else F.lit(True)))
-            aggs += [below.alias(f"b{qid}"), inb.alias(f"k{qid}")]
+            aggs += [below.alias(f"b{qid}"), F.count_if(inb_cond).alias(f"k{qid}")]
         chk = x.agg(*aggs).first()
-        bad = []
+        bad, big = [], []
         for t in tasks:
+            del t[9:]
             qid, r0, r1 = t[0], t[3], t[4]
             b, k = chk[f"b{qid}"], chk[f"k{qid}"]
-            t.append(b)
+            t += [b, k]
             if not (b <= r0 and b + k > r1):
                 bad.append(t)
-        if not bad:
+            elif k > max_bracket and refine_rounds < 8 and not (t[6] is not None and t[6] == t[7]):
+                big.append(t)
+        if big and not bad:
+            # rows exceed the bound; ranking cost is set by distinct values, so check those
+            dagg = []
+            for t in big:
+                c = F.col(f"c{t[1]}")
+                cond = c.isNotNull() & ((c >= t[6]) if t[6] is not None else F.lit(True)) \
+                    & ((c <= t[7]) if t[7] is not None else F.lit(True))
+                dagg.append(F.approx_count_distinct(F.when(cond, c)).alias(f"d{t[0]}"))
+            dd = x.agg(*dagg).first()
+            big = [t for t in big if dd[f"d{t[0]}"] > max_bracket]
+        if bad:
+            for t in bad:  # widen to the whole column side that failed (exact fallback)
+                if t[9] > t[3]:
+                    t[6] = None
+                else:
+                    t[7] = None
+            continue
+        if not big:
             break
-        # widen failing brackets to the whole column side that failed (exact fallback)
-        for t in bad:
-            del t[9:]
-            b = chk[f"b{t[0]}"]
-            if b > t[3]:
-                t[6] = None
-            else:
-                t[7] = None
-        for t in tasks:
-            del t[9:]
-    # rank the in-bracket values; each quantile is its own bounded partition
+        refine_rounds += 1
+        ragg = []
+        for t in big:
+            qid, i, lo, hi, b, k = t[0], t[1], t[6], t[7], t[9], t[10]
+            c = F.col(f"c{i}")
+            cond = c.isNotNull()
+            if lo is not None:
+                cond = cond & (c >= lo)
+            if hi is not None:
+                cond = cond & (c <= hi)
+            plo, phi = _bracket_probs((t[3] - b) / max(k - 1, 1), delta)
+            ragg.append(F.percentile_approx(F.when(cond, c), [plo, phi], accuracy).alias(f"r{qid}"))
+        rr = x.agg(*ragg).first()
+        changed = False
+        for t in big:
+            pr = (t[3] - t[9]) / max(t[10] - 1, 1)
+            nlo, nhi = rr[f"r{t[0]}"]
+            nlo = nlo if pr - delta > 0 else t[6]
+            nhi = nhi if pr + delta < 1 else t[7]
+            if (nlo, nhi) != (t[6], t[7]):
+                changed = True
+            t[6], t[7] = nlo, nhi
+        if not changed:
+            refine_rounds = 8  # cannot shrink further: rank what is there
+    # rank the in-bracket values. A bracket whose ends are equal is one repeated value
+    # (answer known); otherwise values are first collapsed to (value, count) by a partial
+    # aggregate, so a value repeated over a third of all rows is one row, and the ranking
+    # window per quantile only sees distinct in-bracket values.
+    need = {}
     structs = []
     for t in tasks:
-        qid, i, lo, hi = t[0], t[1], t[6], t[7]
+        qid, i, lo, hi, b = t[0], t[1], t[6], t[7], t[9]
+        if lo is not None and hi is not None and lo == hi:
+            result[(cols[i], t[2])] = lo
+            continue
+        need[qid] = (t[3] - b + 1, t[4] - b + 1)
         c = F.col(f"c{i}")
         cond = c.isNotNull()
         if lo is not None:
@@ -145,25 +195,29 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         if hi is not None:
             cond = cond & (c <= hi)
         structs.append(F.when(cond, F.struct(F.lit(qid).alias("q"), c.alias("v"))))
+    if not structs:
+        return result
     vals = (x.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-            .select("s.q", "s.v"))
-    need = []
-    for t in tasks:
-        b = t[9]
-        need.append((t[0], t[3] - b + 1, t[4] - b + 1))
-    need_df = df.sparkSession.createDataFrame(need, "q int, k0 long, k1 long")
-    w = Window.partitionBy("q").orderBy("v")
-    picked = (vals.withColumn("rn", F.row_number().over(w))
+            .select("s.q", "s.v").groupBy("q", "v").agg(F.count(F.lit(1)).alias("c")))
+    need_df = df.sparkSession.createDataFrame([(q, k0, k1) for q, (k0, k1) in need.items()],
+                                              "q int, k0 long, k1 long")
+    w = Window.partitionBy("q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = lambda k: (F.col("cum") >= F.col(k)) & (F.col("cum") - F.col("c") < F.col(k))
+    picked = (vals.withColumn("cum", F.sum("c").over(w))
               .join(F.broadcast(need_df), "q")
-              .where((F.col("rn") == F.col("k0")) | (F.col("rn") == F.col("k1")))
-              .select("q", "rn", "k0", "v").collect())
-    got: dict[int, dict[int, float]] = {}
+              .where(hit("k0") | hit("k1"))
+              .select("q", "v", hit("k0").alias("is0"), hit("k1").alias("is1")).collect())
+    got: dict[int, dict[str, float]] = {}
     for r in picked:
-        got.setdefault(r["q"], {})[r["rn"]] = r["v"]
+        if r["is0"]:
+            got.setdefault(r["q"], {})["v0"] = r["v"]
+        if r["is1"]:
+            got.setdefault(r["q"], {})["v1"] = r["v"]
     for t in tasks:
         qid, i, p, frac = t[0], t[1], t[2], t[5]
-        k0, k1 = need[qid][1], need[qid][2]
-        v0, v1 = got[qid][k0], got[qid][k1]
+        if qid not in need:
+            continue
+        v0, v1 = got[qid]["v0"], got[qid]["v1"]
         result[(cols[i], p)] = v0 + (v1 - v0) * frac
     return result
 
