@@ -46,8 +46,10 @@ def bfill(c: Column | str, order_col, partition_cols=()) -> Column:
 
 
 def fill_column(c: str, method: str, order_col, partition_cols=()) -> Column:
-    """Fill rule used by lag/rolling features: ffill, bfill, zero, mean, median, else ffill+bfill."""
+    """Fill rule used by lag/rolling features: none, ffill, bfill, zero, mean, median, else ffill+bfill."""
     col = F.col(c)
+    if method == "none":
+        return col
     if method == "ffill":
         return ffill(col, order_col, partition_cols)
     if method == "bfill":
@@ -110,24 +112,59 @@ def fill_series(df: DataFrame, c: str, order_col: str, method: str = "auto", par
 
 # ------------------------------------------------------------------ features
 
+def _fill_distributed(base: DataFrame, names: list[str], order: list[str], method: str) -> DataFrame:
+    """Fill rules for the long-series path without any un-partitioned window."""
+    from strata.operators.ordered import fill_ordered
+    if method == "none":
+        return base
+    if method == "zero":
+        return base.na.fill(0.0, subset=names)
+    if method in ("mean", "median"):
+        if method == "mean":
+            vals = base.agg(*[F.avg(n).alias(n) for n in names]).first().asDict()
+        else:
+            from strata.functions.stats import median_of
+            vals = median_of(base, names)
+        return base.na.fill({n: v for n, v in vals.items() if v is not None})
+    steps = [method] if method in ("ffill", "bfill") else ["ffill", "bfill"]
+    for n in names:
+        for m in steps:
+            base = fill_ordered(base, n, order, m)
+    return base
+
+
 def lag_features(df: DataFrame, target: str, order_col, lags=(1, 2, 3, 7, 14, 30),
-                 fill_method: str = "ffill", partition_cols=()) -> DataFrame:
-    """``{target}_lag_{k}`` columns with the reference's fill rules."""
-    w = _w(order_col, partition_cols)
+                 fill_method: str = "ffill", partition_cols=(), distributed: bool = False) -> DataFrame:
+    """``{target}_lag_{k}`` columns with the reference's fill rules.
+
+    ``distributed=True`` (one long series, no partition key) computes the lags with
+    range partitions and halo rows (``operators.ordered``) instead of a one-task window."""
     names = [f"{target}_lag_{k}" for k in lags]
+    if distributed and not partition_cols:
+        from strata.operators.ordered import fill_ordered, lag_features_ordered
+        order = [order_col] if isinstance(order_col, str) else list(order_col)
+        return _fill_distributed(lag_features_ordered(df, target, order, lags), names, order, fill_method)
+    w = _w(order_col, partition_cols)
     base = df.select("*", *[F.lag(target, k).over(w).alias(n) for k, n in zip(lags, names)])
     return base.select(*[c for c in base.columns if c not in names],
                        *[fill_column(n, fill_method, order_col, partition_cols).alias(n) for n in names])
 
 
 def rolling_features(df: DataFrame, target: str, order_col, windows=(7, 14, 30), fill_method: str = "ffill",
-                     min_periods: int | None = None, partition_cols=(), exclude_current: bool = False) -> DataFrame:
+                     min_periods: int | None = None, partition_cols=(), exclude_current: bool = False,
+                     distributed: bool = False) -> DataFrame:
     """Rolling mean / sample std / min / max over trailing windows.
 
     ``min_periods`` defaults to 1 (reference). ``exclude_current`` shifts the frame one
-    row back to avoid the target leakage of the reference (D9).
+    row back to avoid the target leakage of the reference (D9). ``distributed=True`` (one
+    long series) uses range partitions with halo rows instead of a one-task window.
     """
     mp = 1 if min_periods is None else min_periods
+    if distributed and not partition_cols and not exclude_current:
+        from strata.operators.ordered import fill_ordered, rolling_features_ordered
+        order = [order_col] if isinstance(order_col, str) else list(order_col)
+        names = [f"{target}_rolling_{st}_{w}" for w in windows for st in ("mean", "std", "min", "max")]
+        return _fill_distributed(rolling_features_ordered(df, target, order, windows, mp), names, order, fill_method)
     w = _w(order_col, partition_cols)
     cols, names = [], []
     for win in windows:

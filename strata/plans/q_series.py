@@ -94,12 +94,13 @@ def q_trend_line(spark, sf):
 
 
 @register("acf", _with(T.SQL_DAILY_EVENTS) + """,
-d AS (SELECT event_type, ds, value - AVG(value) OVER (PARTITION BY event_type) AS d,
+d AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ds) AS rn,
+             value - AVG(value) OVER (PARTITION BY event_type) AS d,
              COUNT(*) OVER (PARTITION BY event_type) AS n FROM daily_events),
 k AS (SELECT UNNEST(range(0, 41)) AS lag),
 c AS (SELECT d.event_type, k.lag, SUM(d.d * l.d) AS ck FROM d
-      JOIN (SELECT event_type, ds, d FROM d) l ON l.event_type = d.event_type
-      JOIN k ON l.ds = d.ds - CAST(k.lag AS INTEGER) GROUP BY 1, 2)
+      JOIN (SELECT event_type, rn, d FROM d) l ON l.event_type = d.event_type
+      JOIN k ON l.rn = d.rn - k.lag GROUP BY 1, 2)
 SELECT c.event_type, CAST(c.lag AS INTEGER) AS lag, round(c.ck / c0.ck, 6) AS acf
 FROM c JOIN c AS c0 ON c0.event_type = c.event_type AND c0.lag = 0
 JOIN (SELECT DISTINCT event_type, n FROM d) nn ON nn.event_type = c.event_type

@@ -226,3 +226,23 @@ def q_centered_moving_average(spark, sf):
 
 register("fill_series", _interp_sql("CAST(epoch_us(CAST(ds AS TIMESTAMP)) AS DOUBLE)", True))(
     lambda spark, sf: rnd(W.fill_series(T.daily_sales_gaps(spark, sf), "sales", "ds", "auto")))
+
+
+@register("rolling_features_long_series", """
+SELECT event_id, ts, value, """ + ", ".join(
+    f"round({fn}(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS value_rolling_{st}_5"
+    for st, fn in (("mean", "AVG"), ("std", "STDDEV_SAMP"), ("min", "MIN"), ("max", "MAX"))) + """ FROM events""")
+def q_rolling_features_long_series(spark, sf):
+    """W2 on the raw event stream as one long series (no resampling, no partition key):
+    range partitions + halo rows, never a one-task window."""
+    ev = T.table(spark, sf, "events").select("event_id", "ts", "value")
+    out = W.rolling_features(ev, "value", ["ts", "event_id"], windows=(5,), fill_method="none", distributed=True)
+    return rnd(out, 4)
+
+
+@register("lag_features_long_series", """
+SELECT event_id, ts, value, lag(value, 1) OVER w AS value_lag_1, lag(value, 10) OVER w AS value_lag_10
+FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def q_lag_features_long_series(spark, sf):
+    ev = T.table(spark, sf, "events").select("event_id", "ts", "value")
+    return W.lag_features(ev, "value", ["ts", "event_id"], lags=(1, 10), fill_method="none", distributed=True)

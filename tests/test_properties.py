@@ -203,3 +203,26 @@ def test_lockout_stream_equals_batch_twin(spark, sf, tmp_path):
     b = b.sort_values(key).reset_index(drop=True)
     assert len(s) == len(b)
     assert (s["outcome"] == b["outcome"]).all() and (s["failed_attempts"] == b["failed_attempts"]).all()
+
+
+def test_long_series_ops_match_windows(spark, sf):
+    """Range-partitioned lags / rolling stats / fills equal the one-task window versions,
+    across partition and Arrow batch boundaries."""
+    from pyspark.sql import Window
+    from strata.operators import ordered as OD
+    from strata.operators import windows as W
+    g = T.daily_sales_gaps(spark, "/root/testdata/sf0.01")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for m in ("ffill", "bfill"):
+            a = OD.fill_ordered(g, "sales", ["ds"], m, num_partitions=7).toPandas().sort_values("ds")["sales"]
+            b = W.fill_series(g, "sales", "ds", m).toPandas().sort_values("ds")["sales"]
+            assert np.allclose(a.to_numpy(), b.astype(float).to_numpy(), equal_nan=True)
+        a = OD.lag_features_ordered(g, "sales", ["ds"], (1, 30), num_partitions=7).toPandas().sort_values("ds")
+        b = g.withColumn("l30", F.lag("sales", 30).over(Window.orderBy("ds"))).toPandas().sort_values("ds")
+        assert np.allclose(a["sales_lag_30"].to_numpy(), b["l30"].astype(float).to_numpy(), equal_nan=True)
+        r = OD.rolling_features_ordered(g, "sales", ["ds"], (7,), num_partitions=7).toPandas().sort_values("ds")
+        x = g.toPandas().sort_values("ds")["sales"].astype(float).rolling(7, min_periods=1)
+        assert np.allclose(r["sales_rolling_std_7"].to_numpy(), x.std().to_numpy(), equal_nan=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
