@@ -15,15 +15,7 @@ from pyspark.sql import functions as F
 from strata.operators.neighbors import knn
 from strata.operators.ranks import prefix_count
 
-MOD = 4294967296  # 2^32
-
-
-def seeded_hash(c: Column, seed: int = 42, salt: int = 0) -> Column:
-    """Integer hash in [0, 2^32) that DuckDB and Spark compute identically.
-
-    Two LCG steps on id mod 2^32; every product stays below 2^63 (no overflow)."""
-    x = F.pmod(F.pmod(c.cast("long"), F.lit(MOD)) * F.lit(1103515245) + F.lit(seed * 97 + salt * 7919), F.lit(MOD))
-    return F.pmod(x * F.lit(40503) + F.lit(12345), F.lit(MOD))
+from strata.functions.stats import MOD, seeded_hash  # noqa: E402,F401  (re-exported)
 
 
 def class_counts(df: DataFrame, label: str) -> list[tuple]:

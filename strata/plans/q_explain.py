@@ -112,7 +112,9 @@ def q_importance_table(spark, sf):
     return rnd(X.importance_table(comb, 10, "max_importance"), 6)
 
 
-@register("batch_explain")
+@register("batch_explain", """
+SELECT CAST(b.i AS INTEGER) AS batch_id, 'success' AS status, COUNT(l.l_returnflag) AS rows, CAST(NULL AS VARCHAR) AS error
+FROM (VALUES (0, 'A'), (1, 'N'), (2, 'R')) b(i, f) LEFT JOIN lineitem l ON l.l_returnflag = b.f GROUP BY b.i""")
 def q_batch_explain(spark, sf):
     li = _li(spark, sf)
     m = L.fit_linear_regression(li, ["l_quantity"], "l_extendedprice").stages[-1]
@@ -129,7 +131,16 @@ def q_explanation_report(spark, sf):
     return X.explanation_report(attr, "shap")
 
 
-@register("cross_background")
+def _split_sql():
+    from strata.plans.q_learn import _h
+    return ("WITH " + T.SQL_BALANCE_SET + ", sp AS (SELECT doc_id, label, CASE WHEN row_number() OVER "
+            "(PARTITION BY label ORDER BY " + _h("doc_id", 0) + ", doc_id) - 1 < floor(COUNT(*) OVER "
+            "(PARTITION BY label) * 0.8) THEN 'train' ELSE 'test' END AS split FROM balance_set)\n")
+
+
+@register("cross_background", _split_sql() + """
+SELECT doc_id, 4 * least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) AS expanded_rows, 4 AS coalitions,
+  least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) AS background_rows FROM sp WHERE split = 'test'""")
 def q_cross_background(spark, sf):
     _, train, test = _clf(spark, sf)
     e = X.coalition_expansion(test, train, "doc_id", ["n_chars", "n_words"])

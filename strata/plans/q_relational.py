@@ -169,6 +169,21 @@ def q_param_range_check(spark, sf):
 
 # ------------------------------------------------------------------ projections / filters
 
+def seeded_hash_sql(cols: list[str], seed: int = 42) -> str:
+    """DuckDB twin of ``functions.stats.seeded_hash_cols``."""
+    h = "0"
+    for i, c in enumerate(cols):
+        x = f"(({h}) + ({c} % 4294967296)) % 4294967296"
+        a = f"((({x}) % 4294967296) * 1103515245 + {seed * 97 + i * 7919}) % 4294967296"
+        h = f"(({a}) * 40503 + 12345) % 4294967296"
+    return h
+
+
+LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+SEEDED_SAMPLE_SQL = (f"SELECT * FROM lineitem ORDER BY {seeded_hash_sql(LI_KEYS)}, "
+                     "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000")
+
+
 @register("select_by_type", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
           "l_discount, l_tax FROM lineitem")
 def q_select_by_type(spark, sf):
@@ -214,7 +229,7 @@ def q_filter_unexpired(spark, sf):
     return RL.filter_unexpired(T.activity_log(spark, sf), "created_at", "2024-01-15 00:00:00")
 
 
-@register("seeded_sample")
+@register("seeded_sample", SEEDED_SAMPLE_SQL)
 def q_seeded_sample(spark, sf):
     return RL.seeded_sample(T.table(spark, sf, "lineitem"), 1000,
                             ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=42)
