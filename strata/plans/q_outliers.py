@@ -51,10 +51,26 @@ def q_outlier_dbscan_1d(spark, sf):
     return O.outlier_dbscan_1d(o, "o_totalprice", "o_orderkey")
 
 
-@register("outlier_lof_1d")
+LOF_SQL = """
+WITH b AS (SELECT o_orderkey AS id, COALESCE(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)) AS v FROM orders),
+p AS (SELECT id, v, row_number() OVER (ORDER BY v, id) - 1 AS pos FROM b),
+c AS (SELECT a.id, n.id AS nid, n.pos - a.pos AS off, abs(a.v - n.v) AS d
+      FROM p a JOIN p n ON n.pos BETWEEN a.pos - 20 AND a.pos + 20 AND n.pos <> a.pos),
+knn AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, abs(off), off) <= 20),
+kd AS (SELECT id, MAX(d) AS kdist FROM knn GROUP BY id),
+r AS (SELECT knn.id, greatest(knn.d, kd.kdist) AS rd FROM knn JOIN kd ON kd.id = knn.nid),
+lrd AS (SELECT id, 1 / (AVG(rd) + 1e-10) AS lrd FROM r GROUP BY id),
+lof AS (SELECT knn.id, AVG(l2.lrd) / MAX(l1.lrd) AS lof FROM knn JOIN lrd l2 ON l2.id = knn.nid
+        JOIN lrd l1 ON l1.id = knn.id GROUP BY knn.id),
+t AS (SELECT quantile_cont(lof, 0.9) AS thr FROM lof)
+SELECT o.o_orderkey, o.o_totalprice, lof.lof > t.thr AS o_totalprice_outlier, round(lof.lof, 6) AS lof
+FROM orders o JOIN lof ON lof.id = o.o_orderkey, t"""
+
+
+@register("outlier_lof_1d", LOF_SQL)
 def q_outlier_lof_1d(spark, sf):
     o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return O.outlier_lof_1d(o, "o_totalprice", "o_orderkey")
+    return O.outlier_lof_1d(o, "o_totalprice", "o_orderkey").withColumn("lof", F.round("lof", 6))
 
 
 @register("outlier_isolation_forest")
