@@ -17,24 +17,29 @@ def _with(*ctes: str) -> str:
 
 
 @register("resample_mean_weekly", """
-WITH b AS (SELECT event_type, CAST(ts AS DATE) + CAST(7 - isodow(ts) AS INTEGER) AS bucket, AVG(value) AS value
-           FROM events GROUP BY 1, 2),
+WITH e AS (SELECT event_type, ts, CAST(round(value * 100) AS BIGINT) AS value_cents FROM events),
+b AS (SELECT event_type, CAST(ts AS DATE) + CAST(7 - isodow(ts) AS INTEGER) AS bucket, AVG(value_cents) AS value_cents
+      FROM e GROUP BY 1, 2),
 cal AS (SELECT event_type, CAST(UNNEST(generate_series(MIN(bucket)::TIMESTAMP, MAX(bucket)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS bucket
         FROM b GROUP BY 1)
-SELECT cal.event_type, cal.bucket, round(b.value, 4) AS value FROM cal LEFT JOIN b USING (event_type, bucket)""")
+SELECT cal.event_type, cal.bucket, b.value_cents FROM cal LEFT JOIN b USING (event_type, bucket)""")
 def q_resample_mean_weekly(spark, sf):
-    ev = T.table(spark, sf, "events")
-    return rnd(SE.resample_mean(ev, "ts", "value", "W", ("event_type",)))
+    # integer cents make each weekly mean one exact division (bit-identical across engines)
+    ev = T.table(spark, sf, "events").select("event_type", "ts",
+                                             F.round(F.col("value") * 100).cast("bigint").alias("value_cents"))
+    return SE.resample_mean(ev, "ts", "value_cents", "W", ("event_type",))
 
 
 @register("resample_mean_monthly", """
-WITH b AS (SELECT last_day(l_shipdate) AS bucket, AVG(l_extendedprice) AS v FROM lineitem GROUP BY 1),
+WITH b AS (SELECT last_day(l_shipdate) AS bucket, AVG(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price_cents
+           FROM lineitem GROUP BY 1),
 cal AS (SELECT last_day(CAST(UNNEST(generate_series(date_trunc('month', MIN(bucket))::TIMESTAMP,
                                                     date_trunc('month', MAX(bucket))::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE)) AS bucket FROM b)
-SELECT cal.bucket, round(b.v, 2) AS l_extendedprice FROM cal LEFT JOIN b USING (bucket)""")
+SELECT cal.bucket, b.price_cents FROM cal LEFT JOIN b USING (bucket)""")
 def q_resample_mean_monthly(spark, sf):
-    li = T.table(spark, sf, "lineitem")
-    return rnd(SE.resample_mean(li, "l_shipdate", "l_extendedprice", "M"), 2)
+    li = T.table(spark, sf, "lineitem").select(
+        "l_shipdate", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"))
+    return SE.resample_mean(li, "l_shipdate", "price_cents", "M")
 
 
 @register("prepare_series", """
@@ -141,11 +146,14 @@ def q_adf_stationarity(spark, sf):
 
 
 @register("monthly_profile", _with(T.SQL_DAILY_SALES) + """,
-m AS (SELECT month(ds) AS month, AVG(sales) AS mean, STDDEV_SAMP(sales) AS std FROM daily_sales WHERE sales IS NOT NULL GROUP BY 1)
-SELECT CAST(r.month AS INTEGER) AS month, round(COALESCE(m.mean, 0), 2) AS mean, round(COALESCE(m.std, 0), 2) AS std
+c AS (SELECT ds, CAST(round(sales * 100) AS BIGINT) AS cents FROM daily_sales),
+m AS (SELECT month(ds) AS month, AVG(cents) AS mean, STDDEV_SAMP(cents) AS std FROM c WHERE cents IS NOT NULL GROUP BY 1)
+SELECT CAST(r.month AS INTEGER) AS month, COALESCE(m.mean, 0) AS mean, round(COALESCE(m.std, 0), 4) AS std
 FROM range(1, 13) r(month) LEFT JOIN m ON m.month = r.month""")
 def q_monthly_profile(spark, sf):
-    return rnd(SE.monthly_profile(T.daily_sales(spark, sf), "ds", "sales"), 2)
+    c = T.daily_sales(spark, sf).select("ds", F.round(F.col("sales") * 100).cast("bigint").alias("cents"))
+    m = SE.monthly_profile(c, "ds", "cents")
+    return m.select("month", "mean", F.round("std", 4).alias("std"))
 
 
 @register("seasonal_subseries", _with(T.SQL_DAILY_SALES) + """

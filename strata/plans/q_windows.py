@@ -56,17 +56,24 @@ def _roll_sql():
     for w in ROLL:
         fr = f"(ORDER BY ds ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
         for stat, fn in (("mean", "AVG"), ("std", "STDDEV_SAMP"), ("min", "MIN"), ("max", "MAX")):
-            sel.append(f"CASE WHEN COUNT(sales) OVER {fr} >= 1 THEN {fn}(sales) OVER {fr} END AS r_{stat}_{w}")
-    inner = "SELECT ds, sales, " + ", ".join(sel) + " FROM daily_sales"
+            sel.append(f"CASE WHEN COUNT(cents) OVER {fr} >= 1 THEN {fn}(cents) OVER {fr} END AS r_{stat}_{w}")
+    inner = ("SELECT ds, cents, " + ", ".join(sel) +
+             " FROM (SELECT ds, CAST(round(sales * 100) AS BIGINT) AS cents FROM daily_sales)")
     outer = ", ".join(
-        f"round(last_value(r_{stat}_{w} IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4)"
-        f" AS sales_rolling_{stat}_{w}" for w in ROLL for stat in ("mean", "std", "min", "max"))
-    return _with(T.SQL_DAILY_SALES) + f"SELECT ds, sales, {outer} FROM ({inner})"
+        (f"round(last_value(r_{stat}_{w} IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND "
+         f"CURRENT ROW), 4)" if stat == "std" else
+         f"last_value(r_{stat}_{w} IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        + f" AS cents_rolling_{stat}_{w}" for w in ROLL for stat in ("mean", "std", "min", "max"))
+    return _with(T.SQL_DAILY_SALES) + f"SELECT ds, cents, {outer} FROM ({inner})"
 
 
 @register("rolling_features", _roll_sql())
 def q_rolling_features(spark, sf):
-    return rnd(W.rolling_features(T.daily_sales(spark, sf), "sales", "ds", windows=ROLL))
+    # integer cents: means of exact integer sums are one correctly rounded division, so they
+    # are bit-identical in any engine and need no rounding; only the deviations are rounded
+    ds = T.daily_sales(spark, sf).select("ds", F.round(F.col("sales") * 100).cast("bigint").alias("cents"))
+    out = W.rolling_features(ds, "cents", "ds", windows=ROLL)
+    return out.select(*[F.round(c, R4).alias(c) if "_std_" in c else F.col(c) for c in out.columns])
 
 
 @register("rolling_mean_std_diff", _with(T.SQL_DAILY_EVENTS) + """
