@@ -103,9 +103,11 @@ def decompose_additive(df: DataFrame, order_col: str, value_col: str, period: in
     s = s.withColumn("period", F.greatest(F.lit(2), F.least(F.lit(12), F.floor(n / 4))) if period is None
                      else F.lit(period))
     if period is None:
-        # period varies per series: compute each candidate's trend and pick per row
+        # period varies per series: compute the trend only for the periods that occur
+        # (one small distinct over per-series counts) and pick per row
+        occurring = sorted(r[0] for r in s.select(F.col("period").cast("int")).distinct().collect())
         trends = []
-        for p in range(2, 13):
+        for p in occurring:
             s = centered_moving_average(s, value_col, order_col, p, partition_cols, out=f"__t{p}")
             trends.append((p, f"__t{p}"))
         expr = None

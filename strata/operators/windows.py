@@ -293,8 +293,19 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tiebreak: str | None =
     return agg.select(key, "r.*")
 
 
-def chronological_split(df: DataFrame, order_col, train_fraction: float = 0.8, partition_cols=()) -> DataFrame:
-    """First int(0.8 n) rows by order are train, the rest test."""
+def chronological_split(df: DataFrame, order_col, train_fraction: float = 0.8, partition_cols=(),
+                        distributed: bool = False) -> DataFrame:
+    """First int(0.8 n) rows by order are train, the rest test.
+
+    ``distributed=True`` (one long series) takes positions from the distributed prefix
+    count (range partitions) instead of a one-task ``row_number`` window."""
+    if distributed and not partition_cols:
+        from strata.operators.ranks import prefix_count
+        order = [order_col] if isinstance(order_col, str) else list(order_col)
+        n = df.count()
+        cut = int(n * train_fraction)
+        pos = prefix_count(df, order, out="__pos")
+        return pos.select(*df.columns, F.when(F.col("__pos") <= cut, "train").otherwise("test").alias("split"))
     rn = F.row_number().over(_w(order_col, partition_cols))
     n = F.count(F.lit(1)).over(_part(partition_cols))
     return df.select("*", F.when(rn <= F.floor(n * train_fraction), "train").otherwise("test").alias("split"))

@@ -253,3 +253,11 @@ FROM events WINDOW w AS (ORDER BY ts, event_id)""")
 def q_lag_features_long_series(spark, sf):
     ev = T.table(spark, sf, "events").select("event_id", "ts", "value")
     return W.lag_features(ev, "value", ["ts", "event_id"], lags=(1, 10), fill_method="none", distributed=True)
+
+
+@register("chronological_split_long_series", """
+SELECT event_id, ts, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor(COUNT(*) OVER () * 0.8)
+  THEN 'train' ELSE 'test' END AS split FROM events""")
+def q_chronological_split_long_series(spark, sf):
+    ev = T.table(spark, sf, "events").select("event_id", "ts")
+    return W.chronological_split(ev, ["ts", "event_id"], 0.8, distributed=True)
