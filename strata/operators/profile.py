@@ -131,13 +131,27 @@ def column_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def numeric_moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """A2: min, max, mean, sample std, corrected skew/kurtosis, potential_categorical."""
+    """A2: min, max, mean, sample std, corrected skew/kurtosis, potential_categorical.
+
+    potential_categorical needs an exact distinct count only when it can be <= 20: one pass
+    computes the moments and a HyperLogLog screen; only columns whose estimate is <= 50
+    (HLL++ is exact-sparse at such sizes) get an exact distinct count, so a high-cardinality
+    column never pays for a value-count shuffle."""
     cols = list(cols or numeric_cols(df))
-    p = profile_columns(df, cols)
+    st = _wide_stats(df, cols)
+    hll = df.agg(*[F.approx_count_distinct(c).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+    low = [c for i, c in enumerate(cols) if hll[f"h{i}"] <= 50]
+    if low:
+        uc = distinct_count(df, low)
+    else:
+        uc = df.sparkSession.createDataFrame([], "column string, unique_count long")
+    p = st.join(F.broadcast(uc), "column", "left")
+    pc = (F.coalesce(F.col("unique_count"), F.lit(10**9)) <= 20) & \
+        (F.coalesce(F.col("unique_count"), F.lit(10**9)) / F.col("total") < 0.1)
     return p.select("column", F.round("min", R).alias("min"), F.round("max", R).alias("max"),
                     F.round("mean", R - 1).alias("mean"), F.round("std", R).alias("std"),
                     F.round("skewness", R).alias("skewness"), F.round("kurtosis", R).alias("kurtosis"),
-                    F.coalesce("potential_categorical", F.lit(False)).alias("potential_categorical"))
+                    pc.alias("potential_categorical"))
 
 
 # ------------------------------------------------------------- missing values
