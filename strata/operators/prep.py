@@ -562,12 +562,14 @@ def onehot_all(df: DataFrame, cols: list[str], max_categories: int = 1000, drop_
 def factorize(df: DataFrame, col: str, order_col: str, out: str | None = None) -> DataFrame:
     """Code by first appearance (in ``order_col`` order), null -> -1.
 
-    First appearance per value is an aggregate; codes are a dense rank over the
-    distinct values only (bounded by the category count), joined back."""
+    First appearance per value is an aggregate; codes are distributed positions over
+    the distinct values, joined back."""
+    from strata.operators.ranks import prefix_count
     out = out or f"{col}_code"
     first = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_col).alias("__first"))
-    from pyspark.sql import Window
-    codes = first.select(col, (F.row_number().over(Window.orderBy("__first", col)) - 1).alias(out))
+    # codes = distributed positions over the distinct values (no one-task row_number,
+    # so an ID-like column with billions of values is numbered in parallel)
+    codes = prefix_count(first, ["__first", col], out="__pos").select(col, (F.col("__pos") - 1).alias(out))
     j = df.join(codes, col, "left")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
