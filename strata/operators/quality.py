@@ -11,6 +11,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Gate and readiness messages (English texts of the reference).
+M = {
+    'empty': 'Dataset is empty or not loaded',
+    'min_rows': 'Dataset has insufficient rows (minimum 10 required)',
+    'min_cols': 'Dataset needs at least 2 columns (1 feature + 1 target)',
+    'num_missing': 'Numerical columns not found in data: {cols}',
+    'cat_missing': 'Categorical columns not found in data: {cols}',
+    'overlap': 'Columns appear in both numerical and categorical lists: {cols}',
+    'target_missing': "Target column '{target}' not found in dataset",
+    'target_nulls': 'Target column has too many missing values ({ratio:.1%})',
+    'high_missing': 'High percentage of missing values ({ratio:.1%})',
+    'high_duplicates': 'High percentage of duplicate rows ({ratio:.1%})',
+    'no_problem_type': 'Problem type not specified',
+    'clf_classes': 'Classification requires at least 2 unique target values',
+    'reg_continuous': 'Regression requires continuous target values',
+    'split_missing': 'Missing {name}',
+    'split_empty': 'Empty {name}',
+    'train_len': 'X_train and y_train have different lengths',
+    'test_len': 'X_test and y_test have different lengths',
+    'feature_cols': 'X_train and X_test have different feature columns',
+    'unknown_transition': 'Unknown workflow transition: {key}',
+    'missing_data': 'Missing required data: data',
+    'no_models': 'No trained models found',
+    'no_interpretable': 'No interpretable models found. Consider training Random Forest, Gradient Boosting, or Linear models',
+    'rows_ok': 'Dataset has sufficient rows ({n}) for training.',
+    'rows_small': 'Dataset is relatively small ({n} rows). Consider cross-validation.',
+    'rows_tiny': 'Dataset is very small ({n} rows). Machine learning might not be effective.',
+    'cols_ok': 'Dataset has {c} columns, sufficient for feature engineering.',
+    'cols_few': 'Dataset has very few columns. Limit feature engineering potential.',
+    'miss_none': 'No missing values detected in the dataset.',
+    'miss_low': 'Low percentage of missing values ({ratio:.1%}). Easy to handle.',
+    'miss_moderate': 'Moderate percentage of missing values ({ratio:.1%}). Imputation recommended.',
+    'miss_high': 'High percentage of missing values ({ratio:.1%}). Data cleaning is critical.',
+    'numeric_target': 'Numeric columns detected, suitable for regression or time series.',
+    'categorical_target': 'Categorical columns detected, suitable for classification.',
+    'ready_optimal': 'Dataset is highly optimal for machine learning.',
+    'ready_considerations': 'Dataset is ready for machine learning with some considerations.',
+    'not_ready': 'Dataset requires significant cleaning before machine learning.',
+    'rec_impute': 'Apply missing value imputation in Preprocessing tab.',
+    'rec_small': 'Use robust models like Random Forest or Cross-Validation.',
+    'rec_cleaning': 'Review data quality in EDA tab.',
+    'eda_clean': 'Dataset is clean (no missing values).',
+    'eda_missing': 'Dataset has {m} missing values. Preprocessing recommended.',
+    'eda_corr_ok': 'Correlation analysis possible for {k} numerical features.',
+    'eda_corr_few': 'Too few numerical features for correlation analysis.',
+    'eda_dist': 'Distribution analysis available for numerical features.',
+    'eda_outliers': 'Consider checking for outliers in numerical features before training.',
+    'eda_ready': 'Exploratory Data Analysis is sufficient for basic ML transition.',
+    'eda_rec_missing': 'Handle missing values in the Preprocessing tab.',
+    'eda_rec_corr': 'Add more numerical features if possible for better insight.',
+    'train_insufficient': 'Insufficient data for training ({n} samples).',
+    'train_small': 'Small dataset ({n} samples). Results might be unstable.',
+    'train_ok': 'Training data has {n} samples.',
+    'classes_few': 'Classification requires at least 2 unique target classes.',
+    'classes_ok': 'Found {u} classes for classification.',
+    'scaling_hint': '{model} assumes feature scaling. Check if scaling was applied.',
+    'gradient_nulls': '{model} might be sensitive to missing values.',
+}
+
+
 SCHEMA = "seq int, check string, status string, message string"
 
 
@@ -38,15 +98,15 @@ def upload_checks(st: dict) -> list[tuple]:
     """V1: not empty, >= 10 rows, >= 2 columns."""
     out = []
     if st["rows"] == 0:
-        out.append(("data_not_empty", "error", "Dataset is empty or not loaded"))
+        out.append(("data_not_empty", "error", M["empty"]))
     else:
         out.append(("data_not_empty", "pass", ""))
     if st["rows"] < 10:
-        out.append(("minimum_rows", "error", "Dataset has insufficient rows (minimum 10 required)"))
+        out.append(("minimum_rows", "error", M["min_rows"]))
     else:
         out.append(("minimum_rows", "pass", ""))
     if st["columns"] < 2:
-        out.append(("minimum_columns", "error", "Dataset needs at least 2 columns (1 feature + 1 target)"))
+        out.append(("minimum_columns", "error", M["min_cols"]))
     else:
         out.append(("minimum_columns", "pass", ""))
     return out
@@ -66,20 +126,20 @@ def preprocessing_checks(df: DataFrame, st: dict, numerical: list[str], categori
     miss_cat = [c for c in categorical if c not in cols]
     overlap = sorted(set(numerical) & set(categorical))
     if miss_num:
-        out.append(("column_consistency", "error", f"Numerical columns not found in data: {miss_num}"))
+        out.append(("column_consistency", "error", M["num_missing"].format(cols=miss_num)))
     if miss_cat:
-        out.append(("column_consistency", "error", f"Categorical columns not found in data: {miss_cat}"))
+        out.append(("column_consistency", "error", M["cat_missing"].format(cols=miss_cat)))
     if overlap:
-        out.append(("column_consistency", "warning", f"Columns appear in both numerical and categorical lists: {overlap}"))
+        out.append(("column_consistency", "warning", M["overlap"].format(cols=overlap)))
     if not (miss_num or miss_cat or overlap):
         out.append(("column_consistency", "pass", ""))
     if target:
         if target not in cols:
-            out.append(("target_validity", "error", f"Target column '{target}' not found in dataset"))
+            out.append(("target_validity", "error", M["target_missing"].format(target=target)))
         else:
             ratio = st["missing_by_col"][target] / st["rows"] if st["rows"] else 0.0
             if ratio > 0.5:
-                out.append(("target_validity", "error", f"Target column has too many missing values ({ratio:.1%})"))
+                out.append(("target_validity", "error", M["target_nulls"].format(ratio=ratio)))
             else:
                 out.append(("target_validity", "pass", ""))
     else:
@@ -88,9 +148,9 @@ def preprocessing_checks(df: DataFrame, st: dict, numerical: list[str], categori
     mp = st["missing"] / cells if cells else 0.0
     dp = st["duplicates"] / st["rows"] if st["rows"] else 0.0
     if mp > 0.3:
-        out.append(("data_quality", "warning", f"High percentage of missing values ({mp:.1%})"))
+        out.append(("data_quality", "warning", M["high_missing"].format(ratio=mp)))
     if dp > 0.1:
-        out.append(("data_quality", "warning", f"High percentage of duplicate rows ({dp:.1%})"))
+        out.append(("data_quality", "warning", M["high_duplicates"].format(ratio=dp)))
     if mp <= 0.3 and dp <= 0.1:
         out.append(("data_quality", "pass", ""))
     return out
@@ -105,13 +165,13 @@ def gate_preprocessing(df: DataFrame, numerical: list[str], categorical: list[st
 def problem_type_check(y: DataFrame | None, label: str | None, problem_type: str | None) -> tuple:
     """Classification needs >= 2 distinct targets, regression >= 10."""
     if problem_type is None:
-        return ("problem_type", "error", "Problem type not specified")
+        return ("problem_type", "error", M["no_problem_type"])
     if y is not None and problem_type in ("Classification", "Regression"):
         u = y.agg(F.count_distinct(label)).first()[0]
         if problem_type == "Classification" and u < 2:
-            return ("problem_type", "error", "Classification requires at least 2 unique target values")
+            return ("problem_type", "error", M["clf_classes"])
         if problem_type == "Regression" and u < 10:
-            return ("problem_type", "error", "Regression requires continuous target values")
+            return ("problem_type", "error", M["reg_continuous"])
     return ("problem_type", "pass", "")
 
 
@@ -123,16 +183,16 @@ def gate_training(x_train: DataFrame, x_test: DataFrame, y_train: DataFrame, y_t
     errs = []
     for k, v in parts.items():
         if v is None:
-            errs.append(f"Missing {k}")
+            errs.append(M["split_missing"].format(name=k))
         elif n[k] == 0:
-            errs.append(f"Empty {k}")
+            errs.append(M["split_empty"].format(name=k))
     if x_train is not None and y_train is not None and n["X_train"] != n["y_train"]:
-        errs.append("X_train and y_train have different lengths")
+        errs.append(M["train_len"])
     if x_test is not None and y_test is not None and n["X_test"] != n["y_test"]:
-        errs.append("X_test and y_test have different lengths")
+        errs.append(M["test_len"])
     rows = [("train_test_split", "error", e) for e in errs] or [("train_test_split", "pass", "")]
     if x_train is not None and x_test is not None and x_train.columns != x_test.columns:
-        rows.append(("feature_consistency", "error", "X_train and X_test have different feature columns"))
+        rows.append(("feature_consistency", "error", M["feature_cols"]))
     else:
         rows.append(("feature_consistency", "pass", ""))
     rows.append(problem_type_check(y_train, label, problem_type))
@@ -154,9 +214,9 @@ def gate_transition(from_step: str, to_step: str, df: DataFrame | None = None, *
     key = f"{from_step}_to_{to_step}"
     spark = SparkSession.getActiveSession()
     if key not in TRANSITIONS:
-        return _rows(spark, [("transition", "error", f"Unknown workflow transition: {key}")])
+        return _rows(spark, [("transition", "error", M["unknown_transition"].format(key=key))])
     if df is None and key in ("upload_to_eda", "eda_to_preprocessing"):
-        return _rows(spark, [("required", "error", "Missing required data: data")])
+        return _rows(spark, [("required", "error", M["missing_data"])])
     if key == "upload_to_eda":
         return gate_upload(df)
     if key == "eda_to_preprocessing":
@@ -165,11 +225,10 @@ def gate_transition(from_step: str, to_step: str, df: DataFrame | None = None, *
         return gate_training(kw.get("x_train"), kw.get("x_test"), kw.get("y_train"), kw.get("y_test"),
                              kw.get("label"), kw.get("problem_type"))
     results = kw.get("model_results") or []
-    rows = [("model_results", "error", "No trained models found")] if not results else [("model_results", "pass", "")]
+    rows = [("model_results", "error", M["no_models"])] if not results else [("model_results", "pass", "")]
     interp = {"Random Forest", "Gradient Boosting", "Logistic Regression", "Linear Regression"}
     if results and not any(r in interp for r in results):
-        rows.append(("model_availability", "warning", "No interpretable models found. Consider training Random Forest, "
-                                                      "Gradient Boosting, or Linear models"))
+        rows.append(("model_availability", "warning", M["no_interpretable"]))
     else:
         rows.append(("model_availability", "pass", ""))
     return _rows(spark, rows)
@@ -182,28 +241,28 @@ def readiness_checks(st: dict, numerical: list[str], categorical: list[str]) ->
     n, c = st["rows"], st["columns"]
     out = []
     if n >= 100:
-        out.append(("rows", "success", f"Dataset has sufficient rows ({n}) for training."))
+        out.append(("rows", "success", M["rows_ok"].format(n=n)))
     elif n >= 20:
-        out.append(("rows", "warning", f"Dataset is relatively small ({n} rows). Consider cross-validation."))
+        out.append(("rows", "warning", M["rows_small"].format(n=n)))
     else:
-        out.append(("rows", "error", f"Dataset is very small ({n} rows). Machine learning might not be effective."))
+        out.append(("rows", "error", M["rows_tiny"].format(n=n)))
     if c >= 3:
-        out.append(("columns", "success", f"Dataset has {c} columns, sufficient for feature engineering."))
+        out.append(("columns", "success", M["cols_ok"].format(c=c)))
     else:
-        out.append(("columns", "warning", "Dataset has very few columns. Limit feature engineering potential."))
+        out.append(("columns", "warning", M["cols_few"]))
     mp = st["missing"] / (n * c) if n * c else 0.0
     if mp == 0:
-        out.append(("missing", "success", "No missing values detected in the dataset."))
+        out.append(("missing", "success", M["miss_none"]))
     elif mp < 0.1:
-        out.append(("missing", "success", f"Low percentage of missing values ({mp:.1%}). Easy to handle."))
+        out.append(("missing", "success", M["miss_low"].format(ratio=mp)))
     elif mp < 0.3:
-        out.append(("missing", "warning", f"Moderate percentage of missing values ({mp:.1%}). Imputation recommended."))
+        out.append(("missing", "warning", M["miss_moderate"].format(ratio=mp)))
     else:
-        out.append(("missing", "error", f"High percentage of missing values ({mp:.1%}). Data cleaning is critical."))
+        out.append(("missing", "error", M["miss_high"].format(ratio=mp)))
     if numerical:
-        out.append(("numeric_target", "success", "Numeric columns detected, suitable for regression or time series."))
+        out.append(("numeric_target", "success", M["numeric_target"]))
     if categorical:
-        out.append(("categorical_target", "success", "Categorical columns detected, suitable for classification."))
+        out.append(("categorical_target", "success", M["categorical_target"]))
     return out
 
 
@@ -217,17 +276,17 @@ def ml_readiness(checks: DataFrame) -> DataFrame:
     msg = F.lower(F.col("message"))
     bad = checks.where(st.isin("error", "warning"))
     recs = F.filter(F.array(
-        F.when(msg.contains("imputation") | msg.contains("missing"), F.lit("Apply missing value imputation in Preprocessing tab.")),
-        F.when(msg.contains("small"), F.lit("Use robust models like Random Forest or Cross-Validation.")),
-        F.when(msg.contains("cleaning"), F.lit("Review data quality in EDA tab."))), lambda x: x.isNotNull())
+        F.when(msg.contains("imputation") | msg.contains("missing"), F.lit(M["rec_impute"])),
+        F.when(msg.contains("small"), F.lit(M["rec_small"])),
+        F.when(msg.contains("cleaning"), F.lit(M["rec_cleaning"]))), lambda x: x.isNotNull())
     per = bad.select(F.when(st == "error", 0).otherwise(1).alias("__o"), "seq", recs.alias("r"))
     errs = checks.agg(F.count_if(st == "error").alias("e"), F.count_if(st == "warning").alias("w"))
     rec = per.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__o", "seq", "r"))),
                                         lambda s: s["r"])).alias("recommendations"))
     ready = F.col("e") == 0
-    msg_out = (F.when(ready & (F.col("w") == 0), "Dataset is highly optimal for machine learning.")
-               .when(ready, "Dataset is ready for machine learning with some considerations.")
-               .otherwise("Dataset requires significant cleaning before machine learning."))
+    msg_out = (F.when(ready & (F.col("w") == 0), M["ready_optimal"])
+               .when(ready, M["ready_considerations"])
+               .otherwise(M["not_ready"]))
     flows = F.when(ready, F.array(*[F.lit(x) for x in ("Exploratory Data Analysis", "Preprocessing", "Model Training",
                                                         "Model Interpretation")])) \
         .otherwise(F.array(F.lit("Exploratory Data Analysis")))
@@ -241,16 +300,16 @@ def eda_completeness(df: DataFrame, numerical: list[str], categorical: list[str]
     st = table_stats(df)
     out = []
     if st["missing"] == 0:
-        out.append(("missing", "success", "Dataset is clean (no missing values)."))
+        out.append(("missing", "success", M["eda_clean"]))
     else:
-        out.append(("missing", "warning", f"Dataset has {st['missing']} missing values. Preprocessing recommended."))
+        out.append(("missing", "warning", M["eda_missing"].format(m=st["missing"])))
     if len(numerical) > 1:
-        out.append(("correlation", "success", f"Correlation analysis possible for {len(numerical)} numerical features."))
+        out.append(("correlation", "success", M["eda_corr_ok"].format(k=len(numerical))))
     else:
-        out.append(("correlation", "warning", "Too few numerical features for correlation analysis."))
+        out.append(("correlation", "warning", M["eda_corr_few"]))
     if numerical:
-        out.append(("distribution", "success", "Distribution analysis available for numerical features."))
-        out.append(("outliers", "info", "Consider checking for outliers in numerical features before training."))
+        out.append(("distribution", "success", M["eda_dist"]))
+        out.append(("outliers", "info", M["eda_outliers"]))
     return _rows(df.sparkSession, out)
 
 
@@ -258,14 +317,14 @@ def eda_readiness(checks: DataFrame) -> DataFrame:
     """V6 summary: always ready; advice from warning rows."""
     msg = F.lower(F.col("message"))
     w = checks.where(F.col("status") == "warning")
-    recs = F.filter(F.array(F.when(msg.contains("missing"), F.lit("Handle missing values in the Preprocessing tab.")),
+    recs = F.filter(F.array(F.when(msg.contains("missing"), F.lit(M["eda_rec_missing"])),
                             F.when(msg.contains("correlation"),
-                                   F.lit("Add more numerical features if possible for better insight."))),
+                                   F.lit(M["eda_rec_corr"]))),
                     lambda x: x.isNotNull())
     r = w.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", recs.alias("r")))),
                                     lambda s: s["r"])).alias("recommendations"))
     return r.select(F.lit(True).alias("ready"),
-                    F.lit("Exploratory Data Analysis is sufficient for basic ML transition.").alias("message"),
+                    F.lit(M["eda_ready"]).alias("message"),
                     F.array(F.lit("Preprocessing"), F.lit("Feature Engineering")).alias("available_transitions"),
                     F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations"))
 
@@ -277,19 +336,19 @@ def training_readiness(x_train: DataFrame, y_train: DataFrame, label: str, probl
     n = st["rows"]
     out = []
     if n < 10:
-        out.append(("rows", "error", f"Insufficient data for training ({n} samples)."))
+        out.append(("rows", "error", M["train_insufficient"].format(n=n)))
     elif n < 50:
-        out.append(("rows", "warning", f"Small dataset ({n} samples). Results might be unstable."))
+        out.append(("rows", "warning", M["train_small"].format(n=n)))
     else:
-        out.append(("rows", "success", f"Training data has {n} samples."))
+        out.append(("rows", "success", M["train_ok"].format(n=n)))
     if problem_type == "Classification":
         u = y_train.where(F.col(label).isNotNull()).agg(F.count_distinct(label)).first()[0]
         if u < 2:
-            out.append(("classes", "error", "Classification requires at least 2 unique target classes."))
+            out.append(("classes", "error", M["classes_few"]))
         else:
-            out.append(("classes", "success", f"Found {u} classes for classification."))
+            out.append(("classes", "success", M["classes_ok"].format(u=u)))
     if "Linear" in model_type or "Logistic" in model_type:
-        out.append(("scaling", "info", f"{model_type} assumes feature scaling. Check if scaling was applied."))
+        out.append(("scaling", "info", M["scaling_hint"].format(model=model_type)))
     if "Gradient" in model_type and st["missing"] > 0:
-        out.append(("missing", "warning", f"{model_type} might be sensitive to missing values."))
+        out.append(("missing", "warning", M["gradient_nulls"].format(model=model_type)))
     return _rows(x_train.sparkSession, out)
