@@ -74,7 +74,7 @@ def q_shap_tree(spark, sf):
     li = _li(spark, sf)
     model = L.fit_random_forest_regressor(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
                                           n_estimators=30, max_depth=5)
-    sample = seeded_sample(li, 200, ["id"])
+    sample = seeded_sample(li, 1000, ["id"])  # the SHAP sample size of the reference
     return rnd(X.shap_values(model, sample, li, "id", ["l_quantity", "l_discount", "l_tax"], positive_class=None), 4)
 
 

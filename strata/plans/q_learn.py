@@ -11,6 +11,7 @@ from strata.operators import cluster as CL
 from strata.operators import learn as L
 from strata.operators import reduce as RD
 from strata.operators.neighbors import recommend_eps
+from strata.plans.q_neighbors import _test_sql, hash_test_flag
 from strata.plans.q_windows import rnd
 from strata.plans.registry import register
 from strata.session import checkpoint_dir
@@ -114,7 +115,7 @@ KNN_GRID_SQL = """
 WITH emb AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
 pairs AS (SELECT a.vec_id, a.label AS truth, b.label AS nlabel, b.vec_id AS nid,
   sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
-  FROM emb a, emb b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+  FROM emb a, emb b WHERE """ + _test_sql('a.vec_id') + " AND NOT " + _test_sql('b.vec_id') + """),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) AS r FROM pairs),
 ks AS (SELECT UNNEST([3, 5]) AS k),
 votes AS (SELECT k, vec_id, truth, nlabel, COUNT(*) AS score FROM ranked, ks WHERE r <= k GROUP BY 1, 2, 3, 4),
@@ -126,7 +127,7 @@ SELECT CAST(k AS INTEGER) AS n_neighbors, 'uniform' AS weights, 'euclidean' AS m
 @register("knn_grid_search", KNN_GRID_SQL)
 def q_knn_grid_search(spark, sf):
     e = T.table(spark, sf, "embeddings")
-    g = L.knn_grid_search(e.where(F.col("vec_id") % 5 != 0), e.where(F.col("vec_id") % 5 == 0), "vec_id",
+    g = L.knn_grid_search(e.where(~hash_test_flag()), e.where(hash_test_flag()), "vec_id",
                           "label", "embedding", "Fast Training")
     return g.withColumn("accuracy", F.round("accuracy", 6))
 
