@@ -167,3 +167,28 @@ def fill_ordered(df: DataFrame, col: str, order_cols: list[str], method: str = "
 
     fields = [f if f.name != col else T.StructField(col, T.DoubleType()) for f in df.schema.fields]
     return s.mapInPandas(run, T.StructType(fields))
+
+
+def interpolate_time_ordered(df: DataFrame, col: str, order_cols: list[str], time_col: str,
+                             num_partitions: int | None = None) -> DataFrame:
+    """W6 for one long series (distributed): linear interpolation in time between the
+    previous and next known values, then forward and backward fill.
+
+    The previous known (t, y) is a forward fill of two helper columns that are non-null on
+    the same rows, the next known (t, y) a backward fill of the same helpers; each fill is
+    the range-partitioned pass above, so no step sorts the series in one task."""
+    t = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
+    known = F.col(col).isNotNull()
+    base = df.select("*", F.when(known, t).alias("__pt"), F.when(known, F.col(col)).alias("__py"),
+                     F.when(known, t).alias("__nt"), F.when(known, F.col(col)).alias("__ny"), t.alias("__t"))
+    for c in ("__pt", "__py"):
+        base = fill_ordered(base, c, order_cols, "ffill", num_partitions)
+    for c in ("__nt", "__ny"):
+        base = fill_ordered(base, c, order_cols, "bfill", num_partitions)
+    span = F.col("__nt") - F.col("__pt")
+    lin = F.col("__py") + (F.col("__ny") - F.col("__py")) * F.try_divide(F.col("__t") - F.col("__pt"), span)
+    v = (F.when(known, F.col(col))
+         .when(F.col("__py").isNotNull() & F.col("__ny").isNotNull(), F.when(span == 0, F.col("__py")).otherwise(lin))
+         .when(F.col("__py").isNotNull(), F.col("__py"))
+         .otherwise(F.col("__ny")))  # leading gap: backward fill
+    return base.select(*[v.cast("double").alias(c) if c == col else F.col(c) for c in df.columns])

@@ -86,9 +86,16 @@ def interpolate_linear(df: DataFrame, c: str, order_col: str, partition_cols=(),
     return tmp.withColumn(out or c, _interp(c, F.col("__pos"), order_col, partition_cols)).drop("__pos")
 
 
-def interpolate_time(df: DataFrame, c: str, order_col: str, partition_cols=(), out: str | None = None,
-                     then_fill: bool = True) -> DataFrame:
-    """Interpolate in time (epoch seconds of ``order_col``), then ffill and bfill."""
+def interpolate_time(df: DataFrame, c: str, order_col, partition_cols=(), out: str | None = None,
+                     then_fill: bool = True, distributed: bool = False, time_col: str | None = None) -> DataFrame:
+    """Interpolate in time (epoch seconds of ``order_col``), then ffill and bfill.
+
+    ``distributed=True`` (one long series): carries of the previous / next known point
+    through range partitions (``operators.ordered``) instead of one-task windows."""
+    if distributed and not partition_cols and then_fill and out in (None, c):
+        from strata.operators.ordered import interpolate_time_ordered
+        order = [order_col] if isinstance(order_col, str) else list(order_col)
+        return interpolate_time_ordered(df, c, order, time_col or order[0])
     x = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
     tgt = out or c
     res = df.withColumn(tgt, _interp(c, x, order_col, partition_cols))

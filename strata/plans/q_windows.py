@@ -261,3 +261,29 @@ SELECT event_id, ts, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floo
 def q_chronological_split_long_series(spark, sf):
     ev = T.table(spark, sf, "events").select("event_id", "ts")
     return W.chronological_split(ev, ["ts", "event_id"], 0.8, distributed=True)
+
+
+def _events_gaps(spark, sf):
+    """events with deterministic value gaps (value null when event_id % 13 = 0)."""
+    ev = T.table(spark, sf, "events").select("event_id", "ts", "value")
+    return ev.withColumn("value", F.when(F.col("event_id") % 13 == 0, None).otherwise(F.col("value")))
+
+
+LS_A = "(ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+LS_B = "(ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@register("interpolate_time_long_series", f"""
+WITH g AS (SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events),
+k AS (SELECT event_id, ts, value, CAST(epoch_us(ts) AS DOUBLE) AS x,
+        last_value(CASE WHEN value IS NOT NULL THEN CAST(epoch_us(ts) AS DOUBLE) END IGNORE NULLS) OVER {LS_A} AS px,
+        last_value(value IGNORE NULLS) OVER {LS_A} AS py,
+        first_value(CASE WHEN value IS NOT NULL THEN CAST(epoch_us(ts) AS DOUBLE) END IGNORE NULLS) OVER {LS_B} AS nx,
+        first_value(value IGNORE NULLS) OVER {LS_B} AS ny FROM g)
+SELECT event_id, ts, round(CASE WHEN value IS NOT NULL THEN value
+  WHEN py IS NOT NULL AND ny IS NOT NULL THEN CASE WHEN nx = px THEN py ELSE py + (ny - py) * ((x - px) / (nx - px)) END
+  WHEN py IS NOT NULL THEN py ELSE ny END, 4) AS value FROM k""")
+def q_interpolate_time_long_series(spark, sf):
+    """W6 on the raw event stream as one long series: range partitions with carries."""
+    out = W.interpolate_time(_events_gaps(spark, sf), "value", ["ts", "event_id"], distributed=True, time_col="ts")
+    return rnd(out, 4)
