@@ -71,9 +71,9 @@ def outlier_dbscan_1d(df: DataFrame, col: str, id_col: str, eps: float = 0.5, mi
     pts = z.select(id_col, "__z", (F.col("__z") - eps).alias("__lo"), (F.col("__z") + eps).alias("__hi"))
     cnt = count_in_ranges(pts, "__z", "__lo", "__hi", id_col)
     core = pts.join(cnt, id_col).withColumn("__core", F.col("count") >= min_samples)
-    core_pts = core.where("__core").select("__z")
+    core_pts = core.where("__core").select(id_col, "__z")
     near = count_in_ranges(core.where(~F.col("__core")), "__z", "__lo", "__hi", id_col, data=core_pts,
-                           data_value_col="__z")
+                           data_value_col="__z", data_id_col=id_col)
     flags = (core.join(near.withColumnRenamed("count", "__near"), id_col, "left")
              .select(id_col, (~F.col("__core") & (F.coalesce("__near", F.lit(0)) == 0)).alias(f"{col}_outlier")))
     return df.join(flags, id_col, "left")

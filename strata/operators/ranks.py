@@ -60,7 +60,8 @@ def prefix_count(df: DataFrame, order_cols: list[str], weight_col: str | None =
 
 
 def count_in_ranges(points: DataFrame, value_col: str, lo_col: str, hi_col: str, id_col: str,
-                    data: DataFrame | None = None, data_value_col: str | None = None) -> DataFrame:
+                    data: DataFrame | None = None, data_value_col: str | None = None,
+                    data_id_col: str | None = None) -> DataFrame:
     """For each point, how many data values v satisfy lo <= v <= hi (exact, distributed).
 
     Data values and both thresholds of every point are sorted together: a lower
@@ -72,9 +73,13 @@ def count_in_ranges(points: DataFrame, value_col: str, lo_col: str, hi_col: str,
     dv = data_value_col or value_col
     # __u makes every sort key unique, so even one value held by a third of all rows
     # is split across range partitions instead of landing in one task
+    did = data_id_col or (id_col if data is points or id_col in data.columns else None)
+    # a deterministic unique tie-breaker (the row id) keeps re-executed tasks identical;
+    # without an id the generated one is used
+    u = F.xxhash64(F.col(did)) if did else F.monotonically_increasing_id()
     d = data.select(F.col(dv).cast("double").alias("__v"), F.lit(1).alias("__tag"),
                     F.lit(None).cast(dict(points.dtypes)[id_col]).alias("__id"), F.lit(1).alias("__isdata"),
-                    F.monotonically_increasing_id().alias("__u"))
+                    u.alias("__u"))
     lo = points.select(F.col(lo_col).cast("double").alias("__v"), F.lit(0).alias("__tag"),
                        F.col(id_col).alias("__id"), F.lit(0).alias("__isdata"), F.xxhash64(id_col).alias("__u"))
     hi = points.select(F.col(hi_col).cast("double").alias("__v"), F.lit(2).alias("__tag"),
