@@ -8,12 +8,25 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _utc(fn):
+    """Queries cast TIMESTAMP_NTZ columns to session-zone timestamps (watermarks, windows,
+    epoch arithmetic); results are defined for a UTC session, so pin it."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(key: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``key`` with optional oracle SQL."""
     def deco(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+        QUERIES[key] = _utc(fn)
         if sql is not None:
             ORACLES[key] = sql
         return fn
