@@ -81,7 +81,8 @@ MAX_BRACKET = 1_000_000  # in-bracket rows ranked per quantile; larger brackets
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = 20000, max_bracket: int = MAX_BRACKET) -> dict[tuple[str, float], float | None]:
+                    accuracy: int = 20000, max_bracket: int = MAX_BRACKET,
+                    _stable: bool = False) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles of whole columns without one-task funnels.
 
     Spark's exact ``percentile`` merges a map of every distinct value into one
@@ -95,6 +96,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
        count) by a partial aggregate and ranked by running count, each quantile in its
        own window partition; a repeated value is one row, so hot values cost nothing.
 
+    The input is read several times; it must give the same values each time (a scan or a
+    checkpointed frame). If the passes disagree the whole computation is retried once on a
+    checkpointed copy.
+
     Returns {(col, p): value}; null when the column has no values.
     """
     if not cols or not probs:
@@ -232,6 +237,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             got.setdefault(r["q"], {})["v0"] = r["v"]
         if r["is1"]:
             got.setdefault(r["q"], {})["v1"] = r["v"]
+    if any("v0" not in got.get(q, {}) or "v1" not in got.get(q, {}) for q in need):
+        # the passes saw different values: the input is recomputed non-deterministically
+        # (e.g. floating sums after a shuffle). Retry once on a checkpointed copy.
+        if _stable:
+            raise RuntimeError("exact_quantiles: inconsistent input across passes")
+        from strata.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        fixed = df.select(*cols).checkpoint(eager=True)
+        return exact_quantiles(fixed, cols, probs, accuracy, max_bracket, _stable=True)
     for t in tasks:
         qid, i, p, frac = t[0], t[1], t[2], t[5]
         if qid not in need:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.stats import exact_quantiles, numeric_cols
 from strata.operators.ranks import count_in_ranges, global_positions
+from strata.session import checkpoint_dir
 
 MIN_VALUES = 10
 
@@ -113,7 +114,8 @@ def outlier_lof_1d(df: DataFrame, col: str, id_col: str, contamination: float =
     n = df.count()
     if min(20, n - 1) < 5:
         return outlier_iqr(df, [col])
-    lof = lof_scores_1d(df, col, id_col)
+    # scores feed two passes (threshold, flags): checkpoint once so both see identical values
+    lof = lof_scores_1d(df, col, id_col).checkpoint(eager=True)
     thr = exact_quantiles(lof, ["lof"], [1 - contamination])[("lof", 1 - contamination)]
     return df.join(lof.select(id_col, (F.col("lof") > thr).alias(f"{col}_outlier"), "lof"), id_col, "left")
 
@@ -224,11 +226,12 @@ def isolation_forest_scores(df: DataFrame, cols: list[str], id_col: str, n_trees
 def outlier_isolation_forest(df: DataFrame, cols, id_col: str, contamination: float = 0.1) -> DataFrame:
     """O3: per column (median-filled), flag scores above the (1 - contamination) quantile."""
     cols = _eligible(df, cols)
+    checkpoint_dir(df.sparkSession)
     med = exact_quantiles(df, cols, [0.5])
     filled = df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(med[(c, 0.5)])).alias(c) for c in cols])
     out = df
     for c in cols:
-        sc = isolation_forest_scores(filled.select(id_col, c), [c], id_col)
+        sc = isolation_forest_scores(filled.select(id_col, c), [c], id_col).checkpoint(eager=True)
         thr = exact_quantiles(sc, ["score"], [1 - contamination])[("score", 1 - contamination)]
         out = out.join(sc.select(id_col, (F.col("score") > thr).alias(f"{c}_outlier")), id_col, "left")
     return out
