@@ -226,3 +226,23 @@ def test_long_series_ops_match_windows(spark, sf):
         assert np.allclose(r["sales_rolling_std_7"].to_numpy(), x.std().to_numpy(), equal_nan=True)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_queries_pin_utc(spark, sf):
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = E.queries()["date_features"](spark, sf)
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_distributed_chronological_split_matches_window(spark, sf):
+    from strata.operators import windows as W
+    ev = T.table(spark, sf, "events").select("event_id", "ts")
+    a = W.chronological_split(ev, ["ts", "event_id"], 0.8, distributed=True).toPandas()
+    b = W.chronological_split(ev, ["ts", "event_id"], 0.8).toPandas()
+    m = a.merge(b, on="event_id", suffixes=("_a", "_b"))
+    assert len(m) == len(a) == len(b) and (m["split_a"] == m["split_b"]).all()
