@@ -192,3 +192,38 @@ def interpolate_time_ordered(df: DataFrame, col: str, order_cols: list[str], tim
          .when(F.col("__py").isNotNull(), F.col("__py"))
          .otherwise(F.col("__ny")))  # leading gap: backward fill
     return base.select(*[v.cast("double").alias(c) if c == col else F.col(c) for c in df.columns])
+
+
+def decompose_additive_ordered(df: DataFrame, order_cols: list[str], value_col: str, period: int,
+                               num_partitions: int | None = None) -> DataFrame:
+    """T3 for one long series (distributed): additive decomposition without one-task windows.
+
+    Positions come from the distributed prefix count. The centred moving average at
+    position i equals a trailing frame of p (odd) or p + 1 (even, half weights at the ends)
+    values ending at i + h, so it is computed with the halo mechanism and shifted back by an
+    equi-join on position. Phase means (position mod p) are a grouped aggregate."""
+    from strata.operators.ranks import prefix_count
+    h = period // 2
+    clean = df.where(F.col(value_col).isNotNull()).select(*order_cols, F.col(value_col).alias("__x"))
+    pos = prefix_count(clean, order_cols, out="__p").withColumn("pos", F.col("__p") - 1).drop("__p")
+    width = period + 1 if period % 2 == 0 else period
+    fields = list(pos.schema.fields) + [T.StructField("__t", T.DoubleType())]
+
+    def fn(pdf):
+        x = pdf["__x"].astype(float)
+        if period % 2 == 0:
+            s = x.rolling(width).sum()
+            pdf["__t"] = (s - (x.shift(width - 1) + x) / 2) / period
+        else:
+            pdf["__t"] = x.rolling(width).sum() / period
+        return pdf
+
+    trailing = apply_ordered(pos, ["pos"], fn, T.StructType(fields), halo=width - 1, num_partitions=num_partitions)
+    trend = trailing.select((F.col("pos") - h).alias("pos"), F.col("__t").alias("trend"))
+    s = pos.join(trend, "pos", "left").withColumn("phase", F.col("pos") % period)
+    ph = s.groupBy("phase").agg(F.avg(F.col("__x") - F.col("trend")).alias("__pm"))
+    mean_pm = ph.agg(F.avg("__pm")).first()[0]  # one number (period rows)
+    ph = ph.select("phase", (F.col("__pm") - F.lit(mean_pm)).alias("seasonal"))
+    out = s.join(F.broadcast(ph), "phase")  # period rows: bounded
+    return out.select(*order_cols, "pos", F.col("__x").alias(value_col), F.lit(period).alias("period"), "trend",
+                      "seasonal", (F.col("__x") - F.col("trend") - F.col("seasonal")).alias("resid"))

@@ -242,3 +242,23 @@ SELECT cal.bucket, round(b.value, 6) AS value FROM cal LEFT JOIN b USING (bucket
 def q_resample_mean(spark, sf):
     ev = T.table(spark, sf, "events")
     return rnd(SE.resample_mean(ev, "ts", "value", "H"), 6)
+
+
+@register("decompose_additive_long_series", """
+WITH s AS (SELECT ts, event_id, CAST(round(value * 100) AS BIGINT) AS value_cents,
+                  row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events),
+t AS (SELECT *, CASE WHEN COUNT(value_cents) OVER f = 13
+        THEN (SUM(value_cents) OVER f - (lag(value_cents, 6) OVER w + lead(value_cents, 6) OVER w) / 2) / 12 END AS trend,
+        pos % 12 AS phase
+      FROM s WINDOW w AS (ORDER BY pos), f AS (ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+ph AS (SELECT phase, AVG(value_cents - trend) AS pm FROM t GROUP BY 1),
+ph2 AS (SELECT phase, pm - AVG(pm) OVER () AS seasonal FROM ph)
+SELECT t.ts, t.event_id, t.pos, t.value_cents, 12 AS period, round(t.trend, 4) AS trend, round(ph2.seasonal, 4) AS seasonal,
+  round(t.value_cents - t.trend - ph2.seasonal, 4) AS resid FROM t JOIN ph2 USING (phase)""")
+def q_decompose_additive_long_series(spark, sf):
+    """T3 on the raw event stream as one long series: distributed positions, halo frames."""
+    from strata.operators.ordered import decompose_additive_ordered
+    ev = T.table(spark, sf, "events").select("ts", "event_id",
+                                             F.round(F.col("value") * 100).cast("bigint").alias("value_cents"))
+    d = decompose_additive_ordered(ev, ["ts", "event_id"], "value_cents", 12)
+    return rnd(d.withColumn("period", F.col("period").cast("int")), 4)

@@ -246,3 +246,15 @@ def test_distributed_chronological_split_matches_window(spark, sf):
     b = W.chronological_split(ev, ["ts", "event_id"], 0.8).toPandas()
     m = a.merge(b, on="event_id", suffixes=("_a", "_b"))
     assert len(m) == len(a) == len(b) and (m["split_a"] == m["split_b"]).all()
+
+
+def test_distributed_decomposition_matches_window(spark):
+    from strata.operators import ordered as OD
+    ds = T.daily_sales(spark, "/root/testdata/sf0.01").select(
+        "ds", F.round(F.col("sales") * 100).cast("bigint").alias("sales"))
+    for p in (12, 7):
+        a = OD.decompose_additive_ordered(ds, ["ds"], "sales", p, num_partitions=7).toPandas().sort_values("ds")
+        b = SE.decompose_additive(ds, "ds", "sales", p).toPandas().sort_values("ds")
+        for c in ("trend", "seasonal", "resid"):
+            assert np.allclose(a[c].astype(float).to_numpy(), b[c].astype(float).to_numpy(), equal_nan=True,
+                               rtol=1e-9, atol=1e-6)
