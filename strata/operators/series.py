@@ -91,13 +91,21 @@ def _positions(df, order_col, value_col, partition_cols):
 
 
 def decompose_additive(df: DataFrame, order_col: str, value_col: str, period: int | None = None,
-                       partition_cols=()) -> DataFrame:
+                       partition_cols=(), distributed: bool = False) -> DataFrame:
     """Additive decomposition of the non-null series.
 
     period = min(12, n // 4) but at least 2 when not given; trend is the centred moving
     average (2 x p weights for even p); seasonal is the phase mean of the detrended values
-    centred to mean zero; residual is what is left.
+    centred to mean zero; residual is what is left. ``distributed=True`` (one long series,
+    no partition key) uses range partitions with halo frames (``operators.ordered``).
     """
+    if distributed and not partition_cols:
+        from strata.operators.ordered import decompose_additive_ordered
+        order = [order_col] if isinstance(order_col, str) else list(order_col)
+        if period is None:
+            n = df.where(F.col(value_col).isNotNull()).count()
+            period = max(2, min(12, n // 4))
+        return decompose_additive_ordered(df, order, value_col, period)
     s = _positions(df, order_col, value_col, partition_cols)
     n = F.count(F.lit(1)).over(_pw(partition_cols))
     s = s.withColumn("period", F.greatest(F.lit(2), F.least(F.lit(12), F.floor(n / 4))) if period is None

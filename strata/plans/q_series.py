@@ -257,8 +257,7 @@ SELECT t.ts, t.event_id, t.pos, t.value_cents, 12 AS period, round(t.trend, 4) A
   round(t.value_cents - t.trend - ph2.seasonal, 4) AS resid FROM t JOIN ph2 USING (phase)""")
 def q_decompose_additive_long_series(spark, sf):
     """T3 on the raw event stream as one long series: distributed positions, halo frames."""
-    from strata.operators.ordered import decompose_additive_ordered
     ev = T.table(spark, sf, "events").select("ts", "event_id",
                                              F.round(F.col("value") * 100).cast("bigint").alias("value_cents"))
-    d = decompose_additive_ordered(ev, ["ts", "event_id"], "value_cents", 12)
+    d = SE.decompose_additive(ev, ["ts", "event_id"], "value_cents", 12, distributed=True)
     return rnd(d.withColumn("period", F.col("period").cast("int")), 4)
