@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, packing, secrets, token_counts, tokens
+from strata.llm import debruijn, decontaminate, near_dup, packing, secrets, suffixes, token_counts, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(lower_az, '[ \t\n\x0B\f\r]+') AS raw FROM (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+w AS (SELECT doc_id, list_filter(raw, x -> x <> '') AS ws FROM d),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+t AS (SELECT doc_id, unnest(sh) AS x FROM s),
+hits AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM hits JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.sh) + len(q.sh) - n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM s UNION SELECT reach.v, edges.b FROM reach JOIN edges ON edges.a = reach.r)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
+FROM s JOIN reach ON reach.v = s.doc_id GROUP BY s.doc_id, sh"""
+
+
+@query("op2_minhash_near_dedup", NEAR_SQL)
+def op2(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,6 +65,11 @@ def op6(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"))
 
 
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op8_secret_scans")
 def op8(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents")).drop("n_novel")
