@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.words import NOT_SPACE, Words, mix, powers, sequence_hash, slices
+from strata.llm.words import NOT_SPACE, Words, distinct, mix, powers, sequence_hash, slices
 from strata.session import checkpoint_dir
 
 _PROBES: dict[int, np.ndarray] = {}
@@ -45,7 +45,7 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     out = []
     for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         if b > a:
-            out.append(np.unique(h[a:b]))
+            out.append(distinct(h[a:b]))
         elif w.count[r]:
             out.append(np.array([sequence_hash(w.hash[w.first[r]:w.first[r + 1]])], dtype=np.uint64))
         else:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm import exchange as X
-from strata.llm.words import _BASE, _BYTE, _INV, covered, mix, powers, slices, string_bytes
+from strata.llm.words import _BASE, _BYTE, _INV, covered, distinct, mix, powers, slices, string_bytes
 
 TRIGGER = 16
 _ENTRY = np.dtype([("check", "<u8"), ("doc", "<i8")])
@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def triggers(table, _):
         p = _Parse(table, length)
-        return np.unique(p.trigger), None
+        return distinct(p.trigger), None
 
     def phrases(table, answers):
         s = _Shared(table, length, answers, buckets)

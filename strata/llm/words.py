@@ -51,6 +51,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    keep = np.ones(len(a), dtype=bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, row offsets) of a string column; null rows are empty."""
     if isinstance(col, pa.ChunkedArray):
