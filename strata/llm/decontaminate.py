@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.words import ALNUM, Words, mix, slices
+from strata.llm.words import ALNUM, Words, slices
 
 
 def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -117,9 +117,9 @@ def word_counts(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", block_windows: int = 100_000) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     id_type = docs.schema["id"].dataType.simpleString()
     table = windows(items, size, item_col).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
     blocks = max(1, -(-table.count() // block_windows))
@@ -154,18 +154,16 @@ def _hits(docs: DataFrame, id_col: str, id_type: str, index, partial: bool) -> D
                 cols = [part.column(0), pa.array(w.count.astype(np.int64))]
                 if partial:
                     places = [(hit[a:b] - f).tolist() for a, b, f in zip(np.searchsorted(hit, w.first[:-1]), np.searchsorted(hit, w.first[1:]), w.first[:-1], strict=True)]
-                    key = mix(w.windows(1)[1]) if len(w.hash) else np.zeros(0, np.uint64)
-                    same = [int(key[a:b].sum(dtype=np.uint64).view(np.int64)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                    cols += [pa.array(same, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                    names = [id_col, "n_words", "same", "places", "items"]
+                    cols += [pa.array(places, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                    names = [id_col, "n_words", "places", "items"]
                 else:
                     cols += [pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in found], pa.int64()),
                              pa.array([_items_hash(x) for x in found], pa.string()), pa.array(n_hit > 0)]
                     names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays([*cols, part.column(2)], names=[*names, "text_hash"])
 
-    rest = "same long, places array<long>, items array<string>" if partial else "n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.mapInArrow(find, f"`{id_col}` {id_type}, n_words long, {rest}")
+    rest = "places array<long>, items array<string>" if partial else "n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return docs.mapInArrow(find, f"`{id_col}` {id_type}, n_words long, {rest}, text_hash long")
 
 
 def _items_hash(items: set[str]) -> str:
@@ -177,10 +175,10 @@ def _merged(passes: list[DataFrame], id_col: str, id_type: str) -> DataFrame:
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    one = every.groupBy(id_col, "n_words", "same").agg(
+    one = every.groupBy(id_col, "n_words", "text_hash").agg(
         F.count("*").alias("__n"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"))
     copies = F.sequence(F.lit(1).cast("long"), (F.col("__n") / len(passes)).cast("long"))
     return (one.withColumn("__copy", F.explode(copies))
             .select(F.col(id_col).cast(id_type), "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+                    F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash"))

@@ -36,6 +36,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, tells rows apart when verdicts are brought back to documents."""
+    return F.xxhash64(text)
+
+
 def _removed(text: Column, pattern: str) -> Column:
     """Characters of ``text`` in runs of ``pattern``."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
@@ -70,14 +75,14 @@ def distance(p: Column, q: Column) -> Column:
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: int, tracked: int) -> DataFrame:
     """Per document: id, language, base counts and the two histograms."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
     word = F.explode(words(F.col("text"))).alias("w")
     top = base.select("lang", word).groupBy("lang").agg(F.expr(f"transform(approx_top_k(w, {common}, {tracked}), x -> x.item)").alias("top"))
     d = base.withColumn("ws", words(F.col("text"))).join(top, "lang", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
     blank = F.length("text") - F.length(F.array_join("ws", ""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "")
     d = with_repeats(d).withColumn("lines", lines).withColumn("kept_words", F.filter("ws", lambda w: F.array_contains("top", w)))
-    d = d.select("id", "lang", "top", "kept_words", F.size("ws").cast("long").alias("n_words"), "n_repeat_words",
+    d = d.select("id", "lang", "top", "kept_words", "text_hash", F.size("ws").cast("long").alias("n_words"), "n_repeat_words",
                  F.length("text").cast("long").alias("n_chars"), blank.cast("long").alias("n_blank"),
                  _removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -88,13 +93,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common:
     rest = F.col("n_chars") - F.col("letters") - F.col("digits") - F.col("n_blank") - F.col("n_symbols")
     classes = F.array(F.col("letters") - F.col("capitals"), F.col("capitals"), F.col("digits"), F.col("n_blank"), F.col("n_symbols"), rest)
     return d.select("id", "lang", "n_words", (F.col("n_chars") - F.col("n_blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "n_chars", classes.alias("classes"), F.concat(counts, F.array(F.col("n_words") - F.size("kept_words"))).alias("common"))
+                    "n_chars", "text_hash", classes.alias("classes"), F.concat(counts, F.array(F.col("n_words") - F.size("kept_words"))).alias("common"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: int = COMMON, tracked: int = TRACKED,
           least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, char_distance: float = MOST_CHAR_DISTANCE,
           word_distance: float = MOST_WORD_DISTANCE) -> DataFrame:
-    """Per document: id, base counts, base_failed, kept, char_js and word_js."""
+    """Per document: id, base counts, base_failed, kept, char_js, word_js and text_hash."""
     checkpoint_dir(docs.sparkSession)
     d = features(docs, id_col, text_col, lang_col, common, tracked).checkpoint()
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n))).alias(f"all_{name}")
@@ -106,4 +111,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     odd = ((F.col("n_chars") >= least_chars) & (F.col("char_js") > char_distance)) | ((F.col("n_words") >= least_words) & (F.col("word_js") > word_distance))
     return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "char_js", "word_js")
+                    failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "char_js", "word_js", "text_hash")

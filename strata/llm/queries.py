@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import debruijn, decontaminate, langid, near_dup, packing, quality, secrets, suffixes, token_counts, tokens
+from strata.llm import debruijn, decontaminate, langid, near_dup, packing, quality, secrets, shards, suffixes, token_counts, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +52,7 @@ def op2(spark, sf_dir):
 
 @query("op3_benchmark_decontamination")
 def op3(spark, sf_dir):
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 @query("op4_language_id")
@@ -116,6 +116,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f JOIN class_js USING (doc_id) JOIN word_js USING (doc_id) LEFT JOIN rep USING (doc_id)"""
 
 
+@query("op10_token_shards")
+def op10(spark, sf_dir):
+    return shards.write_shards(table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
+
+
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents")).drop("char_js", "word_js")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_js", "word_js", "text_hash")

@@ -103,10 +103,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, mark: str = "[SECRET]") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, mark: str = "[SECRET]",
+         carry: bool = False) -> DataFrame:
     """Per document: id, n_assign, n_access, n_hex, n_novel, base_sha256, spans; with ``redact`` also
-    the text with every span replaced by ``mark`` (null stays null)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    the text with every span replaced by ``mark`` (null stays null), and with ``carry`` the
+    whole input row as a struct ``row``."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -124,10 +126,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
                     r.append(v)
             types = [pa.int64()] * 4 + [pa.string(), pa.string()] + [pa.string()] * redact
             names = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"] + ["redacted"] * redact
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=False))], names=[id_col, *names])
+            cols = [batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=False)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names, *["row"] * carry])
 
     return docs.mapInArrow(run, f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-                           + ", redacted string" * redact)
+                           + ", redacted string" * redact + (f", row {docs.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def _redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
