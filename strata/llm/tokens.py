@@ -17,13 +17,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from strata.llm.words import _BASE, _BYTE, _INV, _LOWER, Words, mix, powers
+from strata.llm.words import _BASE, _BYTE, _INV, _LOWER, SPACES, Words, mix, powers
 
 CACHE = 500_000
 SLICE = 4 << 20
 _WIDE_SPACES = "\x85\xa0                　"
 _COMMA_STOP = np.zeros(256, dtype=bool)
 _COMMA_STOP[[44, 46]] = True
+_LEADING = np.zeros(256, dtype=bool)
+_LEADING[[0x20, 0x0A]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -73,8 +75,10 @@ class Units:
         last = w.end - 1
         tail = last[(w.end - w.start > 1) & _COMMA_STOP[data[last]] & _LETTER[data[last - 1]]]
         if spaces:
-            self.end = np.unique(np.concatenate([w.end, tail, off[1:]]))
-            self.end = self.end[self.end > 0]
+            cut = np.zeros(len(data) + 1, dtype=bool)
+            cut[w.end] = cut[tail] = cut[off[1:]] = True
+            cut[0] = False
+            self.end = np.flatnonzero(cut)
             self.start = np.concatenate([np.zeros(min(1, len(self.end)), np.int64), self.end[:-1]])
         else:
             self.start = np.sort(np.concatenate([w.start, tail]))
@@ -100,7 +104,8 @@ class Cache:
     def clear(self) -> None:
         self.place: dict[int, int] = {}
 
-    def add(self, texts: list[str]) -> None:
+    def add(self, u: Units, new: np.ndarray) -> None:
+        """Appends the encodings of the units ``new`` of ``u`` to the table."""
         raise NotImplementedError
 
     def places(self, u: Units) -> np.ndarray:
@@ -113,7 +118,7 @@ class Cache:
         new = np.flatnonzero(got < 0)
         if len(new):
             have = len(self.place)
-            self.add([u.text(i) for i in at[new].tolist()])
+            self.add(u, at[new])
             got[new] = np.arange(have, have + len(new))
             self.place.update(zip(known[new].tolist(), range(have, have + len(new)), strict=True))
         return got[back]
@@ -131,27 +136,33 @@ class Ids(Cache):
 
     def clear(self) -> None:
         super().clear()
-        self.ids, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.first, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def add(self, texts: list[str]) -> None:
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        chained = [i for i, t in enumerate(texts) if t[0] in " \n" and not t[-1].isspace()]
-        for a in range(0, len(chained), 1000):  # a chain of units is encoded at once and cut by bytes
-            some = chained[a:a + 1000]
-            ids = self.encode("".join([texts[i] for i in some]))
-            ends = np.cumsum([len(texts[i].encode()) for i in some])
+    def add(self, u: Units, new: np.ndarray) -> None:
+        first, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        start, size = u.start[new], u.end[new] - u.start[new]
+        chained = np.flatnonzero(_LEADING[u.data[start]] & ~SPACES[u.data[u.end[new] - 1]])
+        have, parts = len(self.ids), [self.ids]
+        for a in range(0, len(chained), 4000):  # a chain of units is encoded at once and cut by bytes
+            some = chained[a:a + 4000]
+            ends = np.cumsum(size[some])
+            at = np.repeat(start[some] - ends + size[some], size[some]) + np.arange(ends[-1])
+            ids = self.encode(u.data[at].tobytes().decode("utf-8"))
             cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="left") + 1
-            for i, p in zip(some, np.split(ids, cut[:-1]), strict=True):
-                parts[i] = p
-        done = set(chained)
-        for i, t in enumerate(texts):
-            if i not in done:
-                parts[i] = self.encode(t)
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(p) for p in parts])])
-        self.ids = np.concatenate([self.ids, *parts])
+            n[some] = np.diff(cut, prepend=0)
+            first[some] = have + cut - n[some]
+            parts.append(ids)
+            have += len(ids)
+        for i in np.setdiff1d(np.arange(len(new)), chained).tolist():
+            ids = self.encode(u.text(new[i]))
+            first[i], n[i] = have, len(ids)
+            parts.append(ids)
+            have += len(ids)
+        self.ids = np.concatenate(parts)
+        self.first, self.n = np.concatenate([self.first, first]), np.concatenate([self.n, n])
 
     def __call__(self, col: pa.Array) -> list[np.ndarray]:
         """Each row's ids (null or empty: none)."""
@@ -161,9 +172,9 @@ class Ids(Cache):
             keep = ~whole[u.row]
             u.start, u.end, u.row, u.hash = u.start[keep], u.end[keep], u.row[keep], u.hash[keep]
         place = self.places(u)
-        n = self.off[place + 1] - self.off[place]
+        n = self.n[place]
         total = np.concatenate([[0], np.cumsum(n)])
-        flat = self.ids[np.repeat(self.off[place] - total[:-1], n) + np.arange(total[-1])]
+        flat = self.ids[np.repeat(self.first[place] - total[:-1], n) + np.arange(total[-1])]
         rows = np.searchsorted(u.row, np.arange(len(col) + 1))
         out = [flat[total[a]:total[b]] for a, b in zip(rows[:-1], rows[1:], strict=True)]
         for i in np.flatnonzero(whole).tolist():
@@ -188,9 +199,9 @@ class Counts(Cache):
     def encode(self, texts: list[str]) -> np.ndarray:
         return np.array([len(e) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)], dtype=np.int64)
 
-    def add(self, texts: list[str]) -> None:
-        self.misses += len(texts)
-        self.n = np.concatenate([self.n, self.encode(texts)])
+    def add(self, u: Units, new: np.ndarray) -> None:
+        self.misses += len(new)
+        self.n = np.concatenate([self.n, self.encode([u.text(i) for i in new.tolist()])])
 
     def __call__(self, col: pa.Array) -> np.ndarray:
         u = Units(col, spaces=False, lower=True)
