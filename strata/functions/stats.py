@@ -48,23 +48,23 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
-MOD = 4294967296  # 2^32
+def seeded_hash(c: Column, seed: int = 42, salt: int = 0) -> Column:
+    """60-bit hash of a value (the first 15 hex digits of an md5) that DuckDB computes identically.
 
+    Another ``salt`` gives an independent draw for the same value."""
+    return seeded_hash_cols([c], seed, salt)
 
-def seeded_hash(c: Column, seed: int = 42, salt: int = 0) -> Column:
-    """Integer hash in [0, 2^32) that DuckDB and Spark compute identically.
 
-    Two LCG steps on id mod 2^32; every product stays below 2^63 (no overflow)."""
-    x = F.pmod(F.pmod(c.cast("long"), F.lit(MOD)) * F.lit(1103515245) + F.lit(seed * 97 + salt * 7919), F.lit(MOD))
-    return F.pmod(x * F.lit(40503) + F.lit(12345), F.lit(MOD))
+def seeded_hash_cols(cols: list, seed: int = 42, salt: int = 0) -> Column:
+    """``seeded_hash`` of several columns together."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    text = F.concat_ws(":", F.lit(f"{seed}:{salt}"), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def seeded_hash_cols(cols: list[str], seed: int = 42) -> Column:
-    """Chain of ``seeded_hash`` over several non-negative integer columns (SQL-reproducible)."""
-    h = F.lit(0).cast("long")
-    for i, c in enumerate(cols):
-        h = seeded_hash(F.pmod(h + F.pmod(F.col(c).cast("long"), F.lit(MOD)), F.lit(MOD)), seed, i)
-    return h
+def seeded_hash_sql(cols: list[str], seed: int = 42, salt: int = 0) -> str:
+    """DuckDB twin of ``seeded_hash`` / ``seeded_hash_cols``."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}:{salt}', {', '.join(cols)})), 1, 15) AS BIGINT)"
 
 
 def nan_to_null(c: Column) -> Column:

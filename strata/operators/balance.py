@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.stats import seeded_hash
 from strata.operators.neighbors import knn
 from strata.operators.ranks import prefix_count
-
-from strata.functions.stats import MOD, seeded_hash  # noqa: E402,F401  (re-exported)
+from strata.session import checkpoint_dir
 
 
 def class_counts(df: DataFrame, label: str) -> list[tuple]:
@@ -33,7 +33,7 @@ def _class_ranks(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame
 
 
 def _draws(spark, needs: dict, seed: int, salt: int) -> DataFrame:
-    """One row per draw: (class, j, u) where u is a seeded hash; generated by spark.range.
+    """One row per draw: (class, j, draw number, u) where u is a seeded hash; generated by spark.range.
 
     ``needs`` is {class: number of draws} (one entry per class)."""
     items = [(c, n) for c, n in needs.items() if n > 0]
@@ -47,7 +47,7 @@ def _draws(spark, needs: dict, seed: int, salt: int) -> DataFrame:
         cls = F.when(cond, F.lit(c)) if cls is None else cls.when(cond, F.lit(c))
         off = F.when(cond, F.lit(start)) if off is None else off.when(cond, F.lit(start))
         start += n
-    return r.select(cls.alias("__cls"), (F.col("id") - off).alias("__j"),
+    return r.select(cls.alias("__cls"), (F.col("id") - off).alias("__j"), F.col("id").alias("__draw"),
                     seeded_hash(F.col("id"), seed, salt).alias("__u"))
 
 
@@ -78,8 +78,9 @@ def balance_random_under(df: DataFrame, label: str, id_col: str, seed: int = 42)
 
 def _smote_from(base: DataFrame, minority: DataFrame, label: str, id_col: str, features: list[str], k: int,
                 needs_per_row: DataFrame | None, n_new: int, seed: int, cls) -> DataFrame:
-    """Synthetic rows x + u (nb - x): base rows drawn uniformly (or by per-row quotas),
-    one of their k minority neighbours by hash, u in [0, 1) from a hash."""
+    """Synthetic rows x + u (nb - x) with their draw: base rows drawn uniformly (or by per-row
+    quotas); base row, neighbour and u come from hashes of the draw with a salt each, so they
+    are independent."""
     spark = base.sparkSession
     nb = knn(base, minority, id_col, id_col, features, k, exclude_self=True)
     kk = nb.groupBy(id_col).agg(F.max("rank").alias("__k"))
@@ -89,25 +90,26 @@ def _smote_from(base: DataFrame, minority: DataFrame, label: str, id_col: str, f
         draws = _draws(spark, {cls: n_new}, seed, 2)
         if draws is None:
             return None
-        picked = (draws.select(F.pmod("__u", F.lit(nbase)).alias("__rank"), "__j", "__u")
+        picked = (draws.select(F.pmod("__u", F.lit(nbase)).alias("__rank"), F.col("__draw").cast("string").alias("__draw"))
                   .join(ranked.select("__rank", id_col, *features), "__rank"))
     else:
         picked = (needs_per_row.where(F.col("__g") > 0)
                   .select(id_col, F.explode(F.sequence(F.lit(0), F.col("__g") - 1)).alias("__j"))
-                  .withColumn("__u", seeded_hash(F.xxhash64(id_col, "__j"), seed, 3))
+                  .withColumn("__draw", F.concat_ws("/", F.col(id_col).cast("string"), F.col("__j").cast("string")))
                   .join(base.select(id_col, *features), id_col))
-    picked = picked.join(kk, id_col).withColumn("__nr", F.pmod(F.col("__u"), F.col("__k")) + 1)
+    picked = picked.join(kk, id_col).withColumn("__nr", F.pmod(seeded_hash(F.col("__draw"), seed, 3), F.col("__k")) + 1)
     nbv = nb.select(F.col(id_col), F.col("rank").alias("__nr"), F.col("nid"))
     feats_n = minority.select(F.col(id_col).alias("nid"), *[F.col(c).alias(f"__n_{c}") for c in features])
     j = picked.join(nbv, [id_col, "__nr"]).join(feats_n, "nid")
-    u = (seeded_hash(F.col("__u"), seed, 4) % 1000000) / 1000000.0
-    return j.select(*[(F.col(c) + u * (F.col(f"__n_{c}") - F.col(c))).alias(c) for c in features],
+    u = seeded_hash(F.col("__draw"), seed, 4) / F.lit(float(1 << 60))
+    return j.select("__draw", *[(F.col(c) + u * (F.col(f"__n_{c}") - F.col(c))).alias(c) for c in features],
                     F.lit(cls).alias(label))
 
 
 def balance_smote(df: DataFrame, label: str, id_col: str, features: list[str], k: int = 5,
-                  seed: int = 42) -> DataFrame:
-    """SMOTE on the minority class up to the majority count (synthetic rows have null id)."""
+                  seed: int = 42, synthetic_ids: bool = False) -> DataFrame:
+    """SMOTE on the minority class up to the majority count. Synthetic rows have a null id, or
+    with ``synthetic_ids`` the largest id plus one plus the number of their draw."""
     counts = class_counts(df, label)
     mx = max(n for _, n in counts)
     mn_cls, nmin = min(counts, key=lambda t: t[1])
@@ -116,7 +118,10 @@ def balance_smote(df: DataFrame, label: str, id_col: str, features: list[str], k
     base = df.select(id_col, *features, label).withColumn("synthetic", F.lit(False))
     if syn is None:
         return base
-    return base.unionByName(syn.select(F.lit(None).cast(dict(df.dtypes)[id_col]).alias(id_col), *features, label,
+    new_id = F.lit(None)
+    if synthetic_ids:
+        new_id = F.lit((df.agg(F.max(id_col)).first()[0] or 0) + 1) + F.col("__draw").cast("long")
+    return base.unionByName(syn.select(new_id.cast(dict(df.dtypes)[id_col]).alias(id_col), *features, label,
                                        F.lit(True).alias("synthetic")))
 
 
@@ -166,10 +171,10 @@ def balance_borderline_smote(df: DataFrame, label: str, id_col: str, features: l
                                       F.lit(True).alias("synthetic")))
 
 
-def _with_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """Give synthetic rows (null id) a fresh unique id above the existing ones."""
-    mx = df.agg(F.max(id_col)).first()[0] or 0
-    return df.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(mx + 1) + F.monotonically_increasing_id()))
+def _smote_once(df, label, id_col, features, seed):
+    """SMOTE's rows, materialised once: cleaning reads them several times and refers to their ids."""
+    checkpoint_dir(df.sparkSession)
+    return balance_smote(df, label, id_col, features, seed=seed, synthetic_ids=True).checkpoint()
 
 
 def edited_nearest_neighbours(df: DataFrame, label: str, id_col: str, features: list[str], k: int = 3) -> DataFrame:
@@ -193,13 +198,13 @@ def tomek_links_removed(df: DataFrame, label: str, id_col: str, features: list[s
 
 def balance_smote_enn(df, label, id_col, features, seed: int = 42):
     """SMOTE then ENN (k = 3) over all classes."""
-    s = _with_ids(balance_smote(df, label, id_col, features, seed=seed), id_col)
+    s = _smote_once(df, label, id_col, features, seed)
     return edited_nearest_neighbours(s, label, id_col, features, 3)
 
 
 def balance_smote_tomek(df, label, id_col, features, seed: int = 42):
     """SMOTE then removal of Tomek links."""
-    s = _with_ids(balance_smote(df, label, id_col, features, seed=seed), id_col)
+    s = _smote_once(df, label, id_col, features, seed)
     return tomek_links_removed(s, label, id_col, features)
 
 

@@ -165,7 +165,6 @@ def cluster_kmodes(df: DataFrame, cols: list[str], k: int, id_col: str, max_iter
     """K-modes for categorical columns: assign rows to the mode with fewest mismatches
     (modes are k x d values, shipped as literals), recompute each cluster's per-column mode
     by grouped counts, repeat until stable. Initial modes: k distinct rows by seeded hash."""
-    from strata.operators.balance import seeded_hash
     checkpoint_dir(df.sparkSession)
     init = (df.select(*cols).distinct().withColumn("__h", F.xxhash64(F.lit(seed), *cols))
             .orderBy("__h").limit(k).collect())

@@ -98,7 +98,8 @@ def train_test_split(df: DataFrame, id_col: str, label: str | None = None, test_
     """M9: adds ``split`` in {train, test}. Stratified by ``label`` when given: within each class
     the first floor((1 - f) n_c) rows in seeded-hash order train (distributed per-class ranks);
     otherwise a seeded hash of the id decides. Stable under repartitioning."""
-    from strata.operators.balance import _class_ranks, seeded_hash
+    from strata.functions.stats import seeded_hash
+    from strata.operators.balance import _class_ranks
     if label is None:
         u = seeded_hash(F.col(id_col), seed, 5) % 1000000 / 1000000.0
         return df.withColumn("split", F.when(u < test_fraction, "test").otherwise("train"))

@@ -81,7 +81,8 @@ def apply_ordered(df: DataFrame, order_cols: list[str], fn, out_schema: T.Struct
                 cur = pd.concat([prev.assign(__halo=True), cur], ignore_index=True)
             res = fn(cur[cols + ["__halo"]].reset_index(drop=True))
             yield res[~res["__halo"].astype(bool)].drop(columns=["__halo"])
-            prev = pdf.tail(halo) if halo > 0 else None
+            if halo > 0:  # a batch may be shorter than the halo
+                prev = pdf.tail(halo) if prev is None else pd.concat([prev, pdf], ignore_index=True).tail(halo)
 
     return s.mapInPandas(run, out_schema)
 

@@ -64,12 +64,7 @@ def seeded_sample(df: DataFrame, n: int, id_cols: list[str], seed: int = 42) ->
     partition, so no task sees more than n rows per input partition.
     """
     from strata.functions.stats import seeded_hash_cols
-    types = dict(df.dtypes)
-    if all(types[c] in ("int", "bigint", "smallint", "tinyint") for c in id_cols):
-        h = seeded_hash_cols(id_cols, seed)  # integer ids: reproducible in SQL
-    else:
-        h = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-    return df.withColumn("__h", h).orderBy("__h", *id_cols).limit(n).drop("__h")
+    return df.withColumn("__h", seeded_hash_cols(id_cols, seed)).orderBy("__h", *id_cols).limit(n).drop("__h")
 
 
 def inf_to_median(df: DataFrame, cols: list[str]) -> DataFrame:

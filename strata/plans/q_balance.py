@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import balance as B
+from strata.functions.stats import seeded_hash_sql
 from strata.plans.registry import register
 from strata.sources import tables as T
 
@@ -16,8 +17,7 @@ def _bs(spark, sf):
 
 
 def _h(x: str, salt: int, seed: int = 42) -> str:
-    a = f"(({x} % 4294967296) * 1103515245 + {seed * 97 + salt * 7919}) % 4294967296"
-    return f"(({a}) * 40503 + 12345) % 4294967296"
+    return seeded_hash_sql([x], seed, salt)
 
 
 CNT = "cnt AS (SELECT label, COUNT(*) AS n FROM balance_set GROUP BY 1)"

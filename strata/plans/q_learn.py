@@ -13,6 +13,7 @@ from strata.operators import reduce as RD
 from strata.operators.neighbors import recommend_eps
 from strata.plans.q_neighbors import _test_sql, hash_test_flag
 from strata.plans.q_windows import rnd
+from strata.functions.stats import seeded_hash_sql
 from strata.plans.registry import register
 from strata.session import checkpoint_dir
 from strata.sources import tables as T
@@ -25,8 +26,8 @@ def _split(spark, sf):
 
 
 def _h(x: str, salt: int, seed: int = 42) -> str:
-    a = f"(({x} % 4294967296) * 1103515245 + {seed * 97 + salt * 7919}) % 4294967296"
-    return f"(({a}) * 40503 + 12345) % 4294967296"
+    return seeded_hash_sql([x], seed, salt)
+
 
 
 @register("train_test_split", f"""WITH {T.SQL_BALANCE_SET}

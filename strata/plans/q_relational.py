@@ -9,6 +9,7 @@ from strata.functions import types as TY
 from strata.operators import profile as P
 from strata.operators import relational as RL
 from strata.plans.flagship import SQL_FLAGSHIP, flagship
+from strata.functions.stats import seeded_hash_sql
 from strata.plans.registry import register
 from strata.plans.q_windows import rnd
 from strata.sources import tables as T
@@ -169,16 +170,6 @@ def q_param_range_check(spark, sf):
 
 # ------------------------------------------------------------------ projections / filters
 
-def seeded_hash_sql(cols: list[str], seed: int = 42) -> str:
-    """DuckDB twin of ``functions.stats.seeded_hash_cols``."""
-    h = "0"
-    for i, c in enumerate(cols):
-        x = f"(({h}) + ({c} % 4294967296)) % 4294967296"
-        a = f"((({x}) % 4294967296) * 1103515245 + {seed * 97 + i * 7919}) % 4294967296"
-        h = f"(({a}) * 40503 + 12345) % 4294967296"
-    return h
-
-
 LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SEEDED_SAMPLE_SQL = (f"SELECT * FROM lineitem ORDER BY {seeded_hash_sql(LI_KEYS)}, "
                      "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000")
