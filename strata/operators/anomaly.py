@@ -125,12 +125,30 @@ def detect_series(df: DataFrame, order_col: str, value_col: str, key_cols=(), me
 
     Method names follow the reference: isolation_forest (O9), one_class_svm (O10, kernel
     novelty), statistical (W10 rolling z-score), lstm_autoencoder (O11, PCA reconstruction),
-    prophet (O12, trend + seasonality regression)."""
+    prophet (O12, trend + seasonality regression). ``key_cols`` name the series: one group each."""
+    flags = _detected(df, order_col, value_col, key_cols, method, contamination, z_threshold, window_size, seed)
+    return flags.drop("error")
+
+
+def _detected(df, order_col, value_col, key_cols, method, contamination, z_threshold, window_size=5, seed=42, capture=False) -> DataFrame:
+    """``detect_series`` with an ``error`` column; with ``capture`` a failing series gives one row with
+    its error instead of failing the job."""
     keys = list(key_cols)
+    if not keys:
+        raise ValueError("key_cols must name the series")
     sel = df.select(*keys, F.col(order_col).alias("__t"), F.col(value_col).cast("double").alias("__y"))
     types = dict(sel.dtypes)
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return flagged(pdf)
+        except Exception as e:  # noqa: BLE001 - per-series capture, like the reference's per-method one
+            if not capture:
+                raise
+            out = pdf[keys + ["__t"]].head(1).copy()
+            return out.assign(value=np.nan, score=np.nan, is_anomaly=None, method=method, error=str(e)[:200])
+
+    def flagged(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
         y = _fill(pdf["__y"].to_numpy(dtype=float))
         if method == "isolation_forest":
@@ -155,13 +173,12 @@ def detect_series(df: DataFrame, order_col: str, value_col: str, key_cols=(), me
         out["score"] = s.astype(float)
         out["is_anomaly"] = f.astype(bool)
         out["method"] = method
+        out["error"] = None
         return out
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"__t {types['__t']}", "value double", "score double",
-                                                            "is_anomaly boolean", "method string"])
-    g = sel if keys else sel.withColumn("__g", F.lit(0))
-    res = g.groupBy(*(keys or ["__g"])).applyInPandas(
-        (lambda p: per_series(p)) if keys else (lambda p: per_series(p.drop(columns=["__g"]))), schema)
+                                                            "is_anomaly boolean", "method string", "error string"])
+    res = sel.groupBy(*keys).applyInPandas(per_series, schema)
     return res.withColumnRenamed("__t", order_col)
 
 
@@ -181,8 +198,8 @@ def anomaly_ensemble(df: DataFrame, order_col: str, value_col: str, key_cols=(),
 
 def detect_anomalies(df: DataFrame, order_col: str, value_col: str, key_cols=(), methods=None,
                      contamination: float = 0.1, z_threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """Validate (non-empty, column present, >= 10 points, non-constant), run each method
-    with per-method error capture, and summarise (A22) per method and series.
+    """Validate (column present, series of >= 10 points that aren't constant), run each method on
+    every valid series with an error captured per series, and summarise (A22) per series and method.
 
     Returns (flags of all methods, summary with an ``error`` column)."""
     methods = list(methods or ["isolation_forest", "statistical"])
@@ -190,26 +207,13 @@ def detect_anomalies(df: DataFrame, order_col: str, value_col: str, key_cols=(),
         raise ValueError(f"target column '{value_col}' not found")
     keys = list(key_cols)
     stats = df.groupBy(*keys).agg(F.count(value_col).alias("n"), F.stddev_pop(value_col).alias("sd"))
-    ok = stats.where((F.col("n") >= 10) & (F.col("sd") > 0))
-    good = df.join(ok.select(*keys), keys, "left_semi") if keys else (df if ok.count() else df.limit(0))
-    flags, summaries = None, []
-    spark = df.sparkSession
+    good = df.join(stats.where((F.col("n") >= 10) & (F.col("sd") > 0)).select(*keys), keys, "left_semi")
+    every = None
     for m in methods:
-        try:
-            r = detect_series(good, order_col, value_col, keys, m, contamination=contamination,
-                              z_threshold=z_threshold)
-            s = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_points"),
-                                     F.count_if("is_anomaly").alias("anomaly_count")).select(
-                *keys, F.lit(m).alias("method"), "total_points", "anomaly_count",
-                (F.col("anomaly_count") * 100.0 / F.col("total_points")).alias("anomaly_percentage"),
-                F.lit(None).cast("string").alias("error"))
-            flags = r if flags is None else flags.unionByName(r)
-            summaries.append(s)
-        except Exception as e:  # noqa: BLE001 - per-method capture like the reference
-            summaries.append(spark.createDataFrame(
-                [(m, None, None, None, str(e)[:200])],
-                "method string, total_points long, anomaly_count long, anomaly_percentage double, error string"))
-    summary = summaries[0]
-    for s in summaries[1:]:
-        summary = summary.unionByName(s, allowMissingColumns=True)
-    return flags, summary
+        one = _detected(good, order_col, value_col, keys, m, contamination, z_threshold, capture=True)
+        every = one if every is None else every.unionByName(one)
+    total = F.count_if(F.col("error").isNull())
+    summary = every.groupBy(*keys, "method").agg(
+        total.alias("total_points"), F.count_if("is_anomaly").alias("anomaly_count"),
+        F.try_divide(F.count_if("is_anomaly") * 100.0, total.cast("double")).alias("anomaly_percentage"), F.max("error").alias("error"))
+    return every.where("error IS NULL").drop("error"), summary

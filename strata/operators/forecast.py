@@ -68,7 +68,10 @@ def _undifference(hist: np.ndarray, fc_diff: np.ndarray, d: int, D: int, s: int)
 
 def fit_arima_hr(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: np.ndarray | None = None,
                  exog_future: np.ndarray | None = None, steps: int = 10) -> dict:
-    """Hannan-Rissanen ARIMA(p,d,q)(P,D,Q,s) with optional exogenous regressors."""
+    """Hannan-Rissanen ARIMA(p,d,q)(P,D,Q,s) with optional exogenous regressors.
+
+    A constant is fitted only if nothing is differenced. Exogenous columns are differenced like the
+    target; without ``exog_future`` (levels, one row per step) they stay at their last values."""
     p, d, q = order
     P, D, Q, s = seasonal
     z = _difference(y, d, D, s)
@@ -79,9 +82,12 @@ def fit_arima_hr(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: np
                      {s * i + j for i in range(1, Q + 1) for j in range(1, q + 1)})
     ar_lags = [lag for lag in ar_lags if lag < n - 2]
     ma_lags = [lag for lag in ma_lags if lag < n - 2]
-    ex = None
+    ex, ex_future = None, None
     if exog is not None:
-        ex = exog[len(y) - n:]
+        future = np.repeat(exog[-1:], steps, axis=0) if exog_future is None else np.asarray(exog_future, dtype=float)[:steps]
+        both = np.column_stack([_difference(c, d, D, s) for c in np.vstack([exog, future]).T])
+        ex, ex_future = both[:n], both[n:]
+    constant = d + D == 0
     # stage 1: long AR for innovations
     m = max(1, min(int(10 * math.log10(max(n, 2))), n // 3, max(ar_lags + ma_lags + [1]) * 2))
     X1 = np.column_stack([np.ones(n - m)] + [z[m - i:n - i] for i in range(1, m + 1)]) if n > m + 1 else None
@@ -91,11 +97,10 @@ def fit_arima_hr(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: np
         e[m:] = r
     start = max(ar_lags + ma_lags + [m])
     rows = range(start, n)
-    cols = [np.ones(len(rows))] + [np.array([z[t - lag] for t in rows]) for lag in ar_lags] + \
-        [np.array([e[t - lag] for t in rows]) for lag in ma_lags]
+    cols = [np.ones(len(rows))] * constant + [z[start - lag:n - lag] for lag in ar_lags] + [e[start - lag:n - lag] for lag in ma_lags]
     if ex is not None:
         cols += [ex[start:, j] for j in range(ex.shape[1])]
-    if len(rows) < len(cols) + 1:
+    if not cols or len(rows) < len(cols) + 1:
         raise ValueError("series too short for the model order")
     X = np.column_stack(cols)
     beta, resid = _ols(X, z[start:])
@@ -105,31 +110,34 @@ def fit_arima_hr(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: np
     llf = -nobs / 2 * (math.log(2 * math.pi * sigma2) + 1) if sigma2 > 0 else float("inf")
     aic = -2 * llf + 2 * (k + 1)
     bic = -2 * llf + math.log(nobs) * (k + 1)
-    c = beta[0]
-    phi = dict(zip(ar_lags, beta[1:1 + len(ar_lags)]))
-    theta = dict(zip(ma_lags, beta[1 + len(ar_lags):1 + len(ar_lags) + len(ma_lags)]))
-    gam = beta[1 + len(ar_lags) + len(ma_lags):]
+    c = beta[0] if constant else 0.0
+    rest = beta[int(constant):]
+    phi = dict(zip(ar_lags, rest[:len(ar_lags)]))
+    theta = dict(zip(ma_lags, rest[len(ar_lags):len(ar_lags) + len(ma_lags)]))
+    gam = rest[len(ar_lags) + len(ma_lags):]
     zz, ee = list(z), list(e)
     ee[start:] = list(resid)
     fc = []
     for h in range(steps):
         v = c + sum(phi[lag] * zz[-lag] for lag in ar_lags) + sum(theta[lag] * ee[-lag] for lag in ma_lags)
         if ex is not None and len(gam):
-            xf = exog_future[h] if exog_future is not None else ex[-1]
-            v += float(np.dot(gam, xf))
+            v += float(np.dot(gam, ex_future[h]))
         zz.append(v)
         ee.append(0.0)
         fc.append(v)
     fc = _undifference(y, np.array(fc), d, D, s) if (d or D) else np.array(fc)
-    terms = {"const": c, **{f"ar.L{lag}": v for lag, v in phi.items()}, **{f"ma.L{lag}": v for lag, v in theta.items()},
+    terms = {**({"const": c} if constant else {}), **{f"ar.L{lag}": v for lag, v in phi.items()}, **{f"ma.L{lag}": v for lag, v in theta.items()},
              **{f"exog{j}": v for j, v in enumerate(gam)}, "sigma2": sigma2, "aic": aic, "bic": bic,
              "mse": float(np.mean(resid ** 2))}
     return {"forecast": fc, "terms": terms}
 
 
-def _hw_run(y, alpha, beta, gamma, trend, seasonal, m, phi=1.0):
-    """One-step Holt-Winters recursion; returns SSE and final (level, trend, season)."""
+def _hw_run(y, alpha, beta, gamma, trend, seasonal, m):
+    """One-step Holt-Winters recursion for arrays of smoothing constants at once.
+
+    Returns the squared one-step errors and the final (level, trend, season), one entry per constant."""
     n = len(y)
+    ratio = lambda a, b, other: np.where(b != 0, a / np.where(b != 0, b, 1.0), other)
     if seasonal:
         l0 = y[:m].mean()
         b0 = (y[m:2 * m].mean() - y[:m].mean()) / m if trend else 0.0
@@ -138,64 +146,43 @@ def _hw_run(y, alpha, beta, gamma, trend, seasonal, m, phi=1.0):
         l0 = y[0]
         b0 = (y[1] - y[0]) if (trend and n > 1) else 0.0
         s0 = np.zeros(1)
-    lvl, tr = l0, b0
-    season = list(s0)
-    sse = 0.0
+    level, slope, sse = np.full(len(alpha), l0), np.full(len(alpha), b0), np.zeros(len(alpha))
+    season = np.repeat(s0[:, None], len(alpha), axis=1)
     for t in range(n):
-        sidx = t % m if seasonal else 0
-        base = lvl + tr if trend == "add" else (lvl * tr if trend == "mul" else lvl)
-        if seasonal == "add":
-            yhat = base + season[sidx]
-        elif seasonal == "mul":
-            yhat = base * season[sidx]
-        else:
-            yhat = base
-        err = y[t] - yhat
-        sse += err * err
-        sv = season[sidx]
-        if seasonal == "add":
-            new_l = alpha * (y[t] - sv) + (1 - alpha) * base
-        elif seasonal == "mul":
-            new_l = alpha * (y[t] / sv if sv != 0 else y[t]) + (1 - alpha) * base
-        else:
-            new_l = alpha * y[t] + (1 - alpha) * base
+        at = t % m if seasonal else 0
+        base = level + slope if trend == "add" else (level * slope if trend == "mul" else level)
+        old = season[at]
+        guess = base + old if seasonal == "add" else (base * old if seasonal == "mul" else base)
+        sse += (y[t] - guess) ** 2
+        seen = y[t] - old if seasonal == "add" else (ratio(y[t], old, y[t]) if seasonal == "mul" else y[t])
+        new = alpha * seen + (1 - alpha) * base
         if trend == "add":
-            tr = beta * (new_l - lvl) + (1 - beta) * tr
+            slope = beta * (new - level) + (1 - beta) * slope
         elif trend == "mul":
-            tr = beta * (new_l / lvl if lvl != 0 else 1.0) + (1 - beta) * tr
+            slope = beta * ratio(new, level, 1.0) + (1 - beta) * slope
         if seasonal == "add":
-            season[sidx] = gamma * (y[t] - new_l) + (1 - gamma) * sv
+            season[at] = gamma * (y[t] - new) + (1 - gamma) * old
         elif seasonal == "mul":
-            season[sidx] = gamma * (y[t] / new_l if new_l != 0 else 1.0) + (1 - gamma) * sv
-        lvl = new_l
-    return sse, lvl, tr, season
+            season[at] = gamma * ratio(y[t], new, 1.0) + (1 - gamma) * old
+        level = new
+    return sse, level, slope, season
 
 
 def fit_holt_winters(y: np.ndarray, trend: str | None = "add", seasonal: str | None = "add", m: int = 12,
                      steps: int = 10, grid=(0.1, 0.3, 0.5, 0.7, 0.9)) -> dict:
-    """Holt-Winters with (alpha, beta, gamma) minimising one-step SSE over a grid."""
+    """Holt-Winters with (alpha, beta, gamma) minimising one-step SSE over a grid (first on ties)."""
     if trend == "mul" and np.any(y <= 0) or seasonal == "mul" and np.any(y <= 0):
         raise ValueError("multiplicative components need positive data")
-    best = None
-    betas = grid if trend else (0.0,)
-    gammas = grid if seasonal else (0.0,)
-    for a in grid:
-        for b in betas:
-            for g in gammas:
-                sse, lvl, tr, season = _hw_run(y, a, b, g, trend, seasonal, m)
-                if best is None or sse < best[0]:
-                    best = (sse, a, b, g, lvl, tr, season)
-    sse, a, b, g, lvl, tr, season = best
+    points = np.array([(a, b, g) for a in grid for b in (grid if trend else (0.0,)) for g in (grid if seasonal else (0.0,))])
+    every, levels, slopes, seasons = _hw_run(y, *points.T, trend, seasonal, m)
+    best = int(np.argmin(every))
+    (a, b, g), sse, lvl, tr, season = points[best], every[best], levels[best], slopes[best], seasons[:, best]
     n = len(y)
     fc = []
     for h in range(1, steps + 1):
         base = lvl + h * tr if trend == "add" else (lvl * tr ** h if trend == "mul" else lvl)
-        if seasonal == "add":
-            fc.append(base + season[(n + h - 1) % m])
-        elif seasonal == "mul":
-            fc.append(base * season[(n + h - 1) % m])
-        else:
-            fc.append(base)
+        at = (n + h - 1) % m if seasonal else 0
+        fc.append(base + season[at] if seasonal == "add" else (base * season[at] if seasonal == "mul" else base))
     k = 1 + (trend is not None) + (seasonal is not None)
     aic = n * math.log(sse / n) + 2 * k if sse > 0 else float("-inf")
     return {"forecast": np.array(fc), "terms": {"smoothing_level": a, "smoothing_trend": b if trend else None,
@@ -211,6 +198,11 @@ def _fill_gaps(y: np.ndarray) -> np.ndarray:
     return s.interpolate(method="linear", limit_direction="forward").ffill().bfill().to_numpy()
 
 
+#: period ends after a date, by the name of the frequency
+OFFSETS = {"D": pd.offsets.Day, "B": pd.offsets.BusinessDay, "W": pd.offsets.Week, "M": pd.offsets.MonthEnd,
+           "Q": pd.offsets.QuarterEnd, "Y": pd.offsets.YearEnd}
+
+
 def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), model: str = "arima",
                     steps: int = 10, freq: str = "D", order=(1, 1, 1), seasonal_order=(1, 1, 1, 12),
                     exog_cols=(), trend="add", seasonal="add", seasonal_periods: int = 12,
@@ -221,16 +213,21 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
     holt_winters (nulls dropped, >= 2 x period), exp_smoothing (nulls filled, >= 5, season
     only with >= 2 x period). Returns (forecasts, coefficients); a series that cannot be fit
     contributes an ``error`` coefficient row instead of forecasts.
+
+    ``key_cols`` name the series: each is one group of ``applyInPandas``, so there is no model of
+    a whole table in one task. ``freq`` is one of D, B, W, M, Q, Y.
     """
     keys = list(key_cols)
+    if not keys:
+        raise ValueError("key_cols must name the series")
+    if freq not in OFFSETS:
+        raise ValueError(f"freq {freq!r} is none of {sorted(OFFSETS)}")
     missing = [c for c in exog_cols if c not in df.columns]
     if missing:
         raise ValueError(f"exogenous columns not found: {missing}")
     sel = df.select(*keys, F.col(date_col).cast("date").alias("__d"), F.col(value_col).cast("double").alias("__y"),
                     *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(exog_cols)])
     types = dict(sel.dtypes)
-    step_days = {"D": 1, "W": 7}.get(freq)
-
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__d")
         key = {k: pdf[k].iloc[0] for k in keys}
@@ -265,10 +262,7 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
             return pd.DataFrame([row])
         rows = []
         for h, v in enumerate(res["forecast"], start=1):
-            if step_days:
-                dt = last + pd.Timedelta(days=step_days * h)
-            else:
-                dt = (pd.Timestamp(last) + pd.offsets.MonthEnd(h)).date()
+            dt = (pd.Timestamp(last) + OFFSETS[freq](h)).date()
             rows.append({**key, "kind": "forecast", "step": h, "date": dt, "value": float(v), "term": None,
                          "note": None})
         for t, v in res["terms"].items():
@@ -278,9 +272,7 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [
         "kind string", "step int", "date date", "value double", "term string", "note string"])
-    g = sel if keys else sel.withColumn("__g", F.lit(0))
-    out = g.groupBy(*(keys or ["__g"])).applyInPandas(
-        (lambda p: per_series(p)) if keys else (lambda p: per_series(p.drop(columns=["__g"]))), schema)
+    out = sel.groupBy(*keys).applyInPandas(per_series, schema)
     fc = out.where(F.col("kind") == "forecast").select(*keys, "step", F.col("date").alias(date_col),
                                                       F.col("value").alias("forecast"))
     coef = out.where(F.col("kind") == "coef").select(*keys, "term", "value", "note")
@@ -288,19 +280,36 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
 
 
 def forecast_future_ml(info: dict, periods: int = 10, freq: str = "D", future_lags: str = "zero") -> DataFrame:
-    """F6 for the ML forecaster: future dates after the last date, date features computed,
-    lag/rolling features 0 (reference) or carried recursively from the last known row."""
+    """F6 for the ML forecaster: future dates after the last date, date features computed.
+
+    ``future_lags`` "zero" sets lag and rolling features to 0, as the reference does; "recursive"
+    appends each forecast to the last known values (as many as the longest lag or window) and
+    computes the next step's features from them, one small prediction per step."""
     from strata.functions.scalar import date_features, future_dates
     f = info["train_frame"]
     dc, tgt = info["date_column"], info["target_column"]
     fut = date_features(future_dates(f.select(dc), dc, periods, freq), dc)
-    lagcols = [c for c in info["features"] if c.startswith(f"{tgt}_lag_") or c.startswith(f"{tgt}_rolling_")]
+    made = [c for c in info["features"] if c.startswith(f"{tgt}_lag_") or c.startswith(f"{tgt}_rolling_")]
     if future_lags == "zero":
-        fut = fut.select("*", *[F.lit(0.0).alias(c) for c in lagcols])
-    else:
-        last = f.orderBy(F.desc(dc)).limit(1).select(*lagcols).first()  # one row of feature values
-        fut = fut.select("*", *[F.lit(float(last[c])).alias(c) for c in lagcols])
-    return info["model"].transform(fut).select(dc, F.col("prediction").alias("forecast"))
+        fut = fut.select("*", *[F.lit(0.0).alias(c) for c in made])
+        return info["model"].transform(fut).select(dc, F.col("prediction").alias("forecast"))
+    if future_lags != "recursive":
+        raise ValueError("future_lags is 'zero' or 'recursive'")
+    size = {c: int(c.rsplit("_", 1)[1]) for c in made}
+    known = [float(r[0]) for r in f.orderBy(F.desc(dc)).limit(max(size.values(), default=1)).select(tgt).collect()][::-1]
+    spark, out = f.sparkSession, []
+    base = [c for c in info["features"] if c not in made]
+    for day in fut.orderBy(dc).select(dc, *base).collect():  # one row per step
+        values = {c: float(day[c]) for c in base}
+        for c, k in size.items():
+            last = np.array(known[-k:])
+            kind = "lag" if c.startswith(f"{tgt}_lag_") else c[len(f"{tgt}_rolling_"):].rsplit("_", 1)[0]
+            values[c] = {"lag": lambda v: v[0], "mean": np.mean, "std": lambda v: v.std(ddof=1) if len(v) > 1 else 0.0,
+                         "min": np.min, "max": np.max}[kind](last)
+        row = spark.createDataFrame([tuple(float(values[c]) for c in info["features"])], ", ".join(f"`{c}` double" for c in info["features"]))
+        known.append(float(info["model"].transform(row).select("prediction").first()[0]))
+        out.append((day[dc], known[-1]))
+    return spark.createDataFrame(out, f"`{dc}` {dict(fut.dtypes)[dc]}, forecast double")
 
 
 def evaluate_forecast(info: dict, test: DataFrame) -> DataFrame:

@@ -31,26 +31,21 @@ def q_model_coefficients(spark, sf):
 
 @register("forecast_sarima")
 def q_forecast_sarima(spark, sf):
-    fc, _ = FC.forecast_series(T.daily_sales(spark, sf), "ds", "sales", (), "sarima", steps=10,
+    fc, _ = FC.forecast_series(T.supplier_months(spark, sf), "ds", "sales", ("l_suppkey",), "sarima", steps=10, freq="M",
                                seasonal_order=(1, 1, 1, 12))
     return rnd(fc, 4)
 
 
 @register("forecast_sarimax")
 def q_forecast_sarimax(spark, sf):
-    ds = T.daily_sales(spark, sf)
-    orders = (T.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ds"))
-              .agg(F.count(F.lit(1)).cast("double").alias("n_orders")))
-    x = ds.join(orders, "ds", "left")
-    fc, _ = FC.forecast_series(x, "ds", "sales", (), "sarimax", steps=10, seasonal_order=(1, 1, 1, 12),
-                               exog_cols=("n_orders",))
+    fc, _ = FC.forecast_series(T.supplier_months(spark, sf), "ds", "sales", ("l_suppkey",), "sarimax", steps=10, freq="M",
+                               seasonal_order=(1, 1, 1, 12), exog_cols=("n_lines",))
     return rnd(fc, 4)
 
 
 @register("forecast_holt_winters")
 def q_forecast_holt_winters(spark, sf):
-    monthly = SE.resample_mean(T.table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", "M")
-    fc, _ = FC.forecast_series(monthly, "bucket", "l_extendedprice", (), "holt_winters", steps=10, freq="M",
+    fc, _ = FC.forecast_series(T.supplier_months(spark, sf), "ds", "price", ("l_suppkey",), "holt_winters", steps=10, freq="M",
                                trend="add", seasonal="add", seasonal_periods=12)
     return rnd(fc, 4)
 
@@ -64,10 +59,16 @@ def q_forecast_exp_smoothing(spark, sf):
 
 @register("forecast_future")
 def q_forecast_future(spark, sf):
-    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest", n_estimators=50)
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest")
     return rnd(FC.forecast_future_ml(info, 10, "D", "zero"), 4)
 
 
+@register("forecast_future_recursive")
+def q_forecast_future_recursive(spark, sf):
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "linear")
+    return rnd(FC.forecast_future_ml(info, 10, "D", "recursive"), 4)
+
+
 @register("evaluate_forecast")
 def q_evaluate_forecast(spark, sf):
     ds = chronological_split(T.daily_sales(spark, sf), "ds")

@@ -159,12 +159,12 @@ def q_anomaly_kernel_novelty(spark, sf):
 
 @register("anomaly_reconstruction")
 def q_anomaly_reconstruction(spark, sf):
-    return rnd(AN.detect_series(T.spiked_series(spark, sf), "ds", "sales", (), "lstm_autoencoder"), 6)
+    return rnd(AN.detect_series(T.supplier_weeks_spiked(spark, sf), "ds", "sales", ("l_suppkey",), "lstm_autoencoder"), 6)
 
 
 @register("anomaly_trend_season_residual")
 def q_anomaly_trend_season_residual(spark, sf):
-    return rnd(AN.detect_series(T.spiked_series(spark, sf), "ds", "sales", (), "prophet"), 6)
+    return rnd(AN.detect_series(T.supplier_weeks_spiked(spark, sf), "ds", "sales", ("l_suppkey",), "prophet"), 6)
 
 
 @register("anomaly_ensemble")
@@ -174,7 +174,7 @@ def q_anomaly_ensemble(spark, sf):
 
 @register("anomaly_detect_all")
 def q_anomaly_detect_all(spark, sf):
-    _, summary = AN.detect_anomalies(T.spiked_series(spark, sf), "ds", "sales", (),
+    _, summary = AN.detect_anomalies(T.supplier_weeks_spiked(spark, sf), "ds", "sales", ("l_suppkey",),
                                      methods=["isolation_forest", "one_class_svm", "statistical",
                                               "lstm_autoencoder", "prophet"])
     return summary

@@ -127,6 +127,23 @@ spiked_series AS (
   FROM daily_sales)"""
 
 
+def supplier_months(spark, sf_dir) -> DataFrame:
+    """One series per supplier: month end, sales, mean price and order lines of every month of the
+    table's span; months without a line have no row."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy("l_suppkey", F.last_day(F.to_date("l_shipdate")).alias("ds"))
+            .agg(F.round(F.sum("l_extendedprice"), 2).cast("double").alias("sales"), F.avg("l_extendedprice").cast("double").alias("price"),
+                 F.count("*").cast("double").alias("n_lines")))
+
+
+def supplier_weeks_spiked(spark, sf_dir) -> DataFrame:
+    """One weekly sales series per supplier, with every 13th week of the year multiplied by ten."""
+    li = table(spark, sf_dir, "lineitem")
+    week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    sales = li.groupBy("l_suppkey", week.alias("ds")).agg(F.round(F.sum("l_extendedprice"), 2).cast("double").alias("sales"))
+    return sales.withColumn("sales", F.when(F.weekofyear("ds") % 13 == 0, F.col("sales") * 10).otherwise(F.col("sales")))
+
+
 def activity_log(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("username"),
