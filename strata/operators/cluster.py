@@ -89,11 +89,10 @@ def _min_core_label(q: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
     return part.groupBy("__id").agg(F.min("m").alias("m"))
 
 
-def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5,
-                   max_rounds: int = 50) -> DataFrame:
+def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN. Core = at least ``min_samples`` rows (itself included) within eps; clusters
-    are connected components of core rows (minimum-id label propagation, checkpointed each
-    round); a border row joins the smallest adjacent core label; the rest is noise (-1).
+    are connected components of core rows (minimum-id labels with pointer jumping, checkpointed
+    each round, until none changes); a border row joins the smallest adjacent core label; the rest is noise (-1).
     Cluster ids are the minimum member id of each component (not renumbered)."""
     checkpoint_dir(df.sparkSession)
     x = _vec_col(df.select(F.col(id_col).cast("long").alias("__id"), *([features] if isinstance(features, str)
@@ -101,10 +100,14 @@ def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_s
     cnt = _eps_counts(x, eps)
     pts = x.join(cnt, "__id").withColumn("core", F.col("cnt") >= min_samples).checkpoint(eager=True)
     labels = pts.where("core").select("__id", "__x", F.col("__id").alias("label")).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # until no label changes
         m = _min_core_label(labels.select("__id", "__x"), labels, eps)
-        new = (labels.join(m, "__id", "left").withColumn("nl", F.least("label", F.coalesce("m", "label")))
-               .select("__id", "__x", F.col("nl").alias("label"), (F.col("nl") != F.col("label")).alias("chg"))
+        near = labels.join(m, "__id", "left").select("__id", "__x", "label", F.least("label", F.coalesce("m", "label")).alias("to"))
+        # a label is the id of a core row of the same component: jump to that row's label, so the
+        # rounds grow with the logarithm of a chain's length
+        jump = near.select(F.col("__id").alias("to"), F.col("to").alias("far"))
+        new = (near.join(jump, "to", "left")
+               .select("__id", "__x", F.least("to", F.coalesce("far", "to")).alias("label"), (F.col("to") != F.col("label")).alias("chg"))
                .checkpoint(eager=True))
         changed = new.where("chg").limit(1).count()
         labels = new.drop("chg")
@@ -161,29 +164,32 @@ def silhouette(df: DataFrame, id_col: str, features, cluster_col: str = "cluster
     return ab.agg(F.avg(sil)).first()[0]
 
 
-def cluster_kmodes(df: DataFrame, cols: list[str], k: int, id_col: str, max_iter: int = 10, seed: int = 42) -> DataFrame:
+def cluster_kmodes(df: DataFrame, cols: list[str], k: int, id_col: str, seed: int = 42) -> DataFrame:
     """K-modes for categorical columns: assign rows to the mode with fewest mismatches
-    (modes are k x d values, shipped as literals), recompute each cluster's per-column mode
-    by grouped counts, repeat until stable. Initial modes: k distinct rows by seeded hash."""
-    checkpoint_dir(df.sparkSession)
+    (modes are k x d values, shipped as literals), recompute every cluster's modes of all columns in
+    one grouped count, and repeat until the modes are ones that were seen before (a fixed point,
+    or the first of a cycle between ties). Initial modes: k distinct rows by seeded hash."""
     init = (df.select(*cols).distinct().withColumn("__h", F.xxhash64(F.lit(seed), *cols))
             .orderBy("__h").limit(k).collect())
-    modes = [[r[c] for c in cols] for r in init]
-    cur = df
-    for _ in range(max_iter):
+    modes, seen = [[r[c] for c in cols] for r in init], []
+
+    def assigned() -> DataFrame:
         dist = [sum((F.coalesce(F.col(c) != F.lit(m[i]), F.lit(True))).cast("int") for i, c in enumerate(cols))
                 for m in modes]
-        best = F.array_min(F.array(*[F.struct(dist[j].alias("d"), F.lit(j).alias("j")) for j in range(len(modes))]))
-        cur = df.withColumn("cluster", best["j"]).checkpoint(eager=True)
-        new = []
-        for j in range(len(modes)):
-            new.append(list(modes[j]))
-        for i, c in enumerate(cols):
-            vc = (cur.where(F.col(c).isNotNull()).groupBy("cluster", c).count()
-                  .groupBy("cluster").agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias("m")).collect())
-            for r in vc:
-                new[r["cluster"]][i] = r["m"]
-        if new == modes:
-            break
-        modes = new
-    return cur
+        best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(dist)]))
+        return df.withColumn("cluster", best["j"])
+
+    while modes and modes not in seen:
+        seen.append(modes)
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
+        counts = assigned().select("cluster", cells.alias("c")).where("c.v IS NOT NULL").groupBy("cluster", "c.i", "c.v").count()
+        best = counts.groupBy("cluster", "i").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("m")).collect()
+        modes = [list(m) for m in modes]
+        kinds = {i: df.schema[c].dataType for i, c in enumerate(cols)}
+        for r in best:  # k x d values
+            modes[r["cluster"]][r["i"]] = r["m"] if kinds[r["i"]].typeName() == "string" else _typed(df, r["m"], kinds[r["i"]])
+    return assigned() if modes else df.withColumn("cluster", F.lit(None).cast("int"))
+
+
+def _typed(df: DataFrame, text: str, kind):
+    return df.sparkSession.range(1).select(F.lit(text).cast(kind)).first()[0]

@@ -4,13 +4,16 @@ Attributions are a long frame (row_id, feature, value, attribution).
 
 Shapley values (X2/X3) expand each explained row into coalitions x
 background rows. Both factors are bounded and checked: the background is
-a seeded sample of at most ``max_background`` rows (100 by default), the
-coalitions are all 2^M subsets for M <= 10 features (exact Shapley values)
-or a seeded sample of 2M + 2048 subsets solved by the Kernel SHAP weighted
-least squares. The background values travel as literal arrays (bounded),
+a seeded sample of at most ``max_background`` rows (100 by default, as in the
+reference), the coalitions are all 2^M subsets (``method="exact"``) or a seeded
+sample of 2M + 2048 subsets solved by the Kernel SHAP weighted least squares
+(``method="sampled"``); the caller chooses, the number of features does not. The background values travel as literal arrays (bounded),
 so the expansion is an ``explode`` - no join - and its size is linear in
 the explained rows. One ``model.transform`` scores the whole expansion;
 per-row solves run in ``applyInPandas`` over that row's coalitions.
+Tree models have their own path (``shap_tree``): closed Shapley values of every
+leaf's product game, weighted by the training rows' covers, in one pass over the
+explained rows - no coalitions, no background sample.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_MAX_FEATURES = 10
+EXACT_MAX_FEATURES = 16  # 2^16 coalitions a row; beyond it "exact" is refused
 
 
 def _pred_col(pred: DataFrame, positive_class: int | None) -> F.Column:
@@ -33,9 +36,15 @@ def _pred_col(pred: DataFrame, positive_class: int | None) -> F.Column:
     return F.col("prediction").cast("double")
 
 
-def _masks(M: int, seed: int) -> tuple[list[int], bool]:
-    if M <= EXACT_MAX_FEATURES:
+def _masks(M: int, seed: int, method: str = "exact") -> tuple[list[int], bool]:
+    if method == "exact":
+        if M > EXACT_MAX_FEATURES:
+            raise ValueError(f"{M} features: ask for method='sampled'")
         return list(range(1 << M)), True
+    if method != "sampled":
+        raise ValueError("method is 'exact' or 'sampled'")
+    if M < 2 or (1 << M) <= 2 * M + 2048:
+        return list(range(1 << M)), True  # the sample would hold every subset
     rng = np.random.default_rng(seed)
     n = 2 * M + 2048
     sizes = np.arange(1, M)
@@ -50,11 +59,11 @@ def _masks(M: int, seed: int) -> tuple[list[int], bool]:
 
 
 def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                        max_background: int = 100, seed: int = 42) -> DataFrame:
+                        max_background: int = 100, seed: int = 42, method: str = "exact") -> DataFrame:
     """Every explained row x every coalition x every background row, as model inputs.
 
     Bounded factors: background <= ``max_background`` rows (seeded sample, shipped as literal
-    arrays), coalitions <= 2^10 (or 2M + 2048 sampled); produced by ``explode``, not a join."""
+    arrays), coalitions <= 2^16 (or 2M + 2048 sampled); produced by ``explode``, not a join."""
     from strata.operators.relational import seeded_sample
     M = len(features)
     bg_ids = [id_col] if id_col in background.columns else features
@@ -62,7 +71,7 @@ def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str,
                        max_background, bg_ids, seed).collect()
     if not bg:
         raise ValueError("empty background")
-    masks, _ = _masks(M, seed)
+    masks, _ = _masks(M, seed, method)
     bgv = {f: [float(r[f]) for r in bg] for f in features}
     ex = explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
     ex = ex.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask"))
@@ -76,14 +85,14 @@ def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str,
 
 
 def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                positive_class: int | None = 1, max_background: int = 100, seed: int = 42) -> DataFrame:
-    """X2 (and X3 for tree models): Shapley attributions against a background sample.
+                positive_class: int | None = 1, max_background: int = 100, seed: int = 42, method: str = "exact") -> DataFrame:
+    """Shapley attributions against a background sample.
 
     Returns (id, feature, value, attribution, base_value, prediction); per row the
     attributions add up to prediction - base_value (efficiency)."""
     M = len(features)
-    _, exact = _masks(M, seed)
-    expanded = coalition_expansion(explain, background, id_col, features, max_background, seed).drop("__b")
+    _, exact = _masks(M, seed, method)
+    expanded = coalition_expansion(explain, background, id_col, features, max_background, seed, method).drop("__b")
     pred = model.transform(expanded)
     v = pred.groupBy("__rid", "__mask").agg(F.avg(_pred_col(pred, positive_class)).alias("v"))
     rtype = dict(explain.dtypes)[id_col]
@@ -128,6 +137,117 @@ def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, f
         id_col, "feature", "value", "attribution", "base_value", "prediction")
 
 
+def _leaves(tree, weight: float, classes: int) -> list[tuple]:
+    """(values, {feature: (low, high, cover share)}) of every leaf; a row takes the left branch if
+    its value is at most the threshold."""
+    out = []
+
+    def count(node):
+        return float(node.impurityStats().count())
+
+    def walk(node, bounds):
+        if node.subtreeDepth() == 0:
+            if classes:
+                stats = np.array(list(node.impurityStats().stats()), dtype=float)
+                values = stats / max(stats.sum(), 1e-300)
+            else:
+                values = np.array([float(node.prediction())])
+            out.append((values * weight, bounds))
+            return
+        split = node.split()
+        if not hasattr(split, "threshold") or "Categorical" in split.getClass().getSimpleName():
+            raise ValueError("categorical splits are not supported")
+        f, at, n = int(split.featureIndex()), float(split.threshold()), count(node)
+        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
+            low, high, share = bounds.get(f, (-math.inf, math.inf, 1.0))
+            new = (low, min(high, at), share * count(child) / n) if left else (max(low, at), high, share * count(child) / n)
+            walk(child, {**bounds, f: new})
+
+    walk(tree._call_java("rootNode"), {})
+    return out
+
+
+def _leaf_table(shares: list[float]) -> np.ndarray:
+    """Shapley values of the game v(S) = prod_{S} o_i * prod_{not S} share_i, for each pattern of o in
+    {0, 1}: array (pattern, feature)."""
+    m = len(shares)
+    table = np.zeros((1 << m, m))
+    weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+    for pattern in range(1 << m):
+        o = [float(pattern >> i & 1) for i in range(m)]
+        for i in range(m):
+            poly = np.array([1.0])  # sums of products by the size of S among the others
+            for j in range(m):
+                if j != i:
+                    poly = np.convolve(poly, [shares[j], o[j]])
+            table[pattern, i] = (o[i] - shares[i]) * sum(w * c for w, c in zip(weight, poly))
+    return table
+
+
+def shap_tree(model, explain: DataFrame, id_col: str, features: list[str]) -> DataFrame:
+    """Exact path-dependent Shapley attributions of a tree ensemble, for every explained row.
+
+    Per leaf the features on its path play a product game (inside the leaf's interval, or the share
+    of training rows that go its way); its Shapley values are tabulated per pattern of satisfied
+    intervals, so a row costs one lookup per leaf. Returns (id, feature, value, attribution,
+    base_value, prediction) and, for classifiers, one set of rows per class with ``class``;
+    attributions add up to prediction - base_value."""
+    forest = model.stages[-1] if hasattr(model, "stages") else model
+    classes = int(getattr(forest, "numClasses", 0) or 0)
+    trees = list(getattr(forest, "trees", [forest]))
+    weights = list(forest.treeWeights) if hasattr(forest, "treeWeights") else [1.0]
+    if type(forest).__name__.startswith("GBT"):
+        if classes:
+            raise ValueError("boosted classifiers add margins, not probabilities")
+    else:
+        weights = [1.0 / len(trees)] * len(trees)
+    leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, float(w), classes)]
+    base = sum(v * math.prod(b[2] for b in bounds.values()) for v, bounds in leaves)
+    packed = [(v, [(f, lo, hi) for f, (lo, hi, _) in bounds.items()], _leaf_table([b[2] for b in bounds.values()])) for v, bounds in leaves]
+    shared = explain.sparkSession.sparkContext.broadcast((packed, base))  # as large as the model
+    M, C = len(features), max(classes, 1)
+
+    def run(frames):
+        leaves_, base_ = shared.value
+        for pdf in frames:
+            x = pdf[features].to_numpy(dtype=float)
+            phi, pred = np.zeros((len(x), C, M)), np.tile(base_, (len(x), 1))
+            for values, path, table in leaves_:
+                pattern = np.zeros(len(x), dtype=np.int64)
+                for i, (f, lo, hi) in enumerate(path):
+                    pattern |= ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << i
+                got = table[pattern]
+                for i, (f, _, _) in enumerate(path):
+                    phi[:, :, f] += got[:, i, None] * values
+            pred = base_ + phi.sum(axis=2)
+            n = len(x) * C * M
+            out = pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), C * M), "class": np.tile(np.repeat(np.arange(C), M), len(x)),
+                                "feature": np.tile(features, len(x) * C), "value": np.repeat(x, C, axis=0).reshape(n),
+                                "attribution": phi.reshape(n), "base_value": np.tile(np.repeat(base_, M), len(x)),
+                                "prediction": np.repeat(pred.reshape(-1), M)})
+            yield out
+
+    kind = dict(explain.dtypes)[id_col]
+    out = explain.select(id_col, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(
+        run, f"`{id_col}` {kind}, class int, feature string, value double, attribution double, base_value double, prediction double")
+    return out if classes else out.drop("class")
+
+
+def shap_linear_classes(coefficients: np.ndarray, explain: DataFrame, features: list[str], id_col: str) -> DataFrame:
+    """X1 for every class of a linear model at once: (id, class, feature, value, attribution), from one
+    aggregate of the means and one projection."""
+    x = F.array(*[F.col(f).cast("double") if isinstance(f, str) else f for f in features])
+    d = explain.select(id_col, x.alias("x"))
+    m = d.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(features))]).first()
+    cells = F.explode(F.flatten(F.array(*[F.transform("x", lambda v, i, k=k: F.struct(
+        F.lit(k).alias("class"), i.alias("i"), v.alias("value"),
+        (F.get(F.lit([float(c) for c in coefficients[k]]), i) * (v - F.get(F.lit([float(a) for a in m]), i))).alias("attribution")))
+        for k in range(len(coefficients))])))
+    names = F.lit([f if isinstance(f, str) else f"f{i}" for i, f in enumerate(features)])
+    return d.select(id_col, cells.alias("c")).select(id_col, F.col("c.class").alias("class"), F.get(names, F.col("c.i")).alias("feature"),
+                                                     F.col("c.value").alias("value"), F.col("c.attribution").alias("attribution"))
+
+
 def shap_linear(coefs: dict[str, float], explain: DataFrame, background: DataFrame, id_col: str) -> DataFrame:
     """coef_j * (x_j - mean of background x_j); background means from one aggregate."""
     feats = list(coefs)
@@ -240,16 +360,17 @@ def attribution_scatter_data(attr: DataFrame) -> DataFrame:
 
 def batch_explain(fn, batches: list[DataFrame]) -> tuple[DataFrame | None, DataFrame]:
     """Run ``fn(frame)`` per batch with its index; failures are isolated per batch.
-    Returns (union of attributions with batch_id, status table)."""
+    Returns (union of attributions with batch_id, status table). Each batch's attributions are
+    checkpointed: computed once, kept when executors are lost, and held by no cache."""
+    from strata.session import checkpoint_dir
     spark = batches[0].sparkSession
+    checkpoint_dir(spark)
     out, status = None, []
     for i, b in enumerate(batches):
         try:
-            r = fn(b).withColumn("batch_id", F.lit(i))
-            r = r.cache()
-            n = r.count()
+            r = fn(b).withColumn("batch_id", F.lit(i)).checkpoint()
             out = r if out is None else out.unionByName(r)
-            status.append((i, "success", n, None))
+            status.append((i, "success", r.count(), None))
         except Exception as e:  # noqa: BLE001
             status.append((i, "failed", 0, str(e)[:200]))
     return out, spark.createDataFrame(status, "batch_id int, status string, rows long, error string")

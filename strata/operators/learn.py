@@ -15,6 +15,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -153,23 +154,26 @@ def fit_logistic_regression(train: DataFrame, features: list[str], label: str, C
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), lr]).fit(train)
 
 
-def random_fourier_features(df: DataFrame, features: list[str], gamma: float, n_components: int = 100,
+def random_fourier_features(df: DataFrame, features: list[str] | str, gamma: float, n_components: int = 100,
                             seed: int = 42, out: str = "rff") -> DataFrame:
     """RBF-kernel features z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
 
-    W and b are drawn on the driver from the seed (size D x d, independent of rows) and
-    applied as a column expression."""
+    ``features``: columns, or one array column. W and b are drawn on the driver from the seed
+    (size D x d, independent of rows) and multiplied block by block of rows in Arrow batches."""
+    x = F.col(features) if isinstance(features, str) else F.array(*[F.col(c) for c in features])
+    one = df.withColumn("__rx", F.transform(x, lambda v: v.cast("double")))
+    d = len(features) if not isinstance(features, str) else (one.agg(F.max(F.size("__rx"))).first()[0] or 1)
     rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, len(features)))
+    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
-    s = math.sqrt(2.0 / n_components)
-    comps = []
-    for j in range(n_components):
-        lin = F.lit(float(b[j]))
-        for i, c in enumerate(features):
-            lin = lin + F.lit(float(W[j, i])) * F.col(c)
-        comps.append(F.lit(s) * F.cos(lin))
-    return df.withColumn(out, array_to_vector(F.array(*comps)))
+
+    @F.pandas_udf("array<double>")
+    def project(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(math.sqrt(2.0 / n_components) * np.cos(np.vstack(rows.to_numpy()) @ W.T + b)))
+
+    return one.withColumn(out, array_to_vector(project("__rx"))).drop("__rx")
 
 
 def svc_gamma(df: DataFrame, features: list[str], gamma) -> float:

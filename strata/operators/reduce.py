@@ -38,18 +38,17 @@ def gram(df: DataFrame, features, group_col: str | None = None) -> dict:
                 Xg = X[keys == g]
                 n, s, G = acc.get(g, (0, 0.0, 0.0))
                 acc[g] = (n + len(Xg), s + Xg.sum(axis=0), G + Xg.T @ Xg)
-        rows = [{"g": str(g), "n": int(n), "s": np.asarray(s).tolist(), "G": np.asarray(G).ravel().tolist()}
-                for g, (n, s, G) in acc.items()]
-        yield pd.DataFrame(rows, columns=["g", "n", "s", "G"])
+        for g, (n, sums, G) in acc.items():
+            flat = np.concatenate([[n], sums, G.ravel()])
+            yield pd.DataFrame({"g": str(g), "i": np.arange(len(flat)), "v": flat})
 
-    partials = x.mapInPandas(part, "g string, n long, s array<double>, G array<double>").collect()
+    # tasks' matrices are added by Spark: one matrix per group reaches the driver
+    total = x.mapInPandas(part, "g string, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).toArrow().to_pandas()
     out = {}
-    for r in partials:  # one row per (partition, group): bounded by partitions x groups x d^2
-        s = np.array(r["s"])
-        dd = len(s)
-        G = np.array(r["G"]).reshape(dd, dd)
-        n0, s0, G0 = out.get(r["g"], (0, 0.0, 0.0))
-        out[r["g"]] = (n0 + r["n"], s0 + s, G0 + G)
+    for g, cells in total.groupby("g"):
+        v = cells.sort_values("i")["v"].to_numpy()
+        d = int(round((-1 + np.sqrt(1 + 4 * (len(v) - 1))) / 2))
+        out[g] = (int(v[0]), v[1:1 + d], v[1 + d:].reshape(d, d))
     return out
 
 

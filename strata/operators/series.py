@@ -167,14 +167,16 @@ def trend_line(df: DataFrame, order_col: str, value_col: str, partition_cols=())
                     (F.col("intercept") + F.col("slope") * x).alias("fitted"))
 
 
-def acf(df: DataFrame, order_col: str, value_col: str, nlags: int | None = None, partition_cols=(),
-        max_lags: int = 40) -> DataFrame:
+def acf(df: DataFrame, order_col: str, value_col: str, nlags: int | None = None, partition_cols=()) -> DataFrame:
     """Sample autocorrelation r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2.
 
     Lags come from ``lag`` windows on the (bounded) series and the sums from one
-    grouped aggregate. ``nlags`` defaults to min(10 log10 n, n - 1) per series.
+    grouped aggregate. ``nlags`` defaults to min(10 log10 n, n - 1) per series; as many lags are
+    computed as the longest series gets (one small aggregate when ``nlags`` isn't given).
     """
     s = df.where(F.col(value_col).isNotNull())
+    longest = s.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    max_lags = max(0, min(longest - 1, int(10 * math.log10(max(longest, 1))) if nlags is None else nlags))
     w = _ow(order_col, partition_cols)
     m = F.avg(value_col).over(_pw(partition_cols))
     n = F.count(F.lit(1)).over(_pw(partition_cols))
@@ -197,7 +199,7 @@ def acf(df: DataFrame, order_col: str, value_col: str, nlags: int | None = None,
 def pacf(df: DataFrame, order_col: str, value_col: str, nlags: int | None = None, partition_cols=()) -> DataFrame:
     """Partial autocorrelation by Durbin-Levinson on the biased ACF (Yule-Walker MLE).
 
-    Runs per series in ``applyInPandas`` on that series' ACF rows (at most 41 rows)."""
+    Runs per series in ``applyInPandas`` on that series' ACF rows (one per lag)."""
     a = acf(df, order_col, value_col, nlags, partition_cols)
     keys = list(partition_cols)
 

@@ -223,5 +223,4 @@ def q_reduce_lda(spark, sf):
 
 @register("reduce_kernel_pca")
 def q_reduce_kernel_pca(spark, sf):
-    e = _emb(spark, sf).select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return rnd(RD.reduce_kernel_pca(e, [f"e{i}" for i in range(8)], 3, gamma=0.5), 6)
+    return rnd(RD.reduce_kernel_pca(_emb(spark, sf).select("vec_id", "embedding"), "embedding", 3, gamma=0.5).drop("embedding"), 6)

@@ -67,7 +67,7 @@ def q_impute_auto_choice_subset(spark, sf):
 @register("impute_iterative")
 def q_impute_iterative(spark, sf):
     d = T.lineitem_nulls(spark, sf).select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return PR.impute_iterative(d, cols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], max_iter=3)
+    return PR.impute_iterative(d, cols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 @register("missing_indicator", _with(T.SQL_LINEITEM_NULLS) + """

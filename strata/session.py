@@ -30,18 +30,35 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "st
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster-wide checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared filesystem; only when it is unset (local
-    tests) do we create a scratch folder and register it.
+    A cluster sets it to a shared file system; without it only a local session (tests, bench) gets
+    a scratch folder, as executors on other machines could not read one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="strata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions whose workers don't have it installed."""
+    import zipfile
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="strata-package-"), "strata.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(target)

@@ -14,6 +14,7 @@ import os
 import uuid
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,21 +167,20 @@ def stream_rolling_anomaly(events: DataFrame, window_size: int = 5, threshold: f
     ktype = dict(src.dtypes)[key]
 
     def fn(k, pdfs, state):
-        hist = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            hist = (hist + [float(r.value)])[-window_size:]
-            if len(hist) == window_size:
-                s = pd.Series(hist)
-                m, sd = float(s.mean()), float(s.std())
-                z = abs(r.value - m) / sd if sd != 0 else 0.0
-                out.append((k[0], r.event_id, r.ts, float(r.value), m, sd, z, z > threshold))
-            else:
-                out.append((k[0], r.event_id, r.ts, float(r.value), None, None, None, None))
-        state.update((hist,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "ts", "value", "rolling_mean", "rolling_std", "z_score",
-                                         "is_anomaly"])
+        hist = np.array(list(state.get[0]) if state.exists else [], dtype=float)
+        every = np.concatenate([hist, rows["value"].to_numpy(dtype=float)])
+        out = rows[["event_id", "ts"]].assign(**{key: k[0]}, value=every[len(hist):])
+        mean, sd, z = (np.full(len(rows), np.nan) for _ in range(3))
+        if len(every) >= window_size:  # one window per row that has a full one
+            w = np.lib.stride_tricks.sliding_window_view(every, window_size)[-len(rows):]
+            m, s = w.mean(axis=1), w.std(axis=1, ddof=1)
+            mean[-len(w):], sd[-len(w):] = m, s
+            z[-len(w):] = np.where(s != 0, np.abs(w[:, -1] - m) / np.where(s != 0, s, 1.0), 0.0)
+        full = ~np.isnan(mean)
+        out = out.assign(rolling_mean=mean, rolling_std=sd, z_score=z, is_anomaly=pd.array(np.where(full, z > threshold, None), dtype="boolean"))
+        state.update((every[-window_size:].tolist(),))
+        yield out[[key, "event_id", "ts", "value", "rolling_mean", "rolling_std", "z_score", "is_anomaly"]]
 
     schema = (f"{key} {ktype}, event_id long, ts timestamp, value double, rolling_mean double, rolling_std double, "
               "z_score double, is_anomaly boolean")
