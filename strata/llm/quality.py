@@ -30,6 +30,7 @@ LEAST_CHARS = 200
 LEAST_WORDS = 50
 MOST_CHAR_DISTANCE = 0.27
 MOST_WORD_DISTANCE = 0.45
+MOST_BROADCAST = 10_000  # languages: each is one row of a few words and counts
 
 
 def words(text: Column) -> Column:
@@ -54,9 +55,9 @@ def with_repeats(df: DataFrame) -> DataFrame:
     hashed = hashed.withColumn("h5", F.coalesce(window, F.array().cast("array<bigint>")))
     twice = F.size(F.array_distinct("h5")) < F.size("h5")
     # only texts with an equal pair of windows sort them
-    ranked = hashed.withColumn("ranked", F.when(twice, F.array_sort(F.transform("h5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    ranked = hashed.withColumn("ranked", F.when(twice, F.sort_array(F.transform("h5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = F.filter("ranked", lambda e, j: (F.get("ranked", j - 1)["h"].eqNullSafe(e["h"])) | (F.get("ranked", j + 1)["h"].eqNullSafe(e["h"])))
-    placed = ranked.withColumn("at", F.array_sort(F.transform(same, lambda e: e["i"])))
+    placed = ranked.withColumn("at", F.sort_array(F.transform(same, lambda e: e["i"])))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("at", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).cast("long").alias("n"), p.alias("last")), lambda a: a["n"])
     return placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("hw", "h5", "ranked", "at")
@@ -72,15 +73,21 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(sum_of / 2, F.lit(0.0)))
 
 
+def _small(by_lang: DataFrame) -> DataFrame:
+    """A checkpoint of a table with one row per language, for broadcast if they are few enough."""
+    by_lang = by_lang.checkpoint()
+    return F.broadcast(by_lang) if by_lang.count() <= MOST_BROADCAST else by_lang
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: int, tracked: int) -> DataFrame:
     """Per document: id, language, base counts and the two histograms."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
     word = F.explode(words(F.col("text"))).alias("w")
     top = base.select("lang", word).groupBy("lang").agg(F.expr(f"transform(approx_top_k(w, {common}, {tracked}), x -> x.item)").alias("top"))
-    d = base.withColumn("ws", words(F.col("text"))).join(top, "lang", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
+    d = base.withColumn("ws", words(F.col("text"))).join(_small(top), "lang", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
     blank = F.length("text") - F.length(F.array_join("ws", ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^ \t\n\x0B\f\r]")))
     d = with_repeats(d).withColumn("lines", lines).withColumn("kept_words", F.filter("ws", lambda w: F.array_contains("top", w)))
     d = d.select("id", "lang", "top", "kept_words", "text_hash", F.size("ws").cast("long").alias("n_words"), "n_repeat_words",
                  F.length("text").cast("long").alias("n_chars"), blank.cast("long").alias("n_blank"),
@@ -89,7 +96,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common:
                  _removed(F.col("text"), r"\p{L}+").cast("long").alias("letters"),
                  _removed(F.col("text"), r"\p{Lu}+").cast("long").alias("capitals"),
                  _removed(F.col("text"), r"\p{Nd}+").cast("long").alias("digits"))
-    counts = F.transform("top", lambda c: F.size(F.filter("kept_words", lambda w: w == c)).cast("long"))
+    counts = F.transform("top", lambda c: (F.size("kept_words") - F.size(F.array_remove("kept_words", c))).cast("long"))
     rest = F.col("n_chars") - F.col("letters") - F.col("digits") - F.col("n_blank") - F.col("n_symbols")
     classes = F.array(F.col("letters") - F.col("capitals"), F.col("capitals"), F.col("digits"), F.col("n_blank"), F.col("n_symbols"), rest)
     return d.select("id", "lang", "n_words", (F.col("n_chars") - F.col("n_blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -106,7 +113,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # languages may have fewer common words than asked for: the missing bins are null sums
     reference = d.groupBy("lang").agg(sums("classes", 6), sums("common", common + 1)).withColumn(
         "all_common", F.filter("all_common", lambda x: x.isNotNull()))
-    d = d.join(reference, "lang", "left")
+    d = d.join(_small(reference), "lang", "left")
     d = d.withColumn("char_js", distance(F.col("classes"), F.col("all_classes"))).withColumn("word_js", distance(F.col("common"), F.col("all_common")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     odd = ((F.col("n_chars") >= least_chars) & (F.col("char_js") > char_distance)) | ((F.col("n_words") >= least_words) & (F.col("word_js") > word_distance))
