@@ -239,10 +239,14 @@ def shap_linear_classes(coefficients: np.ndarray, explain: DataFrame, features:
     x = F.array(*[F.col(f).cast("double") if isinstance(f, str) else f for f in features])
     d = explain.select(id_col, x.alias("x"))
     m = d.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(features))]).first()
-    cells = F.explode(F.flatten(F.array(*[F.transform("x", lambda v, i, k=k: F.struct(
-        F.lit(k).alias("class"), i.alias("i"), v.alias("value"),
-        (F.get(F.lit([float(c) for c in coefficients[k]]), i) * (v - F.get(F.lit([float(a) for a in m]), i))).alias("attribution")))
-        for k in range(len(coefficients))])))
+    means = F.lit([float(a) for a in m])
+
+    def cells_of(k: int):
+        weights = F.lit([float(c) for c in coefficients[k]])
+        return F.transform("x", lambda v, i: F.struct(F.lit(k).alias("class"), i.alias("i"), v.alias("value"),
+                                                     (F.get(weights, i) * (v - F.get(means, i))).alias("attribution")))
+
+    cells = F.explode(F.flatten(F.array(*[cells_of(k) for k in range(len(coefficients))])))
     names = F.lit([f if isinstance(f, str) else f"f{i}" for i, f in enumerate(features)])
     return d.select(id_col, cells.alias("c")).select(id_col, F.col("c.class").alias("class"), F.get(names, F.col("c.i")).alias("feature"),
                                                      F.col("c.value").alias("value"), F.col("c.attribution").alias("attribution"))

@@ -190,8 +190,20 @@ def q_cluster_dbscan(spark, sf):
                              min_samples=r["recommended_min_samples"]).select("vec_id", "label", "core", "cluster")
 
 
-@register("silhouette")
+@register("silhouette", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.x, b.x)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+s AS (SELECT e.vec_id, max(CASE WHEN other = e.label THEN d END) AS a, min(CASE WHEN other <> e.label THEN d END) AS b
+  FROM e LEFT JOIN p ON p.vec_id = e.vec_id GROUP BY 1)
+SELECT count(*) AS rows, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
 def q_silhouette(spark, sf):
+    e = _emb(spark, sf).withColumn("cluster", F.col("label"))
+    s = CL.silhouette(e, "vec_id", "embedding")
+    return e.agg(F.count("*").alias("rows")).withColumn("silhouette", F.round(F.lit(float(s)), 6))
+
+
+@register("silhouette_kmeans")
+def q_silhouette_kmeans(spark, sf):
     k = CL.cluster_kmeans(_emb(spark, sf), "embedding", 10)
     s = CL.silhouette(k, "vec_id", "embedding")
     return spark.createDataFrame([(10, float(s))], "k int, silhouette double")

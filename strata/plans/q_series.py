@@ -98,26 +98,38 @@ def q_trend_line(spark, sf):
     return rnd(SE.trend_line(T.daily_events(spark, sf), "ds", "value", ("event_type",)), 6)
 
 
-@register("acf", _with(T.SQL_DAILY_EVENTS) + """,
+ACF_CTES = """,
 d AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ds) AS rn,
              value - AVG(value) OVER (PARTITION BY event_type) AS d,
              COUNT(*) OVER (PARTITION BY event_type) AS n FROM daily_events),
 k AS (SELECT UNNEST(range(0, 41)) AS lag),
 c AS (SELECT d.event_type, k.lag, SUM(d.d * l.d) AS ck FROM d
       JOIN (SELECT event_type, rn, d FROM d) l ON l.event_type = d.event_type
-      JOIN k ON l.rn = d.rn - k.lag GROUP BY 1, 2)
-SELECT c.event_type, CAST(c.lag AS INTEGER) AS lag, round(c.ck / c0.ck, 6) AS acf
+      JOIN k ON l.rn = d.rn - k.lag GROUP BY 1, 2),
+acf AS (SELECT c.event_type, CAST(c.lag AS INTEGER) AS lag, c.ck / c0.ck AS acf
 FROM c JOIN c AS c0 ON c0.event_type = c.event_type AND c0.lag = 0
 JOIN (SELECT DISTINCT event_type, n FROM d) nn ON nn.event_type = c.event_type
-WHERE c.lag <= least(floor(10 * log10(nn.n)), nn.n - 1)""")
+WHERE c.lag <= least(floor(10 * log10(nn.n)), nn.n - 1))
+"""
+
+
+@register("acf", _with(T.SQL_DAILY_EVENTS) + ACF_CTES + "SELECT event_type, lag, round(acf, 6) AS acf FROM acf")
 def q_acf(spark, sf):
     a = SE.acf(T.daily_events(spark, sf), "ds", "value", partition_cols=("event_type",))
     return rnd(a, 6)
 
 
-@register("pacf")
+@register("pacf", _with(T.SQL_DAILY_EVENTS).replace("WITH", "WITH RECURSIVE", 1) + ACF_CTES + """,
+r AS (SELECT event_type, list(acf ORDER BY lag) AS r FROM acf GROUP BY event_type),
+dl AS (
+  SELECT event_type, r, 1 AS k, [r[2]] AS phi, 1 - r[2] * r[2] AS v, r[2] AS pk FROM r
+  UNION ALL
+  SELECT event_type, r, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - np * phi[k + 1 - j]), [np]), v * (1 - np * np), np
+  FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / v AS np FROM dl) WHERE k + 2 <= len(r))
+SELECT event_type, CAST(0 AS INTEGER) AS lag, 1.0 AS pacf FROM r
+UNION ALL SELECT event_type, CAST(k AS INTEGER), round(pk, 6) FROM dl""")
 def q_pacf(spark, sf):
-    return SE.pacf(T.daily_events(spark, sf), "ds", "value", partition_cols=("event_type",))
+    return rnd(SE.pacf(T.daily_events(spark, sf), "ds", "value", partition_cols=("event_type",)), 6)
 
 
 @register("dominant_cycle", _with(T.SQL_DAILY_EVENTS) + """,

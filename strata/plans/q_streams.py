@@ -19,9 +19,22 @@ def q_stream_activity_counts(spark, sf):
     return ST.run_to_table(ST.stream_activity_counts(ST.table_stream(spark, sf, "events")), "activity_counts")
 
 
-@register("stream_lockout")
+@register("stream_lockout", """
+WITH RECURSIVE att AS (SELECT user_id AS username, ts, event_id, event_type = 'purchase' AS success,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'purchase')),
+st AS (
+  SELECT username, 0 AS rn, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome,
+    CAST(0 AS BIGINT) AS failed, CAST(NULL AS TIMESTAMP) AS locked FROM att WHERE rn = 1
+  UNION ALL
+  SELECT a.username, a.rn, a.ts, a.event_id,
+    CASE WHEN s.locked > a.ts THEN 'refused_locked' WHEN a.success THEN 'success' WHEN s.failed >= 5 THEN 'failure_locked' ELSE 'failure' END,
+    CASE WHEN s.locked > a.ts THEN s.failed WHEN a.success THEN 0 ELSE s.failed + 1 END,
+    CASE WHEN s.locked > a.ts THEN s.locked WHEN a.success THEN NULL WHEN s.failed >= 5 THEN a.ts + INTERVAL 15 MINUTE ELSE s.locked END
+  FROM st s JOIN att a ON a.username = s.username AND a.rn = s.rn + 1)
+SELECT username, ts, event_id, outcome, failed AS failed_attempts, locked AS locked_until FROM st WHERE rn > 0""")
 def q_stream_lockout(spark, sf):
-    return ST.run_to_table(ST.stream_lockout(ST.table_stream(spark, sf, "events")), "lockout")
+    out = ST.run_to_table(ST.stream_lockout(ST.table_stream(spark, sf, "events")), "lockout")
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
 @register("stream_rolling_anomaly", """

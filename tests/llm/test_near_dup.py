@@ -81,3 +81,20 @@ def test_signature_agrees_with_similarity():
 def test_one_value_sets_fill_all_bins():
     s = near_dup.signatures([np.array([5], np.uint64), np.array([2**64 - 9], np.uint64)], 128)
     assert (s[0] == 5).all() and (s[1] == 2**64 - 9).all()
+
+
+def test_sketch_keeps_all_near_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for n in (4, 8, 30, 140, 500, 3000):
+        for shared in (0.3, 0.5, 0.858, 0.9):  # similarity s / (2 - s)
+            for _ in range(12):
+                pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2))
+                m = -int(-n * shared // 1)
+                x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:m], pool[n:2 * n - m]]))
+                s = near_dup.sketches([x, y]).view(np.int64)
+                rows.append((s[0].tolist(), s[1].tolist()))
+                want.append(m / (2 * n - m))
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.sketch_near("a", "b", 60)).collect()]
+    assert all(g for g, j in zip(got, want) if j >= 0.75)
+    assert np.mean([g for g, j in zip(got, want) if j < 0.4]) < 0.05
