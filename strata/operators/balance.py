@@ -28,7 +28,7 @@ def _class_ranks(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame
     h = df.withColumn("__h", seeded_hash(F.col(id_col), seed))
     pos = prefix_count(h, [label, "__h", id_col], out="__pos")
     start = pos.groupBy(label).agg(F.min("__pos").alias("__start"))
-    return pos.join(F.broadcast(start), label).withColumn("__rank", F.col("__pos") - F.col("__start")).drop(
+    return pos.join(start, label).withColumn("__rank", F.col("__pos") - F.col("__start")).drop(
         "__pos", "__start", "__h")
 
 

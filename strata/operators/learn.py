@@ -19,9 +19,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
-                                   MulticlassClassificationEvaluator,
-                                   RegressionEvaluator)
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -85,10 +83,6 @@ def get_preset_params(model_type: str, preset_name: str = "Default") -> dict:
     return PARAMETER_PRESETS.get(model_type, {}).get(preset_name, {})
 
 
-def get_available_presets(model_type: str) -> list[str]:
-    return list(PARAMETER_PRESETS.get(model_type, {}))
-
-
 def assemble_features(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     """Numeric columns -> one ML vector column (nulls kept as NaN would fail: callers fill first)."""
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
@@ -105,7 +99,7 @@ def train_test_split(df: DataFrame, id_col: str, label: str | None = None, test_
         u = seeded_hash(F.col(id_col), seed, 5) % 1000000 / 1000000.0
         return df.withColumn("split", F.when(u < test_fraction, "test").otherwise("train"))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = _class_ranks(df, label, id_col, seed).join(F.broadcast(counts), label)
+    ranked = _class_ranks(df, label, id_col, seed).join(counts, label)
     keep = F.floor(F.col("__n") * (1 - test_fraction))
     return ranked.select(*df.columns, F.when(F.col("__rank") < keep, "train").otherwise("test").alias("split"))
 
@@ -137,7 +131,7 @@ def _balanced_weights(df: DataFrame, label: str, out: str = "__w") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     k = counts.count()
     n = df.count()
-    return df.join(F.broadcast(counts), label).withColumn(out, F.lit(n) / (F.lit(k) * F.col("__c"))).drop("__c")
+    return df.join(counts, label).withColumn(out, F.lit(n) / (F.lit(k) * F.col("__c"))).drop("__c")
 
 
 def fit_logistic_regression(train: DataFrame, features: list[str], label: str, C: float = 1.0,
@@ -381,20 +375,3 @@ def save_pipeline(model: PipelineModel, path: str) -> None:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def positive_probability(pred: DataFrame, col: str = "probability", out: str = "p1") -> DataFrame:
-    """Probability of class 1 from an ML probability vector."""
-    return pred.withColumn(out, vector_to_array(F.col(col))[1])
-
-
-def classification_metrics(pred: DataFrame, label: str) -> dict:
-    acc = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(pred)
-    f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="f1").evaluate(pred)
-    out = {"accuracy": acc, "f1": f1}
-    if "rawPrediction" in pred.columns:
-        try:
-            out["auc"] = BinaryClassificationEvaluator(labelCol=label).evaluate(pred)
-        except Exception:  # noqa: BLE001 - multi-class raw predictions
-            pass
-    return out

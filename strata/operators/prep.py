@@ -79,13 +79,6 @@ def impute_simple(df: DataFrame, num=None, cat=None) -> DataFrame:
     return _apply(df, exprs)
 
 
-def imputation_info(df: DataFrame, num=None, cat=None) -> DataFrame:
-    """I1 report: (column, method, value as text)."""
-    info = fit_simple_imputer(df, num, cat)
-    rows = [(c, m, None if v is None else str(v)) for c, (m, v) in info.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, method string, value string")
-
-
 def choose_imputation_strategy(total_missing_pct: float) -> str:
     """I2 rule: <5 simple, <20 knn, <40 iterative, else model."""
     if total_missing_pct < 5:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,13 +76,6 @@ def reduce_pca(df: DataFrame, features, k: int) -> tuple[DataFrame, np.ndarray]:
     return _project(df, features, V, mu, "pc"), w[order] / w.sum()
 
 
-def reduce_pca_ml(df: DataFrame, features, k: int) -> DataFrame:
-    """R1 with Spark ML's PCA (uncentred projection, as Spark defines it)."""
-    v = _x(df, features).withColumn("__v", array_to_vector("__x"))
-    m = PCA(k=k, inputCol="__v", outputCol="__p").fit(v)
-    return m.transform(v).withColumn("pcs", vector_to_array("__p")).drop("__x", "__v", "__p")
-
-
 def reduce_truncated_svd(df: DataFrame, features, k: int) -> tuple[DataFrame, np.ndarray]:
     """R2: truncated SVD without centring: right singular vectors from X^T X, scores X V."""
     n, s, G = gram(df, features)["0"]

@@ -274,16 +274,6 @@ def sliding_windows(df: DataFrame, target: str, order_col, sequence_length: int
     return df.select("*", seq.alias("window")).where(F.size("window") == sequence_length)
 
 
-def keep_first_per_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Per duplicate key keep it on the lowest id; null it out on the rest.
-
-    Partitioned by the key itself; a hot key (a third of all rows) sorts inside one task,
-    so for heavy keys use ``keep_first_per_key_agg`` which needs only an aggregate + join.
-    """
-    w = Window.partitionBy(key).orderBy(id_col)
-    return df.withColumn(key, F.when(F.row_number().over(w) == 1, F.col(key)))
-
-
 def keep_first_per_key_agg(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """W13, skew-safe form: min id per key by partial aggregation, then an equi-join."""
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias("__first"))

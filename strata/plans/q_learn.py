@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -158,7 +158,7 @@ def q_impute_model(spark, sf):
 def q_save_pipeline(spark, sf):
     s = _split(spark, sf)
     m = L.fit_logistic_regression(s.where("split = 'train'"), FEATS, "label")
-    path = os.path.join(checkpoint_dir(spark), "models", "logreg")
+    path = f"{checkpoint_dir(spark)}/models/logreg-{uuid.uuid4().hex}"
     L.save_pipeline(m, path)
     return _pred_out(L.load_pipeline(path).transform(s.where("split = 'test'")))
 
