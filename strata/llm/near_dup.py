@@ -7,14 +7,15 @@ collapsed to one representative before any bucket is built.
 
 In each bucket one document, drawn by hash, is the centre of a star: one candidate pair per member,
 whatever the bucket's size. Pairs are confirmed on the full sets. A bucket whose members then lie
-in different components is not finished: following rounds draw 4, 32, 256, ... centres from it and
+in different components is not finished: following rounds draw 4, 256, 16384, ... centres from it and
 compare them with the members of other components, until each such pair was compared or lies in
 one component. So no link found by the bands is lost, and large groups of mutual copies finish
 in the first rounds.
 
 Pairs of the later rounds are compared by a sketch before any set is moved: 4 bits for each of
-256 parts of the hash space. Its estimate of the similarity has a standard deviation of at most
-0.027, and pairs more than 0.15 (5.5 deviations) below the threshold are left out.
+512 parts of the hash space. Pairs whose estimated similarity is more than 4.5 standard deviations
+(and two to three cells, which matter for small sets) below the threshold are left out; the deviation follows from the
+number of filled cells, and is at most 0.019.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; null ids
 link with nothing (component null, kept); rows with equal ids are one document that links if any
@@ -93,27 +94,35 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(total + mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+CELLS = 512
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """16 longs per set: for each of 256 parts of the hash space 4 bits of its smallest hash (1 to 15), or 0."""
+    """32 longs per set: for each of 512 parts of the hash space 4 bits of its smallest hash (1 to 15), or 0."""
     every = np.concatenate(sets)
-    place = np.repeat(np.arange(len(sets)) * 256, [len(s) for s in sets]) + (every >> np.uint64(56)).astype(np.int64)
+    place = np.repeat(np.arange(len(sets)) * CELLS, [len(s) for s in sets]) + (every >> np.uint64(55)).astype(np.int64)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    cells = np.zeros(len(sets) * 256, dtype=np.uint64)
+    cells = np.zeros(len(sets) * CELLS, dtype=np.uint64)
     cells[place[first]] = every[first] % np.uint64(15) + np.uint64(1)
-    return (cells.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).reshape(-1, 16)
+    return (cells.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).reshape(-1, CELLS // 16)
 
 
 def sketch_near(a: str, b: str, percent: int) -> Column:
-    """The sketches' estimate of the similarity is at least ``percent`` / 100."""
+    """The sketches allow a similarity of ``percent`` / 100 or more."""
 
     def filled(x: Column) -> Column:
         """Number of 4-bit cells that aren't 0."""
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    pairs = [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(16)]
-    differ, either = (sum((filled(x) for x in xs), F.lit(0)) for xs in ([x.bitwiseXOR(y) for x, y in pairs], [x.bitwiseOR(y) for x, y in pairs]))
-    return 100 * differ <= (100 - percent) * either
+    def cells(joined) -> Column:
+        return F.aggregate(F.zip_with(a, b, joined), F.lit(0), lambda n, x: n + filled(x))
+
+    differ, either = cells(lambda x, y: x.bitwiseXOR(y)), cells(lambda x, y: x.bitwiseOR(y))
+    p, filled_share = percent / 100, F.least(either / CELLS, F.lit(1 - 1e-9))
+    left_out = 1 + filled_share / F.ln(1 - filled_share)  # of the union's shingles: not the smallest of their cell
+    slack = 4.5 * F.sqrt(p * (1 - p) / F.greatest(either, F.lit(1)) * F.greatest(left_out, F.lit(0.0))) * either + F.least(F.lit(3.0), 2 + either / 100)
+    return differ <= (1 - p) * either + slack
 
 
 def _signed(docs: DataFrame, shingle: int, bins: int, rows: int) -> DataFrame:
@@ -226,12 +235,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
         if left.isEmpty():
             break
         draw = F.pmod(F.xxhash64("key", "rep"), F.lit(2**40)) / F.lit(float(2**40)) * F.col("size")
-        before, centres = centres, max(4, 8 * centres)
+        before, centres = centres, max(4, 64 * centres)
         finished = centres  # every member of such a bucket has then been a centre
         left = left.withColumn("draw", draw).where(F.col("draw") >= before).join(sketch, "rep")
         drawn = left.where(F.col("draw") < centres).select("key", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("sp"))
         rest = left.select("key", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("sq"))
-        near = (F.col("cp") != F.col("cq")) & sketch_near("sp", "sq", percent - 15)
+        near = (F.col("cp") != F.col("cq")) & sketch_near("sp", "sq", percent)
         pairs = drawn.withColumnRenamed("key", "k").join(rest, (F.col("k") == F.col("key")) & near)
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         labels = _merged(labels, confirm(pairs, sets, percent).checkpoint())

@@ -95,6 +95,6 @@ def test_sketch_keeps_all_near_pairs(spark):
                 s = near_dup.sketches([x, y]).view(np.int64)
                 rows.append((s[0].tolist(), s[1].tolist()))
                 want.append(m / (2 * n - m))
-    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.sketch_near("a", "b", 60)).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.sketch_near("a", "b", 75)).collect()]
     assert all(g for g, j in zip(got, want) if j >= 0.75)
     assert np.mean([g for g, j in zip(got, want) if j < 0.4]) < 0.05
