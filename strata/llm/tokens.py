@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from strata.llm.words import _BASE, _BYTE, _INV, _LOWER, SPACES, Words, mix, powers
 
-CACHE = 500_000
-SLICE = 4 << 20
+CACHE = 300_000
+SLICE = 2 << 20
 _WIDE_SPACES = "\x85\xa0                　"
 _COMMA_STOP = np.zeros(256, dtype=bool)
 _COMMA_STOP[[44, 46]] = True
