@@ -70,7 +70,7 @@ class Feistel:
 
 def _compressed(a: np.ndarray) -> bytes:
     import zstandard
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(a.tobytes())
 
 
 def _restored(b: bytes, dtype: str) -> np.ndarray:
@@ -78,7 +78,7 @@ def _restored(b: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
-def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int, dtype: str, text_col: str = "text", rows: int = 1024) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int, dtype: str, text_col: str = "text", rows: int = 4096) -> DataFrame:
     """(part, first, n, last, ids): runs of up to ``rows`` numbered sequences, ids compressed; ``last`` is
     the number of ids in the run's last sequence."""
 
