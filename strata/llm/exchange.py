@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strata.llm.words import slices
 from strata.session import checkpoint_dir
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BUCKET = 4 << 20  # bytes of text for each bucket of keys
 LAST = np.int64(2**63 - 1)  # stands for a null id: after every other document
 

@@ -1,6 +1,6 @@
 """Substring dedup over bytes by prefix-free parsing.
 
-A position is a trigger when the rolling hash of its 16 bytes is the smallest of the 50-byte window
+A position is a trigger when the rolling hash of its 20 bytes is the smallest of the 50-byte window
 around it; so, other than with a fixed modulus, every 50-byte string holds a trigger, and equal
 strings hold equal ones. Triggers cut a text into phrases: the runs of windows that share a
 trigger. A phrase overlaps the next one by 49 bytes (the prefix-free overlap, widened from the
@@ -8,11 +8,13 @@ trigger's bytes to the length of interest), so the first 50 bytes of every suffi
 in one phrase.
 
 1. Parse: triggers that occur in two documents stay; the rest of the corpus needs no order.
-2. Dictionary: distinct phrases with their first document. Where all phrases of a trigger are
-   equal, all their suffixes are ordered by the phrase alone: its first document decides.
+2. Dictionary: distinct phrases with their first document. A phrase that an earlier document holds
+   goes as a whole. Where all phrases of a trigger are equal, all their suffixes are ordered by the
+   phrase alone, and nothing more is to be done.
 3. Other triggers have several phrases (edges of repeated passages): the suffixes of those
-   dictionary phrases are sorted to a depth of 50 bytes and each class of equal prefixes takes its
-   first document.
+   dictionary phrases, each from its first document only, are sorted to a depth of 50 bytes and
+   each class of equal prefixes takes its first document. A round of 32-bit keys first leaves out
+   suffixes whose first bytes occur in one document only.
 
 Combining 2 and 3 along each document's parse marks every position whose 50 bytes start in an
 earlier document. Only classes of equal 50-byte prefixes matter here, so suffixes are sorted by
@@ -34,7 +36,8 @@ from pyspark.sql import DataFrame
 from strata.llm import exchange as X
 from strata.llm.words import _BASE, _BYTE, _INV, covered, distinct, mix, powers, slices, string_bytes
 
-TRIGGER = 16
+TRIGGER = 20
+MOST_PHRASES = 16
 _ENTRY = np.dtype([("check", "<u8"), ("doc", "<i8")])
 
 
@@ -116,22 +119,55 @@ class _Parse:
 
 
 class _Shared:
-    """Phrases whose trigger occurs in two documents."""
+    """Phrases whose trigger occurs in two documents, as distinct (trigger, phrase) pairs with their first
+    document in the chunk. A trigger with more than ``MOST_PHRASES`` phrases in the chunk is one pair
+    with phrase 0: it surely has several phrases, and no task has to gather them all."""
 
     def __init__(self, table, length, answers, buckets):
         self.parse = p = _Parse(table, length)
         known, _, _, back, two = X.first_of(p.trigger, p.doc)
-        self.which = np.flatnonzero((X.bits_of(known, answers[0], buckets) | two)[back])
-        self.doc = p.doc[self.which]
-        self.known, _, self.low, self.back, _ = X.first_of(p.trigger[self.which], self.doc)
-        self.phrase = X.one_value(self.back, len(self.known), p.phrase_hash(self.which, length))
+        self.which = which = np.flatnonzero((X.bits_of(known, answers[0], buckets) | two)[back])
+        self.doc = p.doc[which]
+        trigger, phrase = p.trigger[which], p.phrase_hash(which, length)
+        order = np.lexsort((phrase, trigger))
+        t, h = trigger[order], phrase[order]
+        fresh = np.ones(len(t), dtype=bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+        group = np.ones(len(t), dtype=bool)
+        group[1:] = t[1:] != t[:-1]
+        of_group = np.cumsum(group) - 1
+        crowded = (np.bincount(of_group, weights=fresh) > MOST_PHRASES)[of_group] if len(t) else group
+        fresh &= ~crowded | group
+        self.pair = np.empty(len(t), dtype=np.int64)
+        self.pair[order] = np.cumsum(fresh) - 1
+        self.trigger, self.phrase = t[fresh], np.where(crowded, np.uint64(0), h)[fresh]
+        self.low = np.full(len(self.trigger), X.LAST)
+        np.minimum.at(self.low, self.pair, self.doc)
 
     def split(self, answer, buckets):
-        """(phrases that a smaller document has as the only phrase of their trigger, phrases whose suffixes must be sorted)."""
-        alone, earlier = X.bits_of(self.known, answer, buckets, width=2)
-        alone = alone & (self.phrase != 0)
-        gone = alone[self.back] & (earlier[self.back] | (self.doc > self.low[self.back]))
-        return self.which[gone], self.which[~alone[self.back]]
+        """(phrases that also are in an earlier document, phrases whose suffixes must be sorted)."""
+        alone, earlier = X.bits_of(self.trigger, answer, buckets, width=2)
+        single = self.phrase != 0
+        # a trigger with several phrases in this chunk alone isn't alone
+        alone &= single
+        gone = (single[self.pair] & (earlier[self.pair] | (self.doc > self.low[self.pair])))
+        return self.which[gone], self.which[~gone & ~alone[self.pair]]
+
+
+class _Suffixes:
+    """The suffixes of a chunk that must be sorted; with the third round's answers only those whose first
+    bytes occur in two documents."""
+
+    def __init__(self, shared: _Shared, length: int, answers, buckets):
+        self.gone, which = shared.split(answers[1], buckets)
+        p = shared.parse
+        of, self.start, self.key = p.suffixes(which, length)
+        self.slice, self.doc, self.trigger = p.slice[which][of], p.doc[which][of], p.trigger[which][of]
+        self.known, self.at, self.low, self.back, two = X.first_of(self.key, self.doc)
+        if len(answers) > 2:
+            keep = (X.bits_of(self.known, answers[2], buckets) | two)[self.back]
+            self.start, self.key, self.slice, self.doc, self.trigger = (x[keep] for x in (self.start, self.key, self.slice, self.doc, self.trigger))
+            self.known, self.at, self.low, self.back, _ = X.first_of(self.key, self.doc)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
@@ -148,25 +184,25 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def phrases(table, answers):
         s = _Shared(table, length, answers, buckets)
-        values = np.empty(len(s.known), _ENTRY)
+        values = np.empty(len(s.trigger), _ENTRY)
         values["check"], values["doc"] = s.phrase, s.low
-        return s.known, values
+        return s.trigger, values
 
     def dictionary(keys, values):
         k, v = np.concatenate(keys), np.concatenate(values)
         alone = X.uniform(k, v["check"])
-        earlier = X.smaller(k, np.zeros(len(k), np.uint64), v["doc"])
+        earlier = X.smaller(k, v["check"], v["doc"])
         cut = np.cumsum([len(x) for x in keys])[:-1]
         return [np.concatenate(x) for x in zip(np.split(alone, cut), np.split(earlier, cut), strict=True)]
 
+    def candidates(table, answers):
+        return _Suffixes(_Shared(table, length, answers, buckets), length, answers, buckets).known, None
+
     def suffixes(table, answers):
-        s = _Shared(table, length, answers, buckets)
-        _, which = s.split(answers[1], buckets)
-        of, _, key = s.parse.suffixes(which, length)
-        known, at, low, _, _ = X.first_of(key, s.parse.doc[which][of])
-        values = np.empty(len(known), _ENTRY)
-        values["check"], values["doc"] = s.parse.trigger[which][of][at], low
-        return known, values
+        x = _Suffixes(_Shared(table, length, answers, buckets), length, answers, buckets)
+        values = np.empty(len(x.known), _ENTRY)
+        values["check"], values["doc"] = x.trigger[x.at], x.low
+        return x.known, values
 
     def order(keys, values):
         v = np.concatenate(values)
@@ -175,12 +211,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def make(table, answers):
         s = _Shared(table, length, answers, buckets)
         p = s.parse
-        gone, which = s.split(answers[1], buckets)
-        of, start, key = p.suffixes(which, length)
-        doc = p.doc[which][of]
-        known, _, low, back, _ = X.first_of(key, doc)
-        late = X.bits_of(known, answers[2], buckets)[back] | (doc > low[back])
-        single, at_single = p.slice[which][of][late], start[late]
+        x = _Suffixes(s, length, answers, buckets)
+        gone = x.gone
+        late = X.bits_of(x.known, answers[3], buckets)[x.back] | (x.doc > x.low[x.back])
+        single, at_single = x.slice[late], x.start[late]
         n = p.size[gone]
         at_phrase = np.repeat(p.start[gone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         in_phrase = np.repeat(p.slice[gone], n)
@@ -207,5 +241,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     chunks.exchange(triggers, X.in_two, "u1", key_bytes=4)
     chunks.exchange(phrases, dictionary, _ENTRY)
+    chunks.exchange(candidates, X.in_two, "u1", key_bytes=4)
     chunks.exchange(suffixes, order, _ENTRY)
     return chunks.finish(make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text, id_col)
