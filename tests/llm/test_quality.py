@@ -70,6 +70,26 @@ def test_junk_goes_and_clean_stays(spark):
     assert np.mean(clean) > 0.99
 
 
+def test_texts_without_common_words_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    strange = [(10**6 + i, " ".join(f"zz{x}{k}" for k in range(n)), x, "", n) for i, (x, n) in enumerate(
+        (x, n) for x in ("en", "de", "es", "fr") for n in (60, 400))]
+    got = {r["doc_id"]: r for r in quality.judge(docs.union(spark.createDataFrame(strange, docs.schema))).collect()}
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i, *_ in strange)
+    assert not got[244]["kept"] and not got[660]["kept"]  # words between '|', in French
+    by_lang = docs.join(labels.where("quality = 1"), "doc_id").select("doc_id", "lang").collect()
+    for x in ("en", "de", "es", "fr"):
+        clean = [got[r["doc_id"]]["kept"] for r in by_lang if r["lang"] == x and not got[r["doc_id"]]["base_failed"]]
+        assert len(clean) > 20 and np.mean(clean) > 0.98
+
+
+def test_rare_common_words_need_long_texts(spark):
+    # each word is rare in its language: a text of 50 words may well have none of the common ones
+    rows = [(i, " ".join(f"w{(i * 61 + k * 7) % 3001}" for k in range(60))) for i in range(60)]
+    assert all(r["kept"] for r in quality.judge(frame(spark, rows)).collect())
+
+
 def test_native_plan(spark, small, capsys):
     quality.judge(small).explain()
     assert "Python" not in capsys.readouterr().out
