@@ -12,8 +12,8 @@ would put LEAST_COMMON common words into them; shorter ones, or all if ``word_di
 the fixed limit. Words without a letter or digit have a bin of their own unless ``symbol_words`` is set,
 which lets them be common words like others.
 
-A reference is the sum of its language's counts over all documents. The common words come from one
-mergeable top-k sketch per language (at most ``tracked`` counters each); their counts are exact.
+A reference is the sum of its language's counts over all documents. The common words are the first
+by exact count, ties by the word's bytes; each task passes on only its own first ones.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null language is a
 language of its own; rows with equal or null ids stay rows of their own; other columns are
@@ -22,7 +22,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
@@ -31,7 +31,6 @@ BLANK = r"[ \t\n\x0B\f\r]"
 SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 5
 COMMON = 16
-TRACKED = 10_000
 LEAST_CHARS = 200
 LEAST_WORDS = 50
 MOST_CHAR_DISTANCE = 0.27
@@ -91,7 +90,7 @@ def _small(by_lang: DataFrame) -> DataFrame:
     return F.broadcast(by_lang) if by_lang.count() <= MOST_BROADCAST else by_lang
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: int, tracked: int,
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: int,
              symbol_words: bool = False) -> DataFrame:
     """Per document: id, language, base counts and the two histograms."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
@@ -99,7 +98,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common:
     word = F.explode(words(F.col("text"))).alias("w")
     every = base.select("lang", word)
     every = every if symbol_words else every.where(_lettered(F.col("w")))
-    top = every.groupBy("lang").agg(F.expr(f"transform(approx_top_k(w, {common}, {tracked}), x -> x.item)").alias("top"))
+    ranked = every.groupBy("lang", "w").agg(F.count("*").alias("n")).withColumn(
+        "i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("i") <= common)
+    top = ranked.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("top"))
     d = base.withColumn("ws", words(F.col("text"))).join(_small(top), "lang", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
     blank = F.length("text") - F.length(F.array_join("ws", ""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^ \t\n\x0B\f\r]")))
@@ -120,12 +121,12 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common:
                     F.concat(counts, "others", F.array(F.col("n_words") - F.size("kept_words") - sum(F.get("others", F.lit(i)) for i in range(len(others))))).alias("common"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: int = COMMON, tracked: int = TRACKED,
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: int = COMMON,
           least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, char_distance: float = MOST_CHAR_DISTANCE,
           word_distance: float | None = None, symbol_words: bool = False) -> DataFrame:
     """Per document: id, base counts, base_failed, kept, char_js, word_js and text_hash."""
     checkpoint_dir(docs.sparkSession)
-    d = features(docs, id_col, text_col, lang_col, common, tracked, symbol_words).checkpoint()
+    d = features(docs, id_col, text_col, lang_col, common, symbol_words).checkpoint()
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n))).alias(f"all_{name}")
     others = 1 if symbol_words else 2  # bins besides the common words
     # languages may have fewer common words than asked for: the missing bins are null sums

@@ -90,6 +90,15 @@ def test_rare_common_words_need_long_texts(spark):
     assert all(r["kept"] for r in quality.judge(frame(spark, rows)).collect())
 
 
+def test_common_words_are_exact_and_ties_go_by_word(spark):
+    # 30,000 words once each, then two ties: more words than a sketch would follow
+    rows = [(i, " ".join(f"r{i}_{k}" for k in range(1000)) + " zb zb zb za za za zd zc zd zc") for i in range(30)]
+    docs = frame(spark, rows)
+    for parts in (1, 7):
+        got = quality.features(docs.repartition(parts), "doc_id", "text", "lang", 3).collect()
+        assert all(r["common"] == [3, 3, 2, 0, 1002] for r in got)  # za, zb, zc
+
+
 def test_native_plan(spark, small, capsys):
     quality.judge(small).explain()
     assert "Python" not in capsys.readouterr().out
