@@ -2,15 +2,15 @@
 
 Attributions are a long frame (row_id, feature, value, attribution).
 
-Shapley values (X2/X3) expand each explained row into coalitions x
-background rows. Both factors are bounded and checked: the background is
-a seeded sample of at most ``max_background`` rows (100 by default, as in the
-reference), the coalitions are all 2^M subsets (``method="exact"``) or a seeded
+Shapley values (X2/X3) average the prediction over the whole background for each explained
+row and coalition. The background is every row given (``max_background=None``); a seeded sample is an
+explicit argument. The coalitions are all 2^M subsets (``method="exact"``) or a seeded
 sample of 2M + 2048 subsets solved by the Kernel SHAP weighted least squares
-(``method="sampled"``); the caller chooses, the number of features does not. The background values travel as literal arrays (bounded),
-so the expansion is an ``explode`` - no join - and its size is linear in
-the explained rows. One ``model.transform`` scores the whole expansion;
-per-row solves run in ``applyInPandas`` over that row's coalitions.
+(``method="sampled"``); the caller chooses, the number of features does not. Per coalition only
+the distinct values of its features among the explained rows meet the distinct values of the other
+features in the background, with counts, in blocks of rows; one ``model.transform`` scores the
+pairs, and per-row solves run in ``applyInPandas`` over that row's coalitions. The pairs grow with the
+product of the two numbers of distinct values.
 Tree models have their own path (``shap_tree``): closed Shapley values of every
 leaf's product game, weighted by the training rows' covers, in one pass over the
 explained rows - no coalitions, no background sample.
@@ -27,6 +27,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import checkpoint_dir
+
+BLOCK = 1000  # distinct values of each side that one key of the expansion pairs
 EXACT_MAX_FEATURES = 16  # 2^16 coalitions a row; beyond it "exact" is refused
 
 
@@ -58,14 +61,65 @@ def _masks(M: int, seed: int, method: str = "exact") -> tuple[list[int], bool]:
     return sorted(masks), False
 
 
+def _on(j: int) -> F.Column:
+    """Feature j belongs to the coalition."""
+    return F.shiftright(F.col("__mask"), j).bitwiseAND(F.lit(1)) == 1
+
+
+def _coalition_means(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
+                     positive_class: int | None, masks: list[int]) -> DataFrame:
+    """(__rid, __mask, v): mean prediction over all background rows, the coalition's features taken from
+    the explained row."""
+    checkpoint_dir(explain.sparkSession)
+    every = F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")
+    as_double = [F.col(f).cast("double").alias(f) for f in features]
+    own = [F.when(_on(j), F.col(f)).alias(f"__x_{f}") for j, f in enumerate(features)]
+    other = [F.when(~_on(j), F.col(f)).alias(f"__y_{f}") for j, f in enumerate(features)]
+    x_cols, y_cols = [f"__x_{f}" for f in features], [f"__y_{f}" for f in features]
+    ex = explain.select(F.col(id_col).alias("__rid"), *as_double).dropDuplicates(["__rid"]).checkpoint()
+    rows = ex.select("__rid", every, *features).select("__rid", "__mask", *own)
+    left = rows.select("__mask", *x_cols).distinct().checkpoint()
+    bg = background.select(*as_double).groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
+    right = bg.select("__n", every, *features).select("__n", "__mask", *other).groupBy("__mask", *y_cols).agg(F.sum("__n").alias("__n")).checkpoint()
+    n_left, n_right = (max(r["n"] for r in d.groupBy("__mask").agg(F.count(F.lit(1)).alias("n")).collect() or [{"n": 0}]) for d in (left, right))
+    if not n_right:
+        raise ValueError("empty background")
+    blocks = lambda n: max(1, -(-n // BLOCK))
+    bl, br = blocks(n_left), blocks(n_right)
+    block = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n))
+    tasks = min(len(masks) * bl * br, 4000)
+    keys = ["__mask", "__i", "__j"]
+    left = left.select("*", block(x_cols, bl).alias("__i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))).alias("__j"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bl - 1).cast("long"))).alias("__i"), block(y_cols, br).alias("__j"))
+    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
+    pairs = pairs.select("__mask", "__n", *x_cols, *[F.when(_on(j), F.col(f"__x_{f}")).otherwise(F.col(f"__y_{f}")).alias(f) for j, f in enumerate(features)])
+    pred = model.transform(pairs)
+    means = pred.groupBy("__mask", *x_cols).agg((F.sum(_pred_col(pred, positive_class) * F.col("__n")) / F.sum("__n")).alias("v"))
+    means = means.select(F.col("__mask").alias("__m"), "v", *[F.col(c).alias(f"{c}_") for c in x_cols])
+    same = F.col("__mask") == F.col("__m")
+    for c in x_cols:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return rows.join(means, same).select("__rid", "__mask", "v")
+
+
 def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                        max_background: int = 100, seed: int = 42, method: str = "exact") -> DataFrame:
+                        max_background: int | None = None, seed: int = 42, method: str = "exact") -> DataFrame:
     """Every explained row x every coalition x every background row, as model inputs.
 
-    Bounded factors: background <= ``max_background`` rows (seeded sample, shipped as literal
-    arrays), coalitions <= 2^16 (or 2M + 2048 sampled); produced by ``explode``, not a join."""
+    Coalitions <= 2^16 (or 2M + 2048 sampled). With ``max_background`` the background is a seeded sample
+    of so many rows, shipped as literal arrays and produced by ``explode``; without, all of it is
+    joined, and ``__b`` is a unique number of the background row."""
     from strata.operators.relational import seeded_sample
     M = len(features)
+    if max_background is None:
+        checkpoint_dir(explain.sparkSession)
+        masks, _ = _masks(M, seed, method)
+        bg = background.select(F.monotonically_increasing_id().alias("__b"), *[F.col(f).cast("double").alias(f"__b_{f}") for f in features]).checkpoint()
+        if bg.isEmpty():
+            raise ValueError("empty background")
+        ex = explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
+        ex = ex.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")).crossJoin(bg)
+        return ex.select("__rid", "__mask", "__b", *[F.when(_on(j), F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f) for j, f in enumerate(features)])
     bg_ids = [id_col] if id_col in background.columns else features
     bg = seeded_sample(background.select(*features, *([id_col] if id_col in background.columns else [])),
                        max_background, bg_ids, seed).collect()
@@ -78,23 +132,23 @@ def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str,
     ex = ex.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(bg)))).alias("__b"))
     cols = []
     for j, f in enumerate(features):
-        on = F.shiftright(F.col("__mask"), j).bitwiseAND(F.lit(1)) == 1
-        cols.append(F.when(on, F.col(f)).otherwise(F.element_at(F.array(*[F.lit(v) for v in bgv[f]]),
+        cols.append(F.when(_on(j), F.col(f)).otherwise(F.element_at(F.array(*[F.lit(v) for v in bgv[f]]),
                                                                   F.col("__b"))).alias(f))
     return ex.select("__rid", "__mask", "__b", *cols)
 
 
 def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                positive_class: int | None = 1, max_background: int = 100, seed: int = 42, method: str = "exact") -> DataFrame:
-    """Shapley attributions against a background sample.
+                positive_class: int | None = 1, max_background: int | None = None, seed: int = 42, method: str = "exact") -> DataFrame:
+    """Shapley attributions against the whole background (or a seeded sample of ``max_background`` rows).
 
     Returns (id, feature, value, attribution, base_value, prediction); per row the
     attributions add up to prediction - base_value (efficiency)."""
     M = len(features)
-    _, exact = _masks(M, seed, method)
-    expanded = coalition_expansion(explain, background, id_col, features, max_background, seed, method).drop("__b")
-    pred = model.transform(expanded)
-    v = pred.groupBy("__rid", "__mask").agg(F.avg(_pred_col(pred, positive_class)).alias("v"))
+    masks, exact = _masks(M, seed, method)
+    if max_background is not None:
+        from strata.operators.relational import seeded_sample
+        background = seeded_sample(background, max_background, [id_col] if id_col in background.columns else features, seed)
+    v = _coalition_means(model, explain, background, id_col, features, positive_class, masks)
     rtype = dict(explain.dtypes)[id_col]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -166,7 +166,7 @@ SELECT doc_id, 4 * least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) A
   least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) AS background_rows FROM sp WHERE split = 'test'""")
 def q_cross_background(spark, sf):
     _, train, test = _clf(spark, sf)
-    e = X.coalition_expansion(test, train, "doc_id", ["n_chars", "n_words"])
+    e = X.coalition_expansion(test, train, "doc_id", ["n_chars", "n_words"], max_background=100)  # the SQL's sample
     return e.groupBy(F.col("__rid").alias("doc_id")).agg(F.count(F.lit(1)).alias("expanded_rows"),
                                                         F.countDistinct("__mask").alias("coalitions"),
                                                         F.countDistinct("__b").alias("background_rows"))

@@ -110,3 +110,23 @@ def test_gram_is_one_matrix_per_group(spark):
         n, s, G = got[str(g)]
         xs = x[np.arange(50) % 2 == g]
         assert n == 25 and np.allclose(s, xs.sum(axis=0)) and np.allclose(G, xs.T @ xs)
+
+
+def test_kernel_averages_over_the_whole_background(spark, monkeypatch):
+    from pyspark.ml.feature import SQLTransformer
+    rng = np.random.default_rng(3)
+    train = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 40, (700, 2)))]
+    test = [(1000 + i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 40, (30, 2)))]
+    model = SQLTransformer(statement="SELECT *, a * b + 3 * a AS prediction FROM __THIS__")
+    monkeypatch.setattr(X, "BLOCK", 16, raising=False)  # several blocks
+    frames = [spark.createDataFrame(rows, "id long, a double, b double") for rows in (test, train)]
+    got = {(r.id, r.feature): r for r in X.shap_values(model, *frames, "id", ["a", "b"], positive_class=None).collect()}
+    f = lambda a, b: a * b + 3 * a
+    A, B = np.array(train)[:, 1], np.array(train)[:, 2]
+    for i, a, b in test:
+        v = {0: f(A, B).mean(), 1: f(a, B).mean(), 2: f(A, b).mean(), 3: f(a, b)}
+        assert np.isclose(got[i, "a"].attribution, (v[1] - v[0] + v[3] - v[2]) / 2)
+        assert np.isclose(got[i, "b"].attribution, (v[2] - v[0] + v[3] - v[1]) / 2)
+        assert np.isclose(got[i, "a"].base_value, v[0]) and np.isclose(got[i, "a"].prediction, v[3])
+    assert len(got) == 2 * len(test)
+    assert X.coalition_expansion(*frames, "id", ["a", "b"]).count() == 30 * 4 * 700
