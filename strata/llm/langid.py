@@ -11,11 +11,11 @@ Words are runs of letters and bytes beyond ASCII of the lower-cased text; the fi
 carries the vocabulary's blank. A byte that no piece covers costs a fixed small probability, and
 runs longer than ``LONGEST`` bytes are scored in parts, so every text is scored whole.
 
-Training takes at most about ``train_rows`` labelled rows, drawn by a hash of their text; the bound
-is a parameter. Prediction covers every row.
+Training takes about ``rows_per_language`` labelled rows of each language, or all if it has no more,
+drawn by a hash of their id and text; the bound is a parameter. Prediction covers every row.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages are not
-learned from; with nothing to learn from every row is ``und``; ties take the first language in
+Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages and
+languages without a word are not learned from; with nothing to learn from every row is ``und``; ties take the first language in
 alphabetical order; rows stay one to one; other columns are ignored.
 """
 
@@ -218,8 +218,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def train(rows: DataFrame, path: str, rounds: int = 3, train_rows: int = 20_000) -> Model | None:
-    """``rows`` (text, lang) of labelled training documents."""
+def train(rows: DataFrame, path: str, rounds: int = 3, rows_per_language: int = 20_000) -> Model | None:
+    """``rows`` (text, lang, and id if they have one) of labelled training documents."""
     spark = rows.sparkSession
     checkpoint_dir(spark)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -227,8 +227,13 @@ def train(rows: DataFrame, path: str, rounds: int = 3, train_rows: int = 20_000)
     if not by_lang:
         return None
     langs = sorted(by_lang)
-    share = min(1.0, train_rows / sum(by_lang.values()))
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    large = {x: int(rows_per_language / n * (1 << 30)) for x, n in by_lang.items() if n > rows_per_language}
+    if large:
+        most = F.try_element_at(F.create_map(*(F.lit(v) for pair in large.items() for v in pair)), F.col("lang"))
+        key = [c for c in ("id", "text") if c in rows.columns]
+        drawn = rows.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 30)) < F.coalesce(most, F.lit(1 << 30)))
+    else:
+        drawn = rows
 
     def count(batches):
         for batch in batches:
@@ -242,6 +247,10 @@ def train(rows: DataFrame, path: str, rounds: int = 3, train_rows: int = 20_000)
 
     words = (drawn.select("text", "lang").mapInArrow(count, "word binary, lang int, n long")
              .groupBy("word", "lang").agg(F.sum("n").alias("n")).checkpoint())
+    # a language without words would keep the uniform column and draw odd texts of the others
+    seen = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    if not seen:
+        return None
     n_pieces = pieces(path).n
     prob = np.full((n_pieces, len(langs)), 1.0 / n_pieces)
     for _ in range(rounds):
@@ -263,7 +272,8 @@ def train(rows: DataFrame, path: str, rounds: int = 3, train_rows: int = 20_000)
         prob[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()
         prob /= prob.sum(axis=0)
         now.unpersist()
-    prior = np.log(np.array([by_lang[x] for x in langs]) / sum(by_lang.values()))
+    langs, prob = [langs[j] for j in seen], prob[:, seen]
+    prior = np.log(np.array([by_lang[x] for x in langs]) / sum(by_lang[x] for x in langs))
     return Model(langs, prior, prob, path)
 
 
@@ -286,8 +296,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             rounds: int = 3, train_rows: int = 20_000) -> DataFrame:
+             rounds: int = 3, rows_per_language: int = 20_000) -> DataFrame:
     """Learn from rows that aren't held out, predict all: id, held_out, lang_pred, score."""
-    known = docs.where(~F.coalesce(held_out(F.col(id_col)), F.lit(False))).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    out = predict(docs, train(known, path, rounds, train_rows), id_col, text_col)
+    known = docs.where(~F.coalesce(held_out(F.col(id_col)), F.lit(False))).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    out = predict(docs, train(known, path, rounds, rows_per_language), id_col, text_col)
     return out.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -89,3 +89,19 @@ def test_lang_and_id_are_no_inputs(spark):
     assert a == b
     long = frame(spark, [(1, "the and of " * 20_000), (2, "x" * 10_000)])
     assert all(np.isfinite(r["score"]) for r in langid.predict(long, model).collect())
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(f"the house number {i} and the garden of that street was there", "en") for i in range(4000)]
+    rows += [(f"la maison numéro {i} et le jardin de cette rue était là", "fr") for i in range(3)]
+    rows += [(f"{i} 12 34", "xx") for i in range(5)]  # no word to learn from
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), PATH, 3, 40)
+    assert model.langs == ["en", "fr"]
+    new = [(1, "le jardin de la maison était là"), (2, "the garden of the house was there"), (3, "qzx wvk")]
+    assert [r["lang_pred"] for r in langid.predict(frame(spark, new), model).orderBy("doc_id").collect()] == ["fr", "en", "en"]
+
+
+def test_copies_are_drawn_apart(spark):
+    for k in range(4):  # with a hash of the text alone all copies or none are drawn, mostly none
+        rows = [(i, "the same text with these words " + "a" * k, "en") for i in range(3000)] + [(9000, "der Garten", "de")]
+        assert langid.train(spark.createDataFrame(rows, "id long, text string, lang string"), PATH, 1, 300).langs == ["de", "en"]
