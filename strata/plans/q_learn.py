@@ -84,8 +84,7 @@ def _li_reg(spark, sf):
 @register("fit_random_forest_regressor")
 def q_fit_rf_regressor(spark, sf):
     li = _li_reg(spark, sf)
-    m = L.fit_random_forest_regressor(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
-                                      n_estimators=50, max_depth=5)
+    m = L.fit_random_forest_regressor(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     return m.transform(li).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction")
 
 
@@ -135,7 +134,7 @@ def q_knn_grid_search(spark, sf):
 
 @register("forecast_ml_train")
 def q_forecast_ml_train(spark, sf):
-    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest", n_estimators=50)
+    info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest")
     return info["model"].transform(info["train_frame"]).select("ds", "sales", "prediction")
 
 

@@ -258,3 +258,19 @@ def test_distributed_decomposition_matches_window(spark):
         for c in ("trend", "seasonal", "resid"):
             assert np.allclose(a[c].astype(float).to_numpy(), b[c].astype(float).to_numpy(), equal_nan=True,
                                rtol=1e-9, atol=1e-6)
+
+
+def test_forest_queries_run_the_operators_defaults(spark, sf, monkeypatch):
+    from strata.plans import q_learn
+
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **params):
+        raise Asked(params)
+
+    for name, query in (("fit_random_forest_regressor", q_learn.q_fit_rf_regressor), ("forecast_ml_train", q_learn.q_forecast_ml_train)):
+        monkeypatch.setattr(L, name, ask)
+        with pytest.raises(Asked) as e:
+            query(spark, sf)
+        assert e.value.args == ({},)
