@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import debruijn, decontaminate, langid, near_dup, packing, quality, secrets, shards, suffixes, token_counts, tokens
+from strata.llm import debruijn, decontaminate, langid, licenses, merkle, near_dup, packing, quality, search, secrets, shards, suffixes, token_counts, tokens
+from strata.llm.manifest_sql import MANIFEST_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,18 @@ def op9(spark, sf_dir):
     # QUALITY_SQL has the fixed limit and counts symbols as words; the pipeline's stage has the operator's own rule
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, word_distance=quality.MOST_WORD_DISTANCE, symbol_words=True).drop("char_js", "word_js", "text_hash")
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11(spark, sf_dir):
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", search.SEARCH_SQL)
+def op12(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_license_scans", licenses.LICENSE_SQL)
+def op13(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
