@@ -183,7 +183,7 @@ class Manifest:
         fresh = [(changes or {}).get(c, v) for c, v in zip(fields, values, strict=True)]
         leaves = docs.select(F.col(f"`{group_col}`").cast("string").alias("tree"), F.col(f"`{id_col}`").alias("id"), leaf(values).alias("digest"),
                              (F.when(changed, leaf(fresh)) if changed is not None else F.lit(None).cast("binary")).alias("changed"))
-        self.leaves = placed(leaves, ["id", "digest"]).checkpoint()
+        self.leaves = placed(leaves.checkpoint(), ["id", "digest"]).checkpoint()  # else sampling the ranges hashes all texts once more
         self.rounds = _rounds(self.leaves)
         groups = self.rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
         self.groups = placed(groups, ["name"]).checkpoint()
