@@ -2,22 +2,24 @@
 
 k-means and bisecting k-means are Spark ML. Spectral clustering runs power
 iteration clustering on the exact kNN graph (k edges per row, bounded).
-DBSCAN in n dimensions counts eps-neighbours and propagates minimum core
-labels with block-pair passes that aggregate inside each block pair (no
-edge list is materialised); labels are checkpointed every round. The exact
-Euclidean silhouette uses the same block pairs to sum distances per cluster.
+DBSCAN in n dimensions is an eps join over pivots and rings that counts neighbours and
+links core rows as spanning forests, joined by star contraction. The exact
+Euclidean silhouette uses block pairs to sum distances per cluster.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.graph import components
+from strata.operators.metric_join import Space, matrix, names
 from strata.operators.neighbors import block_pairs, knn
 from strata.session import checkpoint_dir
 
@@ -55,70 +57,133 @@ def cluster_spectral(df: DataFrame, id_col: str, features, k: int, n_neighbors:
     return df.join(a.withColumnRenamed("id", id_col), id_col, "left")
 
 
-def _eps_counts(x: DataFrame, eps: float) -> DataFrame:
-    def fn(qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(dp) == 0:
-            return pd.DataFrame({"__id": pd.Series([], dtype="int64"), "cnt": pd.Series([], dtype="int64")})
-        A = np.vstack(qp["__x"].to_numpy()).astype(float)
-        B = np.vstack(dp["__x"].to_numpy()).astype(float)
-        cnt = np.zeros(len(A), dtype=np.int64)
-        for s in range(0, len(A), 32):
-            d = np.sqrt(((A[s:s + 32, None, :] - B[None, :, :]) ** 2).sum(axis=2))
-            cnt[s:s + 32] = (d <= eps).sum(axis=1)
-        return pd.DataFrame({"__id": qp["__id"].to_numpy(), "cnt": cnt})
-    part = block_pairs(x.select("__id", "__x"), x.select("__id", "__x"), fn, "__id long, cnt long", "__id", "__id")
-    return part.groupBy("__id").agg(F.sum("cnt").alias("cnt"))
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least index that each of n nodes is linked to by edges a - b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while True:
+            far = new[new]
+            if (far == new).all():
+                break
+            new = far
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _min_core_label(q: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
-    """For each query row: min label among core rows within eps (null when none)."""
-    def fn(qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(dp) == 0:
-            return pd.DataFrame({"__id": pd.Series([], dtype="int64"), "m": pd.Series([], dtype="int64")})
-        A = np.vstack(qp["__x"].to_numpy()).astype(float)
-        B = np.vstack(dp["__x"].to_numpy()).astype(float)
-        lab = dp["label"].to_numpy()
-        big = np.iinfo(np.int64).max
-        out = np.full(len(A), big, dtype=np.int64)
-        for s in range(0, len(A), 32):
-            d = np.sqrt(((A[s:s + 32, None, :] - B[None, :, :]) ** 2).sum(axis=2))
-            out[s:s + 32] = np.where(d <= eps, lab[None, :], big).min(axis=1)
-        keep = out < big
-        return pd.DataFrame({"__id": qp["__id"].to_numpy()[keep], "m": out[keep]})
-    part = block_pairs(q, cores, fn, "__id long, m long", "__id", "__id")
-    return part.groupBy("__id").agg(F.min("m").alias("m"))
+def _chunk_links(m: np.ndarray) -> np.ndarray:
+    """For each column of a matrix of links, the first row of its connected part (rows linked over columns)."""
+    n, k = m.shape
+    row = np.arange(n)
+    while True:
+        col = np.where(m, row[:, None], n).min(axis=0)
+        new = np.minimum(row, np.where(m, col[None, :], n).min(axis=1, initial=n))
+        if (new == row).all():
+            return col
+        row = new
+
+
+def _eps_counts(space: Space, routed: DataFrame, eps: float) -> DataFrame:
+    """(qid, cnt): rows within eps, each donor with its weight."""
+    make = space.tasks()
+
+    def count(q: pa.Table, y: pa.Table) -> pa.Table:
+        n = np.zeros(q.num_rows, dtype=np.int64)
+        if q.num_rows and y.num_rows:
+            weight = y["weight"].to_numpy()
+            for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
+                n[rows] += weight[donors].sum() if m is None else m @ weight[donors]
+        return pa.table([q["qid"], pa.array(n)], names=["qid", "cnt"])
+
+    return space._meet(routed, space.donors, count, "qid long, cnt long").groupBy("qid").agg(F.sum("cnt").alias("cnt"))
+
+
+def _core_links(space: Space, routed: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
+    """(a, b, core): links that join core rows as all pairs within eps would, at most one per row of a task, and
+    (core false) border rows a with one core row b of each part of the cores near them."""
+    make = space.tasks()
+
+    def link(q: pa.Table, y: pa.Table) -> pa.Table:
+        qid, core = q["qid"].to_numpy(), q["core"].to_numpy(zero_copy_only=False).astype(bool)
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], names=["a", "b", "core"])
+        if not len(qid) or not y.num_rows:
+            return none
+        yid = y["id"].to_numpy()
+        ids, at = np.unique(np.concatenate([qid, yid]), return_inverse=True)
+        iq, iy = at[:len(qid)], at[len(qid):]
+        label = np.arange(len(ids))
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        border: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
+            mine = core[rows]
+            if m is None and mine.any():  # a core row links all of them
+                first = iy[donors[0]]
+                edges += [(iy[donors], np.full(len(donors), first)), (iq[rows[mine]], np.full(mine.sum(), first))]
+                border.append((rows[~mine], np.full((~mine).sum(), first)))
+                continue
+            if m is None:  # fewer donors than min_samples, or the rows were core
+                m = np.ones((len(rows), len(donors)), dtype=bool)
+            if mine.any():
+                c = m[mine]
+                hit = c.any(axis=0)
+                root = iq[rows[mine]][_chunk_links(c[:, hit])] if hit.any() else np.zeros(0, np.int64)
+                edges.append((iy[donors[hit]], root))
+                linked = np.flatnonzero(c.any(axis=1))
+                edges.append((iq[rows[mine]][linked], iy[donors[c[linked].argmax(axis=1)]]))
+            i, j = np.nonzero(m[~mine])
+            border.append((rows[~mine][i], iy[donors[j]]))
+            if sum(len(a) for a, _ in edges) > 500_000 or sum(len(a) for a, _ in border) > 500_000:
+                label = _forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
+                edges, border = [], [_least(border, label)]
+        label = _forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        rows, near = _least(border, label)
+        return pa.table([pa.array(np.concatenate([ids[some], qid[rows]])), pa.array(np.concatenate([ids[label[some]], ids[near]])),
+                         pa.array(np.concatenate([np.ones(len(some), bool), np.zeros(len(rows), bool)]))], names=["a", "b", "core"])
+
+    return space._meet(routed, cores, link, "a long, b long, core boolean")
+
+
+def _least(border: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, part) of border rows, parts by their least core row so far."""
+    none = np.zeros(0, dtype=np.int64)
+    rows = np.concatenate([none, *(a for a, _ in border)])
+    pairs = np.unique(np.stack([rows, label[np.concatenate([none, *(b for _, b in border)])]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN. Core = at least ``min_samples`` rows (itself included) within eps; clusters
-    are connected components of core rows (minimum-id labels with pointer jumping, checkpointed
-    each round, until none changes); a border row joins the smallest adjacent core label; the rest is noise (-1).
-    Cluster ids are the minimum member id of each component (not renumbered)."""
+    are connected components of core rows; a border row joins the smallest adjacent cluster; the rest is
+    noise (-1). Cluster ids are the minimum member id of each component (not renumbered).
+
+    Equal vectors are one point with a weight. Points meet in the partitions of the pivot join that can
+    hold a point within eps, once to count and once to link; a task passes on a spanning forest of its core
+    links and not the pairs, and ``graph.components`` joins the forests. Rows with a missing or infinite
+    feature are noise."""
     checkpoint_dir(df.sparkSession)
-    x = _vec_col(df.select(F.col(id_col).cast("long").alias("__id"), *([features] if isinstance(features, str)
-                                                                      else features)), features).select("__id", "__x")
-    cnt = _eps_counts(x, eps)
-    pts = x.join(cnt, "__id").withColumn("core", F.col("cnt") >= min_samples).checkpoint(eager=True)
-    labels = pts.where("core").select("__id", "__x", F.col("__id").alias("label")).checkpoint(eager=True)
-    while True:  # until no label changes
-        m = _min_core_label(labels.select("__id", "__x"), labels, eps)
-        near = labels.join(m, "__id", "left").select("__id", "__x", "label", F.least("label", F.coalesce("m", "label")).alias("to"))
-        # a label is the id of a core row of the same component: jump to that row's label, so the
-        # rounds grow with the logarithm of a chain's length
-        jump = near.select(F.col("__id").alias("to"), F.col("to").alias("far"))
-        new = (near.join(jump, "to", "left")
-               .select("__id", "__x", F.least("to", F.coalesce("far", "to")).alias("label"), (F.col("to") != F.col("label")).alias("chg"))
-               .checkpoint(eager=True))
-        changed = new.where("chg").limit(1).count()
-        labels = new.drop("chg")
-        if changed == 0:
-            break
-    border = _min_core_label(pts.where(~F.col("core")).select("__id", "__x"), labels, eps)
-    lab = (pts.join(labels.select("__id", F.col("label").alias("cl")), "__id", "left")
-           .join(border.withColumnRenamed("m", "bl"), "__id", "left")
-           .select(F.col("__id").alias("__jid"), "core",
-                   F.coalesce("cl", "bl", F.lit(-1)).alias("cluster")))
-    return df.join(lab, F.col(id_col).cast("long") == F.col("__jid"), "left").drop("__jid")
+    x = _vec_col(df.select(F.col(id_col).cast("long").alias("__id"), *([features] if isinstance(features, str) else features)), features)
+    good = F.col("__x").isNotNull() & F.forall("__x", lambda e: e.isNotNull() & (F.abs(e) < float("inf")))
+    rows = x.where(good).select(F.col("__id"), F.transform("__x", lambda e: e + F.lit(0.0)).alias("x"))
+    points = rows.groupBy("x").agg(F.min("__id").alias("id"), F.count("*").alias("weight")).withColumn("space", F.lit("")).checkpoint()
+    space = Space(points, ["id", "weight"])
+    routed = space.routed(points.select(F.col("id").alias("qid"), "space", "x"), eps)
+    core = _eps_counts(space, routed, eps).select("qid", (F.col("cnt") >= min_samples).alias("core")).checkpoint()
+    cores = space.donors.join(core.where("core").select(F.col("qid").alias("id")), "id", "left_semi")
+    links = _core_links(space, routed.join(core, "qid"), cores, eps).checkpoint()
+    root = components(links.where("core").select("a", "b"))
+    cluster = core.where("core").select(F.col("qid").alias("node")).join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cl"))
+    border = (links.where(~F.col("core")).select(F.col("a").alias("qid"), F.col("b").alias("node")).join(cluster, "node")
+              .groupBy("qid").agg(F.min("cl").alias("bl")))
+    lab = (core.join(cluster.withColumnRenamed("node", "qid"), "qid", "left").join(border, "qid", "left")
+           .select("qid", "core", F.coalesce("cl", "bl", F.lit(-1)).alias("cluster")))
+    lab = rows.join(points.select("x", F.col("id").alias("qid")), "x").join(lab, "qid").select(F.col("__id").alias("__jid"), "core", "cluster")
+    out = df.join(lab, F.col(id_col).cast("long") == F.col("__jid"), "left").drop("__jid")
+    return out.withColumns({"core": F.coalesce("core", F.lit(False)), "cluster": F.coalesce("cluster", F.lit(-1).cast("long"))})
 
 
 def silhouette(df: DataFrame, id_col: str, features, cluster_col: str = "cluster",

@@ -1,13 +1,8 @@
 """Exact k-nearest neighbours and the operators built on them.
 
-Exact kNN compares every query with every donor; the work is split into
-block pairs: queries are hashed into Q blocks, donors into D blocks, each
-query row is sent to the D donor blocks and each donor row to the Q query
-blocks, and ``cogroup(...).applyInPandas`` computes one block pair's distance
-matrix in numpy, emitting only the k best donors per query. A final grouped
-top-k over (k x D) candidates per query gives the exact answer. No task
-holds more than two blocks, no pair list is ever materialised, and the
-block size bounds memory whatever the table size.
+All of them use the pivot join of ``metric_join``: queries go only to partitions whose rings
+the triangle inequality cannot rule out. ``block_pairs``, which compares all pairs of
+two tables block by block, is for sums over all pairs (the exact silhouette).
 """
 
 from __future__ import annotations
@@ -19,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.metric_join import nearest
+
 BLOCK_ROWS = 4096
+MOST_SPACES = 10_000  # rows of a few bytes
 
 
 def _vec(df: DataFrame, cols) -> tuple[DataFrame, str]:
@@ -33,70 +31,30 @@ def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+def _points(df: DataFrame, features) -> tuple[DataFrame, str]:
+    """Rows whose features are all finite numbers; others have no neighbours."""
+    v, x = _vec(df, features)
+    return v.where(F.col(x).isNotNull() & F.forall(x, lambda e: e.isNotNull() & (F.abs(e) < float("inf")))), x
+
+
 def knn(queries: DataFrame, donors: DataFrame, q_id: str, d_id: str, features, k: int,
-        exclude_self: bool = False, metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
+        exclude_self: bool = False, metric: str = "euclidean", block_rows: int | None = None,
         donor_label: str | None = None) -> DataFrame:
     """Exact k nearest donors per query: (q_id, nid, dist, rank[, label]).
 
     Ties on distance resolve to the smaller donor id. ``exclude_self`` drops a donor
-    whose id equals the query id (self-join use)."""
-    q, _ = _vec(queries.select(F.col(q_id).alias("__qid"), *([features] if isinstance(features, str) else features)),
-                features)
-    dcols = [F.col(d_id).alias("__did")] + ([F.col(donor_label).alias("__lab")] if donor_label else [])
-    d, _ = _vec(donors.select(*dcols, *([features] if isinstance(features, str) else features)), features)
-    nq, nd = q.count(), d.count()
-    Q, D = _blocks(nq, block_rows), _blocks(nd, block_rows)
-    qb = q.select("__qid", "__x", F.pmod(F.xxhash64("__qid"), F.lit(Q)).alias("qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(D - 1))).alias("db"))
-    dsel = ["__did", "__x"] + (["__lab"] if donor_label else [])
-    db = d.select(*dsel, F.pmod(F.xxhash64("__did"), F.lit(D)).alias("db"),
-                  F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("qb"))
-    qtype = dict(q.dtypes)["__qid"]
-    dtype = dict(d.dtypes)["__did"]
-    ltype = dict(d.dtypes).get("__lab")
-
-    def pair(qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "nid", "dist"] + (["label"] if donor_label else [])
-        empty = pd.DataFrame({c: pd.Series([], dtype=object if c in ("qid", "nid", "label") else "float64")
-                              for c in cols})
-        if len(qp) == 0 or len(dp) == 0:
-            return empty
-        Xq = np.vstack(qp["__x"].to_numpy()).astype(float)
-        Xd = np.vstack(dp["__x"].to_numpy()).astype(float)
-        did = dp["__did"].to_numpy()
-        out = []
-        kk = min(k + (1 if exclude_self else 0), len(dp))
-        for s in range(0, len(Xq), 32):
-            A = Xq[s:s + 32]
-            if metric == "manhattan":
-                dist = np.abs(A[:, None, :] - Xd[None, :, :]).sum(axis=2)
-            else:
-                dist = np.sqrt(np.maximum(((A[:, None, :] - Xd[None, :, :]) ** 2).sum(axis=2), 0.0))
-            qids = qp["__qid"].to_numpy()[s:s + 32]
-            if exclude_self:
-                dist = np.where(qids[:, None] == did[None, :], np.inf, dist)
-            # order by (distance, donor id): lexsort per row on the kk smallest
-            idx = np.argpartition(dist, kk - 1, axis=1)[:, :kk] if kk < dist.shape[1] else \
-                np.tile(np.arange(dist.shape[1]), (len(A), 1))
-            for r in range(len(A)):
-                cand = idx[r]
-                # include every donor tied with the kk-th distance so the global tie rule holds
-                kth = np.max(dist[r, cand])
-                cand = np.flatnonzero(dist[r] <= kth)
-                order = np.lexsort((did[cand], dist[r, cand]))[:kk]
-                sel = cand[order]
-                sel = sel[np.isfinite(dist[r, sel])]
-                rec = {"qid": np.repeat(qids[r], len(sel)), "nid": did[sel], "dist": dist[r, sel]}
-                if donor_label:
-                    rec["label"] = dp["__lab"].to_numpy()[sel]
-                out.append(pd.DataFrame(rec))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    schema = f"qid {qtype}, nid {dtype}, dist double" + (f", label {ltype}" if donor_label else "")
-    cand = qb.groupBy("qb", "db").cogroup(db.groupBy("qb", "db")).applyInPandas(pair, schema)
+    whose id equals the query id (self-join use). ``block_rows`` sets the donors of a partition."""
+    q, x = _points(queries, features)
+    d, _ = _points(donors, features)
+    label = F.col(donor_label) if donor_label else F.lit(None).cast("int")
+    d = d.select(F.col(d_id).alias("nid"), F.lit("").alias("space"), F.col(x).alias("x"), label.alias("label"))
+    q = q.select(F.col(q_id).alias("qid"), F.lit("").alias("space"), F.col(x).alias("x"))
+    cand = nearest(q, d, k + 1 if exclude_self else k, metric, block_rows)
+    if exclude_self:
+        cand = cand.where(~F.col("nid").eqNullSafe(F.col("qid")))
     w = Window.partitionBy("qid").orderBy("dist", "nid")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.withColumnRenamed("qid", q_id)
+    return top.select(F.col("qid").alias(q_id), "nid", "dist", "rank", *(["label"] if donor_label else []))
 
 
 def range_neighbors_1d(df: DataFrame, value_col: str, id_col: str, eps: float) -> DataFrame:
@@ -185,66 +143,49 @@ def validate_cluster_params(n_samples: int, method: str = "kmeans", n_clusters=N
 # ------------------------------------------------------------------ kNN imputation
 
 def impute_knn(df: DataFrame, cols=None, id_col: str | None = None, k: int = 5,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """KNN imputation with nan-Euclidean distance and 1/d weights.
 
     d(x, y) = sqrt(p / m * sum over the m coordinates present in both of (x - y)^2) for
     p features; donors for column c are the rows where c is present; the k nearest
     donors (ties by id) are averaged with weights 1/d, an exact match taking all the
-    weight; with no usable donor the column mean is used. Block pairs as in ``knn``.
+    weight; with no usable donor the column mean is used.
+
+    That distance is a metric only among rows with the same missing columns, so every pair of a receiver's and
+    a donor's missing pattern with data is a space of its own in the pivot join, on the coordinates that
+    both have; the k nearest of each space are ranked together.
     """
     from strata.functions.stats import numeric_cols
     cols = list(cols or [c for c in numeric_cols(df, include_decimal=False) if c != id_col])
     if id_col is None:
         raise ValueError("impute_knn needs a unique id_col")
     p = len(cols)
-    x = df.select(F.col(id_col).alias("__id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("__x"))
-    any_null = F.exists("__x", lambda v: v.isNull())
-    recv = x.where(any_null)
-    nr, nd = recv.count(), x.count()
-    if nr == 0:
+    have = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    x = df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"), have.alias("have"))
+    patterns = x.groupBy("have").count()
+    recv = x.where(F.col("have").contains("0"))
+    if recv.isEmpty():
         return df
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    Q, D = _blocks(nr, block_rows), _blocks(nd, block_rows)
-    rq = recv.select("__id", "__x", F.pmod(F.xxhash64("__id"), F.lit(Q)).alias("qb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(D - 1))).alias("db"))
-    dd = x.select("__id", "__x", F.pmod(F.xxhash64("__id"), F.lit(D)).alias("db"),
-                  F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("qb"))
-    idt = dict(x.dtypes)["__id"]
-
-    def pair(qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rid": pd.Series([], dtype=object), "ci": pd.Series([], dtype="int64"),
-                              "did": pd.Series([], dtype=object), "dist": pd.Series([], dtype="float64"),
-                              "val": pd.Series([], dtype="float64")})
-        if len(qp) == 0 or len(dp) == 0:
-            return empty
-        Xq = np.array([np.array(v, dtype=float) for v in qp["__x"]])
-        Xd = np.array([np.array(v, dtype=float) for v in dp["__x"]])
-        qid, did = qp["__id"].to_numpy(), dp["__id"].to_numpy()
-        mq, md = ~np.isnan(Xq), ~np.isnan(Xd)
-        out = []
-        for s in range(0, len(Xq), 32):
-            A, Am = Xq[s:s + 32], mq[s:s + 32]
-            both = Am[:, None, :] & md[None, :, :]
-            diff = np.where(both, np.nan_to_num(A)[:, None, :] - np.nan_to_num(Xd)[None, :, :], 0.0)
-            m = both.sum(axis=2)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                dist = np.sqrt(p / m * (diff ** 2).sum(axis=2))
-            dist[m == 0] = np.nan
-            for r in range(len(A)):
-                for ci in np.flatnonzero(~Am[r]):
-                    ok = md[:, ci] & ~np.isnan(dist[r]) & (did != qid[s + r])
-                    cand = np.flatnonzero(ok)
-                    if len(cand) == 0:
-                        continue
-                    order = np.lexsort((did[cand], dist[r, cand]))[:k]
-                    sel = cand[order]
-                    out.append(pd.DataFrame({"rid": np.repeat(qid[s + r], len(sel)), "ci": np.repeat(ci, len(sel)),
-                                             "did": did[sel], "dist": dist[r, sel], "val": Xd[sel, ci]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    cand = rq.groupBy("qb", "db").cogroup(dd.groupBy("qb", "db")).applyInPandas(
-        pair, f"rid {idt}, ci long, did {idt}, dist double, val double")
+    # pairs of patterns that share a coordinate, and where the donor has one that the receiver lacks
+    mine, theirs = patterns.select(F.col("have").alias("r")).where(F.col("r").contains("0")), patterns.select(F.col("have").alias("t"))
+    bit = lambda c, i: F.substring(c, i + 1, 1) == "1"
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), bit("r", i).alias("has")) for i in range(p)])
+    gives = F.array(*[F.struct(F.lit(i).alias("i"), bit("t", i).alias("has")) for i in range(p)])
+    r_side = mine.select("r", F.explode(cells).alias("c")).select("r", "c.*")
+    t_side = theirs.select("t", F.explode(gives).alias("c")).where("c.has").select("t", F.col("c.i").alias("i"))
+    pairs = (r_side.join(t_side, "i").groupBy("r", "t").agg(F.count_if("has").alias("m"), F.count_if(~F.col("has")).alias("g"))
+             .where("m > 0 and g > 0").withColumn("space", F.concat_ws("/", "r", "t")).checkpoint())
+    shared = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.when((F.substr("r", i + 1, F.lit(1)) == "1") & (F.substr("t", i + 1, F.lit(1)) == "1"),
+                                                                            F.get("v", i)).otherwise(0.0))
+    q = recv.join(pairs, F.col("have") == F.col("r")).select(F.struct("id", "space").alias("qid"), "space", shared.alias("x"))
+    d = x.join(pairs, F.col("have") == F.col("t")).select(F.col("id").alias("nid"), "space", shared.alias("x"), F.col("v").alias("label"))
+    near = (nearest(q, d, k, "euclidean", block_rows).select("qid.id", "qid.space", "nid", "dist", "label")
+            .join(F.broadcast(pairs.select("space", "m", "r")) if pairs.count() <= MOST_SPACES else pairs.select("space", "m", "r"), "space"))
+    lacks = F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: (F.substr("r", i + 1, F.lit(1)) == "0") & F.get("label", i).isNotNull())
+    cand = near.select(F.col("id").alias("rid"), F.explode(lacks.cast("array<long>")).alias("ci"), F.col("nid").alias("did"),
+                       F.sqrt(F.lit(float(p)) / F.col("m") * F.col("dist") * F.col("dist")).alias("dist"), "label")
+    cand = cand.withColumn("val", F.get("label", F.col("ci").cast("int"))).drop("label")
     w = Window.partitionBy("rid", "ci").orderBy("dist", "did")
     top = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("rid", "ci"))
@@ -264,7 +205,8 @@ def predict_knn_classifier(train: DataFrame, test: DataFrame, id_col: str, label
                            k: int = 5, weights: str = "uniform", metric: str = "euclidean") -> DataFrame:
     """M4: majority (or 1/d-weighted) vote of the k nearest training rows; ties -> smallest label."""
     nb = knn(test, train, id_col, id_col, features, k, metric=metric, donor_label=label_col)
-    w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") == 0, F.lit(1e12)).otherwise(1.0 / F.col("dist"))
+    met = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(id_col)) == 1  # exact matches take all the weight
+    w = F.lit(1.0) if weights == "uniform" else F.when(met, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     votes = nb.withColumn("w", w).groupBy(id_col, "label").agg(F.sum("w").alias("score"))
     return votes.groupBy(id_col).agg(F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("prediction"))
 

@@ -11,7 +11,7 @@ from strata.operators import cluster as CL
 from strata.operators import learn as L
 from strata.operators import reduce as RD
 from strata.operators.neighbors import recommend_eps
-from strata.plans.q_neighbors import _test_sql, hash_test_flag
+from strata.plans.q_neighbors import EMB_D, _test_sql, hash_test_flag
 from strata.plans.q_windows import rnd
 from strata.functions.stats import seeded_hash_sql
 from strata.plans.registry import register
@@ -181,7 +181,19 @@ def q_cluster_spectral(spark, sf):
     return CL.cluster_spectral(_emb(spark, sf), "vec_id", "embedding", 10).select("vec_id", "label", "cluster")
 
 
-@register("cluster_dbscan")
+DBSCAN_SQL = f"""WITH RECURSIVE {EMB_D},
+ranked AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) AS r FROM pairs),
+p AS (SELECT quantile_cont(dist, 0.9) AS eps, least(5, COUNT(*) // 10) AS least FROM ranked WHERE r = 4),
+near AS (SELECT vec_id, nid FROM pairs, p WHERE dist <= eps),
+core AS (SELECT e.vec_id, e.label, COUNT(n.nid) + 1 >= any_value(p.least) AS core FROM emb e LEFT JOIN near n USING (vec_id), p GROUP BY 1, 2),
+links AS (SELECT n.vec_id AS a, n.nid AS b FROM near n JOIN core c ON c.vec_id = n.vec_id AND c.core JOIN core d ON d.vec_id = n.nid AND d.core),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM core WHERE core UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+border AS (SELECT c.vec_id, min(root) AS root FROM core c JOIN near n USING (vec_id) JOIN roots ON a = n.nid WHERE NOT c.core GROUP BY 1)
+SELECT c.vec_id, c.label, c.core, coalesce(r.root, b.root, -1) AS cluster FROM core c LEFT JOIN roots r ON r.a = c.vec_id LEFT JOIN border b ON b.vec_id = c.vec_id"""
+
+
+@register("cluster_dbscan", DBSCAN_SQL)
 def q_cluster_dbscan(spark, sf):
     e = _emb(spark, sf)
     r = recommend_eps(e, "vec_id", "embedding").first()

@@ -91,7 +91,7 @@ def test_acf_returns_the_lags_asked_for(spark):
 
 def test_dbscan_follows_a_long_chain(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(300)] + [(1000, 5000.0)], "id long, x double")
-    got = CL.cluster_dbscan(df, "id", ["x"], 1.0, 2).toPandas().set_index("id")["cluster"]
+    got = CL.cluster_dbscan(df, "id", ["x"], 1.0, 2).toPandas().set_index("id")["cluster"].sort_index()
     assert (got.loc[:299] == 0).all() and got.loc[1000] == -1
 
 
