@@ -3,8 +3,12 @@
 Attributions are a long frame (row_id, feature, value, attribution).
 
 Shapley values (X2/X3) average the prediction over the whole background for each explained
-row and coalition. The background is every row given (``max_background=None``); a seeded sample is an
-explicit argument. The coalitions are all 2^M subsets (``method="exact"``) or a seeded
+row and coalition. Tree models need no pairs for that: a leaf counts for a coalition if the explained row
+lies in the leaf's intervals of the coalition's features and the background row in the others, so the mass of
+background rows per leaf and pattern of satisfied intervals, one grouped count, gives every
+coalition's average, and each explained row costs one lookup per leaf. Other models: the background
+is every row given (``max_background=None``) or a seeded sample, an explicit argument whose
+result has a standard error per value. The coalitions are all 2^M subsets (``method="exact"``) or a seeded
 sample of 2M + 2048 subsets solved by the Kernel SHAP weighted least squares
 (``method="sampled"``); the caller chooses, the number of features does not. Per coalition only
 the distinct values of its features among the explained rows meet the distinct values of the other
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
 
+GROUPS = 10  # parts of a sampled background, whose spread gives the standard errors
+MOST_PATH = 14  # features on a leaf's path of the linear tree path
+MOST_TABLE = 20_000_000  # entries of all leaves' tables, 160 MB
 BLOCK = 1000  # distinct values of each side that one key of the expansion pairs
 EXACT_MAX_FEATURES = 16  # 2^16 coalitions a row; beyond it "exact" is refused
 
@@ -67,9 +74,9 @@ def _on(j: int) -> F.Column:
 
 
 def _coalition_means(model, explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
-                     positive_class: int | None, masks: list[int]) -> DataFrame:
-    """(__rid, __mask, v): mean prediction over all background rows, the coalition's features taken from
-    the explained row."""
+                     positive_class: int | None, masks: list[int], groups: int = 1) -> DataFrame:
+    """(__rid, __mask, __g, s, n): sum of predictions over the background rows of each group, and their
+    number, the coalition's features taken from the explained row."""
     checkpoint_dir(explain.sparkSession)
     every = F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")
     as_double = [F.col(f).cast("double").alias(f) for f in features]
@@ -79,8 +86,9 @@ def _coalition_means(model, explain: DataFrame, background: DataFrame, id_col: s
     ex = explain.select(F.col(id_col).alias("__rid"), *as_double).dropDuplicates(["__rid"]).checkpoint()
     rows = ex.select("__rid", every, *features).select("__rid", "__mask", *own)
     left = rows.select("__mask", *x_cols).distinct().checkpoint()
-    bg = background.select(*as_double).groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
-    right = bg.select("__n", every, *features).select("__n", "__mask", *other).groupBy("__mask", *y_cols).agg(F.sum("__n").alias("__n")).checkpoint()
+    number = F.pmod(F.xxhash64(*([id_col] if id_col in background.columns else features), F.lit(1)), F.lit(groups)).alias("__g")
+    bg = background.select(number, *as_double).groupBy("__g", *features).agg(F.count(F.lit(1)).alias("__n"))
+    right = bg.select("__g", "__n", every, *features).select("__g", "__n", "__mask", *other).groupBy("__mask", "__g", *y_cols).agg(F.sum("__n").alias("__n")).checkpoint()
     n_left, n_right = (max(r["n"] for r in d.groupBy("__mask").agg(F.count(F.lit(1)).alias("n")).collect() or [{"n": 0}]) for d in (left, right))
     if not n_right:
         raise ValueError("empty background")
@@ -92,14 +100,27 @@ def _coalition_means(model, explain: DataFrame, background: DataFrame, id_col: s
     left = left.select("*", block(x_cols, bl).alias("__i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))).alias("__j"))
     right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bl - 1).cast("long"))).alias("__i"), block(y_cols, br).alias("__j"))
     pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
-    pairs = pairs.select("__mask", "__n", *x_cols, *[F.when(_on(j), F.col(f"__x_{f}")).otherwise(F.col(f"__y_{f}")).alias(f) for j, f in enumerate(features)])
+    pairs = pairs.select("__mask", "__g", "__n", *x_cols, *[F.when(_on(j), F.col(f"__x_{f}")).otherwise(F.col(f"__y_{f}")).alias(f) for j, f in enumerate(features)])
     pred = model.transform(pairs)
-    means = pred.groupBy("__mask", *x_cols).agg((F.sum(_pred_col(pred, positive_class) * F.col("__n")) / F.sum("__n")).alias("v"))
-    means = means.select(F.col("__mask").alias("__m"), "v", *[F.col(c).alias(f"{c}_") for c in x_cols])
+    means = pred.groupBy("__mask", "__g", *x_cols).agg(F.sum(_pred_col(pred, positive_class) * F.col("__n")).alias("s"), F.sum("__n").alias("n"))
+    means = means.select(F.col("__mask").alias("__m"), "__g", "s", "n", *[F.col(c).alias(f"{c}_") for c in x_cols])
     same = F.col("__mask") == F.col("__m")
     for c in x_cols:
         same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
-    return rows.join(means, same).select("__rid", "__mask", "v")
+    return rows.join(means, same).select("__rid", "__mask", "__g", "s", "n")
+
+
+def coalition_counts(explain: DataFrame, background: DataFrame, id_col: str, features: list[str], seed: int = 42, method: str = "exact") -> DataFrame:
+    """J6 over the whole background without its product: (id, mask, background_rows, patterns) per explained row and
+    coalition, ``patterns`` being the distinct values that the background gives the features outside the
+    coalition: the model inputs that really differ. One grouped count per coalition, joined on the coalition."""
+    masks, _ = _masks(len(features), seed, method)
+    every = F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")
+    other = [F.when(~_on(j), F.col(f)).alias(f) for j, f in enumerate(features)]
+    bg = background.select(*[F.col(f).cast("double").alias(f) for f in features]).groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
+    inputs = bg.select("__n", every, *features).select("__n", "__mask", *other).groupBy("__mask", *features).agg(F.sum("__n").alias("__n"))
+    per = inputs.groupBy("__mask").agg(F.sum("__n").alias("background_rows"), F.count(F.lit(1)).alias("patterns"))  # a row per coalition
+    return explain.select(F.col(id_col), every).join(F.broadcast(per), "__mask").withColumnRenamed("__mask", "mask").select(id_col, "mask", "background_rows", "patterns")
 
 
 def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str, features: list[str],
@@ -107,8 +128,9 @@ def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str,
     """Every explained row x every coalition x every background row, as model inputs.
 
     Coalitions <= 2^16 (or 2M + 2048 sampled). With ``max_background`` the background is a seeded sample
-    of so many rows, shipped as literal arrays and produced by ``explode``; without, all of it is
-    joined, and ``__b`` is a unique number of the background row."""
+    of so many rows, shipped as literal arrays and produced by ``explode``; without, every block of it
+    meets every row, and ``__b`` is a unique number of the background row. The result is as large as that product;
+    ``coalition_counts`` and ``shap_values`` don't make it."""
     from strata.operators.relational import seeded_sample
     M = len(features)
     if max_background is None:
@@ -118,7 +140,10 @@ def coalition_expansion(explain: DataFrame, background: DataFrame, id_col: str,
         if bg.isEmpty():
             raise ValueError("empty background")
         ex = explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
-        ex = ex.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")).crossJoin(bg)
+        ex = ex.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask"))
+        parts = -(-bg.count() // BLOCK)
+        ex = ex.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        ex = ex.join(bg.withColumn("__block", F.pmod(F.xxhash64("__b"), F.lit(parts)).cast("int")), "__block")
         return ex.select("__rid", "__mask", "__b", *[F.when(_on(j), F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f) for j, f in enumerate(features)])
     bg_ids = [id_col] if id_col in background.columns else features
     bg = seeded_sample(background.select(*features, *([id_col] if id_col in background.columns else [])),
@@ -141,54 +166,68 @@ def shap_values(model, explain: DataFrame, background: DataFrame, id_col: str, f
                 positive_class: int | None = 1, max_background: int | None = None, seed: int = 42, method: str = "exact") -> DataFrame:
     """Shapley attributions against the whole background (or a seeded sample of ``max_background`` rows).
 
-    Returns (id, feature, value, attribution, base_value, prediction); per row the
-    attributions add up to prediction - base_value (efficiency)."""
+    Returns (id, feature, value, attribution, base_value, prediction); per row the attributions add up to
+    prediction - base_value (efficiency). With a sample there is a column ``std_error`` of each attribution, from
+    the spread between ``GROUPS`` parts of the sample. Tree ensembles on ``features`` take the linear path of
+    ``shap_tree_background`` for ``method="exact"`` and the whole background."""
     M = len(features)
     masks, exact = _masks(M, seed, method)
+    if max_background is None and exact and (leaves := _interventional(model, features, positive_class)) is not None:
+        return _background_attributions(leaves, explain.dropDuplicates([id_col]), background, id_col, features, positive_class)
+    groups = 1
     if max_background is not None:
         from strata.operators.relational import seeded_sample
-        background = seeded_sample(background, max_background, [id_col] if id_col in background.columns else features, seed)
-    v = _coalition_means(model, explain, background, id_col, features, positive_class, masks)
+        background = seeded_sample(background, max_background, [id_col] if id_col in background.columns else features, seed).checkpoint()
+        groups = GROUPS
+    v = _coalition_means(model, explain, background, id_col, features, positive_class, masks, groups)
     rtype = dict(explain.dtypes)[id_col]
+    fact = [math.factorial(i) for i in range(M + 1)]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = dict(zip(pdf["__mask"].astype(np.int64), pdf["v"].astype(float)))
+    def shapley(vals: dict[int, float]) -> np.ndarray:
         full, empty = vals[(1 << M) - 1], vals[0]
         phi = np.zeros(M)
         if exact:
-            fact = [math.factorial(i) for i in range(M + 1)]
             for S, vs in vals.items():
                 k = bin(S).count("1")
                 for j in range(M):
                     if not (S >> j) & 1:
                         phi[j] += fact[k] * fact[M - k - 1] / fact[M] * (vals[S | (1 << j)] - vs)
-        else:
-            Z, y, w = [], [], []
-            for S, vs in vals.items():
-                k = bin(S).count("1")
-                if 0 < k < M:
-                    Z.append([(S >> j) & 1 for j in range(M)])
-                    y.append(vs - empty)
-                    w.append((M - 1) / (math.comb(M, k) * k * (M - k)))
-            Z, y, w = np.array(Z, float), np.array(y), np.array(w)
-            # eliminate the last feature with the efficiency constraint sum(phi) = full - empty
-            tot = full - empty
-            Zr = Z[:, :-1] - Z[:, [-1]]
-            yr = y - Z[:, -1] * tot
-            W = np.sqrt(w)
-            sol, *_ = np.linalg.lstsq(Zr * W[:, None], yr * W, rcond=None)
-            phi[:-1] = sol
-            phi[-1] = tot - sol.sum()
+            return phi
+        Z, y, w = [], [], []
+        for S, vs in vals.items():
+            k = bin(S).count("1")
+            if 0 < k < M:
+                Z.append([(S >> j) & 1 for j in range(M)])
+                y.append(vs - empty)
+                w.append((M - 1) / (math.comb(M, k) * k * (M - k)))
+        Z, y, w = np.array(Z, float), np.array(y), np.array(w)
+        # eliminate the last feature with the efficiency constraint sum(phi) = full - empty
+        tot = full - empty
+        Zr = Z[:, :-1] - Z[:, [-1]]
+        yr = y - Z[:, -1] * tot
+        W = np.sqrt(w)
+        sol, *_ = np.linalg.lstsq(Zr * W[:, None], yr * W, rcond=None)
+        phi[:-1] = sol
+        phi[-1] = tot - sol.sum()
+        return phi
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf.groupby("__mask")[["s", "n"]].sum()
+        vals = dict(zip(whole.index.astype(np.int64), (whole["s"] / whole["n"]).astype(float)))
+        phi = shapley(vals)
         rid = pdf["__rid"].iloc[0]
-        return pd.DataFrame({"__rid": [rid] * M, "feature": features, "attribution": phi,
-                             "base_value": [empty] * M, "prediction": [full] * M})
+        out = pd.DataFrame({"__rid": [rid] * M, "feature": features, "attribution": phi, "base_value": [vals[0]] * M, "prediction": [vals[(1 << M) - 1]] * M})
+        parts = [(g["n"].max(), shapley(dict(zip(g["__mask"].astype(np.int64), (g["s"] / g["n"]).astype(float))))) for _, g in pdf.groupby("__g")] if groups > 1 else []
+        k, n = len(parts), sum(p for p, _ in parts)
+        out["std_error"] = np.sqrt(sum((p / n * (f - phi)) ** 2 for p, f in parts) * k / (k - 1)) if k > 1 else np.full(M, np.nan)
+        return out
 
     sh = v.groupBy("__rid").applyInPandas(
-        solve, f"__rid {rtype}, feature string, attribution double, base_value double, prediction double")
+        solve, f"__rid {rtype}, feature string, attribution double, base_value double, prediction double, std_error double")
     vals = (explain.select(F.col(id_col).alias("__rid"), *[F.col(f).cast("double").alias(f) for f in features])
             .dropDuplicates(["__rid"]).unpivot("__rid", features, "feature", "value"))
     return sh.join(vals, ["__rid", "feature"]).withColumnRenamed("__rid", id_col).select(
-        id_col, "feature", "value", "attribution", "base_value", "prediction")
+        id_col, "feature", "value", "attribution", "base_value", "prediction", *(["std_error"] if groups > 1 else []))
 
 
 def _leaves(tree, weight: float, classes: int) -> list[tuple]:
@@ -246,6 +285,14 @@ def shap_tree(model, explain: DataFrame, id_col: str, features: list[str]) -> Da
     intervals, so a row costs one lookup per leaf. Returns (id, feature, value, attribution,
     base_value, prediction) and, for classifiers, one set of rows per class with ``class``;
     attributions add up to prediction - base_value."""
+    leaves, classes = _ensemble(model)
+    base = sum(v * math.prod(b[2] for b in bounds.values()) for v, bounds in leaves)
+    packed = [(v, [(f, lo, hi) for f, (lo, hi, _) in bounds.items()], _leaf_table([b[2] for b in bounds.values()])) for v, bounds in leaves]
+    return _by_leaves(explain, packed, base, classes, id_col, features)
+
+
+def _ensemble(model) -> tuple[list[tuple], int]:
+    """(leaves, weighted by their tree; number of classes) of a tree ensemble."""
     forest = model.stages[-1] if hasattr(model, "stages") else model
     classes = int(getattr(forest, "numClasses", 0) or 0)
     trees = list(getattr(forest, "trees", [forest]))
@@ -255,9 +302,11 @@ def shap_tree(model, explain: DataFrame, id_col: str, features: list[str]) -> Da
             raise ValueError("boosted classifiers add margins, not probabilities")
     else:
         weights = [1.0 / len(trees)] * len(trees)
-    leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, float(w), classes)]
-    base = sum(v * math.prod(b[2] for b in bounds.values()) for v, bounds in leaves)
-    packed = [(v, [(f, lo, hi) for f, (lo, hi, _) in bounds.items()], _leaf_table([b[2] for b in bounds.values()])) for v, bounds in leaves]
+    return [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, float(w), classes)], classes
+
+
+def _by_leaves(explain: DataFrame, packed: list[tuple], base, classes: int, id_col: str, features: list[str]) -> DataFrame:
+    """Attributions as sums over leaves (values, path, table by pattern of satisfied intervals)."""
     shared = explain.sparkSession.sparkContext.broadcast((packed, base))  # as large as the model
     M, C = len(features), max(classes, 1)
 
@@ -265,12 +314,9 @@ def shap_tree(model, explain: DataFrame, id_col: str, features: list[str]) -> Da
         leaves_, base_ = shared.value
         for pdf in frames:
             x = pdf[features].to_numpy(dtype=float)
-            phi, pred = np.zeros((len(x), C, M)), np.tile(base_, (len(x), 1))
+            phi = np.zeros((len(x), C, M))
             for values, path, table in leaves_:
-                pattern = np.zeros(len(x), dtype=np.int64)
-                for i, (f, lo, hi) in enumerate(path):
-                    pattern |= ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << i
-                got = table[pattern]
+                got = table[_patterns(x, path)]
                 for i, (f, _, _) in enumerate(path):
                     phi[:, :, f] += got[:, i, None] * values
             pred = base_ + phi.sum(axis=2)
@@ -287,6 +333,96 @@ def shap_tree(model, explain: DataFrame, id_col: str, features: list[str]) -> Da
     return out if classes else out.drop("class")
 
 
+def _patterns(x: np.ndarray, path: list[tuple]) -> np.ndarray:
+    """Bit i: the row lies in the path's interval i."""
+    pattern = np.zeros(len(x), dtype=np.int64)
+    for i, (f, lo, hi) in enumerate(path):
+        pattern |= ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << i
+    return pattern
+
+
+def _interventional(model, features: list[str], positive_class: int | None):
+    """(leaves, classes) if the model is a tree ensemble straight on ``features`` whose averages over the background
+    are sums over leaves, and its tables are of bounded size."""
+    stages = list(model.stages) if hasattr(model, "stages") else [model]
+    forest = stages[-1]
+    if not hasattr(forest, "toDebugString") or not hasattr(forest, "getFeaturesCol") or type(forest).__name__ == "GBTClassificationModel":
+        return None
+    for s in stages[:-1]:
+        if type(s).__name__ != "VectorAssembler" or list(s.getInputCols()) != list(features):
+            return None
+    try:
+        leaves, classes = _ensemble(model)
+    except ValueError:  # categorical splits
+        return None
+    if classes and positive_class is None:
+        return None  # a predicted label is no sum over leaves
+    sizes = [len(b) for _, b in leaves]
+    if max(sizes, default=0) > MOST_PATH or sum(m << m for m in sizes) > MOST_TABLE:
+        return None
+    return leaves, classes
+
+
+def _masses(leaves: list[tuple], background: DataFrame, features: list[str]) -> list[np.ndarray]:
+    """For every leaf the share of background rows with each pattern of satisfied intervals."""
+    paths = [[(f, lo, hi) for f, (lo, hi, _) in bounds.items()] for _, bounds in leaves]
+    shared = background.sparkSession.sparkContext.broadcast(paths)
+
+    def count(frames):
+        counts = [np.zeros(1 << len(p), dtype=np.int64) for p in shared.value]
+        for pdf in frames:
+            x = pdf[features].to_numpy(dtype=float)
+            for c, path in zip(counts, shared.value, strict=True):
+                c += np.bincount(_patterns(x, path), minlength=len(c))
+        some = [(i, int(p), int(c[p])) for i, c in enumerate(counts) for p in np.flatnonzero(c)]
+        yield pd.DataFrame(some, columns=["leaf", "pattern", "n"])
+
+    rows = (background.select(*[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(count, "leaf int, pattern long, n long")
+            .groupBy("leaf", "pattern").agg(F.sum("n").alias("n")).collect())  # at most the model's patterns
+    mass = [np.zeros(1 << len(p)) for p in paths]
+    for r in rows:
+        mass[r["leaf"]][r["pattern"]] = r["n"]
+    if not mass or not mass[0].sum():
+        raise ValueError("empty background")
+    return [m / m.sum() for m in mass]
+
+
+def _over_bits(a: np.ndarray, up: bool) -> np.ndarray:
+    """Sums over all supersets (``up``) or subsets of each pattern."""
+    a = a.copy()
+    n = len(a)
+    for i in range(n.bit_length() - 1):
+        b = a.reshape(n >> (i + 1), 2, 1 << i, *a.shape[1:])
+        if up:
+            b[:, 0] += b[:, 1]
+        else:
+            b[:, 1] += b[:, 0]
+    return a
+
+
+def _game_table(mass: np.ndarray) -> tuple[np.ndarray, float]:
+    """(Shapley values by the explained row's pattern, value without any feature) of a leaf of value 1: the
+    coalition S is worth the mass of rows in all intervals outside S, if the explained row is in those of S."""
+    n = len(mass)
+    m = n.bit_length() - 1
+    inside = _over_bits(mass, True)  # rows in all intervals of a set
+    sets = np.arange(n)
+    size = np.array([bin(x).count("1") for x in range(n)])
+    weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)] + [0.0])
+    rest = inside[n - 1 - sets]
+    c = np.stack([np.where(sets >> i & 1, weight[size - 1], -weight[size]) * rest for i in range(m)], axis=1) if m else np.zeros((1, 0))
+    return _over_bits(c, False), float(inside[-1])
+
+
+def _background_attributions(model: tuple, explain: DataFrame, background: DataFrame, id_col: str, features: list[str], positive_class: int | None) -> DataFrame:
+    leaves, classes = model
+    games = [_game_table(m) for m in _masses(leaves, background, features)]
+    base = sum(v * g[1] for (v, _), g in zip(leaves, games, strict=True))
+    packed = [(v, [(f, lo, hi) for f, (lo, hi, _) in bounds.items()], g[0]) for (v, bounds), g in zip(leaves, games, strict=True)]
+    out = _by_leaves(explain, packed, base, classes, id_col, features)
+    return out.where(F.col("class") == positive_class).drop("class") if classes else out
+
+
 def shap_linear_classes(coefficients: np.ndarray, explain: DataFrame, features: list[str], id_col: str) -> DataFrame:
     """X1 for every class of a linear model at once: (id, class, feature, value, attribution), from one
     aggregate of the means and one projection."""

@@ -161,12 +161,13 @@ def _split_sql():
             "(PARTITION BY label) * 0.8) THEN 'train' ELSE 'test' END AS split FROM balance_set)\n")
 
 
-@register("cross_background", _split_sql() + """
-SELECT doc_id, 4 * least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) AS expanded_rows, 4 AS coalitions,
-  least(100, (SELECT COUNT(*) FROM sp WHERE split = 'train')) AS background_rows FROM sp WHERE split = 'test'""")
+@register("cross_background", _split_sql() + """, train AS (SELECT b.n_chars, b.n_words FROM sp JOIN balance_set b USING (doc_id) WHERE split = 'train'),
+per AS (SELECT 0 AS mask, COUNT(*) AS n, COUNT(DISTINCT (n_chars, n_words)) AS p FROM train UNION ALL SELECT 1, COUNT(*), COUNT(DISTINCT n_words) FROM train
+  UNION ALL SELECT 2, COUNT(*), COUNT(DISTINCT n_chars) FROM train UNION ALL SELECT 3, COUNT(*), least(1, COUNT(*)) FROM train)
+SELECT doc_id, CAST(SUM(n) AS BIGINT) AS expanded_rows, COUNT(*) AS coalitions, MAX(n) AS background_rows, CAST(SUM(p) AS BIGINT) AS patterns
+FROM sp, per WHERE split = 'test' GROUP BY doc_id""")
 def q_cross_background(spark, sf):
-    _, train, test = _clf(spark, sf)
-    e = X.coalition_expansion(test, train, "doc_id", ["n_chars", "n_words"], max_background=100)  # the SQL's sample
-    return e.groupBy(F.col("__rid").alias("doc_id")).agg(F.count(F.lit(1)).alias("expanded_rows"),
-                                                        F.countDistinct("__mask").alias("coalitions"),
-                                                        F.countDistinct("__b").alias("background_rows"))
+    s = L.train_test_split(T.balance_set(spark, sf), "doc_id", "label")
+    e = X.coalition_counts(s.where("split = 'test'"), s.where("split = 'train'"), "doc_id", ["n_chars", "n_words"])
+    return e.groupBy("doc_id").agg(F.sum("background_rows").alias("expanded_rows"), F.count(F.lit(1)).alias("coalitions"),
+                                   F.max("background_rows").alias("background_rows"), F.sum("patterns").alias("patterns"))

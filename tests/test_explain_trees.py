@@ -130,3 +130,45 @@ def test_kernel_averages_over_the_whole_background(spark, monkeypatch):
         assert np.isclose(got[i, "a"].base_value, v[0]) and np.isclose(got[i, "a"].prediction, v[3])
     assert len(got) == 2 * len(test)
     assert X.coalition_expansion(*frames, "id", ["a", "b"]).count() == 30 * 4 * 700
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted", "classes"])
+def test_tree_background_attributions_equal_brute_force(spark, kind):
+    """Every coalition's mean prediction over all background rows, scored by the model itself."""
+    df = _data(spark, 200)
+    va = VectorAssembler(inputCols=FEATS, outputCol="features")
+    est = {"forest": RandomForestRegressor(labelCol="y", numTrees=5, maxDepth=5, seed=1), "boosted": GBTRegressor(labelCol="y", maxIter=3, maxDepth=3, seed=1),
+           "classes": RandomForestClassifier(labelCol="k", numTrees=4, maxDepth=5, seed=1)}[kind]
+    model = Pipeline(stages=[va, est]).fit(df)
+    some, background = df.limit(50), df.where("id >= 40")
+    got = {(r["id"], r["feature"]): r for r in X.shap_values(model, some, background, "id", FEATS, positive_class=1).collect()}
+    assert X._interventional(model, FEATS, 1) is not None and X._interventional(model, FEATS[::-1], 1) is None
+    x, z = (np.array([[r[f] for f in FEATS] for r in d.collect()]) for d in (some, background))
+    rows = [(i, m, *(float(v) for v in np.where([m >> j & 1 for j in range(3)], x[i], b))) for i in range(len(x)) for m in range(8) for b in z]
+    scored = model.transform(spark.createDataFrame(rows, "i int, m int, a double, b double, c double"))
+    v = {(r["i"], r["m"]): r["v"] for r in scored.groupBy("i", "m").agg(F.avg(X._pred_col(scored, 1)).alias("v")).collect()}
+    for i, r in enumerate(some.collect()):
+        for j, f in enumerate(FEATS):
+            phi = sum(math.factorial(bin(s).count("1")) * math.factorial(2 - bin(s).count("1")) / 6 * (v[i, s | 1 << j] - v[i, s]) for s in range(8) if not s >> j & 1)
+            g = got[r["id"], f]
+            assert np.isclose(g.attribution, phi) and np.isclose(g.base_value, v[i, 0]) and np.isclose(g.prediction, v[i, 7])
+
+
+def test_sampled_background_has_standard_errors(spark):
+    from pyspark.ml.feature import SQLTransformer
+    rng = np.random.default_rng(5)
+    train = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))]
+    test = [(10_000 + i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(5, 2)))]
+    frames = [spark.createDataFrame(rows, "id long, a double, b double") for rows in (test, train)]
+    model = SQLTransformer(statement="SELECT *, a * b + 3 * a AS prediction FROM __THIS__")
+    whole = {(r.id, r.feature): r.attribution for r in X.shap_values(model, *frames, "id", ["a", "b"], positive_class=None).collect()}
+    part = X.shap_values(model, *frames, "id", ["a", "b"], positive_class=None, max_background=400).collect()
+    assert len(part) == 10 and all(0 < r.std_error < 1 for r in part)
+    assert all(abs(r.attribution - whole[r.id, r.feature]) < 5 * r.std_error + 0.02 for r in part)
+
+
+def test_coalition_counts(spark):
+    rows = [(i, float(i % 3), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {(r["id"], r["mask"]): (r["background_rows"], r["patterns"]) for r in X.coalition_counts(df.limit(2), df, "id", ["a", "b"]).collect()}
+    assert {m: got[0, m] for m in range(4)} == {0: (60, 15), 1: (60, 5), 2: (60, 3), 3: (60, 1)} and len(got) == 8
