@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC_TYPES = ("int", "bigint", "smallint", "tinyint", "double", "float")
@@ -73,186 +75,160 @@ def nan_to_null(c: Column) -> Column:
 
 # ------------------------------------------------------------------ quantiles
 
-def _bracket_probs(p: float, delta: float) -> tuple[float, float]:
-    return max(0.0, p - delta), min(1.0, p + delta)
-
-
-MAX_BRACKET = 1_000_000  # in-bracket rows ranked per quantile; larger brackets are refined
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = 20000, max_bracket: int = MAX_BRACKET,
-                    _stable: bool = False) -> dict[tuple[str, float], float | None]:
-    """Exact linear-interpolated quantiles of whole columns without one-task funnels.
-
-    Spark's exact ``percentile`` merges a map of every distinct value into one
-    task for a global group. Instead:
-
-    1. one aggregate gives the count and an approximate bracket [lo, hi] around
-       each target rank (``percentile_approx`` has rank error <= n/accuracy);
-    2. one aggregate counts exactly how many values fall below ``lo`` and checks
-       that the target ranks lie inside the bracket (widening if not);
-    3. in-bracket values (about 6n/accuracy per quantile) are collapsed to (value,
-       count) by a partial aggregate and ranked by running count, each quantile in its
-       own window partition; a repeated value is one row, so hot values cost nothing.
-
-    The input is read several times; it must give the same values each time (a scan or a
-    checkpointed frame). If the passes disagree the whole computation is retried once on a
-    checkpointed copy.
-
-    Returns {(col, p): value}; null when the column has no values.
+DIGIT = 16  # bits that the first pass settles
+MOST_BUCKETS = 1 << 20  # that a later pass may find: it settles fewer bits if many buckets are open
+MOST_VALUES = 100_000  # rows left in all open buckets that end with a pass over their distinct values
+_FLIP = np.int64(0x7FFFFFFFFFFFFFFF)
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys in the order of the doubles; both zeros are one."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits >= 0, bits, bits ^ _FLIP)
+
+
+def _doubles(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys >= 0, keys, keys ^ _FLIP).view(np.float64)
+
+
+def _bucket_counts(x: DataFrame, n_cols: int, shift: int, last: int, open_: dict[int, np.ndarray] | None) -> list:
+    """(col, bucket, n, lo, hi): rows and range of keys of every bucket ``key >> shift`` within the open buckets
+    ``key >> last`` of the pass before (per column; None: all), in one aggregate."""
+
+    def group(parts):
+        bucket, n, lo, hi = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+        return (bucket[order][first], np.add.reduceat(n[order], first), np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first))
+
+    def count(batches):
+        held: list[list] = [[] for _ in range(n_cols)]
+        for batch in batches:
+            for i in range(n_cols):
+                if open_ is not None and i not in open_:
+                    continue
+                keys = np.sort(_keys(batch.column(i).drop_null().to_numpy(zero_copy_only=False)))
+                if open_ is not None:
+                    above = keys >> np.int64(last)
+                    at = np.minimum(np.searchsorted(open_[i], above), len(open_[i]) - 1)
+                    keys = keys[open_[i][at] == above]
+                if not len(keys):
+                    continue
+                bucket = keys >> np.int64(shift)
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = np.append(first[1:], len(keys))
+                held[i].append((bucket[first], ends - first, keys[first], keys[ends - 1]))
+                if len(held[i]) >= 50:
+                    held[i] = [group(held[i])]
+        for i, parts in enumerate(held):
+            if parts:
+                cols = group(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), i, np.int32)), *map(pa.array, cols)], names=["col", "bucket", "n", "lo", "hi"])
+
+    return (x.mapInArrow(count, "col int, bucket long, n long, lo long, hi long")
+            .groupBy("col", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], _stable: bool = False) -> dict[tuple[str, float], float | None]:
+    """Exact linear-interpolated quantiles of whole columns by radix histograms.
+
+    Doubles become order-preserving 64-bit keys. A pass counts, for all columns in one partial
+    aggregate, the rows per leading ``DIGIT`` bits; each target rank lies in one bucket, and the next
+    pass counts the next bits within those buckets only. A bucket with one value is settled at
+    once, and as soon as all open buckets together hold at most ``MOST_VALUES`` rows, a pass
+    over their distinct values ends the search: two passes for most tables, three for a thousand times the
+    rows, never more than four for a few quantiles. Tasks hold counts of buckets, never rows; the driver gets at
+    most 2**DIGIT buckets a column at first and ``MOST_BUCKETS`` later, and no value is sorted or ranked anywhere but within one Arrow batch.
+
+    The input must give the same values each time (a scan or a checkpointed frame). If the passes disagree the
+    whole computation is retried once on a checkpointed copy.
+
+    Returns {(col, p): value}; null when the column has no values (nulls and NaN are none).
     """
     if not cols or not probs:
         return {}
-    x = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    x = x.select([nan_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(cols))])
-    delta = 3.0 / accuracy
-    brackets = sorted({q for p in probs for q in _bracket_probs(p, delta)})
-    aggs = []
-    for i in range(len(cols)):
-        aggs.append(F.count(f"c{i}").alias(f"n{i}"))
-        aggs.append(F.percentile_approx(f"c{i}", brackets, accuracy).alias(f"a{i}"))
-    row = x.agg(*aggs).first()
-
-    # target ranks and initial brackets
-    tasks = []  # (qid, col index, p, r0, r1, frac, lo, hi)
-    result: dict[tuple[str, float], float | None] = {}
+    x = df.select([nan_to_null(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    ranks: dict[tuple[int, int], list] = {}  # (column, rank) -> [bucket, rank in it, rows in it, value]
+    sizes: dict[int, int] = {}
+    open_: dict[int, np.ndarray] | None = None
+    shift, last = 64 - DIGIT, 63
+    while open_ is None or open_:
+        rows = _bucket_counts(x, len(cols), shift, last, open_)
+        per: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r["col"], r["bucket"])):
+            per.setdefault(r["col"], []).append(r)
+        if open_ is None:
+            sizes = {i: sum(r["n"] for r in rs) for i, rs in per.items()}
+            for i, n in sizes.items():
+                for p in probs:
+                    h = (n - 1) * p
+                    for k in (int(math.floor(h)), int(math.ceil(h))):
+                        ranks[i, k] = [None, k, n, None]
+        bits = {i: np.array([r["bucket"] for r in rs], dtype=np.int64) for i, rs in per.items()}
+        ends = {i: np.cumsum([r["n"] for r in rs]) for i, rs in per.items()}
+        for (i, _), t in ranks.items():
+            if t[3] is not None:
+                continue
+            # the buckets of this pass within the rank's bucket of the pass before
+            a, b = (0, len(bits.get(i, ()))) if t[0] is None else np.searchsorted(bits[i] >> np.int64(last - shift), [t[0], t[0] + 1]) if i in bits else (0, 0)
+            below = ends[i][a - 1] if a else 0
+            if b <= a or ends[i][b - 1] - below != t[2]:
+                # the passes saw different values: the input is recomputed non-deterministically
+                # (e.g. floating sums after a shuffle). Retry once on a checkpointed copy.
+                if _stable:
+                    raise RuntimeError("exact_quantiles: inconsistent input across passes")
+                from strata.session import checkpoint_dir
+                checkpoint_dir(df.sparkSession)
+                return exact_quantiles(df.select(*cols).checkpoint(), cols, probs, _stable=True)
+            at = int(np.searchsorted(ends[i][a:b], below + t[1], side="right")) + a
+            r = per[i][at]
+            t[0], t[1], t[2] = r["bucket"], int(below + t[1] - (ends[i][at - 1] if at else 0)), r["n"]
+            if r["lo"] == r["hi"]:
+                t[3] = float(_doubles(np.array([r["lo"]], dtype=np.int64))[0])
+        left: dict[int, dict[int, int]] = {}
+        for (i, _), t in ranks.items():
+            if t[3] is None:
+                left.setdefault(i, {})[t[0]] = t[2]
+        open_ = {i: np.array(sorted(b), dtype=np.int64) for i, b in left.items()}
+        if open_ and sum(n for b in left.values() for n in b.values()) <= MOST_VALUES:
+            _settle(x, len(cols), shift, open_, ranks)
+            break
+        buckets = sum(len(b) for b in open_.values())
+        digit = min(DIGIT, max(4, (MOST_BUCKETS // max(buckets, 1)).bit_length() - 1))
+        shift, last = max(0, shift - digit), shift
+    out: dict[tuple[str, float], float | None] = {}
     for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        if not n:
-            for p in probs:
-                result[(c, p)] = None
-            continue
-        approx = dict(zip(brackets, row[f"a{i}"]))
         for p in probs:
-            h = (n - 1) * p
-            r0, r1 = int(math.floor(h)), int(math.ceil(h))
-            plo, phi = _bracket_probs(p, delta)
-            lo = None if plo <= 0 else approx[plo]
-            hi = None if phi >= 1 else approx[phi]
-            tasks.append([len(tasks), i, p, r0, r1, h - r0, lo, hi, n])
-
-    # verify brackets with exact counts (one codegen'd aggregate); widen a bracket that
-    # misses its target, and refine one whose distinct in-bracket values still exceed
-    # ``max_bracket`` with another approximate quantile over just its values (each round
-    # shrinks it by about accuracy / 6), so the final ranking step is bounded at any size.
-    refine_rounds = 0
-    while True:
-        aggs = []
-        for t in tasks:
-            qid, i, lo, hi = t[0], t[1], t[6], t[7]
-            c = F.col(f"c{i}")
-            inb_cond = c.isNotNull() & ((c >= lo) if lo is not None else F.lit(True)) \
-                & ((c <= hi) if hi is not None else F.lit(True))
-            below = F.count_if(c < lo) if lo is not None else F.lit(0)
-            aggs += [below.alias(f"b{qid}"), F.count_if(inb_cond).alias(f"k{qid}")]
-        chk = x.agg(*aggs).first()
-        bad, big = [], []
-        for t in tasks:
-            del t[9:]
-            qid, r0, r1 = t[0], t[3], t[4]
-            b, k = chk[f"b{qid}"], chk[f"k{qid}"]
-            t += [b, k]
-            if not (b <= r0 and b + k > r1):
-                bad.append(t)
-            elif k > max_bracket and refine_rounds < 8 and not (t[6] is not None and t[6] == t[7]):
-                big.append(t)
-        if big and not bad:
-            # rows exceed the bound; ranking cost is set by distinct values, so check those
-            dagg = []
-            for t in big:
-                c = F.col(f"c{t[1]}")
-                cond = c.isNotNull() & ((c >= t[6]) if t[6] is not None else F.lit(True)) \
-                    & ((c <= t[7]) if t[7] is not None else F.lit(True))
-                dagg.append(F.approx_count_distinct(F.when(cond, c)).alias(f"d{t[0]}"))
-            dd = x.agg(*dagg).first()
-            big = [t for t in big if dd[f"d{t[0]}"] > max_bracket]
-        if bad:
-            for t in bad:  # widen to the whole column side that failed (exact fallback)
-                if t[9] > t[3]:
-                    t[6] = None
-                else:
-                    t[7] = None
-            continue
-        if not big:
-            break
-        refine_rounds += 1
-        ragg = []
-        for t in big:
-            qid, i, lo, hi, b, k = t[0], t[1], t[6], t[7], t[9], t[10]
-            c = F.col(f"c{i}")
-            cond = c.isNotNull()
-            if lo is not None:
-                cond = cond & (c >= lo)
-            if hi is not None:
-                cond = cond & (c <= hi)
-            plo, phi = _bracket_probs((t[3] - b) / max(k - 1, 1), delta)
-            ragg.append(F.percentile_approx(F.when(cond, c), [plo, phi], accuracy).alias(f"r{qid}"))
-        rr = x.agg(*ragg).first()
-        changed = False
-        for t in big:
-            pr = (t[3] - t[9]) / max(t[10] - 1, 1)
-            nlo, nhi = rr[f"r{t[0]}"]
-            nlo = nlo if pr - delta > 0 else t[6]
-            nhi = nhi if pr + delta < 1 else t[7]
-            if (nlo, nhi) != (t[6], t[7]):
-                changed = True
-            t[6], t[7] = nlo, nhi
-        if not changed:
-            refine_rounds = 8  # cannot shrink further: rank what is there
-    # rank the in-bracket values. A bracket whose ends are equal is one repeated value
-    # (answer known); otherwise values are first collapsed to (value, count) by a partial
-    # aggregate, so a value repeated over a third of all rows is one row, and the ranking
-    # window per quantile only sees distinct in-bracket values.
-    need = {}
-    structs = []
-    for t in tasks:
-        qid, i, lo, hi, b = t[0], t[1], t[6], t[7], t[9]
-        if lo is not None and hi is not None and lo == hi:
-            result[(cols[i], t[2])] = lo
-            continue
-        need[qid] = (t[3] - b + 1, t[4] - b + 1)
-        c = F.col(f"c{i}")
-        cond = c.isNotNull()
-        if lo is not None:
-            cond = cond & (c >= lo)
-        if hi is not None:
-            cond = cond & (c <= hi)
-        structs.append(F.when(cond, F.struct(F.lit(qid).alias("q"), c.alias("v"))))
-    if not structs:
-        return result
-    vals = (x.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-            .select("s.q", "s.v").groupBy("q", "v").agg(F.count(F.lit(1)).alias("c")))
-    need_df = df.sparkSession.createDataFrame([(q, k0, k1) for q, (k0, k1) in need.items()],
-                                              "q int, k0 long, k1 long")
-    w = Window.partitionBy("q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = lambda k: (F.col("cum") >= F.col(k)) & (F.col("cum") - F.col("c") < F.col(k))
-    picked = (vals.withColumn("cum", F.sum("c").over(w))
-              .join(F.broadcast(need_df), "q")
-              .where(hit("k0") | hit("k1"))
-              .select("q", "v", hit("k0").alias("is0"), hit("k1").alias("is1")).collect())
-    got: dict[int, dict[str, float]] = {}
-    for r in picked:
-        if r["is0"]:
-            got.setdefault(r["q"], {})["v0"] = r["v"]
-        if r["is1"]:
-            got.setdefault(r["q"], {})["v1"] = r["v"]
-    if any("v0" not in got.get(q, {}) or "v1" not in got.get(q, {}) for q in need):
-        # the passes saw different values: the input is recomputed non-deterministically
-        # (e.g. floating sums after a shuffle). Retry once on a checkpointed copy.
-        if _stable:
-            raise RuntimeError("exact_quantiles: inconsistent input across passes")
-        from strata.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        fixed = df.select(*cols).checkpoint(eager=True)
-        return exact_quantiles(fixed, cols, probs, accuracy, max_bracket, _stable=True)
-    for t in tasks:
-        qid, i, p, frac = t[0], t[1], t[2], t[5]
-        if qid not in need:
-            continue
-        v0, v1 = got[qid]["v0"], got[qid]["v1"]
-        result[(cols[i], p)] = v0 + (v1 - v0) * frac
-    return result
+            if not sizes.get(i):
+                out[c, p] = None
+                continue
+            h = (sizes[i] - 1) * p
+            v0, v1 = ranks[i, int(math.floor(h))][3], ranks[i, int(math.ceil(h))][3]
+            out[c, p] = v0 if v0 == v1 else v0 + (v1 - v0) * (h - math.floor(h))
+    return out
+
+
+def _settle(x: DataFrame, n_cols: int, shift: int, open_: dict[int, np.ndarray], ranks: dict) -> None:
+    """The values at all open ranks, from the (at most MOST_VALUES) rows in their buckets."""
+
+    def pick(batches):
+        for batch in batches:
+            for i, buckets in open_.items():
+                keys = _keys(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+                above = keys >> np.int64(shift)
+                at = np.minimum(np.searchsorted(buckets, above), len(buckets) - 1)
+                value, n = np.unique(keys[buckets[at] == above], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int32)), pa.array(value), pa.array(n)], names=["col", "key", "n"])
+
+    rows = x.mapInArrow(pick, "col int, key long, n long").groupBy("col", "key").agg(F.sum("n").alias("n")).collect()
+    for i in open_:
+        mine = sorted((r["key"], r["n"]) for r in rows if r["col"] == i)
+        keys, ends = np.array([k for k, _ in mine], dtype=np.int64), np.cumsum([n for _, n in mine])
+        for (j, _), t in ranks.items():
+            if j == i and t[3] is None:
+                a = int(np.searchsorted(keys >> np.int64(shift), t[0]))
+                at = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + t[1], side="right"))
+                t[3] = float(_doubles(keys[at:at + 1])[0])
 
 
 def median_of(df: DataFrame, cols: list[str]) -> dict[str, float | None]:

@@ -306,16 +306,20 @@ def scale_robust(df: DataFrame, cols=None) -> DataFrame:
     return _apply(df, exprs)
 
 
+# Published coefficients of Acklam's approximation of the inverse normal distribution.
+PPF = (
+    [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+     1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00],
+    [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+     6.680131188771972e+01, -1.328068155288572e+01],
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+     -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00])
+
+
 def _norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse standard normal CDF (Acklam's rational approximation, |rel err| < 1.2e-9)."""
-    # Published coefficients of the approximation.
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
+    """Inverse standard normal CDF (rational approximation, |rel err| < 1.2e-9)."""
+    a, b, c, d = PPF
     p = np.asarray(p, dtype=float)
     out = np.empty_like(p)
     lo, hi = 0.02425, 1 - 0.02425
@@ -351,20 +355,21 @@ def _quantile_udf(qs: np.ndarray, refs: np.ndarray):
 def scale_quantile_normal(df: DataFrame, cols=None, n_quantiles: int = 1000) -> DataFrame:
     """Rank-based map to a normal distribution.
 
-    References = min(1000, n) quantiles per column (``percentile_approx``, one aggregate);
+    References = min(1000, n) exact quantiles per column (radix histograms, all columns together);
     each value is interpolated to a uniform score (mean of the forward and backward
     interpolation, as the library does for repeated references), clipped to
     [1e-7, 1 - 1e-7] and mapped through the inverse normal CDF. A pandas UDF applies
     ``np.interp`` to Arrow batches with the references shipped in the closure
-    (size bounded by n_quantiles). Values are close to, not equal to, the library's.
+    (size bounded by n_quantiles). A column without values stays null.
     """
     cols = _num_cols(df, cols)
     n = df.count()
     nq = max(2, min(n_quantiles, n))
     probs = [i / (nq - 1) for i in range(nq)]
-    r = df.agg(*[F.percentile_approx(c, probs, 10000).alias(c) for c in cols]).first()
+    q = exact_quantiles(df, cols, probs)
     refs = np.array(probs)
-    exprs = {c: _quantile_udf(np.array(r[c], dtype=float), refs)(F.col(c).cast("double")) for c in cols}
+    exprs = {c: F.lit(None).cast("double") if q[c, 0.0] is None else
+             _quantile_udf(np.array([q[c, p] for p in probs]), refs)(F.col(c).cast("double")) for c in cols}
     return _apply(df, exprs)
 
 

@@ -130,10 +130,40 @@ def q_scale_robust(spark, sf):
     return rnd(PR.scale_robust(li, SC_COLS), 6)
 
 
-@register("scale_quantile_normal")
+def _poly(terms: list[float], x: str) -> str:
+    out = repr(terms[0])
+    for t in terms[1:]:
+        out = f"({out} * {x} + {t!r})"
+    return out
+
+
+def _normal_sql(u: str) -> str:
+    """The rational inverse of the normal distribution that the operator uses."""
+    a, b, c, d = PR.PPF
+    tail = lambda q: f"{_poly(c, q)} / {_poly([*d, 1.0], q)}"
+    low, high = f"sqrt(-2 * ln({u}))", f"sqrt(-2 * ln(1 - {u}))"
+    mid = f"(({u} - 0.5) * ({u} - 0.5))"
+    return f"""CASE WHEN {u} < 0.02425 THEN {tail(low)} WHEN {u} > 1 - 0.02425 THEN -({tail(high)})
+  ELSE {_poly(a, mid)} * ({u} - 0.5) / {_poly([*b, 1.0], mid)} END"""
+
+
+def _quantile_normal_sql(cols: list[str], nq: int = 1000) -> str:
+    """For tables of at least ``nq`` rows."""
+    probs = [i / (nq - 1) for i in range(nq)]
+    parts = []
+    for c in cols:
+        parts.append(f"""{c}_knots AS (SELECT v, lo, hi, lead(v) OVER (ORDER BY v) AS next_v, lead(lo) OVER (ORDER BY v) AS next_lo FROM (
+  SELECT v, min(i) / {nq - 1}.0 AS lo, max(i) / {nq - 1}.0 AS hi FROM (SELECT unnest(q) AS v, unnest(range({nq})) AS i FROM (SELECT quantile_cont({c}, {probs}) AS q FROM lineitem)) GROUP BY v)),
+{c}_scores AS (SELECT x, {_normal_sql("u")} AS score FROM (SELECT x, least(greatest(CASE WHEN x = v THEN (lo + hi) / 2 ELSE hi + (x - v) / (next_v - v) * (next_lo - hi) END, 1e-7), 1 - 1e-7) AS u
+  FROM (SELECT DISTINCT {c} AS x FROM lineitem) ASOF JOIN {c}_knots ON x >= v))""")
+    return ("WITH " + ",\n".join(parts) + "\nSELECT l_orderkey, l_linenumber, " + ", ".join(f"round({c}_scores.score, 6) AS {c}" for c in cols)
+            + " FROM lineitem l " + " ".join(f"JOIN {c}_scores ON {c}_scores.x = l.{c}" for c in cols))
+
+
+@register("scale_quantile_normal", _quantile_normal_sql(SC_COLS))
 def q_scale_quantile_normal(spark, sf):
     li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *SC_COLS)
-    return PR.scale_quantile_normal(li, SC_COLS)
+    return rnd(PR.scale_quantile_normal(li, SC_COLS), 6)
 
 
 @register("scale_power")

@@ -26,11 +26,35 @@ def test_exact_quantiles_match_numpy_and_partitioning(spark):
     x = rng.exponential(size=5000)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     for parts in (1, 7):
-        q = exact_quantiles(df.repartition(parts), ["x"], [0.0, 0.1, 0.5, 0.77, 1.0], accuracy=50)
+        q = exact_quantiles(df.repartition(parts), ["x"], [0.0, 0.1, 0.5, 0.77, 1.0])
         for p in (0.0, 0.1, 0.5, 0.77, 1.0):
             assert q[("x", p)] == pytest.approx(np.quantile(x, p), rel=1e-12)
 
 
+@pytest.mark.parametrize("most", [0, 300, 10**6])
+def test_exact_quantiles_over_several_passes(spark, monkeypatch, most):
+    """Hot values, both zeros, infinities, tiny and huge numbers, nulls and NaN, with and without the last pass."""
+    from strata.functions import stats
+    monkeypatch.setattr(stats, "MOST_VALUES", most)
+    monkeypatch.setattr(stats, "MOST_BUCKETS", 1 << 12)
+    rng = np.random.default_rng(2)
+    a = np.concatenate([np.full(700, 2.5), rng.normal(size=900), [-0.0, 0.0, 5e-324, -5e-324, 1e308, -1e308], 2.5 + rng.random(400) * 1e-9])
+    b = np.concatenate([rng.integers(-3, 4, 1500).astype(float), [np.inf, -np.inf] * 3, np.full(500, np.nan)])
+    rows = [(float(x), None if i % 7 == 0 else float(y)) for i, (x, y) in enumerate(zip(rng.permutation(a), rng.permutation(b)[:len(a)], strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("c", F.lit(None).cast("double")).repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.6, 0.9, 0.999, 1.0] + [i / 97 for i in range(98)]
+    got = exact_quantiles(df, ["a", "b", "c"], probs)
+    want = {"a": np.array([r[0] for r in rows]), "b": np.array([r[1] for r in rows if r[1] is not None and r[1] == r[1]])}
+    for c, x in want.items():
+        x = np.sort(x)
+        for p in probs:
+            h = (len(x) - 1) * p
+            lo, hi = x[int(np.floor(h))], x[int(np.ceil(h))]
+            assert got[c, p] == (lo if lo == hi else lo + (hi - lo) * (h - np.floor(h)))
+    assert all(got["c", p] is None for p in probs)
+    assert exact_quantiles(df.limit(0), ["a"], [0.5]) == {("a", 0.5): None}
+
+
 def test_global_positions_are_a_permutation(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), "id")
     pos = RK.global_positions(df.repartition(5), ["v", "id"]).toPandas().sort_values("pos")
