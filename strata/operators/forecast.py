@@ -1,15 +1,14 @@
 """Many-series forecasting (F1-F8).
 
-Each series (one value of ``key_cols``) is one ``applyInPandas`` group; a
-series is a resampled calendar, so a group is bounded by its length while
-any number of series fit in parallel. Numerics are numpy:
-
-* ARIMA / SARIMA / SARIMAX: Hannan-Rissanen two-stage least squares (a long
-  AR gives residual estimates, then OLS on AR, MA, seasonal and exogenous
-  terms). This is not the library's exact maximum likelihood: estimates are
-  close, not equal.
+The points of a series (one value of ``key_cols``) are gathered into one row, bounded by its length, and
+Arrow batches of rows are fitted together in numpy, so any number of series fit in parallel:
+
+* ARIMA / SARIMA / SARIMAX: exact Gaussian likelihood of the differenced series by a Kalman filter
+  (``statespace``), searched from two starts: zero and the two-stage least squares of
+  Hannan and Rissanen.
 * Holt-Winters / exponential smoothing: additive or multiplicative trend and
-  season, smoothing constants chosen by grid search on one-step SSE.
+  season; smoothing constants minimise the one-step SSE, by a compass search that starts at
+  the best point of a grid, for all series of a batch at once.
 
 Outputs are tidy frames: forecasts (keys, step, date, forecast) and
 coefficients (keys, term, value).
@@ -24,6 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import statespace
+
+BATCH = 64  # series fitted together
+MOST_MOVES = 150  # of the search for smoothing constants
+
 # ------------------------------------------------------------------ numpy cores
 
 
@@ -132,62 +136,164 @@ def fit_arima_hr(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: np
     return {"forecast": fc, "terms": terms}
 
 
-def _hw_run(y, alpha, beta, gamma, trend, seasonal, m):
-    """One-step Holt-Winters recursion for arrays of smoothing constants at once.
+def _partials(c: np.ndarray) -> np.ndarray:
+    """Unconstrained numbers whose partial autocorrelations give (nearly, if not stationary) these coefficients."""
+    c, out = np.asarray(c, dtype=float).copy(), []
+    for k in range(len(c), 0, -1):
+        r = float(np.clip(c[k - 1], -0.95, 0.95))
+        out.append(math.atanh(r))
+        c = (c[:k - 1] + r * c[:k - 1][::-1]) / (1 - r * r)
+    return np.array(out[::-1])
+
+
+def fit_arima_batch(ys: list[np.ndarray], order=(1, 1, 1), seasonal=(0, 0, 0, 0), exog: list[np.ndarray] | None = None,
+                    exog_future: list[np.ndarray] | None = None, steps: int = 10) -> list[dict | Exception]:
+    """ARIMA(p,d,q)(P,D,Q,s) with optional regressors of every series, by exact likelihood.
+
+    A constant is fitted only if nothing is differenced. Regressors are differenced like the target;
+    without ``exog_future`` (levels, one row per step) they stay at their last values."""
+    model = statespace.Model(order, seasonal)
+    d, D, s = model.d, model.D, model.s
+    constant = d + D == 0
+    out: list = [None] * len(ys)
+    kept, zs, futures, starts = [], [], [], []
+    for i, y in enumerate(ys):
+        z = _difference(np.asarray(y, dtype=float), d, D, s)
+        cols, future = [], []
+        if constant:
+            cols.append(np.ones(len(z)))
+            future.append(np.ones(steps))
+        if exog is not None:
+            ahead = np.repeat(exog[i][-1:], steps, axis=0) if exog_future is None else np.asarray(exog_future[i], dtype=float)[:steps]
+            for c in np.vstack([exog[i], ahead]).T:
+                both = _difference(c, d, D, s)
+                cols.append(both[:len(z)])
+                future.append(both[len(z):])
+        if len(z) < model.k + len(cols) + 2:
+            out[i] = ValueError("series too short for the model order")
+            continue
+        start = np.zeros((2, model.k))
+        try:
+            t = fit_arima_hr(np.asarray(y, dtype=float), order, seasonal, None if exog is None else exog[i], None, 0)["terms"]
+            first = lambda name, n, m: [t.get(f"{name}.L{(j + 1) * m}", 0.0) for j in range(n)]
+            start[1] = np.concatenate([_partials(first("ar", model.p, 1)), _partials([-v for v in first("ma", model.q, 1)]),
+                                       _partials(first("ar", model.P, s)), _partials([-v for v in first("ma", model.Q, s)])])
+        except (ValueError, np.linalg.LinAlgError):
+            pass
+        kept.append(i)
+        zs.append(np.column_stack([z, *cols]))
+        futures.append(np.column_stack(future) if future else np.zeros((steps, 0)))
+        starts.append(start)
+    if not kept:
+        return out
+    n = np.array([len(z) for z in zs])
+    z = np.zeros((len(zs), n.max(), zs[0].shape[1]))
+    scale = np.array([max(float(np.abs(x[:, 0]).max()), 1e-300) for x in zs])  # the variance is concentrated out
+    for i, x in enumerate(zs):
+        z[i, :len(x)] = x
+    z[:, :, 0] /= scale[:, None]
+    x, found = statespace.fit(model, z, n, np.nan_to_num(np.stack(starts)))
+    ahead = statespace.predict(found, np.stack(futures)) * scale[:, None]
+    terms = model.polynomials(x)[2]
+    for j, i in enumerate(kept):
+        beta = found["beta"][j] * scale[j]
+        sigma2 = float(found["sigma2"][j] * scale[j] ** 2)
+        flat = found["sigma2"][j] <= 1e-290
+        llf = math.inf if flat else float(found["llf"][j] - n[j] * math.log(scale[j]))
+        k = model.k + len(beta) + 1
+        fc = _undifference(np.asarray(ys[i], dtype=float), ahead[j], d, D, s) if (d or D) else ahead[j]
+        out[i] = {"forecast": fc, "terms": {**({"const": float(beta[0])} if constant else {}), **{t: float(v[j]) for t, v in terms.items()},
+                                            **{f"exog{c}": float(v) for c, v in enumerate(beta[int(constant):])}, "sigma2": 0.0 if flat else sigma2, "llf": llf,
+                                            "aic": -2 * llf + 2 * k, "bic": -2 * llf + math.log(n[j]) * k, "mse": float(found["mse"][j] * scale[j] ** 2)}}
+    return out
+
+
+def _hw_run(y, n, col, alpha, beta, gamma, trend, seasonal, m):
+    """One-step Holt-Winters recursion for arrays of series and smoothing constants at once.
 
-    Returns the squared one-step errors and the final (level, trend, season), one entry per constant."""
-    n = len(y)
+    ``y`` (time, series) padded, ``n`` lengths; entry i runs series ``col[i]`` with constant i. Returns the squared
+    one-step errors and the final (level, trend, season), one entry per constant."""
     ratio = lambda a, b, other: np.where(b != 0, a / np.where(b != 0, b, 1.0), other)
     if seasonal:
-        l0 = y[:m].mean()
-        b0 = (y[m:2 * m].mean() - y[:m].mean()) / m if trend else 0.0
-        s0 = (y[:m] - l0) if seasonal == "add" else (y[:m] / l0 if l0 != 0 else np.ones(m))
+        l0 = y[:m].mean(axis=0)
+        b0 = (y[m:2 * m].mean(axis=0) - l0) / m if trend else np.zeros_like(l0)
+        s0 = y[:m] - l0 if seasonal == "add" else np.where(l0 != 0, y[:m] / np.where(l0 != 0, l0, 1.0), 1.0)
     else:
         l0 = y[0]
-        b0 = (y[1] - y[0]) if (trend and n > 1) else 0.0
-        s0 = np.zeros(1)
-    level, slope, sse = np.full(len(alpha), l0), np.full(len(alpha), b0), np.zeros(len(alpha))
-    season = np.repeat(s0[:, None], len(alpha), axis=1)
-    for t in range(n):
+        b0 = np.where(n > 1, y[min(1, len(y) - 1)] - y[0], 0.0) if trend else np.zeros_like(l0)
+        s0 = np.zeros((1, len(l0)))
+    level, slope, sse, season, n = l0[col], b0[col], np.zeros(len(col)), s0[:, col], n[col]
+    for t in range(len(y)):
         at = t % m if seasonal else 0
+        on, x = t < n, y[t, col]
         base = level + slope if trend == "add" else (level * slope if trend == "mul" else level)
         old = season[at]
         guess = base + old if seasonal == "add" else (base * old if seasonal == "mul" else base)
-        sse += (y[t] - guess) ** 2
-        seen = y[t] - old if seasonal == "add" else (ratio(y[t], old, y[t]) if seasonal == "mul" else y[t])
+        sse += np.where(on, (x - guess) ** 2, 0.0)
+        seen = x - old if seasonal == "add" else (ratio(x, old, x) if seasonal == "mul" else x)
         new = alpha * seen + (1 - alpha) * base
         if trend == "add":
-            slope = beta * (new - level) + (1 - beta) * slope
+            slope = np.where(on, beta * (new - level) + (1 - beta) * slope, slope)
         elif trend == "mul":
-            slope = beta * ratio(new, level, 1.0) + (1 - beta) * slope
+            slope = np.where(on, beta * ratio(new, level, 1.0) + (1 - beta) * slope, slope)
         if seasonal == "add":
-            season[at] = gamma * (y[t] - new) + (1 - gamma) * old
+            season[at] = np.where(on, gamma * (x - new) + (1 - gamma) * old, old)
         elif seasonal == "mul":
-            season[at] = gamma * ratio(y[t], new, 1.0) + (1 - gamma) * old
-        level = new
+            season[at] = np.where(on, gamma * ratio(x, new, 1.0) + (1 - gamma) * old, old)
+        level = np.where(on, new, level)
     return sse, level, slope, season
 
 
-def fit_holt_winters(y: np.ndarray, trend: str | None = "add", seasonal: str | None = "add", m: int = 12,
-                     steps: int = 10, grid=(0.1, 0.3, 0.5, 0.7, 0.9)) -> dict:
-    """Holt-Winters with (alpha, beta, gamma) minimising one-step SSE over a grid (first on ties)."""
-    if trend == "mul" and np.any(y <= 0) or seasonal == "mul" and np.any(y <= 0):
-        raise ValueError("multiplicative components need positive data")
+def fit_holt_winters_batch(ys: list[np.ndarray], trend: str | None = "add", seasonal: str | None = "add", m: int = 12,
+                           steps: int = 10, grid=(0.1, 0.3, 0.5, 0.7, 0.9), refine: bool = True) -> list[dict | Exception]:
+    """Holt-Winters of every series with (alpha, beta, gamma) minimising the one-step SSE: the best point of a grid
+    (first on ties) and, with ``refine``, a compass search from there on [0, 1], whose step grows with each success and
+    shrinks to 1e-4, of at most ``MOST_MOVES`` moves."""
+    out: list = [None] * len(ys)
+    kept = []
+    for i, y in enumerate(ys):
+        if (trend == "mul" or seasonal == "mul") and np.any(y <= 0):
+            out[i] = ValueError("multiplicative components need positive data")
+        else:
+            kept.append(i)
+    if not kept:
+        return out
+    n = np.array([len(ys[i]) for i in kept])
+    y = np.zeros((n.max(), len(kept)))
+    for j, i in enumerate(kept):
+        y[:n[j], j] = ys[i]
     points = np.array([(a, b, g) for a in grid for b in (grid if trend else (0.0,)) for g in (grid if seasonal else (0.0,))])
-    every, levels, slopes, seasons = _hw_run(y, *points.T, trend, seasonal, m)
-    best = int(np.argmin(every))
-    (a, b, g), sse, lvl, tr, season = points[best], every[best], levels[best], slopes[best], seasons[:, best]
-    n = len(y)
-    fc = []
-    for h in range(1, steps + 1):
-        base = lvl + h * tr if trend == "add" else (lvl * tr ** h if trend == "mul" else lvl)
-        at = (n + h - 1) % m if seasonal else 0
-        fc.append(base + season[at] if seasonal == "add" else (base * season[at] if seasonal == "mul" else base))
-    k = 1 + (trend is not None) + (seasonal is not None)
-    aic = n * math.log(sse / n) + 2 * k if sse > 0 else float("-inf")
-    return {"forecast": np.array(fc), "terms": {"smoothing_level": a, "smoothing_trend": b if trend else None,
-                                                "smoothing_seasonal": g if seasonal else None,
-                                                "sse": sse, "aic": aic, "mse": sse / n}}
+    every = np.arange(len(kept))
+    with np.errstate(over="ignore", invalid="ignore"):
+        run = lambda col, x: _hw_run(y, n, col, *x.T, trend, seasonal, m)
+        sse = np.nan_to_num(run(np.repeat(every, len(points)), np.tile(points, (len(kept), 1)))[0].reshape(len(kept), -1), nan=np.inf)
+        x, best = points[sse.argmin(axis=1)], sse.min(axis=1)
+        free = np.flatnonzero([True, bool(trend), bool(seasonal)])
+        moves = np.concatenate([np.eye(3)[free], -np.eye(3)[free]])
+        step = np.full(len(kept), 0.1)
+        for _ in range(MOST_MOVES if refine else 0):
+            todo = np.flatnonzero(step > 1e-4)
+            if not len(todo):
+                break
+            trial = (x[todo, None] + step[todo, None, None] * moves).clip(0, 1)
+            f = np.nan_to_num(run(np.repeat(todo, len(moves)), trial.reshape(-1, 3))[0].reshape(len(todo), -1), nan=np.inf)
+            at = f.argmin(axis=1)
+            got = f[np.arange(len(todo)), at]
+            better = got < best[todo] * (1 - 1e-7)
+            x[todo[better]], best[todo[better]] = trial[better, at[better]], got[better]
+            step[todo] = np.where(better, np.minimum(step[todo] * 2, 0.2), step[todo] / 4)
+        sse, level, slope, season = run(every, x)
+    for j, i in enumerate(kept):
+        fc = []
+        for h in range(1, steps + 1):
+            base = level[j] + h * slope[j] if trend == "add" else (level[j] * slope[j] ** h if trend == "mul" else level[j])
+            at = (n[j] + h - 1) % m if seasonal else 0
+            fc.append(base + season[at, j] if seasonal == "add" else (base * season[at, j] if seasonal == "mul" else base))
+        k = 1 + (trend is not None) + (seasonal is not None)
+        aic = n[j] * math.log(sse[j] / n[j]) + 2 * k if sse[j] > 0 else float("-inf")
+        out[i] = {"forecast": np.array(fc), "terms": {"smoothing_level": x[j, 0], "smoothing_trend": x[j, 1] if trend else None,
+                                                      "smoothing_seasonal": x[j, 2] if seasonal else None, "sse": sse[j], "aic": aic, "mse": sse[j] / n[j]}}
+    return out
 
 
 # ------------------------------------------------------------------ Spark wrappers
@@ -206,7 +312,8 @@ OFFSETS = {"D": pd.offsets.Day, "B": pd.offsets.BusinessDay, "W": pd.offsets.Wee
 def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), model: str = "arima",
                     steps: int = 10, freq: str = "D", order=(1, 1, 1), seasonal_order=(1, 1, 1, 12),
                     exog_cols=(), trend="add", seasonal="add", seasonal_periods: int = 12,
-                    fill: str = "interpolate") -> tuple[DataFrame, DataFrame]:
+                    fill: str = "interpolate", refine: bool = True,
+                    grid=(0.1, 0.3, 0.5, 0.7, 0.9)) -> tuple[DataFrame, DataFrame]:
     """Fit one model per series and forecast ``steps`` periods.
 
     model: arima (>= 5 points), sarima (>= 10), sarimax (+ exog columns, which must exist),
@@ -214,8 +321,8 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
     only with >= 2 x period). Returns (forecasts, coefficients); a series that cannot be fit
     contributes an ``error`` coefficient row instead of forecasts.
 
-    ``key_cols`` name the series: each is one group of ``applyInPandas``, so there is no model of
-    a whole table in one task. ``freq`` is one of D, B, W, M, Q, Y.
+    ``key_cols`` name the series: each is one row of its points, so there is no model of
+    a whole table in one task. ``refine=False`` keeps the smoothing constants on their ``grid``. ``freq`` is one of D, B, W, M, Q, Y.
     """
     keys = list(key_cols)
     if not keys:
@@ -228,51 +335,57 @@ def forecast_series(df: DataFrame, date_col: str, value_col: str, key_cols=(), m
     sel = df.select(*keys, F.col(date_col).cast("date").alias("__d"), F.col(value_col).cast("double").alias("__y"),
                     *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(exog_cols)])
     types = dict(sel.dtypes)
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__d")
-        key = {k: pdf[k].iloc[0] for k in keys}
-        y = pdf["__y"].to_numpy(dtype=float)
-        last = pdf["__d"].iloc[-1]
-        try:
-            if model == "holt_winters":
-                yy = y[~np.isnan(y)]
-                if len(yy) < 2 * seasonal_periods:
-                    raise ValueError(f"needs {2 * seasonal_periods} points, has {len(yy)}")
-                res = fit_holt_winters(yy, trend, seasonal, seasonal_periods, steps)
-            elif model == "exp_smoothing":
-                yy = _fill_gaps(y)
-                if len(yy) < 5:
-                    raise ValueError("needs 5 points")
-                seas = seasonal if len(yy) >= 2 * seasonal_periods else None
-                res = fit_holt_winters(yy, trend, seas, seasonal_periods, steps)
+    points = F.sort_array(F.collect_list(F.struct("__d", "__y", *[f"__x{i}" for i in range(len(exog_cols))])))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # few rows, much work: not coalesced
+    series = sel.repartition(tasks, *keys).groupBy(*keys).agg(points.alias("__s")).select(*keys, F.array_max("__s.__d").alias("__last"), F.col("__s.__y").alias("__y"),
+                                                                *[F.col(f"__s.__x{i}").alias(f"__x{i}") for i in range(len(exog_cols))])
+
+    def fit(ys: list[np.ndarray], exogs: list[np.ndarray] | None) -> list[dict | Exception]:
+        """One result or error per series."""
+        out: list = [None] * len(ys)
+        deals: dict = {}
+        for i, y in enumerate(ys):
+            y = y[~np.isnan(y)] if model == "holt_winters" else _fill_gaps(y)
+            need = {"holt_winters": 2 * seasonal_periods, "arima": 5, "exp_smoothing": 5}.get(model, 10)
+            if len(y) < need or np.isnan(y).any():
+                out[i] = ValueError(f"needs {need} points, has {len(y)}")
+                continue
+            season = seasonal if model == "holt_winters" or len(y) >= 2 * seasonal_periods else None
+            deals.setdefault(season, []).append((i, y))
+        for season, mine in deals.items():
+            values = [y for _, y in mine]
+            if model in ("holt_winters", "exp_smoothing"):
+                found = fit_holt_winters_batch(values, trend, season, seasonal_periods, steps, grid, refine)
             else:
-                yy = _fill_gaps(y)
-                need = 5 if model == "arima" else 10
-                if len(yy) < need:
-                    raise ValueError(f"needs {need} points, has {len(yy)}")
-                so = (0, 0, 0, 0) if model == "arima" else seasonal_order
-                ex = None
-                if model == "sarimax" and exog_cols:
-                    ex = np.column_stack([_fill_gaps(pdf[f"__x{i}"].to_numpy(dtype=float))
-                                          for i in range(len(exog_cols))])
-                res = fit_arima_hr(yy, order, so, ex, None, steps)
-        except Exception as e:  # noqa: BLE001 - per-series error capture
-            row = {**key, "kind": "coef", "step": None, "date": None, "value": None, "term": "error",
-                   "note": str(e)[:200]}
-            return pd.DataFrame([row])
-        rows = []
-        for h, v in enumerate(res["forecast"], start=1):
-            dt = (pd.Timestamp(last) + OFFSETS[freq](h)).date()
-            rows.append({**key, "kind": "forecast", "step": h, "date": dt, "value": float(v), "term": None,
-                         "note": None})
-        for t, v in res["terms"].items():
-            rows.append({**key, "kind": "coef", "step": None, "date": None,
-                         "value": None if v is None else float(v), "term": t, "note": None})
-        return pd.DataFrame(rows)
+                ex = [exogs[i] for i, _ in mine] if model == "sarimax" and exog_cols else None
+                found = fit_arima_batch(values, order, (0, 0, 0, 0) if model == "arima" else seasonal_order, ex, None, steps)
+            for (i, _), r in zip(mine, found, strict=True):
+                out[i] = r
+        return out
+
+    def per_batch(frames):
+        for pdf in frames:
+            for a in range(0, len(pdf), BATCH):
+                part = pdf.iloc[a:a + BATCH]
+                ys = [np.array(v, dtype=float) for v in part["__y"]]
+                exogs = [np.column_stack([_fill_gaps(np.array(part[f"__x{i}"].iloc[j], dtype=float)) for i in range(len(exog_cols))])
+                         for j in range(len(part))] if exog_cols else None
+                rows = []
+                for j, res in enumerate(fit(ys, exogs)):
+                    key = {k: part[k].iloc[j] for k in keys}
+                    if isinstance(res, Exception):
+                        rows.append({**key, "kind": "coef", "step": None, "date": None, "value": None, "term": "error", "note": str(res)[:200]})
+                        continue
+                    for h, v in enumerate(res["forecast"], start=1):
+                        dt = (pd.Timestamp(part["__last"].iloc[j]) + OFFSETS[freq](h)).date()
+                        rows.append({**key, "kind": "forecast", "step": h, "date": dt, "value": float(v), "term": None, "note": None})
+                    for t, v in res["terms"].items():
+                        rows.append({**key, "kind": "coef", "step": None, "date": None, "value": None if v is None else float(v), "term": t, "note": None})
+                yield pd.DataFrame(rows)
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [
         "kind string", "step int", "date date", "value double", "term string", "note string"])
-    out = sel.groupBy(*keys).applyInPandas(per_series, schema)
+    out = series.mapInPandas(per_batch, schema)
     fc = out.where(F.col("kind") == "forecast").select(*keys, "step", F.col("date").alias(date_col),
                                                       F.col("value").alias("forecast"))
     coef = out.where(F.col("kind") == "coef").select(*keys, "term", "value", "note")

@@ -57,6 +57,21 @@ def q_forecast_exp_smoothing(spark, sf):
     return rnd(fc, 6)
 
 
+@register("forecast_smoothing_fixed", "WITH RECURSIVE " + T.SQL_DAILY_EVENTS + """,
+s AS (SELECT event_type, ds, value, row_number() OVER (PARTITION BY event_type ORDER BY ds) AS t FROM daily_events WHERE value IS NOT NULL),
+r AS (SELECT a.event_type, 0 AS t, a.value AS level, b.value - a.value AS slope FROM s a JOIN s b ON b.event_type = a.event_type AND a.t = 1 AND b.t = 2
+  UNION ALL SELECT r.event_type, s.t, 0.3 * s.value + 0.7 * (level + slope), 0.3 * (0.3 * s.value + 0.7 * (level + slope) - level) + 0.7 * slope
+  FROM r JOIN s ON s.event_type = r.event_type AND s.t = r.t + 1),
+e AS (SELECT event_type, level, slope FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY t DESC) = 1),
+d AS (SELECT event_type, max(ds) AS last FROM s GROUP BY event_type)
+SELECT event_type, CAST(h AS INTEGER) AS step, CAST(d.last + CAST(h AS INTEGER) AS DATE) AS ds, round(level + h * slope, 6) AS forecast
+FROM e JOIN d USING (event_type), range(1, 11) x(h)""")
+def q_forecast_smoothing_fixed(spark, sf):
+    fc, _ = FC.forecast_series(_events(spark, sf), "ds", "value", ("event_type",), "holt_winters", steps=10, trend="add",
+                               seasonal=None, seasonal_periods=1, grid=(0.3,), refine=False)
+    return rnd(fc, 6)
+
+
 @register("forecast_future")
 def q_forecast_future(spark, sf):
     info = L.forecast_ml_train(T.daily_sales(spark, sf), "ds", "sales", "random_forest")
