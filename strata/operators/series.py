@@ -286,16 +286,30 @@ ADF_CRIT_C = {
 }
 
 
+#: MacKinnon's published response surface of the p-value, with a constant.
+ADF_SURFACE = {"min": -18.83, "star": -1.61, "max": 2.74,
+               "small": [2.1659, 1.4412, 0.038269], "large": [1.7339, 0.93202, -0.12745, -0.010368]}
+
+
+def adf_p_value(stat: float) -> float:
+    """Approximate p-value of the Dickey-Fuller statistic with a constant."""
+    if stat > ADF_SURFACE["max"]:
+        return 1.0
+    if stat < ADF_SURFACE["min"]:
+        return 0.0
+    z = sum(c * stat ** i for i, c in enumerate(ADF_SURFACE["small" if stat <= ADF_SURFACE["star"] else "large"]))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
 def adf_stationarity(df: DataFrame, order_col: str, value_col: str, partition_cols=(),
                      maxlag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, lag by AIC.
 
-    Per series (``applyInPandas``): regress dy_t on (1, y_{t-1}, dy_{t-1..t-p}) for
-    p = 0..maxlag on a common sample, pick p by AIC, refit, report the t statistic of
-    y_{t-1}. ``stationary`` means the statistic is below the 5 % MacKinnon critical
-    value (equivalent to p <= 0.05); constant series or fewer than 3 points count as
-    stationary with null statistics. Numerics follow the textbook test, not a library.
-    """
+    Per series (``applyInPandas``), dy_t on (1, y_{t-1}, dy_{t-1..t-p}) for p = 0..maxlag on a common sample: one
+    Gram matrix of all columns gives every lag's regression as a leading part of it. The lag of the least
+    AIC is fitted again on its own sample; reported are the t statistic of y_{t-1}, the critical values and the
+    p-value of the published response surface. ``stationary`` means p <= 0.05; constant series or
+    fewer than 3 points count as stationary with null statistics."""
     keys = list(partition_cols)
     s = df.where(F.col(value_col).isNotNull()).select(*keys, order_col, F.col(value_col).cast("double").alias("v"))
 
@@ -305,47 +319,47 @@ def adf_stationarity(df: DataFrame, order_col: str, value_col: str, partition_co
         n = len(y)
         row = {k: pdf[k].iloc[0] for k in keys}
         if n < 3 or np.all(y == y[0]):
-            row.update(n=n, adf_stat=None, used_lag=None, crit_1=None, crit_5=None, crit_10=None,
-                       stationary=True)
+            row.update(n=n, adf_stat=None, p_value=None, used_lag=None, crit_1=None, crit_5=None, crit_10=None, stationary=True)
             return pd.DataFrame([row])
         ml = maxlag if maxlag is not None else int(math.ceil(12 * (n / 100.0) ** 0.25))
         ml = max(0, min(ml, n // 2 - 2))
-        dy = np.diff(y)
+        dy, level = np.diff(y), y - y.mean()  # the constant takes the mean up
+        dy, level = dy / dy.std() if dy.std() else dy, level / level.std()  # the statistic is free of scale
+
+        def gram(p: int) -> tuple[np.ndarray, int]:
+            idx = np.arange(p, len(dy))
+            x = np.column_stack([np.ones(len(idx)), level[idx], *[dy[idx - j] for j in range(1, p + 1)], dy[idx]])
+            return x.T @ x, len(idx)
+
+        def regression(g: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, float]:
+            """(coefficients, inverse, residual sum of squares) with p lags, from the leading columns of a Gram matrix."""
+            inv = np.linalg.pinv(g[:p + 2, :p + 2], hermitian=True)
+            beta = inv @ g[:p + 2, -1]
+            return beta, inv, max(float(g[-1, -1] - beta @ g[:p + 2, -1]), 0.0)
+
+        g, size = gram(ml)
         best = None
-        T = len(dy) - ml
         for p in range(ml + 1):
-            if T <= p + 2:
+            if size <= p + 2:
                 break
-            idx = np.arange(ml, len(dy))
-            X = [np.ones(T), y[idx]]
-            for j in range(1, p + 1):
-                X.append(dy[idx - j])
-            X = np.column_stack(X)
-            beta, *_ = np.linalg.lstsq(X, dy[idx], rcond=None)
-            rss = float(np.sum((dy[idx] - X @ beta) ** 2))
-            aic = T * math.log(rss / T) + 2 * X.shape[1] if rss > 0 else -np.inf
+            rss = regression(g, p)[2]
+            aic = size * math.log(rss / size) + 2 * (p + 2) if rss > 1e-14 * g[-1, -1] else -np.inf
             if best is None or aic < best[0]:
                 best = (aic, p)
         p = best[1] if best else 0
-        idx = np.arange(p, len(dy))
-        Tp = len(idx)
-        X = [np.ones(Tp), y[idx]] + [dy[idx - j] for j in range(1, p + 1)]
-        X = np.column_stack(X)
-        beta, *_ = np.linalg.lstsq(X, dy[idx], rcond=None)
-        resid = dy[idx] - X @ beta
-        dof = max(Tp - X.shape[1], 1)
-        s2 = float(resid @ resid) / dof
-        cov = s2 * np.linalg.pinv(X.T @ X)
-        se = math.sqrt(cov[1, 1]) if cov[1, 1] > 0 else float("nan")
-        stat = float(beta[1] / se) if se == se and se > 0 else None
-        crit = {k: c[0] + c[1] / Tp + c[2] / Tp ** 2 + c[3] / Tp ** 3 for k, c in ADF_CRIT_C.items()}
-        row.update(n=n, adf_stat=stat, used_lag=p, crit_1=crit["1%"], crit_5=crit["5%"], crit_10=crit["10%"],
-                   stationary=bool(stat is not None and stat <= crit["5%"]))
+        g, size = gram(p)
+        beta, inv, rss = regression(g, p)
+        var = rss / max(size - p - 2, 1) * inv[1, 1]
+        stat = float(beta[1] / math.sqrt(var)) if var > 0 else None
+        crit = {k: c[0] + c[1] / size + c[2] / size ** 2 + c[3] / size ** 3 for k, c in ADF_CRIT_C.items()}
+        p_value = None if stat is None else adf_p_value(stat)
+        row.update(n=n, adf_stat=stat, p_value=p_value, used_lag=p, crit_1=crit["1%"], crit_5=crit["5%"], crit_10=crit["10%"],
+                   stationary=bool(p_value is not None and p_value <= 0.05))
         return pd.DataFrame([row])
 
     types = dict(s.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [
-        "n long", "adf_stat double", "used_lag int", "crit_1 double", "crit_5 double", "crit_10 double",
+        "n long", "adf_stat double", "p_value double", "used_lag int", "crit_1 double", "crit_5 double", "crit_10 double",
         "stationary boolean"])
     g = s if keys else s.withColumn("__g", F.lit(0))
     return g.groupBy(*(keys or ["__g"])).applyInPandas(

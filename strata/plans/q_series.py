@@ -152,6 +152,16 @@ def q_dominant_cycle(spark, sf):
                     "cycle_detected")
 
 
+@register("adf_fixed_lag", _with(T.SQL_DAILY_EVENTS) + """,
+s AS (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY ds) AS l FROM daily_events WHERE value IS NOT NULL),
+f AS (SELECT event_type, COUNT(*) AS n, regr_slope(value - l, l) AS b, regr_sxx(value - l, l) AS sxx, regr_syy(value - l, l) AS syy, regr_sxy(value - l, l) AS sxy
+  FROM s WHERE l IS NOT NULL GROUP BY event_type)
+SELECT event_type, n + 1 AS n, CAST(0 AS INTEGER) AS used_lag, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS adf_stat FROM f""")
+def q_adf_fixed_lag(spark, sf):
+    a = SE.adf_stationarity(T.daily_events(spark, sf), "ds", "value", partition_cols=("event_type",), maxlag=0)
+    return a.select("event_type", "n", "used_lag", F.round("adf_stat", 6).alias("adf_stat"))
+
+
 @register("adf_stationarity")
 def q_adf_stationarity(spark, sf):
     return SE.adf_stationarity(T.daily_events(spark, sf), "ds", "value", partition_cols=("event_type",))

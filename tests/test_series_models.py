@@ -188,3 +188,26 @@ def test_smoothing_search_beats_its_grid():
             alone = FC.fit_holt_winters_batch([y], trend, season, 12, 5)[0]
             assert np.allclose(alone["forecast"], a["forecast"]) and all(0 <= a["terms"][k] <= 1 for k in ("smoothing_level",))
     assert isinstance(FC.fit_holt_winters_batch([np.array([1.0, -1, 2, 3])], None, "mul", 2, 1)[0], ValueError)
+
+
+def test_adf_statistic_and_p_value(spark):
+    """Against plain least squares per lag, and the known 1, 5 and 10 % points."""
+    from strata.operators import series as SE
+    assert [round(SE.adf_p_value(t), 3) for t in (-3.43, -2.86, -2.57)] == [0.01, 0.05, 0.099]
+    assert SE.adf_p_value(3) == 1 and SE.adf_p_value(-30) == 0 and 0.95 < SE.adf_p_value(0.0) < 0.97
+    rng = np.random.default_rng(0)
+    ar = np.zeros(300)
+    for t in range(1, 300):
+        ar[t] = 0.5 * ar[t - 1] + rng.normal()
+    series = {"walk": np.cumsum(rng.normal(size=300)) + 1e6, "ar": ar + 1e5, "flat": np.full(20, 3.0)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, y in series.items() for i, v in enumerate(y)], "k string, t int, v double")
+    got = {r["k"]: r for r in SE.adf_stationarity(df, "t", "v", partition_cols=("k",)).collect()}
+    assert got["ar"]["stationary"] and not got["walk"]["stationary"] and got["flat"]["p_value"] is None
+    for k in ("walk", "ar"):
+        y, p = series[k], got[k]["used_lag"]
+        dy = np.diff(y)
+        idx = np.arange(p, len(dy))
+        x = np.column_stack([np.ones(len(idx)), y[idx] - y.mean()] + [dy[idx - j] for j in range(1, p + 1)])
+        beta, rss, *_ = np.linalg.lstsq(x, dy[idx], rcond=None)
+        se = np.sqrt(rss[0] / (len(idx) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        assert np.isclose(got[k]["adf_stat"], beta[1] / se)
