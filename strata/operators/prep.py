@@ -114,58 +114,105 @@ def impute_auto(df: DataFrame, order_col: str | None = None, **kw) -> tuple[str,
     return strategy, impute_model(df)
 
 
-def impute_iterative(df: DataFrame, cols=None, max_iter: int = 10, reg: float = 1e-6, tol: float = 1e-3) -> DataFrame:
-    """I4: round-robin regression imputation (ridge via Gram matrices).
-
-    Start from column means; each round, for every column with nulls (fewest missing
-    first) fit y ~ other columns on the rows where y is observed, using the Gram matrix
-    X'X and X'y from one aggregate, and replace the missing cells with predictions.
-    The reference uses Bayesian ridge, so values are close to, not equal to, its output.
-    Lineage is cut each round with ``checkpoint`` in the cluster checkpoint folder.
-    """
-    from strata.session import checkpoint_dir
+MOST_PATTERNS = 4096  # of missing columns; each is one row of k * k / 2 sums on the driver
+
+
+def _bayes_ridge(g: np.ndarray, n: float, y: int, xs: list[int]) -> np.ndarray:
+    """(intercept, coefficients) of Bayesian ridge regression from a Gram matrix of (1, columns), by the usual
+    evidence updates: noise and weight precision with flat priors, until the coefficients move by
+    less than 1e-3 in sum, at most 300 rounds."""
+    mean = g[0] / n
+    c = g - n * np.outer(mean, mean)  # centred
+    xx, xy, yy = c[np.ix_(xs, xs)], c[xs, y], c[y, y]
+    eig, vec = np.linalg.eigh((xx + xx.T) / 2)
+    eig = np.maximum(eig, 0.0)
+    turned = vec.T @ xy
+    noise, weight = 1.0 / (yy / n + np.finfo(float).eps), 1.0
+    tiny, old = 1e-6, None
+    solve = lambda: vec @ np.where(eig + weight / noise > 0, turned / np.maximum(eig + weight / noise, 1e-300), 0.0)
+    for _ in range(300):
+        w = solve()
+        rss = max(float(yy - 2 * w @ xy + w @ xx @ w), 0.0)
+        used = float(np.sum(noise * eig / (weight + noise * eig)))
+        weight = (used + 2 * tiny) / (float(w @ w) + 2 * tiny)
+        noise = (n - used + 2 * tiny) / (rss + 2 * tiny)
+        if old is not None and np.abs(w - old).sum() < 1e-3:
+            break
+        old = w
+    w = solve()
+    return np.concatenate([[mean[y] - mean[xs] @ w], w])
+
+
+def impute_iterative(df: DataFrame, cols=None, max_iter: int = 10, tol: float = 1e-3) -> DataFrame:
+    """I4: round-robin regression imputation by Bayesian ridge, on sufficient statistics.
+
+    Start from column means; each round, for every column with nulls (fewest missing first), regress it on
+    the other columns over the rows where it is observed and replace its missing cells, until no column's
+    missing cells move by more than ``tol`` of its size (root mean square), at most ``max_iter`` rounds.
+
+    Rows with the same missing columns are all completed by one affine map of their observed values, so the Gram
+    matrix of the completed rows follows from that of the observed ones. Two jobs do for all columns and
+    rounds: means and deviations, and one Gram matrix per missing pattern (a partial aggregate); the
+    rounds run on the driver on these matrices, and a last projection applies each pattern's map. More than
+    ``MOST_PATTERNS`` patterns are refused. A column without any value stays null."""
     cols = _num_cols(df, cols)
-    miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    targets = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], cols.index(c)))
-    if not targets:
-        return df
-    checkpoint_dir(df.sparkSession)
-    flags = {c: F.col(c).isNull().alias(f"__miss_{c}") for c in targets}
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    cur = df.select("*", *flags.values())
-    cur = _apply(cur, {c: F.coalesce(F.col(c), F.lit(means[c])) for c in targets})
-    prev = None
-    for it in range(max_iter):
-        for y in targets:
-            xs = [c for c in cols if c != y]
-            obs = cur.where(~F.col(f"__miss_{y}"))
-            terms = [F.lit(1.0)] + [F.col(c).cast("double") for c in xs]
-            k = len(terms)
-            aggs = []
-            for i in range(k):
-                for j in range(i, k):
-                    aggs.append(F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}"))
-                aggs.append(F.sum(terms[i] * F.col(y)).alias(f"b{i}"))
-            r = obs.agg(*aggs).first()
-            G = np.zeros((k, k))
-            b = np.zeros(k)
-            for i in range(k):
-                for j in range(i, k):
-                    G[i, j] = G[j, i] = r[f"g{i}_{j}"] or 0.0
-                b[i] = r[f"b{i}"] or 0.0
-            G[1:, 1:] += reg * np.eye(k - 1) * max(1.0, np.trace(G) / k)
-            beta = np.linalg.lstsq(G, b, rcond=None)[0]
-            pred = F.lit(float(beta[0]))
-            for c, w in zip(xs, beta[1:]):
-                pred = pred + F.lit(float(w)) * F.col(c)
-            cur = _apply(cur, {y: F.when(F.col(f"__miss_{y}"), pred).otherwise(F.col(y))})
-        cur = cur.checkpoint(eager=True)
-        stats = cur.agg(*[F.avg(F.when(F.col(f"__miss_{c}"), F.col(c))).alias(c) for c in targets]).first().asDict()
-        if prev is not None and all(abs((stats[c] or 0) - (prev[c] or 0)) <= tol * (abs(prev[c] or 0) + 1e-12)
-                                    for c in targets):
+    x = [F.col(c).cast("double") for c in cols]
+    first = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("n", F.count))], F.count(F.lit(1)).alias("rows")).first()
+    known = [i for i in range(len(cols)) if first[f"n{i}"]]
+    targets = sorted((i for i in known if first[f"n{i}"] < first["rows"]), key=lambda i: -first[f"n{i}"])
+    if not targets or len(known) < 2:
+        return _apply(df, {cols[i]: F.coalesce(x[i], F.lit(first[f"m{i}"])) for i in targets}) if targets else df
+    k = len(known)
+    mean = np.array([first[f"m{i}"] for i in known])
+    size = np.array([first[f"s{i}"] or 1.0 for i in known])
+    missing = F.concat(*[F.when(x[i].isNull(), "1").otherwise("0") for i in known])
+    z = [F.lit(1.0)] + [F.coalesce((x[i] - F.lit(float(m))) / F.lit(float(s)), F.lit(0.0)) for i, m, s in zip(known, mean, size, strict=True)]
+    names = [f"z{i}" for i in range(k + 1)]
+    rows = df.select(missing.alias("p"), *[c.alias(n) for c, n in zip(z, names, strict=True)]).groupBy("p").agg(
+        *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of missing columns")
+    grams, maps = {}, {}
+    for r in rows:
+        g = np.zeros((k + 1, k + 1))
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+        grams[r["p"]] = g
+        maps[r["p"]] = np.eye(k + 1)  # observed and centred (a missing cell is 0, its mean) -> completed
+    scale = np.diag(np.concatenate([[1.0], size]))  # the prior is not free of scale: fit in the columns' own units
+    for _ in range(max_iter):
+        moved = 0.0
+        for t in targets:
+            y = known.index(t) + 1
+            xs = [j for j in range(1, k + 1) if j != y]
+            g = sum((maps[p] @ grams[p] @ maps[p].T for p in grams if p[y - 1] == "0"), np.zeros((k + 1, k + 1)))
+            beta = _bayes_ridge(scale @ g @ scale, g[0, 0], y, xs)
+            row = np.zeros(k + 1)
+            row[[0, *xs]] = np.concatenate([[beta[0]], beta[1:] * size[[j - 1 for j in xs]]]) / size[y - 1]
+            change = n = 0.0
+            for p in grams:
+                if p[y - 1] == "1":
+                    new = row @ maps[p]
+                    d = new - maps[p][y]
+                    change, n = change + float(d @ grams[p] @ d), n + grams[p][0, 0]
+                    maps[p][y] = new
+            moved = max(moved, math.sqrt(max(change, 0.0) / n))
+        if moved <= tol:
             break
-        prev = stats
-    return cur.drop(*[f"__miss_{c}" for c in targets])
+    filled = {}
+    for t in targets:
+        y = known.index(t) + 1
+        cases = None
+        for p in grams:
+            if p[y - 1] == "1":
+                value = F.lit(float(mean[y - 1] + size[y - 1] * maps[p][y][0]))
+                for j in range(1, k + 1):
+                    if p[j - 1] == "0":
+                        value = value + F.lit(float(maps[p][y][j] * size[y - 1])) * z[j]
+                cases = F.when(missing == p, value) if cases is None else cases.when(missing == p, value)
+        filled[cols[t]] = F.coalesce(x[t], cases)
+    return _apply(df, filled)
 
 
 def missing_indicator(df: DataFrame, cols: list[str], suffix: str = "_missing") -> DataFrame:

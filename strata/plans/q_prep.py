@@ -70,6 +70,19 @@ def q_impute_iterative(spark, sf):
     return PR.impute_iterative(d, cols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+@register("impute_iterative_two_columns", "WITH RECURSIVE " + T.SQL_LINEITEM_NULLS + """,
+s AS (SELECT COUNT(l_quantity) AS n, avg(l_quantity) AS my, avg(l_extendedprice) FILTER (l_quantity IS NOT NULL) AS mx,
+  regr_sxx(l_quantity, l_extendedprice) AS xx, regr_sxy(l_quantity, l_extendedprice) AS xy, regr_syy(l_quantity, l_extendedprice) AS yy FROM lineitem_nulls),
+it AS (SELECT 0 AS i, 1.0 / (yy / n + 2.220446049250313e-16) AS noise, CAST(1.0 AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS w, false AS done FROM s
+  UNION ALL SELECT i + 1, (n - used + 2e-6) / (greatest(yy - 2 * c * xy + c * c * xx, 0) + 2e-6), (used + 2e-6) / (c * c + 2e-6), c, coalesce(abs(c - w) < 1e-3, false)
+  FROM (SELECT i, w, xy / (xx + weight / noise) AS c, noise * xx / (weight + noise * xx) AS used FROM it, s WHERE NOT done AND i < 300), s),
+fit AS (SELECT xy / (xx + weight / noise) AS c FROM it, s ORDER BY i DESC LIMIT 1)
+SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, my + c * (l_extendedprice - mx)), 6) AS l_quantity, l_extendedprice FROM lineitem_nulls, s, fit""")
+def q_impute_iterative_two_columns(spark, sf):
+    d = T.lineitem_nulls(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return rnd(PR.impute_iterative(d, cols=["l_quantity", "l_extendedprice"]), 6)
+
+
 @register("missing_indicator", _with(T.SQL_LINEITEM_NULLS) + """
 SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag,
   CAST(l_quantity IS NULL AS INTEGER) AS l_quantity_missing, CAST(l_tax IS NULL AS INTEGER) AS l_tax_missing

@@ -298,3 +298,33 @@ def test_forest_queries_run_the_operators_defaults(spark, sf, monkeypatch):
         with pytest.raises(Asked) as e:
             query(spark, sf)
         assert e.value.args == ({},)
+
+
+def test_iterative_imputation_equals_a_plain_loop(spark):
+    """Rows completed one by one, the regressions on whole matrices."""
+    rng = np.random.default_rng(9)
+    n = 400
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) * [1, 100, 0.01, 5] + [3, 5000, 0, -20]
+    x[rng.random((n, 4)) < [0.1, 0.0, 0.2, 0.05]] = np.nan
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
+    got = PR.impute_iterative(df, ["a", "b", "c", "d"]).toPandas().sort_values("id")[["a", "b", "c", "d"]].to_numpy()
+    gone = np.isnan(x)
+    want = np.where(gone, np.nanmean(x, axis=0), x)
+    for _ in range(10):
+        before = want.copy()
+        for y in sorted(np.flatnonzero(gone.any(axis=0)), key=lambda j: gone[:, j].sum()):
+            xs = [j for j in range(4) if j != y]
+            m = np.column_stack([np.ones(n), want])[~gone[:, y]]
+            beta = PR._bayes_ridge(m.T @ m, len(m), y + 1, [j + 1 for j in xs])
+            want[gone[:, y], y] = beta[0] + want[gone[:, y]][:, xs] @ beta[1:]
+        if max(np.sqrt(((want - before)[gone[:, j], j] ** 2).mean()) / np.nanstd(x[:, j]) for j in (0, 2, 3)) <= 1e-3:
+            break
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-8)
+    ols = np.linalg.lstsq(np.column_stack([np.ones(n), want[:, [1, 2, 3]]])[~gone[:, 0]], x[~gone[:, 0], 0], rcond=None)[0]
+    assert np.allclose(np.column_stack([np.ones(n), want[:, [1, 2, 3]]])[gone[:, 0]] @ ols, got[gone[:, 0], 0], atol=0.05 * np.nanstd(x[:, 0]))
+
+
+def test_iterative_imputation_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, None, None), (None, None, None), (3.0, None, None)], "a double, b double, c double")
+    assert [tuple(r) for r in PR.impute_iterative(df, ["a", "b", "c"]).collect()] == [(1.0, None, None), (2.0, None, None), (3.0, None, None)]
+    assert PR.impute_iterative(df.limit(0), ["a", "b"]).count() == 0
