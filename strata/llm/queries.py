@@ -102,19 +102,27 @@ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT do
 dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY doc_id),
 words AS (SELECT doc_id, lang, unnest(ws) AS x FROM w),
-top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS i FROM words GROUP BY lang, x QUALIFY i <= 16),
+sym AS (SELECT doc_id, count(*) AS c FROM words WHERE NOT regexp_matches(x, '[\p{L}\p{N}]') GROUP BY doc_id),
+top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS i FROM words WHERE regexp_matches(x, '[\p{L}\p{N}]')
+  GROUP BY lang, x QUALIFY i <= 16),
 classes AS (SELECT doc_id, lang, unnest(range(6)) AS i, unnest([letters - capitals, capitals, digits, n_chars - word_chars, n_symbols,
   word_chars - letters - digits - n_symbols]) AS c FROM f),
 seen AS (SELECT doc_id, i, count(*) AS c FROM words JOIN top USING (lang, x) GROUP BY ALL),
 common AS (SELECT f.doc_id, lang, top.i, coalesce(seen.c, 0) AS c FROM f JOIN top USING (lang) LEFT JOIN seen ON seen.doc_id = f.doc_id AND seen.i = top.i
-  UNION ALL SELECT f.doc_id, lang, 0, n_words - coalesce(s.c, 0) FROM f LEFT JOIN (SELECT doc_id, sum(c) AS c FROM seen GROUP BY doc_id) s USING (doc_id)),
-""" + _divergence("class", "classes") + ",\n" + _divergence("word", "common") + f"""
+  UNION ALL SELECT f.doc_id, lang, -1, coalesce(sym.c, 0) FROM f LEFT JOIN sym USING (doc_id)
+  UNION ALL SELECT f.doc_id, lang, 0, n_words - coalesce(s.c, 0) - coalesce(sym.c, 0) FROM f
+    LEFT JOIN (SELECT doc_id, sum(c) AS c FROM seen GROUP BY doc_id) s USING (doc_id) LEFT JOIN sym USING (doc_id)),
+""" + _divergence("class", "classes") + ",\n" + _divergence("word", "common") + f""",
+bare AS (SELECT lang, i, c, CAST(i = 0 AS DOUBLE) AS p, c / greatest(sum(c) OVER (PARTITION BY lang), 1) AS q FROM word_ref),
+lim AS (SELECT lang, coalesce(sum(c) FILTER (i > 0), 0) / greatest(sum(c), 1) AS share, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+  + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS bare FROM bare GROUP BY lang)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
   n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words OR (n_chars >= {quality.LEAST_CHARS} AND class_js.js > {quality.MOST_CHAR_DISTANCE})
-    OR (n_words >= {quality.LEAST_WORDS} AND word_js.js > {quality.MOST_WORD_DISTANCE})) AS kept
-FROM f JOIN class_js USING (doc_id) JOIN word_js USING (doc_id) LEFT JOIN rep USING (doc_id)"""
+    OR (n_words >= {quality.LEAST_WORDS} AND word_js.js > CASE WHEN n_words * share >= {quality.LEAST_COMMON}
+      THEN least({quality.MOST_WORD_DISTANCE}, {quality.MOST_BARE} * bare) ELSE {quality.MOST_WORD_DISTANCE} END)) AS kept
+FROM f JOIN lim USING (lang) JOIN class_js USING (doc_id) JOIN word_js USING (doc_id) LEFT JOIN rep USING (doc_id)"""
 
 
 @query("op10_token_shards")
@@ -124,9 +132,7 @@ def op10(spark, sf_dir):
 
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark, sf_dir):
-    # QUALITY_SQL has the fixed limit and counts symbols as words; the pipeline's stage has the operator's own rule
-    docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, word_distance=quality.MOST_WORD_DISTANCE, symbol_words=True).drop("char_js", "word_js", "text_hash")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_js", "word_js", "text_hash")
 
 
 @query("op11_merkle_manifest", MANIFEST_SQL)
