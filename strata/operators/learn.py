@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Parameter presets per model and preset name (library parameter names).
@@ -280,17 +280,27 @@ def preset_grid_search(train: DataFrame, features: list[str], label: str, model_
 
 def knn_grid_search(train: DataFrame, valid: DataFrame, id_col: str, label: str, features,
                     preset: str = "Default") -> DataFrame:
-    """M4 presets: accuracy of every (k, weights, metric) on a validation split."""
-    from strata.operators.neighbors import predict_knn_classifier
+    """M4 presets: accuracy of every (k, weights, metric) on a validation split.
+
+    One neighbour join per metric finds the most neighbours that any point asks for; all points of the
+    grid vote on those in one aggregate."""
+    from strata.operators.neighbors import knn
     p = get_preset_params("KNeighborsClassifier", preset)
-    rows = []
-    for k, w, m in itertools.product(p["n_neighbors"], p["weights"], p["metric"]):
-        metric = "euclidean" if m == "minkowski" else m
-        pred = predict_knn_classifier(train, valid, id_col, label, features, k, w, metric)
-        acc = (pred.join(valid.select(id_col, label), id_col)
-               .agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0])
-        rows.append((k, w, m, float(acc)))
-    return train.sparkSession.createDataFrame(rows, "n_neighbors int, weights string, metric string, accuracy double")
+    points = [(k, w, m) for k, w, m in itertools.product(p["n_neighbors"], p["weights"], p["metric"])]
+    tables = []
+    for m in p["metric"]:
+        nb = knn(valid, train, id_col, id_col, features, max(p["n_neighbors"]), metric="euclidean" if m == "minkowski" else m, donor_label=label)
+        grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w, x in points if x == m]))
+        nb = nb.withColumn("__met", F.min("dist").over(Window.partitionBy(id_col)) == 0)  # exact matches take all the weight
+        weight = F.when(F.col("w") == "uniform", 1.0).when(F.col("__met"), (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "dist"))
+        votes = nb.withColumn("g", grid).select(id_col, "label", "rank", "dist", "__met", "g.*").where("rank <= k").groupBy(id_col, "k", "w", "label").agg(F.sum(weight).alias("score"))
+        pred = votes.groupBy(id_col, "k", "w").agg(F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("prediction"))
+        tables.append(pred.join(valid.select(id_col, F.col(label).alias("__truth")), id_col).groupBy(F.col("k").alias("n_neighbors"), F.col("w").alias("weights"))
+                      .agg(F.avg((F.col("prediction") == F.col("__truth")).cast("double")).alias("accuracy")).withColumn("metric", F.lit(m)))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.select("n_neighbors", "weights", "metric", "accuracy")
 
 
 # ------------------------------------------------------------------ forecasting features / model imputation
