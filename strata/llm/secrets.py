@@ -13,13 +13,16 @@ points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 # a run shorter than the least length never holds a longer one, so the length can be in the pattern
@@ -83,6 +86,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORD):
         return out
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     for word in _CONTEXT.finditer(text):
         for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
             a, b = m.span()
@@ -92,7 +96,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
                 continue
             b = _CANDIDATE.match(text, a).end()  # the whole run, however long
             seen.add(a)
-            if any(s < b and a < e for s, _, e in base):
+            before = bisect.bisect_left(starts, b)  # base spans that start before b; the furthest end of them
+            if before and reach[before - 1] > a:
                 continue
             if novelty.share(text[max(0, a - AROUND):a], text[a:b], text[b:b + AROUND]) >= RATIO:
                 out.append((a, 3, b))
@@ -108,8 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
     """Per document: id, n_assign, n_access, n_hex, n_novel, base_sha256, spans; with ``redact`` also
     the text with every span replaced by ``mark`` (null stays null), and with ``carry`` the
     whole input row as a struct ``row``."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    id_type = docs.schema["id"].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
 
     def run(batches):
         novelty = Novelty()
@@ -129,8 +133,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
             cols = [batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=False)), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names, *["row"] * carry])
 
-    return docs.mapInArrow(run, f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-                           + ", redacted string" * redact + (f", row {docs.schema['row'].dataType.simpleString()}" if carry else ""))
+    longs = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex", "n_novel")]
+    texts = [T.StructField(c, T.StringType()) for c in ("base_sha256", "spans", *["redacted"] * redact)]
+    row = [T.StructField("row", docs.schema["row"].dataType)] if carry else []
+    return docs.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), *longs, *texts, *row]))
 
 
 def _redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:

@@ -96,3 +96,18 @@ def test_novelty_finds_random_strings_only(spark):
     known = [(i, t) for i, t in SECRETS if t and brute_base(t)[1]]
     for i, t in known:
         assert [s for s in by[i]["spans"].split(",") if not s.startswith("novel")] == brute_base(t)[1].split(",")
+
+
+def test_dotted_columns_and_many_spans(spark):
+    df = frame(spark, SECRETS, extra=False).selectExpr("*", "'x' as `a.b`", "1 as `row`")
+    got = secrets.scan(df, redact=True, carry=True)
+    assert got.select("row.`a.b`").first()[0] == "x" and got.count() == len(SECRETS)
+    import time
+    text = " ".join(f"token=abcdef{i} credential q7Zp2XvT9sLm4RkB8w{i}" for i in range(20_000))
+    base = secrets.base_spans(text)
+    began = time.time()
+    found = secrets.novel_spans(text, base, type("N", (), {"share": lambda *a: 1.0})())
+    assert time.time() - began < 10 and len(base) == 20_000
+    taken = [(s, e) for s, _, e in base]
+    some = set(found[::997])
+    assert found and not any(s < b and a < e for a, _, b in some for s, e in taken)
