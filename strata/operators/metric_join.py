@@ -217,8 +217,14 @@ class Space:
         keys = ["cell", "radius", "__h"]
         self.donors = (points.mapInArrow(assign, f"{kinds}, cell long, radius double").repartitionByRange(self.parts, *keys)
                        .withColumn("part", F.spark_partition_id()).drop("__h").checkpoint())
-        rings = sorted((r["part"], r["cell"], r["lo"], r["hi"], r["n"]) for r in self.donors.groupBy("part", "cell").agg(
-            F.min("radius").alias("lo"), F.max("radius").alias("hi"), F.count("*").alias("n")).collect())  # at most parts + pivots
+        rings = [(r["part"], r["cell"], r["lo"], r["hi"], r["n"]) for r in self.donors.groupBy("part", "cell").agg(
+            F.min("radius").alias("lo"), F.max("radius").alias("hi"), F.count("*").alias("n")).collect()]  # at most range partitions + pivots
+        # if Spark dealt more range partitions than asked for, neighbours are one part: copies of queries go by the donors' size
+        ranges = max((r[0] for r in rings), default=0) + 1
+        if ranges > self.parts:
+            rings = [(part * self.parts // ranges, *rest) for part, *rest in rings]
+            self.donors = self.donors.withColumn("part", F.expr(f"cast(part * {self.parts} div {ranges} as int)"))
+        rings.sort()
         self.sizes: dict[int, int] = {}
         for part, *_, n in rings:
             self.sizes[part] = self.sizes.get(part, 0) + n
