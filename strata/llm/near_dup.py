@@ -6,16 +6,16 @@ reaches first (optimal densification). Bands of the signature are buckets. Equal
 collapsed to one representative before any bucket is built.
 
 In each bucket one document, drawn by hash, is the centre of a star: one candidate pair per member,
-whatever the bucket's size. Pairs are confirmed on the full sets. A bucket whose members then lie
-in different components is not finished: following rounds draw 4, 256, 16384, ... centres from it and
-compare them with the members of other components, until each such pair was compared or lies in
-one component. So no link found by the bands is lost, and large groups of mutual copies finish
-in the first rounds.
+whatever the bucket's size. Pairs are confirmed on the full sets. Large groups of copies are then
+one component each. Buckets whose members still lie in different components are finished by an
+exact prefix join of those members: shingles are ordered by their number of sets, rarest first, and two
+sets that link share one of the first n - ceil(threshold * n) + 1 of each. Only pairs of different
+components whose sizes and positions allow the threshold are made; sets that differ from a group by
+shingles of their own end before the shingles which the group shares. So no link found by the
+bands is lost, no bucket is compared pair by pair, and no estimate leaves out a pair.
 
-Pairs of the later rounds are compared by a sketch before any set is moved: 4 bits for each of
-512 parts of the hash space. Pairs whose estimated similarity is more than 4.5 standard deviations
-(and two to three cells, which matter for small sets) below the threshold are left out; the deviation follows from the
-number of filled cells, and is at most 0.019.
+A shingle's largest component is never paired with itself: the other members are the one side of the
+join, copied once per SALT members of the whole, so that a shingle of very many sets is many keys.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; null ids
 link with nothing (component null, kept); rows with equal ids are one document that links if any
@@ -26,12 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.words import NOT_SPACE, Words, distinct, mix, powers, sequence_hash, slices
 from strata.session import checkpoint_dir
 
+SALT = 4096  # sets per key of the prefix join
 _PROBES: dict[int, np.ndarray] = {}
 
 
@@ -94,39 +95,8 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(total + mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-CELLS = 512
-
-
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """32 longs per set: for each of 512 parts of the hash space 4 bits of its smallest hash (1 to 15), or 0."""
-    every = np.concatenate(sets)
-    place = np.repeat(np.arange(len(sets)) * CELLS, [len(s) for s in sets]) + (every >> np.uint64(55)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    cells = np.zeros(len(sets) * CELLS, dtype=np.uint64)
-    cells[place[first]] = every[first] % np.uint64(15) + np.uint64(1)
-    return (cells.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).reshape(-1, CELLS // 16)
-
-
-def sketch_near(a: str, b: str, percent: int) -> Column:
-    """The sketches allow a similarity of ``percent`` / 100 or more."""
-
-    def filled(x: Column) -> Column:
-        """Number of 4-bit cells that aren't 0."""
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-    def cells(joined) -> Column:
-        return F.aggregate(F.zip_with(a, b, joined), F.lit(0), lambda n, x: n + filled(x))
-
-    differ, either = cells(lambda x, y: x.bitwiseXOR(y)), cells(lambda x, y: x.bitwiseOR(y))
-    p, filled_share = percent / 100, F.least(either / CELLS, F.lit(1 - 1e-9))
-    left_out = 1 + filled_share / F.ln(1 - filled_share)  # of the union's shingles: not the smallest of their cell
-    slack = 4.5 * F.sqrt(p * (1 - p) / F.greatest(either, F.lit(1)) * F.greatest(left_out, F.lit(0.0))) * either + F.least(F.lit(3.0), 2 + either / 100)
-    return differ <= (1 - p) * either + slack
-
-
 def _signed(docs: DataFrame, shingle: int, bins: int, rows: int) -> DataFrame:
-    """(id, n_shingles, same binary, bands array<long>, sketch array<long>); no words: nulls."""
+    """(id, n_shingles, same binary, bands array<long>); no words: nulls."""
 
     def run(batches):
         for batch in batches:
@@ -135,18 +105,14 @@ def _signed(docs: DataFrame, shingle: int, bins: int, rows: int) -> DataFrame:
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 same: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
                 if some:
-                    for i, k in zip(some, sketches([sets[i] for i in some]).view(np.int64), strict=True):
-                        sketch[i] = k
                     for i, k in zip(some, band_keys(signatures([sets[i] for i in some], bins), rows).view(np.int64), strict=True):
                         keys[i] = k
                         same[i] = np.array([mix(sets[i]).sum(dtype=np.uint64), mix(sets[i] + np.uint64(len(sets[i]))).sum(dtype=np.uint64)]).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()),
-                                                  pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                                                 names=["id", "n_shingles", "same", "bands", "sketch"])
+                                                  pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "same", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, same binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, same binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -208,6 +174,47 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     return labels.join(new, "component", "left").select("rep", F.coalesce("to", "component").alias("component")).checkpoint()
 
 
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(rep, component, set, n, token): one row per shingle of ``sets`` (rep, component, set, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "shingles"):
+                every = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                sizes = np.array([len(x) for x in every])
+                row = pa.array(np.repeat(np.arange(len(every)), sizes))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(3)), pa.array(np.repeat(sizes, sizes)),
+                                                  pa.array(np.concatenate(every))], names=["rep", "component", "set", "n", "token"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return sets.select("rep", "component", "set", "shingles").mapInArrow(run, f"rep {kind}, component {kind}, set long, n long, token long")
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (rep, component, set, shingles; a rep may have several sets, told apart by
+    ``set``), among them all of different components that link."""
+    tokens = _tokens(sets)
+    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one set come first and pair with nothing: only their number matters
+    shared = tokens.join(held, "token").groupBy("rep", "set").agg(
+        F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
+    alone = (F.col("n") - F.size("shared")).alias("alone")
+    length = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    first = shared.select("rep", "component", "n", alone, F.slice("shared", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")).alias("shared"))
+    prefix = first.select("rep", "component", "n", "alone", F.posexplode("shared").alias("at", "e"))
+    prefix = prefix.select("rep", "component", "n", F.col("e.token").alias("token"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest")).checkpoint()
+    by = prefix.groupBy("token", "component").agg(F.count("*").alias("c"))
+    mixed = by.groupBy("token").agg(F.max_by("component", "c").alias("main"), F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1")
+    placed = prefix.join(mixed.drop("k"), "token")
+    salts = F.floor(F.col("size") / SALT)
+    x = placed.where("component != main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"),
+                                                 F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    y = placed.select("token", F.pmod(F.xxhash64("rep"), salts + 1).alias("salt"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    most = F.least("ra", "rb")  # shingles that both can share, from this one on
+    near = x.join(y, ["token", "salt"]).where((F.col("ca") != F.col("cb")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
@@ -219,33 +226,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
     reps = sets_of.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
     rows_in = reps.select("rep", F.explode("bands").alias("key"))
     order = F.xxhash64("rep", "key")
-    buckets = rows_in.groupBy("key").agg(F.min_by("rep", order).alias("centre"), F.min("rep").alias("x"), F.max("rep").alias("y"), F.count("*").alias("size"))
+    buckets = rows_in.groupBy("key").agg(F.min_by("rep", order).alias("centre"), F.min("rep").alias("x"), F.max("rep").alias("y"))
     members = rows_in.join(buckets.where("x != y").drop("x", "y"), "key").checkpoint()  # only buckets with two documents
     labels = members.select("rep").distinct().withColumn("component", F.col("rep")).checkpoint()
     sets = _sets(docs.join(labels.select(F.col("rep").alias("id")), "id"), shingle).checkpoint()
-    sketch = sets_of.select(F.col("id").alias("rep"), "sketch").join(labels.select("rep"), "rep", "left_semi")
 
     pairs = members.where("rep != centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     labels = _merged(labels, confirm(pairs, sets, percent).checkpoint())
-    centres, finished = 0, 2
-    while True:
-        placed = members.where(F.col("size") > finished).join(labels, "rep")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        left = placed.join(mixed.select("key"), "key").checkpoint()
-        if left.isEmpty():
-            break
-        draw = F.pmod(F.xxhash64("key", "rep"), F.lit(2**40)) / F.lit(float(2**40)) * F.col("size")
-        before, centres = centres, max(4, 64 * centres)
-        finished = centres  # every member of such a bucket has then been a centre
-        left = left.withColumn("draw", draw).where(F.col("draw") >= before).join(sketch, "rep")
-        drawn = left.where(F.col("draw") < centres).select("key", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("sp"))
-        rest = left.select("key", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("sq"))
-        near = (F.col("cp") != F.col("cq")) & sketch_near("sp", "sq", percent)
-        pairs = drawn.withColumnRenamed("key", "k").join(rest, (F.col("k") == F.col("key")) & near)
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        labels = _merged(labels, confirm(pairs, sets, percent).checkpoint())
+    placed = members.join(labels, "rep")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    left = placed.join(mixed.select("key"), "key").select("rep", "component").distinct()
+    left = left.join(sets.select(F.col("id").alias("rep"), F.xxhash64("shingles").alias("set"), "shingles"), "rep")
+    labels = _merged(labels, confirm(prefix_pairs(left, percent), sets, percent).checkpoint())
     rep = sets_of.groupBy("same").agg(F.min("id").alias("rep"))
     of = rep.join(labels, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("bands", "sketch").join(of, "same", "left")
+    out = signed.drop("bands").join(of, "same", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

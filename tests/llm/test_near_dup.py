@@ -83,18 +83,27 @@ def test_one_value_sets_fill_all_bins():
     assert (s[0] == 5).all() and (s[1] == 2**64 - 9).all()
 
 
-def test_sketch_keeps_all_near_pairs(spark):
-    rng = np.random.default_rng(4)
-    rows, want = [], []
-    for n in (4, 8, 30, 140, 500, 3000):
-        for shared in (0.3, 0.5, 0.858, 0.9):  # similarity s / (2 - s)
-            for _ in range(12):
-                pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2))
-                m = -int(-n * shared // 1)
-                x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:m], pool[n:2 * n - m]]))
-                s = near_dup.sketches([x, y]).view(np.int64)
-                rows.append((s[0].tolist(), s[1].tolist()))
-                want.append(m / (2 * n - m))
-    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.sketch_near("a", "b", 75)).collect()]
-    assert all(g for g, j in zip(got, want) if j >= 0.75)
-    assert np.mean([g for g, j in zip(got, want) if j < 0.4]) < 0.05
+def test_links_across_components_without_all_pairs(spark, monkeypatch):
+    """A hot group of copies, sets that share half of its shingles, and sets just at the threshold: the
+    prefix join finds every link between components and makes few other pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-2**62, 2**62, 120)
+    fresh = lambda n: rng.integers(-2**62, 2**62, n)
+    rows = [(i, 0, np.concatenate([base[5:], fresh(5)])) for i in range(150)]
+    rows += [(1000 + i, 1000 + i, np.concatenate([rng.permutation(base)[:60], fresh(60)])) for i in range(60)]
+    rows += [(2000 + i, 2000 + i, np.concatenate([base[:120 - i], fresh(i)])) for i in range(8, 30)]
+    rows += [(3000, 3000, base[:4]), (3001, 3001, base[:3]), (3002, 3002, base[:1]), (3003, 3003, base[:1])]
+    rows += [(3004, 3004, fresh(30)), (3004, 3004, base[:110])]  # one id with two sets
+    sets = spark.createDataFrame([(r, c, j, np.sort(s).tobytes()) for j, (r, c, s) in enumerate(rows)], "rep long, component long, set long, shingles binary")
+    monkeypatch.setattr(near_dup, "SALT", 16)
+    got = [tuple(r) for r in near_dup.prefix_pairs(sets, 75).collect()]
+    want, every = set(), 0
+    for i, (a, ca, x) in enumerate(rows):
+        for b, cb, y in rows[:i]:
+            if ca != cb:
+                every += 1
+                n = len(np.intersect1d(x, y))
+                if 100 * n >= 75 * (len(x) + len(y) - n):
+                    want.add((min(a, b), max(a, b)))
+    assert want <= set(got) and len(want) > 100
+    assert len(got) == len(set(got)) < every / 5
