@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but
 the last return the columns of documents. Rows are told apart by id and text, so rows with equal
-ids have verdicts of their own (near duplicates: equal ids are one document).
+ids have verdicts of their own (near duplicates: equal ids are one document, and of rows equal in
+id and text one stays).
 """
 
 from __future__ import annotations
@@ -26,9 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group of near duplicates stays: the one with the smallest id, a null id after all
+    others. Rows of one id and text are one document, of which one row stays; texts without words all stay."""
+    text_hash = quality.text_hash(F.col("text"))
+    # ids are integers below 2**62; rows without one are known by their text
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(text_hash, F.lit(2**62)))
+    keyed = docs.select("*", row_id.alias("__row"), text_hash.alias("__text"))
+    gone = near_dup.near_duplicates(keyed, id_col="__row").where(~F.col("kept")).select("__row").distinct()
+    kept = keyed.join(gone, "__row", "left_anti")
+    again = keyed.where(F.rlike("text", F.lit(f"[^{quality.BLANK[1:]}"))).groupBy("__row", "__text").agg(F.count("*").alias("n"))
+    again = again.where("n > 1").drop("n").checkpoint()
+    if not again.isEmpty():
+        once = kept.join(again, ["__row", "__text"], "left_semi").dropDuplicates(["__row", "__text"])
+        kept = kept.join(again, ["__row", "__text"], "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,13 @@ def test_odd_rows_go_through(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SMALL).checkpoint()
         assert docs.count() == 0
+
+
+def test_near_duplicates_of_null_ids_and_repeated_rows(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    near = text + " more"
+    rows = [(None, text), (None, text), (None, near), (7, text), (7, text), (3, other), (None, other + " end"), (None, "own words of a row without id"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1))
+    kept = P.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert key(tuple(r)[:2] for r in kept.collect()) == key([(7, text), (3, other), (None, "own words of a row without id"), (9, ""), (9, ""), (None, None)])
