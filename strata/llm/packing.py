@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: in
     id_type = docs.schema["id"].dataType.simpleString()
 
     def cut(batches):
-        encode = tokens.Ids(vocabulary)
+        encode = tokens.worker_ids(vocabulary)
         for batch in batches:
             for part in slices(batch, "text", tokens.SLICE):
                 row, piece, start, length, crc, raw = [], [], [], [], [], []

@@ -83,7 +83,7 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int, dtype:
     the number of ids in the run's last sequence."""
 
     def cut(batches):
-        encode = tokens.Ids(vocabulary)
+        encode = tokens.worker_ids(vocabulary)
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         end = np.array([end_id], dtype=dtype)
 
