@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from strata.llm.words import _BASE, _BYTE, _INV, _LOWER, SPACES, Words, mix, powers
 
-CACHE = 700_000  # units: about 150 MB of a worker
+CACHE = 300_000  # units: about 80 MB of a worker, which keeps it for all its tasks
 SLICE = 2 << 20
 _WIDE_SPACES = "\x85\xa0                　"
 _COMMA_STOP = np.zeros(256, dtype=bool)
