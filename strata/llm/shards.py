@@ -33,6 +33,7 @@ from strata.llm.words import mix, slices
 from strata.session import checkpoint_dir
 
 ROUNDS = 6
+CACHE = 700_000  # units whose ids a worker keeps: about 150 MB
 
 
 class Feistel:
@@ -83,7 +84,7 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int, dtype:
     the number of ids in the run's last sequence."""
 
     def cut(batches):
-        encode = tokens.worker_ids(vocabulary)
+        encode = tokens.worker_ids(vocabulary, CACHE)
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         end = np.array([end_id], dtype=dtype)
 

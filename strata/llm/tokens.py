@@ -183,9 +183,9 @@ class Ids(Cache):
 
 
 @lru_cache(maxsize=2)
-def worker_ids(path: str) -> Ids:
+def worker_ids(path: str, limit: int = CACHE) -> Ids:
     """The worker's own tokenizer: its cache serves all tasks that the worker runs."""
-    return Ids(path)
+    return Ids(path, limit)
 
 
 class Counts(Cache):
