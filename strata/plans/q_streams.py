@@ -33,7 +33,7 @@ st AS (
   FROM st s JOIN att a ON a.username = s.username AND a.rn = s.rn + 1)
 SELECT username, ts, event_id, outcome, failed AS failed_attempts, locked AS locked_until FROM st WHERE rn > 0""")
 def q_stream_lockout(spark, sf):
-    out = ST.run_to_table(ST.stream_lockout(ST.table_stream(spark, sf, "events")), "lockout")
+    out = ST.run_lockout(ST.table_stream(spark, sf, "events"))
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
@@ -46,7 +46,7 @@ SELECT event_type, event_id, ts, value, round(m, 6) AS rolling_mean, round(sd, 6
   round(CASE WHEN m IS NULL THEN NULL WHEN sd <> 0 THEN abs(value - m) / sd ELSE 0 END, 6) AS z_score,
   CASE WHEN m IS NULL THEN NULL WHEN sd <> 0 THEN abs(value - m) / sd > 3 ELSE false END AS is_anomaly FROM s""")
 def q_stream_rolling_anomaly(spark, sf):
-    out = ST.run_to_table(ST.stream_rolling_anomaly(ST.table_stream(spark, sf, "events")), "rolling_anomaly")
+    out = ST.run_rolling_anomaly(ST.table_stream(spark, sf, "events"))
     return rnd(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 6)
 
 

@@ -18,9 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from strata.session import checkpoint_dir
+from strata.streaming.event_order import FAR, in_event_order, run_closed
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
@@ -93,99 +93,174 @@ LOCK_AFTER = 5
 LOCK_MINUTES = 15
 
 
-def _lockout_fold(state: tuple, rows: pd.DataFrame):
-    """Apply failure/success events in time order. state = (failed, locked_until or None)."""
-    failed, locked = state
-    out = []
-    for r in rows.itertuples(index=False):
-        t = pd.Timestamp(r.ts)
-        if locked is not None and locked > t:
-            outcome = "refused_locked"
-        elif r.success:
-            failed, locked, outcome = 0, None, "success"
-        else:
-            if failed >= LOCK_AFTER:
-                locked = t + timedelta(minutes=LOCK_MINUTES)
-                outcome = "failure_locked"
-            else:
-                outcome = "failure"
-            failed += 1
-        out.append((r.username, r.ts, r.event_id, outcome, failed, locked))
-    return (failed, locked), out
+def _lockout_fold(failed: int, locked: int | None, us: np.ndarray, success: np.ndarray):
+    """Failures and successes of one account in time order (microseconds): (outcome, failed, locked until) after each
+    attempt, -1 where no lock was set. One step per lock: between two locks the counter is failures since a success."""
+    n = len(us)
+    fails = np.cumsum(~success)
+    last = np.maximum.accumulate(np.where(success, np.arange(n), -1))  # the last success up to each row
+    run = fails - np.where(last >= 0, fails[last], 0)  # failures since then, this one included
+    locks = np.flatnonzero(~success & (run > LOCK_AFTER))
+    good = np.flatnonzero(success)
+    outcome = np.where(success, "success", "failure").astype(object)
+    count, until = np.zeros(n, dtype=np.int64), np.full(n, -1 if locked is None else locked, dtype=np.int64)
+    i = 0
+    while i < n:
+        if locked is not None and locked > us[i]:
+            j = int(np.searchsorted(us, locked, "left"))
+            outcome[i:j], count[i:j], until[i:j] = "refused_locked", failed, locked
+            i = j
+            continue
+        # the counter starts at ``failed`` and restarts at the next success; then it is ``run``
+        p = np.searchsorted(good, i)
+        reset = int(good[p]) if p < len(good) else n
+        k = i + max(LOCK_AFTER - failed, 0)
+        if k >= reset:
+            after = np.searchsorted(locks, reset)
+            k = int(locks[after]) if after < len(locks) else n
+        end, cut = min(k + 1, n), min(reset, k + 1, n)
+        count[i:cut] = failed + np.arange(1, cut - i + 1)
+        count[cut:end] = run[cut:end]
+        until[i:cut] = -1 if locked is None else locked
+        until[cut:end] = -1
+        if k < n:
+            locked = int(us[k]) + LOCK_MINUTES * 60_000_000
+            outcome[k], until[k] = "failure_locked", locked
+        elif reset < n:
+            locked = None
+        failed, i = int(count[end - 1]), end
+    return outcome, count, until
+
+
+def _lockout_rows(username, rows: pd.DataFrame, failed: int = 0, locked: int | None = None) -> tuple[pd.DataFrame, tuple[int, int | None]]:
+    """The attempts of one account, in order, with their outcomes; and the state after the last."""
+    us = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+    outcome, count, until = _lockout_fold(failed, locked, us, rows["success"].to_numpy(dtype=bool))
+    times = pd.Series(until.astype("datetime64[us]")).where(until >= 0)
+    out = pd.DataFrame({"username": username, "ts": rows["ts"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "outcome": outcome,
+                        "failed_attempts": count, "locked_until": times.to_numpy()})
+    if not len(rows):
+        return out, (failed, locked)
+    return out, (int(count[-1]), int(until[-1]) if until[-1] >= 0 else None)
 
 
 LOCKOUT_SCHEMA = ("username long, ts timestamp, event_id long, outcome string, failed_attempts long, "
                   "locked_until timestamp")
 
 
-def _login_attempts(events: DataFrame) -> DataFrame:
-    """Login attempts from activity: event_type 'error' = failure, 'purchase' = success."""
-    return (events.where(F.col("event_type").isin("error", "purchase"))
+def _login_attempts(events: DataFrame, mark: str | None = None) -> DataFrame:
+    """Login attempts from activity: event_type 'error' = failure, 'purchase' = success; and a closing marker at ``mark``."""
+    wanted = F.col("event_type").isin("error", "purchase")
+    return (events.where(wanted | (F.col("ts") >= F.lit(mark).cast("timestamp_ntz")) if mark else wanted)
             .select(F.col("user_id").alias("username"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
                     (F.col("event_type") == "purchase").alias("success")))
 
 
-def stream_lockout(events: DataFrame) -> DataFrame:
-    """L2 (streaming): per-user lockout state with ``applyInPandasWithState``.
+def stream_lockout(events: DataFrame, delay: str = "1 hour", forget_after: timedelta | None = None) -> DataFrame:
+    """L2 (streaming): per-user lockout state, folded in event-time order (``event_order``).
 
     A failure increments the counter and locks the account for 15 minutes when the
     counter was already >= 5 (so from the 6th failure on); attempts during a lock are
-    refused and not counted; a success resets the counter."""
-    att = _login_attempts(events)
+    refused and not counted; a success resets the counter. An attempt is answered when the watermark
+    (``delay`` behind the latest event) has passed it, so attempts that arrive late take their place.
 
-    def fn(key, pdfs, state):
-        st = state.get if state.exists else (0, None)
-        failed, locked = st[0], (pd.Timestamp(st[1]) if st[1] is not None else None)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        (failed, locked), out = _lockout_fold((failed, locked), rows)
-        state.update((failed, locked.to_pydatetime() if locked is not None else None))
-        yield pd.DataFrame(out, columns=["username", "ts", "event_id", "outcome", "failed_attempts", "locked_until"])
+    A user whose counter is zero has no state. Counters of others are kept for good, as they change later answers,
+    unless ``forget_after`` (time since the user's last attempt) is given."""
+    def fold(key, carried, rows):
+        out, (failed, locked) = _lockout_rows(key[0], rows, *(carried or (0, None)))
+        return out, ((failed, locked) if failed else None)
 
-    return att.groupBy("username").applyInPandasWithState(
-        fn, LOCKOUT_SCHEMA, "failed long, locked_until timestamp", "append", GroupStateTimeout.NoTimeout)
+    expire = int(forget_after.total_seconds() * 1000) if forget_after else None
+    return in_event_order(_login_attempts(events, mark=FAR), ["username"], ["ts", "event_id"], fold, LOCKOUT_SCHEMA, delay,
+                          "failed long, locked long", expire_after_ms=expire)
+
+
+def run_lockout(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """L2 to the end of a stream: every attempt's outcome."""
+    return run_closed(lambda s: stream_lockout(s, delay), events, _run_dir(events.sparkSession, "lockout"))
 
 
 def lockout_batch(events: DataFrame) -> DataFrame:
     """L2 batch twin: the same fold per user with ``applyInPandas``."""
-    att = _login_attempts(events)
+    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _lockout_rows(key[0], pdf.sort_values(["ts", "event_id"], ignore_index=True))[0]
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, out = _lockout_fold((0, None), pdf.sort_values(["ts", "event_id"]))
-        return pd.DataFrame(out, columns=["username", "ts", "event_id", "outcome", "failed_attempts", "locked_until"])
-
-    return att.groupBy("username").applyInPandas(fn, LOCKOUT_SCHEMA)
+    return _login_attempts(events).groupBy("username").applyInPandas(fn, LOCKOUT_SCHEMA)
 
 
 # ------------------------------------------------------------------ L3
 
-def stream_rolling_anomaly(events: DataFrame, window_size: int = 5, threshold: float = 3.0,
-                           key: str = "event_type") -> DataFrame:
-    """L3: rolling z-score over arriving points per key, keeping the last ``window_size``
-    values in state. Stats include the current point (reference mode) and need a full
-    window (no back-fill on a stream); zero std gives z = 0."""
+def _rolling(values: np.ndarray, window: int, threshold: float) -> dict[str, np.ndarray]:
+    """Mean, sample deviation, z-score and flag of the full window that ends at each value, null before the first."""
+    n = len(values)
+    mean, sd, z = (np.full(n, np.nan) for _ in range(3))
+    if n >= window:
+        w = np.lib.stride_tricks.sliding_window_view(values, window)
+        m, s = w.mean(axis=1), w.std(axis=1, ddof=1)
+        mean[window - 1:], sd[window - 1:] = m, s
+        z[window - 1:] = np.where(s != 0, np.abs(w[:, -1] - m) / np.where(s != 0, s, 1.0), 0.0)
+    flag = np.where(np.isnan(mean), None, z > threshold)
+    return {"rolling_mean": mean, "rolling_std": sd, "z_score": z, "is_anomaly": pd.array(flag, dtype="boolean")}
+
+
+def _rolling_schema(key: str, kind: str) -> str:
+    return (f"{key} {kind}, event_id long, ts timestamp, value double, rolling_mean double, rolling_std double, "
+            "z_score double, is_anomaly boolean")
+
+
+def stream_bucket_anomaly(events: DataFrame, window_size: int = 5, threshold: float = 3.0, key: str = "event_type",
+                          bucket: timedelta = timedelta(days=1), delay: str = "1 hour") -> DataFrame:
+    """L3, first stream: each (key, time bucket) is a state of its own, so that one busy key is many tasks.
+
+    A bucket is answered when the watermark passes its end. Rows with a full window inside it are final (``edge``
+    null). Its first ``window_size`` - 1 rows ("head") and, to be carried on, its last ones ("tail", "both" where
+    a row is head and tail) go to ``stream_edge_anomaly``."""
+    width, h = int(bucket.total_seconds() * 1_000_000), window_size - 1
     src = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    ktype = dict(src.dtypes)[key]
-
-    def fn(k, pdfs, state):
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        hist = np.array(list(state.get[0]) if state.exists else [], dtype=float)
-        every = np.concatenate([hist, rows["value"].to_numpy(dtype=float)])
-        out = rows[["event_id", "ts"]].assign(**{key: k[0]}, value=every[len(hist):])
-        mean, sd, z = (np.full(len(rows), np.nan) for _ in range(3))
-        if len(every) >= window_size:  # one window per row that has a full one
-            w = np.lib.stride_tricks.sliding_window_view(every, window_size)[-len(rows):]
-            m, s = w.mean(axis=1), w.std(axis=1, ddof=1)
-            mean[-len(w):], sd[-len(w):] = m, s
-            z[-len(w):] = np.where(s != 0, np.abs(w[:, -1] - m) / np.where(s != 0, s, 1.0), 0.0)
-        full = ~np.isnan(mean)
-        out = out.assign(rolling_mean=mean, rolling_std=sd, z_score=z, is_anomaly=pd.array(np.where(full, z > threshold, None), dtype="boolean"))
-        state.update((every[-window_size:].tolist(),))
-        yield out[[key, "event_id", "ts", "value", "rolling_mean", "rolling_std", "z_score", "is_anomaly"]]
-
-    schema = (f"{key} {ktype}, event_id long, ts timestamp, value double, rolling_mean double, rolling_std double, "
-              "z_score double, is_anomaly boolean")
-    return src.groupBy(key).applyInPandasWithState(fn, schema, "hist array<double>", "append",
-                                                   GroupStateTimeout.NoTimeout)
+    src = src.withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(width)).cast("long"))
+
+    def fold(k, carried, rows):
+        n = len(rows)
+        head, tail = np.arange(n) < h, np.arange(n) >= n - h
+        edge = np.where(head & tail, "both", np.where(head, "head", np.where(tail, "tail", None)))
+        out = rows[["event_id", "ts", "value"]].assign(**{key: k[0]}, **_rolling(rows["value"].to_numpy(dtype=float), window_size, threshold), edge=edge)
+        return out[[key, "event_id", "ts", "value", "rolling_mean", "rolling_std", "z_score", "is_anomaly", "edge"]], None
+
+    schema = _rolling_schema(key, dict(src.dtypes)[key]) + ", edge string"
+    return in_event_order(src, [key, "bucket"], ["ts", "event_id"], fold, schema, delay, release=lambda us: (us // width + 1) * width)
+
+
+def stream_edge_anomaly(buckets: DataFrame, window_size: int = 5, threshold: float = 3.0, key: str = "event_type",
+                        delay: str = "1 hour") -> DataFrame:
+    """L3, second stream: the head rows of all buckets, from a stream of the first one's output. A key's
+    state is its last ``window_size`` - 1 values, and it is sent at most twice as many rows per bucket."""
+    h = window_size - 1
+    src = buckets.where(F.col("edge").isNotNull() | (F.col("ts") >= F.lit(FAR).cast("timestamp"))).select(key, "event_id", "ts", "value", "edge")
+
+    def fold(k, carried, rows):
+        before = np.array([np.nan if v is None else v for v in (carried[0] if carried else [])], dtype=float)
+        values = np.concatenate([before, rows["value"].to_numpy(dtype=float)])
+        stats = {c: v[len(before):] for c, v in _rolling(values, window_size, threshold).items()}
+        out = rows[["event_id", "ts", "value"]].assign(**{key: k[0]}, **stats)[(rows["edge"] != "tail").to_numpy()]
+        last = values[len(values) - min(h, len(values)):] if h else values[:0]
+        return out[[key, "event_id", "ts", "value", "rolling_mean", "rolling_std", "z_score", "is_anomaly"]], (last.tolist(),)
+
+    return in_event_order(src, [key], ["ts", "event_id"], fold, _rolling_schema(key, dict(src.dtypes)[key]), delay, "hist array<double>")
+
+
+def run_rolling_anomaly(events: DataFrame, window_size: int = 5, threshold: float = 3.0, key: str = "event_type",
+                        bucket: timedelta = timedelta(days=1), delay: str = "1 hour") -> DataFrame:
+    """L3: rolling z-score over the points of a stream per key, to the stream's end.
+
+    Stats include the current point (reference mode) and need a full
+    window (no back-fill on a stream); zero std gives z = 0. Windows with a missing value have null stats."""
+    base = _run_dir(events.sparkSession, "rolling_anomaly")
+    inner = run_closed(lambda s: stream_bucket_anomaly(s, window_size, threshold, key, bucket, delay), events, os.path.join(base, "buckets"))
+    # files of one batch of the first stream are read together; batches release buckets in time order
+    source = dir_stream(events.sparkSession, os.path.join(base, "buckets", "out"), inner.schema)
+    heads = run_closed(lambda s: stream_edge_anomaly(s, window_size, threshold, key, delay), source, os.path.join(base, "edges"))
+    done = inner.where("edge IS NULL OR edge = 'tail'").drop("edge")
+    return done.unionByName(heads)
 
 
 # ------------------------------------------------------------------ L4
