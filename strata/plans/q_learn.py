@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from strata.operators import cluster as CL
+from strata.operators import linkage as LK
 from strata.operators import learn as L
 from strata.operators import reduce as RD
 from strata.operators.neighbors import recommend_eps
@@ -180,6 +181,28 @@ def q_cluster_hierarchical(spark, sf):
     return CL.cluster_hierarchical(_emb(spark, sf), "embedding", 10).select("vec_id", "label", "cluster")
 
 
+@register("linkage_tree")
+def q_linkage_tree(spark, sf):
+    return LK.linkage_tree(_emb(spark, sf), "vec_id", "embedding")
+
+
+LINKAGE_SQL = f"""WITH RECURSIVE {EMB_D},
+least AS (SELECT avg(d) AS height FROM (SELECT vec_id, min(dist) AS d FROM pairs GROUP BY 1)),
+links AS (SELECT vec_id AS a, nid AS b FROM pairs, least WHERE dist <= height),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM emb UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT e.vec_id, any_value(e.label) AS label, min(b) AS cluster FROM emb e JOIN reach r ON r.a = e.vec_id GROUP BY 1"""
+
+
+@register("cluster_linkage", LINKAGE_SQL)
+def q_cluster_linkage(spark, sf):
+    """The tree cut at the mean distance of a row to its nearest other row (each row's least edge in the tree)."""
+    e = _emb(spark, sf)
+    tree = LK.linkage_tree(e, "vec_id", "embedding").checkpoint()
+    ends = tree.select(F.explode(F.array("a", "b")).alias("v"), "height")
+    height = ends.groupBy("v").agg(F.min("height").alias("h")).agg(F.avg("h")).first()[0]
+    return LK.cut_tree(e, "vec_id", tree, height=height or 0.0).select("vec_id", "label", "cluster")
+
+
 @register("cluster_spectral")
 def q_cluster_spectral(spark, sf):
     return CL.cluster_spectral(_emb(spark, sf), "vec_id", "embedding", 10).select("vec_id", "label", "cluster")
