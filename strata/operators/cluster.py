@@ -10,7 +10,6 @@ Euclidean silhouette uses block pairs to sum distances per cluster.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -19,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.graph import components
-from strata.operators.metric_join import Space, matrix, names
+from strata.operators.metric_join import Space, exact, matrix, names
 from strata.operators.neighbors import block_pairs, knn
 from strata.session import checkpoint_dir
 
+PAIR_CELLS = 2_000_000  # distances held at once
+
 
 def _vec_col(df: DataFrame, features) -> DataFrame:
     if isinstance(features, str):
@@ -195,38 +196,66 @@ def silhouette(df: DataFrame, id_col: str, features, cluster_col: str = "cluster
         return ClusteringEvaluator(featuresCol="__v", predictionCol=cluster_col).evaluate(v)
     x = _vec_col(df.select(F.col(id_col).cast("long").alias("__id"), F.col(cluster_col).cast("long").alias("__c"),
                            *([features] if isinstance(features, str) else features)), features).select(
-        "__id", "__c", "__x")
-
-    def fn(qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"__id": pd.Series([], dtype="int64"), "oc": pd.Series([], dtype="int64"),
-                              "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
-        if len(qp) == 0 or len(dp) == 0:
-            return empty
-        A = np.vstack(qp["__x"].to_numpy()).astype(float)
-        B = np.vstack(dp["__x"].to_numpy()).astype(float)
-        qid, did, dc = qp["__id"].to_numpy(), dp["__id"].to_numpy(), dp["__c"].to_numpy()
-        cl = np.unique(dc)
-        out = []
-        for s in range(0, len(A), 32):
-            d = np.sqrt(((A[s:s + 32, None, :] - B[None, :, :]) ** 2).sum(axis=2))
-            same = qid[s:s + 32, None] == did[None, :]
-            d = np.where(same, 0.0, d)
-            for c in cl:
-                mask = (dc == c)[None, :] & ~same
-                out.append(pd.DataFrame({"__id": qid[s:s + 32], "oc": c, "s": np.where(mask, d, 0).sum(axis=1),
-                                         "n": mask.sum(axis=1)}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    sums = block_pairs(x, x, fn, "__id long, oc long, s double, n long", "__id", "__id")
+        "__id", "__c", F.col("__x").alias("x"))
+    good = x.where("__id IS NOT NULL AND __c IS NOT NULL AND x IS NOT NULL").where(F.forall("x", lambda e: e.isNotNull()))
+    sums = block_pairs(good, _distance_sums, "__id long, oc long, s double, n long", "__id")
     per = sums.groupBy("__id", "oc").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    own = x.select("__id", "__c")
-    j = per.join(own, "__id").withColumn("mean_d", F.try_divide(F.col("s"), F.col("n")))
+    j = per.join(good.select("__id", "__c"), "__id").withColumn("mean_d", F.try_divide(F.col("s"), F.col("n")))
     ab = j.groupBy("__id").agg(F.max(F.when(F.col("oc") == F.col("__c"), F.col("mean_d"))).alias("a"),
                                F.min(F.when(F.col("oc") != F.col("__c"), F.col("mean_d"))).alias("b"),
                                F.max(F.when(F.col("oc") == F.col("__c"), F.col("n"))).alias("na"))
     sil = F.when((F.col("na") > 0) & F.col("b").isNotNull(),
                  (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return ab.agg(F.avg(sil)).first()[0]
+    return x.select("__id").distinct().join(ab, "__id", "left").agg(F.avg(sil)).first()[0]
+
+
+def _all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a to all rows of b by a matrix product; near ones, which it gives with few digits, plainly."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    d = a @ b.T
+    d *= -2
+    d += aa[:, None]
+    d += bb[None, :]
+    i, j = np.nonzero(d <= 1e8 * (a.shape[1] + 16) * 1e-15 * (aa[:, None] + bb.max()))
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    d[i, j] = exact(a[i], b[j], "euclidean")
+    return d
+
+
+def _distance_sums(a: pa.Table, b: pa.Table | None) -> pa.Table:
+    """(__id, oc, s, n): sum of the distances of each row to the other block's rows of each cluster, and their number,
+    for the rows of both blocks; without ``b`` to the other rows of a itself. Rows of equal id are not compared."""
+    def block(t: pa.Table):
+        c = t["__c"].to_numpy()
+        order = np.argsort(c, kind="stable")
+        labels, first = np.unique(c[order], return_index=True)
+        return matrix(t["x"])[order], t["__id"].to_numpy()[order], labels, first, np.diff(np.append(first, len(c)))
+
+    if not a.num_rows or (b is not None and not b.num_rows):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=["__id", "oc", "s", "n"])
+    left = block(a)
+    right = left if b is None else block(b)
+    (xa, ia, la, fa, _), (xb, ib, lb, fb, nb) = left, right
+    center = xa.mean(axis=0)
+    xa, xb = xa - center, xb - center
+    forth, back = np.zeros((len(xa), len(lb))), np.zeros((len(la), len(xb)))
+    count = np.tile(nb, (len(xa), 1))
+    step = max(1, PAIR_CELLS // len(xb))
+    for s in range(0, len(xa), step):
+        d = _all_distances(xa[s:s + step], xb)
+        if b is None:
+            i, j = np.nonzero(ia[s:s + step, None] == ib[None, :])
+            d[i, j] = 0.0
+            np.subtract.at(count, (s + i, np.searchsorted(fb, j, side="right") - 1), 1)
+        forth[s:s + step] = np.add.reduceat(d, fb, axis=1)
+        if b is not None:
+            e = s + len(d)
+            mine = np.flatnonzero((fa < e) & (np.append(fa[1:], len(xa)) > s))  # clusters of this chunk's rows
+            back[mine] += np.add.reduceat(d, np.maximum(fa[mine] - s, 0), axis=0)
+    out = [(np.repeat(ia, len(lb)), np.tile(lb, len(ia)), forth.ravel(), count.ravel())]
+    if b is not None:
+        out.append((np.repeat(ib, len(la)), np.tile(la, len(ib)), back.T.ravel(), np.tile(left[4], len(ib))))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["__id", "oc", "s", "n"])
 
 
 def cluster_kmodes(df: DataFrame, cols: list[str], k: int, id_col: str, seed: int = 42) -> DataFrame:

@@ -34,3 +34,34 @@ def test_likelihood_keeps_vectors_and_equals_the_dense_one(order, seasonal):
     r = max(phi.shape[1], theta.shape[1] + 1)
     load = np.concatenate([np.ones((5, 1)), np.pad(theta, ((0, 0), (0, r - 1 - theta.shape[1])))], axis=1)
     assert statespace._start(np.pad(phi, ((0, 0), (0, r - phi.shape[1]))), load).shape == (5, r)
+
+
+def _silhouette(x, c):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    score = []
+    for i in range(len(x)):
+        mean = {k: d[i, (c == k) & (np.arange(len(x)) != i)].mean() for k in set(c.tolist()) if ((c == k) & (np.arange(len(x)) != i)).any()}
+        a, b = mean.get(c[i]), min((v for k, v in mean.items() if k != c[i]), default=None)
+        score.append(0.0 if a is None or b is None else (b - a) / max(a, b))
+    return np.mean(score)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_silhouette_over_several_blocks(spark, monkeypatch, offset):
+    from strata.operators import cluster, neighbors
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(cluster, "PAIR_CELLS", 500)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 3)), 3)
+    x[:20] = x[20:40]
+    c = rng.integers(0, 4, 150)
+    c[7] = 9
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "cluster": c, "v": (x + offset).tolist()}))
+    assert cluster.silhouette(df, "id", "v") == pytest.approx(_silhouette(x, c), abs=1e-7)
+
+
+def test_silhouette_of_missing_rows(spark):
+    from strata.operators import cluster
+    df = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 1, [5.0, 0.0]), (4, 1, None), (5, None, [2.0, 0.0]), (6, 1, [None, 0.0])],
+                               "id long, cluster int, v array<double>")
+    assert cluster.silhouette(df, "id", "v") == pytest.approx(((5 - 1) / 5 + (4 - 1) / 4) / 6)
