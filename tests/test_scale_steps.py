@@ -65,3 +65,41 @@ def test_silhouette_of_missing_rows(spark):
     df = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 1, [5.0, 0.0]), (4, 1, None), (5, None, [2.0, 0.0]), (6, 1, [None, 0.0])],
                                "id long, cluster int, v array<double>")
     assert cluster.silhouette(df, "id", "v") == pytest.approx(((5 - 1) / 5 + (4 - 1) / 4) / 6)
+
+
+def test_forests_of_many_series_equal_those_grown_alone():
+    from strata.operators import anomaly
+    from strata.operators.outliers import _build_tree, _c, _path_lengths
+    rng = np.random.default_rng(6)
+    series = [rng.normal(size=300), np.arange(40) % 2.0, np.round(rng.normal(size=257)), rng.normal(size=2), np.ones(12), rng.normal(size=120)]
+    xs = [anomaly._features(y) for y in series]
+    for x, found in zip(xs, anomaly._iforests(xs, 42, n_trees=15), strict=True):
+        draws, psi, h = np.random.default_rng(42), min(256, len(x)), 0.0
+        for _ in range(15):
+            idx = draws.choice(len(x), size=psi, replace=False)
+            h = h + _path_lengths(x, _build_tree(x[idx], draws, math.ceil(math.log2(psi))))
+        assert (found == np.power(2.0, -(h / 15) / _c(psi))).all()
+
+
+def test_series_cut_by_batches_are_scored_whole(spark, monkeypatch):
+    from strata.operators import anomaly
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2024-01-01", periods=60).date
+    frames = [pd.DataFrame({"k": k, "t": days[:n], "y": rng.normal(size=n)}) for k, n in (("a", 60), ("b", 25), (None, 30), ("c", 41))]
+    data = pd.concat(frames).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(data, "k string, t date, y double")
+    methods = ["isolation_forest", "lstm_autoencoder", "statistical", "prophet", "one_class_svm"]
+    monkeypatch.setattr(anomaly, "HELD_ROWS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(m, r["k"], r["t"]): r for m in methods for r in anomaly.detect_series(df.coalesce(1), "t", "y", ("k",), m).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(methods) * len(data)
+    for f in frames:
+        y, key = f["y"].to_numpy(), f["k"].iloc[0]
+        day = pd.to_datetime(f["t"]).astype("int64").to_numpy() / 86400e9
+        for m, (s, flag) in {"isolation_forest": anomaly.score_iforest(y), "lstm_autoencoder": anomaly.score_reconstruction(y),
+                             "prophet": anomaly.score_trend_season(y, day), "one_class_svm": anomaly.score_kernel_novelty(y)}.items():
+            mine = [got[m, key, t] for t in f["t"]]
+            assert np.allclose([r["score"] for r in mine], s, rtol=1e-9, atol=1e-12) and [r["is_anomaly"] for r in mine] == flag.tolist()
