@@ -18,7 +18,9 @@ per task is one batch plus ``h`` rows. Order keys must be unique.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,40 @@ def apply_ordered(df: DataFrame, order_cols: list[str], fn, out_schema: T.Struct
     return s.mapInPandas(run, out_schema)
 
 
+def apply_between(df: DataFrame, order_cols: list[str], halo: int, fn, out_schema: str, num_partitions: int | None = None) -> DataFrame:
+    """``fn(table, first, last)`` on each range partition's sorted rows as one Arrow table, with the ``halo`` rows before
+    and after it; its own rows are first to last. The driver receives at most partitions x 2 ``halo`` rows."""
+    s = _partitioned(df, order_cols, num_partitions)
+    cols = [c for c in s.columns if c != "__pid"]
+
+    def ends(batches):
+        own = [b for b in batches if b.num_rows]
+        if own:
+            t = pa.Table.from_batches(own)
+            yield from (t if t.num_rows <= 2 * halo else pa.concat_tables([t.slice(0, halo), t.slice(t.num_rows - halo)])).to_batches()
+
+    edges = s.mapInArrow(ends, s.schema).toArrow()
+    pids = edges["__pid"].to_numpy()
+    edges = edges.select(cols)
+    kept = {}
+    for pid in np.unique(pids).tolist():
+        before, after = np.flatnonzero(pids < pid), np.flatnonzero(pids > pid)
+        before, after = before[np.argsort(pids[before], kind="stable")][-halo:], after[np.argsort(pids[after], kind="stable")][:halo]
+        kept[pid] = (edges.take(pa.array(before)), edges.take(pa.array(after)))
+    known = df.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches):
+        own = [b for b in batches if b.num_rows]
+        if own:
+            own = pa.Table.from_batches(own)
+            before, after = known.value[own["__pid"][0].as_py()]
+            own = own.select(cols)
+            t = pa.concat_tables([before.cast(own.schema), own, after.cast(own.schema)])
+            yield from fn(t, before.num_rows, before.num_rows + own.num_rows).to_batches()
+
+    return s.mapInArrow(run, out_schema)
+
+
 def lag_features_ordered(df: DataFrame, target: str, order_cols: list[str], lags=(1, 2, 3, 7, 14, 30),
                          num_partitions: int | None = None) -> DataFrame:
     """W1 for one long series (distributed): ``{target}_lag_{k}`` before fills."""

@@ -13,14 +13,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.stats import exact_quantiles, numeric_cols
+from strata.operators.ordered import apply_between
 from strata.operators.ranks import count_in_ranges, global_positions
 from strata.session import checkpoint_dir
 
 MIN_VALUES = 10
+LOF_ROWS = 1 << 18  # of a range partition of sorted values
+LOF_CHUNK = 1 << 14  # whose candidates are held at once
 
 
 def _eligible(df: DataFrame, cols) -> list[str]:
@@ -83,15 +87,50 @@ def outlier_dbscan_1d(df: DataFrame, col: str, id_col: str, eps: float = 0.5, mi
 def lof_scores_1d(df: DataFrame, col: str, id_col: str, k: int | None = None) -> DataFrame:
     """LOF in one dimension with exact neighbours.
 
-    Sorted by value, the k nearest neighbours of a point are among the k positions on
-    each side; candidates come from an equi-join on global position offsets (2k per
-    row, bounded), then k-distance, reachability, local reachability density and LOF
-    are grouped aggregates and equi-joins on ids. Ties at the k-th distance are broken
-    by position. Returns (id, lof)."""
+    Sorted by (value, id), the k nearest neighbours of a point are among the k positions on each side, ties broken
+    by position; their k-distances and densities reach 2k positions further. So a range partition of the
+    sorted rows has with the 3k rows before and after it all that its own rows need, and (id, value) moves
+    once. Rows that share an id, or lack one, are scored together as one point by joins (``_lof_of_ids``).
+    Returns (id, lof)."""
     med = exact_quantiles(df, [col], [0.5])[(col, 0.5)]
     base = df.select(id_col, F.coalesce(F.col(col).cast("double"), F.lit(med)).alias("v"))
     n = base.count()
     k = k or min(20, n - 1)
+    if k < 1 or med is None or base.select(F.count_distinct(id_col)).first()[0] < n:
+        return _lof_of_ids(base, id_col, k)
+    k = min(k, n - 1)
+
+    def score(t: pa.Table, first: int, last: int) -> pa.Table:
+        lof = _lof_sorted(t["v"].to_numpy(), k)[first:last]
+        return pa.table([t[id_col].slice(first, last - first), pa.array(lof)], names=[id_col, "lof"])
+
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LOF_ROWS))
+    return apply_between(base, ["v", id_col], 3 * k, score, f"`{id_col}` {dict(base.dtypes)[id_col]}, lof double", min(parts, math.ceil(n / 1024)))
+
+
+def _lof_sorted(v: np.ndarray, k: int) -> np.ndarray:
+    """LOF of sorted values, the k neighbours of each being the nearest by (distance, step, left first)."""
+    n = len(v)
+    offs = np.array([o for step in range(1, k + 1) for o in (-step, step)])  # in the order that breaks ties
+    near, d = np.empty((n, k), dtype=np.int64), np.empty((n, k))
+    for s in range(0, n, LOF_CHUNK):
+        at = np.arange(s, min(s + LOF_CHUNK, n))[:, None] + offs[None, :]
+        off_end = (at < 0) | (at >= n)
+        at = np.clip(at, 0, n - 1)
+        gap = np.abs(v[s:s + LOF_CHUNK, None] - v[at])
+        order = (np.lexsort((gap, off_end), axis=1) if off_end.any() else np.argsort(gap, axis=1, kind="stable"))[:, :k]
+        near[s:s + LOF_CHUNK], d[s:s + LOF_CHUNK] = np.take_along_axis(at, order, axis=1), np.take_along_axis(gap, order, axis=1)
+    kdist = d.max(axis=1)
+    lrd = np.empty(n)
+    for s in range(0, n, LOF_CHUNK):
+        lrd[s:s + LOF_CHUNK] = 1.0 / (np.maximum(d[s:s + LOF_CHUNK], kdist[near[s:s + LOF_CHUNK]]).mean(axis=1) + 1e-10)
+    return np.concatenate([lrd[near[s:s + LOF_CHUNK]].mean(axis=1) for s in range(0, n, LOF_CHUNK)]) / lrd
+
+
+def _lof_of_ids(base: DataFrame, id_col: str, k: int) -> DataFrame:
+    """LOF of (id, v) where rows may share an id: candidates come from an equi-join on global position offsets
+    (2k per row), then k-distance, reachability, local reachability density and LOF are grouped
+    aggregates and equi-joins on ids."""
     pos = global_positions(base, ["v", id_col])
     offs = F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0])
     cand = pos.select(id_col, "v", "pos", F.explode(offs).alias("off")).withColumn("npos", F.col("pos") + F.col("off"))
