@@ -13,9 +13,10 @@ Inside a task the same bounds hold for slices of ``SLICE`` donors. Matrix produc
 error margin find the few candidates, whose distances are then computed plainly, so results
 are exact to the last bit and ties are decided by id.
 
-Tasks are bounded on both sides: a partition has about ``PART_BYTES`` of donors, and queries for one
-partition are dealt into as many tasks as they outnumber its donors. Data without structure (no bound
-below any distance) cost a copy of each query per partition, which no exact method avoids.
+Tasks are bounded on both sides: a partition has at most about ``PART_BYTES`` and ``PART_ROWS`` of donors, and
+queries for one partition are dealt into as many tasks as they outnumber its donors. Data without structure (no bound
+below any distance) cost a copy of each query per partition, which no exact method avoids; so a table has
+``LEAST_PARTS`` partitions whatever its size, until they would outgrow a task, and the copies grow with the rows.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ from strata.session import checkpoint_dir
 
 SLICE = 1024
 CHUNK = 512
-PART_BYTES = 8 << 20
+PART_BYTES = 32 << 20
+PART_ROWS = 1 << 18
+LEAST_PARTS = 8
+LEAST_TASKS = 32  # of a round with enough queries
 MOST_PARTS = 1 << 18
 MOST_PIVOTS = 1024
 PIVOT_BYTES = 8 << 20
 LEAST_QUERIES = 4096  # of a task, before a partition's queries are dealt into several
 CELLS = 4_000_000  # of a (query, ring) matrix
+NEAR_CELLS = 1 << 15  # of a matrix that stays in a core's cache
+QUERIES = 4096  # whose bounds to all slices are held at once
 ROOM = 1e-9  # relative room for rounding in bounds
 
 
@@ -54,10 +60,16 @@ def names(col: pa.ChunkedArray) -> np.ndarray:
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Plain distances of all rows of a to all rows of b, column by column in bounded memory."""
     out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
-        out += np.abs(d) if metric == "manhattan" else d * d
-    return out if metric == "manhattan" else np.sqrt(out)
+    columns, step = np.ascontiguousarray(b.T), max(1, NEAR_CELLS // max(len(b), 1))
+    some = np.empty((min(step, len(a)), len(b)))
+    for s in range(0, len(a), step):
+        o = out[s:s + step]
+        d = some[:len(o)]
+        for j in range(a.shape[1]):
+            np.subtract(a[s:s + step, j, None], columns[j], out=d)
+            np.abs(d, out=d) if metric == "manhattan" else np.multiply(d, d, out=d)
+            o += d
+    return out if metric == "manhattan" else np.sqrt(out, out=out)
 
 
 def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -115,6 +127,15 @@ class Task:
         none = np.zeros(0, np.int64)
         if not len(x) or not self.slices:
             return none, none, np.zeros(0)
+        parts = []
+        for c in range(0, len(x), QUERIES):
+            e = c + QUERIES
+            q, y, d = self._nearest(x[c:e], near[c:e], space[c:e], upper[c:e], k)
+            parts.append((q + c, y, d))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _nearest(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
         low, high = self.bounds(x, near, space)
         top = self.value(upper * (1 + ROOM))
         best = np.full((len(x), k), np.inf)
@@ -127,12 +148,16 @@ class Task:
             for c in range(0, len(rows), CHUNK):
                 q = rows[c:c + CHUNK]
                 v, off = self.compare(x[q], s)
+                some = (v <= (top[q] + off)[:, None]).any(axis=1)
+                if not some.any():
+                    continue
+                q, v, off = q[some], v[some], off[some]
                 m = min(k, v.shape[1])
-                some = np.concatenate([best[q], (np.partition(v, m - 1, axis=1)[:, :m] if m < v.shape[1] else v) + off[:, None]], axis=1)
-                best[q] = np.partition(some, k - 1, axis=1)[:, :k]
+                every = np.concatenate([best[q], (np.partition(v, m - 1, axis=1)[:, :m] if m < v.shape[1] else v) + off[:, None]], axis=1)
+                best[q] = np.partition(every, k - 1, axis=1)[:, :k]
                 top[q] = np.minimum(top[q], best[q].max(axis=1))
                 i, j = np.nonzero(v - off[:, None] <= top[q, None])
-                held.append((q[i], j + self.slices[s][0], (v - off[:, None])[i, j]))
+                held.append((q[i], j + self.slices[s][0], v[i, j] - off[i]))
                 size += len(i)
             if size > 2_000_000:
                 held, size = [self._kept(held, top)], 0
@@ -157,6 +182,12 @@ class Task:
     def within(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, eps: float):
         """Yields (queries, donors, matrix of which are within eps of each other) for chunks and slices that can be;
         a matrix of None means that all are."""
+        for c in range(0, len(x), QUERIES):
+            e = c + QUERIES
+            for q, y, m in self._within(x[c:e], near[c:e], space[c:e], eps):
+                yield q + c, y, m
+
+    def _within(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, eps: float):
         low, high = self.bounds(x, near, space)
         limit = eps if self.metric == "manhattan" else eps * eps
         for s, (a, b) in enumerate(self.slices):
@@ -195,7 +226,7 @@ class Space:
         order = [int(i) for s in dict.fromkeys(names_of) for i in _near_order(x, np.flatnonzero(names_of == s))]
         rows, self.pivots = [rows[i] for i in order], x[order]
         self.of = {s: np.array([i for i, r in enumerate(rows) if r["space"] == s]) for s in {r["space"] for r in rows}}
-        self.parts = max(math.ceil(n * d * 8 / PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 4096)), 1)
+        self.parts = max(math.ceil(n * d * 8 / PART_BYTES), math.ceil(n / PART_ROWS), min(LEAST_PARTS, math.ceil(n / 1024)), 1)
         if part_rows:
             self.parts = max(1, math.ceil(n / part_rows))
         self.parts = min(self.parts, MOST_PARTS)
@@ -274,7 +305,8 @@ class Space:
         """``fn(queries, donors)`` on Arrow tables, once per partition and deal of its queries."""
         each = routed.withColumn("part", F.explode("parts")).drop("parts")
         counts = each.groupBy("part").count().collect()  # at most parts
-        deals = [(r["part"], max(1, math.ceil(r["count"] / max(LEAST_QUERIES, self.sizes.get(r["part"], 0))))) for r in counts]
+        wide = math.ceil(LEAST_TASKS / max(len(counts), 1))
+        deals = [(r["part"], max(math.ceil(r["count"] / max(LEAST_QUERIES, self.sizes.get(r["part"], 0))), min(wide, math.ceil(r["count"] / LEAST_QUERIES)))) for r in counts]
         table = F.broadcast(self.spark.createDataFrame(deals, "part int, __deals int"))
         q = each.join(table, "part").withColumn("__deal", F.pmod(F.xxhash64("qid", "near"), F.col("__deals")).cast("int")).drop("__deals")
         y = donors.join(table, "part").withColumn("__deal", F.explode(F.sequence(F.lit(0), F.col("__deals") - 1))).drop("__deals")

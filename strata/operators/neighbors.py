@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.metric_join import nearest
+from strata.session import checkpoint_dir
 
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 16 << 20
@@ -87,7 +88,8 @@ def recommend_eps(df: DataFrame, id_col: str, features) -> DataFrame:
     schema = "recommended_eps double, recommended_min_samples int, mean_k_distance double, density string"
     if n <= 10:
         return spark.createDataFrame([], schema)
-    kd = k_distance_curve(df, id_col, features, min(5, n - 1))
+    checkpoint_dir(spark)
+    kd = k_distance_curve(df, id_col, features, min(5, n - 1)).checkpoint()  # read by several passes
     p90 = exact_quantiles(kd, ["k_distance"], [0.9])[("k_distance", 0.9)]
     dens = F.when(F.col("m") < 0.5, "dense").when(F.col("m") > 2.0, "sparse").otherwise("moderate")
     return kd.agg(F.avg("k_distance").alias("m")).select(

@@ -99,3 +99,56 @@ def test_components(spark):
     assert len(got) == 200 + 100 + 2
     assert {got[i] for i in range(200)} == {0} and {got[i] for i in range(1000, 1100)} == {1000} and got[2**40] == 2**40 - 1
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_of_queries_do_not_grow_with_the_rows(spark):
+    """Rows without structure are copied once per partition, so a table of four times the rows has no more partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rng = np.random.default_rng(3)
+        parts = []
+        for n in (9000, 36000):
+            points = frame(spark, rng.normal(size=(n, 3))).select(F.lit("").alias("space"), "x", "id")
+            space = MJ.Space(points, ["id"])
+            parts.append(len(space.sizes))
+            assert sum(space.sizes.values()) == n
+        assert parts == [MJ.LEAST_PARTS] * 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_a_task_holds_bounds_of_few_queries(monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    y, x = rng.normal(size=(3000, 3)), rng.normal(size=(10_000, 3))
+    pivots = y[:20]
+    d = MJ.distances(y, pivots, metric)
+    task = MJ.Task(y, d.argmin(1), d.min(1), pivots, np.array([""] * 20, dtype=object), metric)
+    held, bounds = [], MJ.Task.bounds
+    monkeypatch.setattr(MJ.Task, "bounds", lambda self, q, *rest: held.append(len(q)) or bounds(self, q, *rest))
+    near, space = MJ.distances(x, pivots, metric).min(1), np.array([""] * len(x), dtype=object)
+    i, j, dist = task.nearest(x, near, space, np.full(len(x), np.inf), 3)
+    some = plain(x[::500], y, metric)
+    for row, true in zip(range(0, len(x), 500), some, strict=True):
+        assert set(np.argsort(true)[:3]) <= set(j[i == row]) and np.allclose(sorted(dist[i == row])[:3], np.sort(true)[:3], rtol=1e-12)
+    hits = np.zeros(len(x), np.int64)
+    for q, donors, m in task.within(x, near, space, 0.5):
+        hits[q] += len(donors) if m is None else m.sum(1)
+    assert hits[::500].tolist() == (some <= 0.5).sum(1).tolist()
+    assert max(held) <= MJ.QUERIES
+
+
+def test_recommend_eps_joins_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def curve(df, id_col, features, k):
+        def count(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+        return df.select("id", F.col("x")[0].alias("k_distance")).mapInArrow(count, "id long, k_distance double")
+
+    monkeypatch.setattr(NB, "k_distance_curve", curve)
+    got = NB.recommend_eps(frame(spark, np.arange(101.0)[:, None]), "id", "x").first()
+    assert (got["recommended_eps"], got["mean_k_distance"]) == (90.0, 50.0) and made.value == 101
