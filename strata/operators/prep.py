@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -431,38 +432,67 @@ def _bc(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
 
 
+def _power_sums(df: DataFrame, lams: dict[str, list[float]], method: str) -> dict[str, tuple[int, float, list[tuple[float, float]]]]:
+    """Per column: number of values, sum of the log-Jacobian and (sum of T, sum of T^2) of each lambda. A task sends one row per lambda."""
+    yj = method == "yeo-johnson"
+
+    def sums(batches):
+        every = [(c, ls, np.zeros(len(ls)), np.zeros(len(ls)), np.zeros(2)) for c, ls in lams.items()]
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i, (_, ls, s, q, more) in enumerate(every):
+                    values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    more[0] += len(values)
+                    for at in range(0, len(values), 4096):
+                        x = values[at:at + 4096]
+                        low = x < 0
+                        neg, x = (x[low], x[~low]) if yj else (x[:0], x)
+                        logs = np.concatenate([np.log1p(x), -np.log1p(-neg)]) if yj else np.log(x[~(x <= 0)])
+                        more[1] += logs.sum()
+                        for j, lam in enumerate(ls):
+                            if not yj:
+                                t = logs if abs(lam) < 1e-12 else (np.power(x, lam) - 1) / lam
+                            else:
+                                pos = np.log1p(x) if abs(lam) < 1e-12 else (np.power(x + 1, lam) - 1) / lam
+                                t = pos if not len(neg) else np.concatenate([pos, -np.log1p(-neg) if abs(lam - 2) < 1e-12 else -(np.power(1 - neg, 2 - lam) - 1) / (2 - lam)])
+                            s[j] += t.sum()
+                            q[j] += (t * t).sum()
+        if any(more[0] for *_, more in every):
+            rows = [(i, j, *sq, *more) for i, (_, _, s, q, more) in enumerate(every) for j, sq in enumerate(zip(s, q, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.float64()] * 4], strict=True)], names=["i", "j", "s", "q", "n", "jac"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in lams]).mapInArrow(sums, "i int, j int, s double, q double, n double, jac double")
+    found = {(r["i"], r["j"]): r for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("s", "q", "n", "jac")]).collect()}
+    out = {}
+    for i, (c, ls) in enumerate(lams.items()):
+        mine = [found.get((i, j)) for j in range(len(ls))]
+        out[c] = (0, 0.0, [(0.0, 0.0)] * len(ls)) if mine[0] is None else (int(mine[0]["n"]), mine[0]["jac"], [(r["s"], r["q"]) for r in mine])
+    return out
+
+
 def fit_power_lambda(df: DataFrame, cols: list[str], method: str = "yeo-johnson",
                      grid=(-2.0, 2.0), steps: int = 41, refine: int = 2) -> dict[str, float]:
     """N5 fit: maximum-likelihood lambda per column by grid search in one aggregate per pass.
 
     log L(l) = -n/2 log var(T_l(x)) + (l - 1) * sum(sign(x) log(|x| + 1)) (Yeo-Johnson)
     or (l - 1) * sum(log x) (Box-Cox). Each pass evaluates every grid lambda for every
-    column in the same aggregate (sums of T and T^2), then the grid narrows around the
+    column (sums of T and T^2, by vectors in the tasks), then the grid narrows around the
     best value. Values approach the library's Brent optimum to the final grid spacing.
     """
     lo, hi = {c: grid[0] for c in cols}, {c: grid[1] for c in cols}
     best = {}
     for _ in range(refine + 1):
-        aggs = []
         lams = {c: list(np.linspace(lo[c], hi[c], steps)) for c in cols}
-        for i, c in enumerate(cols):
-            x = F.col(c).cast("double")
-            for j, lam in enumerate(lams[c]):
-                t = _yj(x, lam) if method == "yeo-johnson" else _bc(x, lam)
-                aggs += [F.sum(t).alias(f"s{i}_{j}"), F.sum(t * t).alias(f"q{i}_{j}")]
-            jac = F.signum(x) * F.log1p(F.abs(x)) if method == "yeo-johnson" else F.log(x)
-            aggs += [F.sum(jac).alias(f"j{i}"), F.count(x).alias(f"n{i}")]
-        r = df.agg(*aggs).first()
-        for i, c in enumerate(cols):
-            n = r[f"n{i}"]
+        r = _power_sums(df, lams, method)
+        for c in cols:
+            n, jac, sums = r[c]
             lls = []
-            for j, lam in enumerate(lams[c]):
-                s, q = r[f"s{i}_{j}"], r[f"q{i}_{j}"]
-                if s is None or q is None or n == 0:
+            for lam, (s, q) in zip(lams[c], sums, strict=True):
+                if n == 0:
                     lls.append(-np.inf)
                     continue
                 var = q / n - (s / n) ** 2
-                lls.append(-n / 2 * math.log(var) + (lam - 1) * r[f"j{i}"] if var > 0 else -np.inf)
+                lls.append(-n / 2 * math.log(var) + (lam - 1) * jac if var > 0 else -np.inf)
             k = int(np.argmax(lls))
             best[c] = float(lams[c][k])
             step = (hi[c] - lo[c]) / (steps - 1)
