@@ -491,19 +491,28 @@ def lime_tabular(model, explain: DataFrame, training: DataFrame, id_col: str, fe
     pr = pred.select("__rid", "__w", *[f"z_{f}" for f in features], _pred_col(pred, positive_class).alias("__y"))
     rtype = dict(ex.dtypes)["__rid"]
 
-    def ridge(pdf: pd.DataFrame) -> pd.DataFrame:
-        Z = pdf[[f"z_{f}" for f in features]].to_numpy(float)
-        y = pdf["__y"].to_numpy(float)
-        w = pdf["__w"].to_numpy(float)
-        X = np.column_stack([np.ones(len(Z)), Z])
-        A = X.T @ (X * w[:, None]) + alpha * np.diag([0.0] + [1.0] * M)
-        beta = np.linalg.solve(A, X.T @ (w * y))
-        coef = beta[1:]
-        order = np.argsort(-np.abs(coef))[:num_features]
-        return pd.DataFrame({"__rid": [pdf["__rid"].iloc[0]] * len(order), "feature": [features[i] for i in order],
-                             "attribution": coef[order], "intercept": [beta[0]] * len(order)})
-
-    return pr.groupBy("__rid").applyInPandas(
+    # the normal equations of a row are sums over its samples, added up where these are made; a null makes them unknown
+    nan = F.lit(float("nan"))
+    cols = [F.lit(1.0), *[F.coalesce(f"z_{f}", nan) for f in features], F.coalesce(F.col("__y").cast("double"), nan)]
+    w = F.coalesce("__w", nan)
+    sums = pr.groupBy("__rid").agg(*[F.sum(w * (cols[i] * cols[j])).alias(f"a_{i}_{j}") for i in range(M + 1) for j in range(i, M + 2)])
+
+    def ridge(batches):
+        for pdf in batches:
+            n = len(pdf)
+            if not n:
+                continue
+            A, y = np.empty((n, M + 1, M + 1)), np.stack([pdf[f"a_{i}_{M + 1}"].to_numpy(float) for i in range(M + 1)], axis=1)
+            for i in range(M + 1):
+                for j in range(i, M + 1):
+                    A[:, i, j] = A[:, j, i] = pdf[f"a_{i}_{j}"].to_numpy(float)
+            A += alpha * np.diag([0.0] + [1.0] * M)
+            beta = np.linalg.solve(A, y[:, :, None])[:, :, 0]
+            order = np.argsort(-np.abs(beta[:, 1:]), axis=1, kind="stable")[:, :num_features]
+            yield pd.DataFrame({"__rid": pdf["__rid"].repeat(order.shape[1]).reset_index(drop=True), "feature": np.array(features, dtype=object)[order].ravel(),
+                                "attribution": np.take_along_axis(beta[:, 1:], order, axis=1).ravel(), "intercept": beta[:, 0].repeat(order.shape[1])})
+
+    return sums.mapInPandas(
         ridge, f"__rid {rtype}, feature string, attribution double, intercept double").withColumnRenamed(
         "__rid", id_col)
 
