@@ -28,6 +28,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 TIMER = T.StructType([T.StructField("at", T.LongType()), T.StructField("idle", T.BooleanType()), T.StructField("last", T.LongType())])
 Fold = Callable[[tuple, tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple | None]]
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
+ManyFold = Callable[[np.ndarray, np.ndarray, list[tuple | None]], tuple[pd.DataFrame, list[tuple | None]]]
+BUCKETS = 256  # of keys; a checkpoint belongs to their number
 
 
 class InEventOrder(StatefulProcessor):
@@ -120,6 +123,95 @@ class InEventOrder(StatefulProcessor):
         yield out
 
 
+class ManyInEventOrder(StatefulProcessor):
+    """As ``InEventOrder``, for many keys of few rows: a state holds a bucket of keys, so that one exchange with the state
+    store serves them all, where a state per key costs several exchanges per key.
+
+    Rows and carried values are long numbers. ``columns`` begin with the ``n_keys`` key columns and the event time in
+    microseconds; rows are folded in the order of all columns. ``fold(rows, starts, before) -> (output, after)`` gets the
+    bucket's released rows as a matrix, where each key's rows start and what each carries (None: nothing)."""
+
+    def __init__(self, fold: ManyFold, columns: list[str], n_keys: int, n_carried: int, expire_after_ms: int | None = None):
+        self.fold, self.columns, self.n_keys, self.n_carried = fold, columns, n_keys, n_carried
+        self.expire_after_ms = expire_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", PACKED)
+        self.carry = handle.getValueState("carry", PACKED)
+        self.timer = handle.getValueState("timer", TIMER)
+
+    def close(self) -> None:
+        pass
+
+    def _due(self, rows: np.ndarray) -> np.ndarray:
+        return -(-rows[:, self.n_keys] // 1000)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at, False, None))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pdf[self.columns].to_numpy(dtype=np.int64) for pdf in rows if len(pdf)]
+        if parts:
+            self.waiting.appendList([(p.tobytes(),) for p in parts])
+            first, timer = min(int(self._due(p).min()) for p in parts), self.timer.get()
+            if timer is None or first < timer[0]:
+                if timer is not None:
+                    self.handle.deleteTimer(timer[0])
+                self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, k = timerValues.getCurrentWatermarkInMs(), self.n_keys
+        rows = np.concatenate([_unpacked(b, len(self.columns)) for b, in self.waiting.get()] or [np.zeros((0, len(self.columns)), np.int64)])
+        ripe = self._due(rows) <= mark
+        later, rows = rows[~ripe], rows[ripe]
+        rows = rows[np.lexsort(rows.T[::-1])]
+        due = self._due(rows)
+        packed = self.carry.get()
+        width = k + self.n_carried + 1  # the last is the time of the key's last row
+        carried = {tuple(c[:k]): c[k:] for c in _unpacked(packed[0], width).tolist()} if packed else {}
+        if len(rows):
+            apart = (rows[1:, :k] != rows[:-1, :k]).any(axis=1)
+            anew = apart if self.expire_after_ms is None else apart | (np.diff(due) > self.expire_after_ms)
+            starts = np.flatnonzero(np.append(True, anew))
+            before, of = [], [tuple(x) for x in rows[starts, :k].tolist()]
+            for i, (at, name) in enumerate(zip(due[starts].tolist(), of, strict=True)):
+                had = carried.get(name) if i == 0 or of[i - 1] != name else None  # else idle for too long
+                if had is not None and self.expire_after_ms is not None and at - had[-1] > self.expire_after_ms:
+                    had = None
+                before.append(None if had is None else tuple(had[:-1]))
+            out, after = self.fold(rows, starts, before)
+            for name, value, last in zip(of, after, due[np.append(starts[1:], len(rows)) - 1].tolist(), strict=True):
+                if value is None:
+                    carried.pop(name, None)
+                else:
+                    carried[name] = [*value, last]
+            yield out
+        if self.expire_after_ms is not None:
+            carried = {name: c for name, c in carried.items() if c[-1] + self.expire_after_ms >= mark}
+        if carried:
+            self.carry.update((np.array([[*name, *c] for name, c in carried.items()], dtype=np.int64).tobytes(),))
+        elif packed:
+            self.carry.clear()
+        wakes = [int(self._due(later).min())] if len(later) else []
+        if carried and self.expire_after_ms is not None:
+            wakes.append(min(c[-1] for c in carried.values()) + self.expire_after_ms + 1)
+        if len(later):
+            self.waiting.put([(later.tobytes(),)])
+        else:
+            self.waiting.clear()
+        if wakes:
+            self._wake(min(wakes))
+        else:
+            self.timer.clear()
+
+
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.int64).reshape(-1, width)
+
+
 def _plain(rows: pd.DataFrame) -> list[tuple]:
     """Rows as tuples of Python values, missing ones as None."""
     columns = []
@@ -142,6 +234,15 @@ def in_event_order(rows: DataFrame, keys: list[str], order: list[str], fold: Fol
         InEventOrder(fold, state, order, fold_state, release, expire_after_ms), output, "append", "EventTime")
 
 
+def many_in_event_order(rows: DataFrame, time: str, columns: list[str], n_keys: int, fold: ManyFold, output: str, delay: str, n_carried: int,
+                        expire_after_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` (a stream of long ``columns`` and the event time) by buckets of their first ``n_keys`` columns, in order of all ``columns``."""
+    real = rows.withWatermark(time, delay).where(F.col(time) < F.lit(FAR).cast("timestamp"))
+    bucket = F.pmod(F.xxhash64(*columns[:n_keys]), F.lit(buckets)).cast("int").alias("bucket")
+    return real.select(bucket, time, *columns).groupBy("bucket").transformWithStateInPandas(
+        ManyInEventOrder(fold, columns, n_keys, n_carried, expire_after_ms), output, "append", "EventTime")
+
+
 def start(writer, spark: SparkSession):
     """Start a query with the state store that ``transformWithState`` needs; the session keeps its own setting."""
     name = "spark.sql.streaming.stateStore.providerClass"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
-from strata.streaming.event_order import FAR, in_event_order, run_closed
+from strata.streaming.event_order import FAR, in_event_order, many_in_event_order, run_closed
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
@@ -166,13 +166,28 @@ def stream_lockout(events: DataFrame, delay: str = "1 hour", forget_after: timed
 
     A user whose counter is zero has no state. Counters of others are kept for good, as they change later answers,
     unless ``forget_after`` (time since the user's last attempt) is given."""
-    def fold(key, carried, rows):
-        out, (failed, locked) = _lockout_rows(key[0], rows, *(carried or (0, None)))
-        return out, ((failed, locked) if failed else None)
-
+    columns = ["known", "name", "us", "unnumbered", "number", "success"]  # nulls are flags, all else is long
+
+    def fold(rows, starts, before):
+        n, after = len(rows), []
+        outcome, count, until = np.empty(n, dtype=object), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        for a, b, carried in zip(starts.tolist(), [*starts[1:].tolist(), n], before, strict=True):
+            failed, locked = carried or (0, -1)
+            outcome[a:b], count[a:b], until[a:b] = _lockout_fold(failed, None if locked < 0 else locked, rows[a:b, 2], rows[a:b, 5].astype(bool))
+            after.append((int(count[b - 1]), int(until[b - 1])) if count[b - 1] else None)
+        known = pd.DataFrame(dict(zip(columns, rows.T, strict=True)))[columns[:5]]
+        return known.assign(outcome=outcome, failed_attempts=count, until=until), after
+
+    flag = lambda c: c.cast("long")
+    tries = _login_attempts(events, mark=FAR).select(
+        "ts", flag(F.col("username").isNotNull()).alias("known"), F.coalesce("username", F.lit(0)).cast("long").alias("name"), F.unix_micros("ts").alias("us"),
+        flag(F.col("event_id").isNull()).alias("unnumbered"), F.coalesce("event_id", F.lit(0)).cast("long").alias("number"), flag(F.coalesce("success", F.lit(False))).alias("success"))
     expire = int(forget_after.total_seconds() * 1000) if forget_after else None
-    return in_event_order(_login_attempts(events, mark=FAR), ["username"], ["ts", "event_id"], fold, LOCKOUT_SCHEMA, delay,
-                          "failed long, locked long", expire_after_ms=expire)
+    done = many_in_event_order(tries, "ts", columns, 2, fold, ", ".join(f"{c} long" for c in columns[:5]) + ", outcome string, failed_attempts long, until long",
+                               delay, 2, expire_after_ms=expire)
+    return done.select(F.when(F.col("known") == 1, F.col("name")).alias("username"), F.timestamp_micros("us").alias("ts"),
+                       F.when(F.col("unnumbered") == 0, F.col("number")).alias("event_id"), "outcome", "failed_attempts",
+                       F.when(F.col("until") >= 0, F.timestamp_micros("until")).alias("locked_until"))
 
 
 def run_lockout(events: DataFrame, delay: str = "1 hour") -> DataFrame:

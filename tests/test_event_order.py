@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strata.streaming import event_order as EO
 from strata.streaming import streams as ST
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double"
@@ -126,3 +127,80 @@ def test_idle_state_ends(spark, tmp_path):
         done = ST.run_closed(lambda s, idle=idle: ST.stream_lockout(s, "1 minute", idle), stream, folder)
         out[name] = done.where(F.col("event_id") == 11).first()["failed_attempts"]
     assert out == {"kept": 4, "forgotten": 1}
+
+
+class Handle:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def state(self, name, schema):
+        handle, kept = self, []
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return iter(list(kept)) if name == "waiting" else kept[0] if kept else None
+
+            def update(self, value):
+                self.put([value])
+
+            def put(self, values):
+                kept.clear()
+                self.appendList(values)
+
+            def appendList(self, values):
+                handle.calls += 1
+                kept.extend(values)
+
+            def clear(self):
+                self.put([])
+
+        return State()
+
+    getListState = getValueState = state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("forget", [None, timedelta(hours=3)])
+def test_lockout_states_are_buckets_of_users(spark, monkeypatch, forget):
+    """One bucket of 400 users, in batches: a few exchanges with the state store, not some per user; the answers are the loop's."""
+    made = []
+    monkeypatch.setattr(ST, "many_in_event_order", lambda rows, time, columns, n_keys, fold, output, delay, n_carried, expire_after_ms=None:
+                        made.append((columns, EO.ManyInEventOrder(fold, columns, n_keys, n_carried, expire_after_ms))) or
+                        spark.createDataFrame([], output))
+    ST.stream_lockout(spark.createDataFrame([], SCHEMA), "1 minute", forget)
+    columns, processor = made[0]
+    draw = random.Random(11)
+    rows = [(draw.randint(0, 1), draw.randint(1, 200), draw.randint(0, 86_400) * 1_000_000, 0, i, int(draw.random() < 0.1)) for i in range(6000)]
+    rows += [(1, 7, (80_000 + i) * 1_000_000, 0, 10_000 + i, 0) for i in range(40)]
+    good = {r[4]: bool(r[5]) for r in rows}
+    handle, got = Handle(), []
+    processor.init(handle)
+    for end in (20_000, 50_000, 90_000, 200_000):  # rows come up to 1000 s late
+        class Times:
+            getCurrentWatermarkInMs = staticmethod(lambda end=end: (end - 1000) * 1000)
+        new = [r for r in rows if r[2] < end * 1_000_000]
+        rows = [r for r in rows if r[2] >= end * 1_000_000]
+        draw.shuffle(new)
+        list(processor.handleInputRows((0,), iter([pd.DataFrame(new, columns=columns)]), Times))
+        while handle.timers and min(handle.timers) <= Times.getCurrentWatermarkInMs():
+            handle.timers.remove(min(handle.timers))
+            got += [o for o in processor.handleExpiredTimer((0,), Times, None)]
+    got = pd.concat(got).sort_values(columns[:5])
+    assert len(got) == 6040 and handle.calls < 120
+    for _, g in got.groupby(["known", "name"]):
+        tries = list(zip(g["us"], g["number"], strict=True))
+        want, part = [], []
+        for i, (us, number) in enumerate(tries):
+            if forget and i and us - tries[i - 1][0] > forget.total_seconds() * 1_000_000:
+                want, part = want + plain_lockout(part)[0], []
+            part.append((us, good[number]))
+        want += plain_lockout(part)[0]
+        assert list(zip(g["outcome"], g["failed_attempts"], g["until"], strict=True)) == want
