@@ -27,6 +27,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.forest import fit_forest
+
 # Parameter presets per model and preset name (library parameter names).
 PARAMETER_PRESETS = {
     "RandomForestClassifier": {
@@ -205,7 +207,7 @@ def fit_svc(train: DataFrame, features: list[str], label: str, C: float = 1.0, k
 def fit_random_forest_regressor(train, features, label, seed: int = 42, **params) -> PipelineModel:
     """M5."""
     rf = _rf_params(RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, numTrees=100), params)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), rf]).fit(train)
+    return fit_forest(train, features, rf)
 
 
 def fit_gbt_regressor(train, features, label, seed: int = 42, max_iter: int = 100, max_depth: int = 3) -> PipelineModel:
