@@ -367,8 +367,7 @@ def impute_model(df: DataFrame, cols=None, num_trees: int = 50, seed: int = 42)
         if known > 10 and feats:
             rf = RandomForestRegressor(featuresCol="__v", labelCol=c, numTrees=num_trees, seed=seed,
                                        predictionCol=f"__p_{c}")
-            va = VectorAssembler(inputCols=feats, outputCol="__v")
-            model = Pipeline(stages=[va, rf]).fit(out.where(F.col(c).isNotNull()))
+            model = fit_forest(out.where(F.col(c).isNotNull()), feats, rf, known)
             out = model.transform(out).drop("__v")
             out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__p_{c}"))).drop(f"__p_{c}")
         else:
