@@ -36,6 +36,7 @@ from strata.session import checkpoint_dir
 GROUPS = 10  # parts of a sampled background, whose spread gives the standard errors
 MOST_PATH = 14  # features on a leaf's path of the linear tree path
 MOST_TABLE = 20_000_000  # entries of all leaves' tables, 160 MB
+KEPT = 1 << 22  # attributions that a task keeps for further rows
 BLOCK = 1000  # distinct values of each side that one key of the expansion pairs
 EXACT_MAX_FEATURES = 16  # 2^16 coalitions a row; beyond it "exact" is refused
 
@@ -310,15 +311,30 @@ def _by_leaves(explain: DataFrame, packed: list[tuple], base, classes: int, id_c
     shared = explain.sparkSession.sparkContext.broadcast((packed, base))  # as large as the model
     M, C = len(features), max(classes, 1)
 
+    def attributions(x: np.ndarray, leaves_: list[tuple]) -> np.ndarray:
+        phi = np.zeros((len(x), C, M))
+        for values, path, table in leaves_ if len(x) else []:
+            got = table[_patterns(x, path)]
+            for i, (f, _, _) in enumerate(path):
+                phi[:, :, f] += got[:, i, None] * values
+        return phi
+
     def run(frames):
         leaves_, base_ = shared.value
+        # rows between the same neighbouring thresholds of every feature lie in the same leaves' intervals
+        cuts = [np.unique([e for _, path, _ in leaves_ for f, lo, hi in path if f == j for e in (lo, hi) if math.isfinite(e)]) for j in range(M)]
+        known: dict = {}
         for pdf in frames:
             x = pdf[features].to_numpy(dtype=float)
-            phi = np.zeros((len(x), C, M))
-            for values, path, table in leaves_:
-                got = table[_patterns(x, path)]
-                for i, (f, _, _) in enumerate(path):
-                    phi[:, :, f] += got[:, i, None] * values
+            new, first, of = np.unique(_cells(x, cuts), axis=0, return_index=True, return_inverse=True)
+            names = list(map(tuple, new.tolist())) if new.ndim > 1 else new.tolist()
+            fresh = [i for i, name in enumerate(names) if name not in known]
+            own = attributions(x[first[fresh]], leaves_)
+            if len(known) + len(fresh) > KEPT // (C * M):
+                known.clear()  # those of this batch are made anew
+                fresh, own = list(range(len(names))), attributions(x[first], leaves_)
+            known.update(zip([names[i] for i in fresh], own, strict=True))
+            phi = np.array([known[name] for name in names]).reshape(len(names), C, M)[of.reshape(-1)]
             pred = base_ + phi.sum(axis=2)
             n = len(x) * C * M
             out = pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), C * M), "class": np.tile(np.repeat(np.arange(C), M), len(x)),
@@ -333,6 +349,13 @@ def _by_leaves(explain: DataFrame, packed: list[tuple], base, classes: int, id_c
     return out if classes else out.drop("class")
 
 
+def _cells(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """A number per row, or a row of them, of the intervals (threshold, next threshold] that hold its values; what is no number is apart."""
+    where = np.stack([np.where(np.isnan(x[:, j]), 0, np.searchsorted(c, x[:, j], "left") + 1) for j, c in enumerate(cuts)], axis=1)
+    sizes = [len(c) + 2 for c in cuts]
+    return np.ravel_multi_index(where.T, sizes) if math.prod(sizes) < 1 << 62 else where
+
+
 def _patterns(x: np.ndarray, path: list[tuple]) -> np.ndarray:
     """Bit i: the row lies in the path's interval i."""
     pattern = np.zeros(len(x), dtype=np.int64)

@@ -7,6 +7,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from strata.operators import explain as X
 from strata.operators import forest as FO
 from strata.operators import learn as L
 
@@ -88,3 +89,20 @@ def test_forest_of_missing_values_fails_and_few_rows_are_sparks(spark, monkeypat
     monkeypatch.setattr(FO, "FEW_ROWS", 1)
     with pytest.raises(Exception, match="null, NaN or infinite"):
         L.fit_random_forest_regressor(df.withColumn("y", F.when(F.col("id") > 5, F.col("y"))), FEATS, "y", n_estimators=2)
+
+
+def test_tree_attributions_are_made_once_per_cell(spark, monkeypatch):
+    """Rows between the same thresholds share their attributions, which equal those of a row by itself."""
+    df = _rows(spark, 3000).coalesce(1)
+    model = L.fit_random_forest_regressor(df, FEATS, "y", n_estimators=3, max_depth=2)
+    forest, _ = X._ensemble(model)
+    cuts = [np.unique([e for _, b in forest for e in b.get(j, ())[:2] if np.isfinite(e)]) for j in range(3)]
+    x = df.select(*FEATS).toPandas().to_numpy()
+    assert len(np.unique(X._cells(x, cuts))) < 300
+    got = X.shap_tree(model, df, "id", FEATS).toPandas()
+    for kept in (1, 64):  # cells that a task keeps
+        monkeypatch.setattr(X, "KEPT", kept)
+        assert X.shap_tree(model, df, "id", FEATS).toPandas().equals(got)
+    alone = X.shap_tree(model, df.repartition(64, "id"), "id", FEATS).toPandas()
+    order = ["id", "feature"]
+    assert alone.sort_values(order, ignore_index=True).equals(got.sort_values(order, ignore_index=True))
