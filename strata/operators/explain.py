@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -319,13 +320,13 @@ def _by_leaves(explain: DataFrame, packed: list[tuple], base, classes: int, id_c
                 phi[:, :, f] += got[:, i, None] * values
         return phi
 
-    def run(frames):
+    def run(batches):
         leaves_, base_ = shared.value
         # rows between the same neighbouring thresholds of every feature lie in the same leaves' intervals
         cuts = [np.unique([e for _, path, _ in leaves_ for f, lo, hi in path if f == j for e in (lo, hi) if math.isfinite(e)]) for j in range(M)]
         known: dict = {}
-        for pdf in frames:
-            x = pdf[features].to_numpy(dtype=float)
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, M)
             new, first, of = np.unique(_cells(x, cuts), axis=0, return_index=True, return_inverse=True)
             names = list(map(tuple, new.tolist())) if new.ndim > 1 else new.tolist()
             fresh = [i for i, name in enumerate(names) if name not in known]
@@ -334,18 +335,21 @@ def _by_leaves(explain: DataFrame, packed: list[tuple], base, classes: int, id_c
                 known.clear()  # those of this batch are made anew
                 fresh, own = list(range(len(names))), attributions(x[first], leaves_)
             known.update(zip([names[i] for i in fresh], own, strict=True))
-            phi = np.array([known[name] for name in names]).reshape(len(names), C, M)[of.reshape(-1)]
-            pred = base_ + phi.sum(axis=2)
-            n = len(x) * C * M
-            out = pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), C * M), "class": np.tile(np.repeat(np.arange(C), M), len(x)),
-                                "feature": np.tile(features, len(x) * C), "value": np.repeat(x, C, axis=0).reshape(n),
-                                "attribution": phi.reshape(n), "base_value": np.tile(np.repeat(base_, M), len(x)),
-                                "prediction": np.repeat(pred.reshape(-1), M)})
-            yield out
+            phi = np.array([known[name] for name in names]).reshape(len(names), C, M)
+            pred = (base_ + phi.sum(axis=2))[of.reshape(-1)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (v.size // max(len(x), 1))), pa.array(v.reshape(-1)))
+                     for v in (phi[of.reshape(-1)], pred)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=[id_col, "__x", "__phi", "__pred"])
 
     kind = dict(explain.dtypes)[id_col]
-    out = explain.select(id_col, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(
-        run, f"`{id_col}` {kind}, class int, feature string, value double, attribution double, base_value double, prediction double")
+    made = explain.select(id_col, F.array(*[F.col(f).cast("double") for f in features]).alias("__x")).mapInArrow(
+        run, f"`{id_col}` {kind}, __x array<double>, __phi array<double>, __pred array<double>")
+    literals = lambda values: F.array(*[F.lit(v) for v in values])
+    k, j = F.expr(f"cast(pos div {M} as int)"), F.expr(f"pos % {M}")
+    value = F.get("__x", j)
+    out = made.select(id_col, "__x", "__pred", F.posexplode("__phi").alias("pos", "attribution")).select(
+        id_col, k.alias("class"), F.get(literals(features), j).alias("feature"), F.when(~F.isnan(value), value).alias("value"), "attribution",
+        F.get(literals(np.broadcast_to(base, C).astype(float).tolist()), k).alias("base_value"), F.get("__pred", k).alias("prediction"))
     return out if classes else out.drop("class")
 
 
