@@ -152,3 +152,56 @@ def test_recommend_eps_joins_once(spark, monkeypatch):
     monkeypatch.setattr(NB, "k_distance_curve", curve)
     got = NB.recommend_eps(frame(spark, np.arange(101.0)[:, None]), "id", "x").first()
     assert (got["recommended_eps"], got["mean_k_distance"]) == (90.0, 50.0) and made.value == 101
+
+
+def test_donors_are_shuffled_once_and_not_stored(spark, monkeypatch):
+    """Only the queries' rows are checkpointed, and one shuffle brings the donors to them."""
+    rng = np.random.default_rng(6)
+    points = frame(spark, rng.normal(size=(9000, 3))).select(F.lit("").alias("space"), "x", F.col("id").alias("nid"), F.lit(None).cast("int").alias("label"))
+    queries = points.where("nid % 300 = 0").select(F.col("nid").alias("qid"), "space", "x")
+    stored, kind = [], type(points)
+    keep = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: stored.append(self.count()) or keep(self, *a))
+    got = MJ.nearest(queries, points, 4)
+    assert got.count() >= 4 * 30 and sum(stored) <= 30
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("sample", [(1, 0, 0), (20, 2, 3), (1 << 14, 64, 1 << 10)])
+def test_nearest_of_any_sample(spark, monkeypatch, sample):
+    """Spaces, ties, hot vectors and null ids against brute force, also where the sample misses whole spaces."""
+    for name, value in zip(("SAMPLE_ROWS", "SAMPLE_OF_PART", "SAMPLE_OF_SPACE"), sample, strict=True):
+        monkeypatch.setattr(MJ, name, value)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(500, 2)).round(1), np.tile([0.2, 0.1], (200, 1)), rng.normal(size=(100, 2)).round(1) + 50, [[np.nan, 0.0], [0.0, np.inf]]])
+    space = rng.choice(["a", "b", "c"], len(x), p=[0.8, 0.19, 0.01])
+    order = rng.permutation(len(x))
+    ids = [None if i == 0 else f"n{i:04d}" for i in order]
+    donors = spark.createDataFrame([(i, str(s), v.tolist(), j) for j, (i, s, v) in enumerate(zip(ids, space, x, strict=True))], "nid string, space string, x array<double>, label int")
+    asked = [(int(j), str(s), x[j].tolist()) for j in range(0, len(x), 7) for s in ("a", "b", "c", "none")]
+    got = MJ.nearest(spark.createDataFrame([(f"{j}{s}", s, v) for j, s, v in asked], "qid string, space string, x array<double>"), donors, 5, part_rows=50).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault(r["qid"], []).append((r["dist"], r["nid"] or "", r["label"]))
+    for j, s, v in asked:
+        d = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+        best = sorted((d[i], ids[i] or "", i) for i in range(len(x)) if space[i] == s and np.isfinite(d[i]))[:5]
+        found = sorted(mine.get(f"{j}{s}", []))[:5]
+        assert [f[1:] for f in found] == [b[1:] for b in best] and np.allclose([f[0] for f in found], [b[0] for b in best], atol=0, rtol=1e-12)
+
+
+def test_cells_do_not_depend_on_products(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.integers(0, 4, (500, 3)) + 1e7, rng.normal(size=(500, 3)) * 1e-6 + 1e7])
+    pivots = np.unique(x[::5], axis=0)
+    at, radius = MJ._cells(x, pivots, "euclidean")
+    assert (at == plain(x, pivots, "euclidean").argmin(1)).all() and np.allclose(radius, plain(x, pivots, "euclidean").min(1), rtol=1e-12)
+
+
+def test_impute_knn_of_repeated_and_null_ids(spark):
+    """Rows of one id share the estimates of all of them; a row without an id gets the mean."""
+    rows = [(1, None, 0.0), (1, 5.0, 9.0), (2, 2.0, 0.0), (3, 4.0, 1.0), (None, None, 3.0), (4, None, None)]
+    got = NB.impute_knn(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], "id", k=1).collect()
+    mean_a, mean_b = 11 / 3, 13 / 5
+    assert sorted(((r["id"] or 0, r["a"], r["b"]) for r in got)) == sorted([(1, 2.0, 0.0), (1, 5.0, 9.0), (2, 2.0, 0.0), (3, 4.0, 1.0), (0, mean_a, 3.0), (4, mean_a, mean_b)])
