@@ -11,18 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.graph import components
+from strata.operators.graph import components, forest
 from strata.operators.metric_join import Space, exact, matrix, names
 from strata.operators.neighbors import block_pairs, knn
 from strata.session import checkpoint_dir
 
 PAIR_CELLS = 2_000_000  # distances held at once
+LISTED = 32  # rows within eps of a row in a partition whose ids are kept
 
 
 def _vec_col(df: DataFrame, features) -> DataFrame:
@@ -58,24 +60,6 @@ def cluster_spectral(df: DataFrame, id_col: str, features, k: int, n_neighbors:
     return df.join(a.withColumnRenamed("id", id_col), id_col, "left")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least index that each of n nodes is linked to by edges a - b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while True:
-            far = new[new]
-            if (far == new).all():
-                break
-            new = far
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _chunk_links(m: np.ndarray) -> np.ndarray:
     """For each column of a matrix of links, the first row of its connected part (rows linked over columns)."""
     n, k = m.shape
@@ -89,18 +73,50 @@ def _chunk_links(m: np.ndarray) -> np.ndarray:
 
 
 def _eps_counts(space: Space, routed: DataFrame, eps: float) -> DataFrame:
-    """(qid, cnt): rows within eps, each donor with its weight."""
+    """(qid, part, cnt, many, near): per query and partition the weight of the rows within eps, and their ids, itself left out;
+    of more than ``LISTED`` rows no ids, but ``many``."""
     make = space.tasks()
 
     def count(q: pa.Table, y: pa.Table) -> pa.Table:
-        n = np.zeros(q.num_rows, dtype=np.int64)
-        if q.num_rows and y.num_rows:
-            weight = y["weight"].to_numpy()
+        qid = pc.fill_null(q["qid"], 0).to_numpy()
+        n, size = np.zeros(len(qid), dtype=np.int64), np.zeros(len(qid), dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        pairs = [(none, none)]
+        if len(qid) and y.num_rows:
+            yid, known, weight = pc.fill_null(y["id"], 0).to_numpy(), pc.is_valid(y["id"]).to_numpy(), y["weight"].to_numpy()
+            single = (weight == 1).all()
             for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
-                n[rows] += weight[donors].sum() if m is None else m @ weight[donors]
-        return pa.table([q["qid"], pa.array(n)], names=["qid", "cnt"])
-
-    return space._meet(routed, space.donors, count, "qid long, cnt long").groupBy("qid").agg(F.sum("cnt").alias("cnt"))
+                if m is ...:
+                    size += np.bincount(rows, minlength=len(n))
+                    n += np.bincount(rows, weight[donors], len(n)).astype(np.int64)
+                    kept = size[rows] <= LISTED
+                    pairs.append((rows[kept], donors[kept]))
+                    continue
+                hits = np.full(len(rows), len(donors)) if m is None else np.count_nonzero(m, axis=1)
+                size[rows] += hits
+                n[rows] += hits if single else weight[donors].sum() if m is None else m @ weight[donors]
+                kept = np.flatnonzero((size[rows] <= LISTED) & (hits > 0))
+                i, j = np.nonzero(np.ones((len(kept), len(donors)), dtype=bool) if m is None else m[kept])
+                pairs.append((rows[kept[i]], donors[j]))
+                if len(pairs) > 1 << 16:
+                    pairs = [_joined(pairs)]
+            rows, donors = _joined(pairs)
+            kept = (size[rows] <= LISTED) & (qid[rows] != yid[donors]) & known[donors]
+            rows, ids = rows[kept], yid[donors[kept]]
+            order = np.argsort(rows, kind="stable")
+            rows, ids = rows[order], ids[order]
+        else:
+            rows = ids = none
+        ends = np.searchsorted(rows, np.arange(len(n) + 1))
+        some = np.flatnonzero(size)
+        near = pa.ListArray.from_arrays(pa.array(np.append(ends[some], len(rows)), pa.int32()), pa.array(ids))
+        return pa.table([q["qid"].take(pa.array(some)), q["part"].take(pa.array(some)), pa.array(n[some]), pa.array(size[some] > LISTED), near], names=["qid", "part", "cnt", "many", "near"])
+
+    return space._meet(routed, space.donors, count, "qid long, part int, cnt long, many boolean, near array<long>")
+
+
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
 
 
 def _core_links(space: Space, routed: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
@@ -121,26 +137,29 @@ def _core_links(space: Space, routed: DataFrame, cores: DataFrame, eps: float) -
         border: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
             mine = core[rows]
-            if m is None and mine.any():  # a core row links all of them
+            if m is ...:
+                edges.append((iq[rows[mine]], iy[donors[mine]]))
+                border.append((rows[~mine], iy[donors[~mine]]))
+            elif m is None and mine.any():  # a core row links all of them
                 first = iy[donors[0]]
                 edges += [(iy[donors], np.full(len(donors), first)), (iq[rows[mine]], np.full(mine.sum(), first))]
                 border.append((rows[~mine], np.full((~mine).sum(), first)))
-                continue
-            if m is None:  # fewer donors than min_samples, or the rows were core
-                m = np.ones((len(rows), len(donors)), dtype=bool)
-            if mine.any():
-                c = m[mine]
-                hit = c.any(axis=0)
-                root = iq[rows[mine]][_chunk_links(c[:, hit])] if hit.any() else np.zeros(0, np.int64)
-                edges.append((iy[donors[hit]], root))
-                linked = np.flatnonzero(c.any(axis=1))
-                edges.append((iq[rows[mine]][linked], iy[donors[c[linked].argmax(axis=1)]]))
-            i, j = np.nonzero(m[~mine])
-            border.append((rows[~mine][i], iy[donors[j]]))
+            else:
+                if m is None:  # fewer donors than min_samples, or the rows were core
+                    m = np.ones((len(rows), len(donors)), dtype=bool)
+                if mine.any():
+                    c = m[mine]
+                    hit = c.any(axis=0)
+                    root = iq[rows[mine]][_chunk_links(c[:, hit])] if hit.any() else np.zeros(0, np.int64)
+                    edges.append((iy[donors[hit]], root))
+                    linked = np.flatnonzero(c.any(axis=1))
+                    edges.append((iq[rows[mine]][linked], iy[donors[c[linked].argmax(axis=1)]]))
+                i, j = np.nonzero(m[~mine])
+                border.append((rows[~mine][i], iy[donors[j]]))
             if sum(len(a) for a, _ in edges) > 500_000 or sum(len(a) for a, _ in border) > 500_000:
-                label = _forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
+                label = forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
                 edges, border = [], [_least(border, label)]
-        label = _forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
+        label = forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
         some = np.flatnonzero(label != np.arange(len(ids)))
         rows, near = _least(border, label)
         return pa.table([pa.array(np.concatenate([ids[some], qid[rows]])), pa.array(np.concatenate([ids[label[some]], ids[near]])),
@@ -163,8 +182,9 @@ def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_s
     noise (-1). Cluster ids are the minimum member id of each component (not renumbered).
 
     Equal vectors are one point with a weight. Points meet in the partitions of the pivot join that can
-    hold a point within eps, once to count and once to link; a task passes on a spanning forest of its core
-    links and not the pairs, and ``graph.components`` joins the forests. Rows with a missing or infinite
+    hold a point within eps; a task passes on their number, and their ids where they are no more than ``LISTED``. Points that
+    have more in a partition meet it once more to link: a task passes on a spanning forest of its core
+    links and not the pairs, and ``graph.components`` joins the forests with the ids. Rows with a missing or infinite
     feature are noise."""
     checkpoint_dir(df.sparkSession)
     x = _vec_col(df.select(F.col(id_col).cast("long").alias("__id"), *([features] if isinstance(features, str) else features)), features)
@@ -173,9 +193,16 @@ def cluster_dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_s
     points = rows.groupBy("x").agg(F.min("__id").alias("id"), F.count("*").alias("weight")).withColumn("space", F.lit("")).checkpoint()
     space = Space(points, ["id", "weight"])
     routed = space.routed(points.select(F.col("id").alias("qid"), "space", "x"), eps)
-    core = _eps_counts(space, routed, eps).select("qid", (F.col("cnt") >= min_samples).alias("core")).checkpoint()
-    cores = space.donors.join(core.where("core").select(F.col("qid").alias("id")), "id", "left_semi")
-    links = _core_links(space, routed.join(core, "qid"), cores, eps).checkpoint()
+    met = _eps_counts(space, routed, eps).checkpoint()
+    core = met.groupBy("qid").agg((F.sum("cnt") >= min_samples).alias("core")).checkpoint()
+    near = met.where(~F.col("many")).select(F.col("qid").alias("a"), F.explode("near").alias("b"))
+    links = (near.join(core.where("core").select(F.col("qid").alias("b")), "b", "left_semi")
+             .join(core.withColumnRenamed("qid", "a"), "a").where("not core or a < b").select("a", "b", "core"))
+    again = met.where("many").groupBy("qid").agg(F.collect_list("part").alias("parts")).checkpoint()
+    if not again.isEmpty():
+        cores = space.donors.join(core.where("core").select(F.col("qid").alias("id")), "id", "left_semi")
+        links = links.unionByName(_core_links(space, routed.drop("parts").join(again, "qid").join(core, "qid"), cores, eps))
+    links = links.checkpoint()
     root = components(links.where("core").select("a", "b"))
     cluster = core.where("core").select(F.col("qid").alias("node")).join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cl"))
     border = (links.where(~F.col("core")).select(F.col("a").alias("qid"), F.col("b").alias("node")).join(cluster, "node")

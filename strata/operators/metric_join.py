@@ -46,6 +46,10 @@ CELLS = 4_000_000  # of a (query, ring) matrix
 NEAR_CELLS = 1 << 15  # of a matrix that stays in a core's cache
 QUERIES = 4096  # whose bounds to all slices are held at once
 ROOM = 1e-9  # relative room for rounding in bounds
+FLAT = 512  # donors of a product in single precision
+FLAT_SHARE = 0.25  # of a task's donors that bounds leave to a query, from which it is compared with all of them
+FLAT_ERROR = 1 / 256  # largest error of single precision, of the squared distance looked for
+HELD = 1 << 17  # candidates before those beyond the k-th are dropped
 SAMPLE_BYTES = 16 << 20  # of donors whose vectors all tasks know
 SAMPLE_ROWS = 1 << 14  # at least, if there are as many donors
 SAMPLE_OF_PART = 64  # at least, of a partition
@@ -107,6 +111,7 @@ class Task:
         self.low = radius[first]
         self.high = np.array([radius[e - 1] for _, e in self.slices])
         self.pivots, self.metric, self.space = pivots, metric, spaces[self.cells][self.cell]
+        self._blocks: tuple | None = None
 
     def bounds(self, x: np.ndarray, near: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least, largest) possible distances of each query to each slice; infinite in other spaces."""
@@ -128,6 +133,54 @@ class Task:
     def value(self, d: np.ndarray) -> np.ndarray:
         return d if self.metric == "manhattan" else d * d
 
+    def flat(self, x: np.ndarray, rows: np.ndarray, low: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The rows that bounds leave so many donors within their limit (a squared distance) that they are compared with all
+        of them by products in single precision; their terms of the products and their squares, and the donors' largest square.
+        Rows that need more digits are left out."""
+        none = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), 0.0
+        if self.metric == "manhattan" or not len(self.y) or not len(rows) or (self.space != self.space[0]).any():
+            return none
+        size = np.array([b - a for a, b in self.slices], dtype=float)
+        share = (low[rows] <= (np.sqrt(limit[rows]) * (1 + ROOM))[:, None]) @ size / size.sum()
+        rows = rows[(share >= FLAT_SHARE) & np.isfinite(limit[rows])]
+        if len(rows) < 64:
+            return none
+        if self._blocks is None:
+            middle = self.y.mean(axis=0)
+            y = self.y - middle
+            yy = (y * y).sum(axis=1)
+            most = float(yy.max())
+            fits = 1e-20 < most < 1e30
+            self._blocks = middle, most, [np.ascontiguousarray(np.concatenate([y[a:a + FLAT].T, yy[None, a:a + FLAT]]).astype(np.float32))
+                                          for a in range(0, len(y), FLAT)] if fits else []
+        middle, most, blocks = self._blocks
+        q = x[rows] - middle
+        qq = (q * q).sum(axis=1)
+        fine = (self.error(qq, most) <= limit[rows] * FLAT_ERROR) & (qq < 1e30)
+        if not blocks or fine.sum() < 64:
+            return none
+        q, qq = q[fine], qq[fine]
+        return rows[fine], np.concatenate([-2 * q, np.ones((len(q), 1))], axis=1).astype(np.float32), qq, most
+
+    def error(self, qq: np.ndarray, most: float) -> np.ndarray:
+        """The most that a squared distance by ``products`` can be off."""
+        return (self.y.shape[1] + 16) * 1.5e-7 * (qq + most)
+
+    def products(self, q: np.ndarray, limit: np.ndarray):
+        """Yields (rows, donors, values) of the values of ``flat`` terms that are no more than ``limit``, which may be lowered meanwhile."""
+        buffer = np.empty((CHUNK, FLAT), np.float32)
+        for a, block in enumerate(self._blocks[2]):
+            for c in range(0, len(q), CHUNK):
+                part = q[c:c + CHUNK]
+                v = buffer[:len(part)] if block.shape[1] == FLAT else np.empty((len(part), block.shape[1]), np.float32)
+                np.matmul(part, block, out=v)
+                top = limit[c:c + CHUNK]
+                hit = np.flatnonzero(v.min(axis=1) <= top)
+                if len(hit):
+                    some = v[hit]
+                    i, j = np.nonzero(some <= top[hit, None])
+                    yield hit[i] + c, j + a * FLAT, some[i, j]
+
     def nearest(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, donor, distance) of all donors that may be among the k nearest within ``upper``."""
         none = np.zeros(0, np.int64)
@@ -171,7 +224,24 @@ class Task:
         some = np.isfinite(low)
         for s in np.unique(home).tolist():
             look(np.flatnonzero((home == s) & some[:, s]), s)
-        for s in np.argsort(low.min(axis=0)).tolist():
+        flat, q, qq, most = self.flat(x, np.flatnonzero(some.all(axis=1)), low, top)
+        if len(flat):
+            some[flat] = False
+            off = self.error(qq, most)
+            limit = single(top[flat] + off - qq)
+            own = np.array(self.slices)[home[flat]]
+            fresh: list[tuple[np.ndarray, ...]] = []
+            for i, j, v in self.products(q, limit):
+                new = (j < own[i, 0]) | (j >= own[i, 1])
+                i, j = i[new], j[new]
+                fresh.append((flat[i], j, v[new] + qq[i] - off[i]))
+                if sum(len(f[0]) for f in fresh) > HELD:
+                    held = [self._least(held + fresh, top, k, flat, off)]
+                    fresh = []
+                    limit[:] = single(top[flat] + off - qq)
+            held = [self._least(held + fresh, top, k, flat, off)]
+            size = len(held[0][0])
+        for s in np.argsort(low.min(axis=0)).tolist() if some.any() else []:
             reach = (np.sqrt(top) if self.metric != "manhattan" else top) * (1 + ROOM)
             look(np.flatnonzero((low[:, s] <= reach) & some[:, s] & (home != s)), s)
         if not held:
@@ -179,6 +249,21 @@ class Task:
         q, y, _ = self._kept(held, top)
         return q, self.order[y], exact(x[q], self.y[y], self.metric)
 
+    def _least(self, held, top: np.ndarray, k: int, flat: np.ndarray, off: np.ndarray):
+        """The candidates that may be among the k nearest of their queries; ``top`` of the ``flat`` queries is lowered to
+        the k-th of the candidates' upper bounds."""
+        if not held:
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0)
+        q, y, v = self._kept(held, top)
+        room = np.zeros(len(top))
+        room[flat] = 2 * off  # v is a lower bound
+        order = np.lexsort((v, q))
+        first = np.searchsorted(q[order], np.arange(len(top) + 1))
+        full = flat[np.diff(first)[flat] >= k]
+        top[full] = np.minimum(top[full], v[order[first[full] + k - 1]] + room[full])
+        return self._kept([(q, y, v)], top)
+
     @staticmethod
     def _kept(held, top):
         q, y, v = (np.concatenate(p) for p in zip(*held, strict=True))
@@ -187,7 +272,7 @@ class Task:
 
     def within(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, eps: float):
         """Yields (queries, donors, matrix of which are within eps of each other) for chunks and slices that can be;
-        a matrix of None means that all are."""
+        a matrix of None means that all are, one of ``...`` that queries[i] and donors[i] are."""
         for c in range(0, len(x), QUERIES):
             e = c + QUERIES
             for q, y, m in self._within(x[c:e], near[c:e], space[c:e], eps):
@@ -196,6 +281,10 @@ class Task:
     def _within(self, x: np.ndarray, near: np.ndarray, space: np.ndarray, eps: float):
         low, high = self.bounds(x, near, space)
         limit = eps if self.metric == "manhattan" else eps * eps
+        flat, q, qq, most = self.flat(x, np.flatnonzero(np.isfinite(low).all(axis=1)), low, np.full(len(x), limit))
+        if len(flat):
+            yield from self._flat_within(x, flat, q, qq, most, eps)
+            low[flat] = np.inf
         for s, (a, b) in enumerate(self.slices):
             rows = np.flatnonzero(low[:, s] <= eps * (1 + ROOM))
             inside = high[rows, s] * (1 + ROOM) <= eps
@@ -210,6 +299,27 @@ class Task:
                 m[i, j] = exact(x[q[i]], self.y[a + j], self.metric) <= eps
                 yield q, self.order[a:b], m
 
+    def _flat_within(self, x: np.ndarray, flat: np.ndarray, q: np.ndarray, qq: np.ndarray, most: float, eps: float):
+        off = self.error(qq, most)
+        upper, lower = single(eps * eps + off - qq), -single(qq + off - eps * eps)
+        for c in range(0, len(q), CHUNK):
+            rows, part = flat[c:c + CHUNK], q[c:c + CHUNK]
+            for a, block in enumerate(self._blocks[2]):
+                a *= FLAT
+                v = part @ block
+                hit = np.flatnonzero(v.min(axis=1) <= upper[c:c + CHUNK])
+                if not len(hit):
+                    continue
+                v = v[hit]
+                m = v <= upper[c + hit, None]
+                i, j = np.nonzero(m & (v >= lower[c + hit, None]))
+                m[i, j] = exact(x[rows[hit[i]]], self.y[a + j], self.metric) <= eps
+                if np.count_nonzero(m) * 16 > m.size:
+                    yield rows[hit], self.order[a:a + FLAT], m
+                else:
+                    i, j = np.nonzero(m)
+                    yield rows[hit[i]], self.order[a + j], ...
+
 
 class Space:
     """Donors (space, x, payload columns) by pivot and ring. Only rows of equal ``space`` (a string) are compared."""
@@ -276,7 +386,7 @@ class Space:
             part, cell, lo, hi = rings.value
             for batch in batches:
                 near = np.full(batch.num_rows, np.inf)
-                parts: list = [[] for _ in range(batch.num_rows)]
+                reached: list[tuple[np.ndarray, np.ndarray]] = []
                 u = batch.column("u").to_numpy()
                 for rows, x, mine in _by_space(batch, of):
                     here = np.flatnonzero(np.isin(cell, mine))
@@ -287,11 +397,10 @@ class Space:
                         d = distances(x[c:c + step], pivots[mine], metric)
                         near[r] = least = d.min(axis=1)
                         gap = _gap(d[:, column], lo[here], hi[here], least)
-                        q, at = np.nonzero(gap <= (u[r] * (1 + ROOM))[:, None])
-                        pair = np.unique(np.stack([q, part[here[at]]], axis=1), axis=0)
-                        for i, p in pair.tolist():
-                            parts[r[i]].append(p)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near), pa.array(parts, pa.list_(pa.int32()))], names=[*kept, "near", "parts"])
+                        q, p = by_part(gap <= (u[r] * (1 + ROOM))[:, None], part[here])
+                        reached.append((r[q], p))
+                parts = part_lists(reached, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near), parts], names=[*kept, "near", "parts"])
 
         return queries.mapInArrow(route, f"{kinds}, near double, parts array<int>").where(F.size("parts") > 0)
 
@@ -445,6 +554,27 @@ class Dealt(Space):
         return queries.mapInArrow(bound, f"{kinds}, u double")
 
 
+def by_part(hit: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, partition) of the rings hit; a column's partition is ``part``, in ascending order."""
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    if not len(first):
+        return first, first
+    q, at = np.nonzero(np.logical_or.reduceat(hit, first, axis=1))
+    return q, part[first[at]]
+
+
+def part_lists(reached: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.ListArray:
+    """The partitions of each of n queries, from (query, partition)."""
+    q, p = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*reached, strict=True)) if reached else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(q, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(q[order], np.arange(n + 1)), pa.int32()), pa.array(p[order], pa.int32()))
+
+
+def single(v: np.ndarray) -> np.ndarray:
+    """Values in single precision, none less than before."""
+    return np.nextafter(v.astype(np.float32), np.float32(np.inf))
+
+
 def _parts(n: int, d: int, part_rows: int | None) -> int:
     parts = max(math.ceil(n * d * 8 / PART_BYTES), math.ceil(n / PART_ROWS), min(LEAST_PARTS, math.ceil(n / 1024)), 1)
     if part_rows:

@@ -84,6 +84,40 @@ def test_dbscan_over_many_partitions(spark, monkeypatch, case):
     assert (got["core"].to_numpy() == core).all() and (got["cluster"].to_numpy() == label).all()
 
 
+def test_dbscan_of_few_neighbours_meets_once(spark, monkeypatch):
+    """Rows with few neighbours are linked by the ids that counting found, without a second comparison."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    eps = float(np.quantile(np.sort(plain(x, x, "euclidean"), axis=1)[:, 4], 0.6))
+    monkeypatch.setattr(CL, "_core_links", None)
+    monkeypatch.setattr(MJ, "PART_BYTES", 400 * 8 * 12)
+    got = CL.cluster_dbscan(frame(spark, x), "id", "x", eps, 5).toPandas().sort_values("id")
+    core, label = brute_dbscan(x, eps, 5)
+    assert (got["core"].to_numpy() == core).all() and (got["cluster"].to_numpy() == label).all() and 0 < core.sum() < 900
+
+
+def test_dbscan_of_few_and_many_neighbours_with_null_ids(spark):
+    """A dense group beside sparse rows, repeated rows, and rows without an id, which count as neighbours only."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(120, 8)) * 0.01, rng.normal(size=(400, 8)), np.ones((3, 8))])
+    x = np.concatenate([x, x[200:230]])
+    ids = [None if i in (300, 301, 521) else i for i in range(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id long, x array<double>")
+    got = {r["id"]: (r["core"], r["cluster"]) for r in CL.cluster_dbscan(df, "id", "x", 1.4, 4).collect() if r["id"] is not None}
+    m = plain(x, x, "euclidean") <= 1.4
+    unknown = np.isin(np.arange(len(x)), (300, 301))
+    core = (m.sum(1) >= 4) & ~unknown
+    link = m & core[:, None] & core[None]
+    label = np.arange(len(x))
+    for _ in x:
+        label = np.array([label[link[i]].min() if core[i] else label[i] for i in range(len(x))])
+    for i, known in enumerate(ids):
+        if known is not None:
+            near = m[i] & core
+            assert got[i] == (core[i], label[i] if core[i] else label[near].min() if near.any() else -1)
+
+
 def test_dbscan_odd_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [-0.0]), (3, [None]), (4, None), (5, [9.0])], "id long, x array<double>")
     got = {r["id"]: (r["core"], r["cluster"]) for r in CL.cluster_dbscan(df, "id", "x", 0.5, 2).collect()}
