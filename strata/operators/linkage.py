@@ -1,8 +1,11 @@
 """Single-linkage trees: the minimum spanning tree of a metric space by Boruvka rounds.
 
-Every round each component but the largest finds its shortest edge to another component, and the edges chosen merge
-components (``graph.components``), so that at most log2(n) rounds give the n - 1 merge heights. Points
-lie in the rings of ``metric_join``: a component's bound is the shortest edge that any of its points has found so
+Every round components but the largest find their shortest edge to another component, and the edges chosen merge
+components (``graph.components``), so that rounds grow with log(n). The ``LISTED`` nearest points of each point come from one
+neighbour join. A point's first listed point of another component is its nearest one; where a list has no such
+point left, its last distance bounds the point's edges from below. A component whose best listed edge is below these bounds
+merges without a search. Where fewer than ``SURE`` of the components can, the other components' points whose lists have
+ended search the rings of ``metric_join``: a component's bound is the shortest edge that any of its points has found so
 far, and rings that are farther than the bound, or hold only the component itself, are not visited. A point first
 goes to its nearest foreign ring; the best edges found there bound the second visit of the whole component. A
 task passes on one edge per component, never pairs. Equal vectors are one point, merged at height 0.
@@ -18,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.graph import components
-from strata.operators.metric_join import CELLS, ROOM, Space, Task, _gap, distances, exact, matrix, names
+from strata.operators.metric_join import CELLS, ROOM, Space, Task, _gap, by_part, distances, exact, matrix, names, nearest_lists, part_lists, single
 from strata.session import checkpoint_dir
 
+LISTED = 8  # nearest points of a point that are found at once
+SURE = 0.25  # of the components but the largest, that merge by lists in a round without a search
 EDGE = "comp long, dist double, a long, b long, other long"
 
 
@@ -55,12 +60,25 @@ def _foreign(task: Task, q: pa.Table, y: pa.Table, chunk: int = 512) -> pa.Table
     for c in range(0, len(x), 4096):
         part = slice(c, min(c + 4096, len(x)))
         low, _ = task.bounds(x[part], near[part], spaces[part])
+        mine = comp[part]
+        for s, (a, b) in enumerate(task.slices):
+            if (ycomp[a:b] == ycomp[a]).all():
+                low[mine == ycomp[a], s] = np.inf
+        top = task.value(best.bound[best.at[part]] * (1 + ROOM))
+        flat, terms, qq, most = task.flat(x[part], np.arange(len(top)), low, top)
+        if len(flat):
+            low[flat] = np.inf
+            flat, off = flat + c, task.error(qq, most)
+            limit = single(top[flat - c] + off - qq)
+            for i, j, _ in task.products(terms, limit):
+                some = comp[flat[i]] != ycomp[j]
+                if some.any():
+                    i, j = flat[i[some]], j[some]
+                    best.add(exact(x[i], task.y[j], task.metric), qid[i], yid[j], ycomp[j], best.at[i])
+                    limit[:] = single(task.value(best.bound[best.at[flat]] * (1 + ROOM)) + off - qq)
         for s in np.argsort(low.min(axis=0)).tolist():
             a, b = task.slices[s]
-            mine = comp[part]
-            some = low[:, s] <= best.bound[best.at[part]] * (1 + ROOM)
-            if (ycomp[a:b] == ycomp[a]).all():
-                some &= mine != ycomp[a]
+            some = np.isfinite(low[:, s]) & (low[:, s] <= best.bound[best.at[part]] * (1 + ROOM))
             rows = np.flatnonzero(some) + c
             for r in range(0, len(rows), chunk):
                 i = rows[r:r + chunk]
@@ -91,22 +109,21 @@ def _route(space: Space, queries: DataFrame, rings: list[tuple], home: bool) ->
         for batch in batches:
             x, comp, u = matrix(batch.column("x")), batch.column("comp").to_numpy(), batch.column("u").to_numpy()
             own = np.full(len(comp), -1) if home else batch.column("home").to_numpy()
-            near, parts = np.full(len(comp), np.inf), [[] for _ in range(len(comp))]
+            near, reached = np.full(len(comp), np.inf), []
             for c in range(0, len(comp), step):
                 d = distances(x[c:c + step], pivots, metric)
                 near[c:c + step] = least = d.min(axis=1)
                 gap = _gap(d[:, cell], lo, hi, least)
                 gap[pure[None, :] & (only[None, :] == comp[c:c + step, None])] = np.inf
                 if home:
-                    for i, at in enumerate(gap.argmin(axis=1).tolist()):
-                        if np.isfinite(gap[i, at]):
-                            parts[c + i] = [int(part[at])]
-                    continue
-                q, at = np.nonzero(gap <= (u[c:c + step] * (1 + ROOM))[:, None])
-                for i, p in np.unique(np.stack([q, part[at]], axis=1), axis=0).tolist():
-                    if p != own[c + i]:
-                        parts[c + i].append(p)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near), pa.array(parts, pa.list_(pa.int32()))], names=[*kept, "near", "parts"])
+                    at = gap.argmin(axis=1)
+                    q = np.flatnonzero(np.isfinite(gap[np.arange(len(at)), at]))
+                    p = part[at[q]]
+                else:
+                    q, p = by_part(gap <= (u[c:c + step] * (1 + ROOM))[:, None], part)
+                    q, p = q[p != own[c + q]], p[p != own[c + q]]
+                reached.append((c + q, p))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(near), part_lists(reached, len(comp))], names=[*kept, "near", "parts"])
 
     return queries.mapInArrow(route, f"{kinds}, near double, parts array<int>").where(F.size("parts") > 0)
 
@@ -131,7 +148,48 @@ def linkage_tree(df: DataFrame, id_col: str, features, metric: str = "euclidean"
     points = first.select(F.col("first").alias("id"), F.lit("").alias("space"), "x").checkpoint()
     if points.isEmpty():
         return tree[0]
-    space = Space(points, ["id"], metric, part_rows)
+    e, p = _listed(points, metric, part_rows)
+    space = None
+    while True:
+        sizes = p.groupBy("comp").count()
+        largest = sizes.agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("n")).first()
+        if largest["n"] == 1:
+            return _union(tree)
+        asking = F.col("comp") != largest["m"]["comp"]
+        best = _shortest(e.where(asking).select("comp", "dist", F.least("id", "nid").alias("a"), F.greatest("id", "nid").alias("b"), "other"))
+        ended = p.where(asking).join(e.select("id"), "id", "left_anti")
+        least = ended.groupBy("comp").agg(F.min("last").alias("least"))
+        state = least.join(best, "comp", "full").withColumn("sure", F.col("dist").isNotNull() & (F.col("least").isNull() | (F.col("dist") < F.col("least")))).checkpoint()
+        edges = state.where("sure").select("comp", "dist", "a", "b", "other")
+        if edges.count() < SURE * (largest["n"] - 1):
+            space = space or Space(points, ["id"], metric, part_rows)
+            searched = ended.join(state.where("not sure").select("comp", "dist"), "comp").where("dist is null or last <= dist")
+            edges = _searched(space, p, searched.select("id", F.coalesce("dist", F.lit(float("inf"))).alias("u")), state)
+        edges = edges.checkpoint()
+        tree.append(edges.select("a", "b", F.col("dist").alias("height")).distinct().checkpoint())
+        root = components(edges.select("comp", "other"), "comp", "other").select(F.col("node").alias("comp"), "root")
+        p = _merged(p, root, "comp").checkpoint()
+        e = _merged(_merged(e, root, "comp"), root, "other").where("comp <> other").checkpoint()
+
+
+def _listed(points: DataFrame, metric: str, part_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Edges (id, comp, other, dist, nid) to the ``LISTED`` nearest points of each point, and the points (id, comp, last): ``last``
+    is the distance at which a point's list ends, infinite where it has all points."""
+    asked = points.select(F.col("id").alias("qid"), "space", "x")
+    lists = nearest_lists(asked, points.select(F.col("id").alias("nid"), "space", "x", F.lit(None).cast("int").alias("label")), LISTED + 1, metric, part_rows)
+    each = lists.groupBy(F.col("qid").alias("id")).agg(F.flatten(F.collect_list(F.arrays_zip(F.col("dists").alias("dist"), F.col("ids").alias("nid")))).alias("near"))
+    each = each.select("id", F.slice(F.array_sort("near"), 1, LISTED + 1).alias("near")).checkpoint()
+    ended = F.when(F.size("near") > LISTED, F.element_at("near", -1)["dist"]).otherwise(float("inf"))
+    edges = each.select("id", F.explode("near").alias("n")).select("id", F.col("id").alias("comp"), F.col("n.nid").alias("other"), "n.dist", "n.nid")
+    return edges.where("id <> nid"), each.select("id", F.col("id").alias("comp"), ended.alias("last"))
+
+
+def _merged(rows: DataFrame, root: DataFrame, comp: str) -> DataFrame:
+    return rows.join(root.withColumnRenamed("comp", comp), comp, "left").withColumn(comp, F.coalesce("root", comp)).drop("root")
+
+
+def _searched(space: Space, points: DataFrame, asked: DataFrame, state: DataFrame) -> DataFrame:
+    """The shortest edges of ``state``'s components, after the points asked (id, u) have looked for edges up to ``u``."""
     make = space.tasks()
 
     def search(q: pa.Table, y: pa.Table) -> pa.Table:
@@ -139,26 +197,19 @@ def linkage_tree(df: DataFrame, id_col: str, features, metric: str = "euclidean"
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())], names=["comp", "dist", "a", "b", "other"])
         return _foreign(make(y), q, y)
 
-    donors = space.donors.withColumn("comp", F.col("id"))
-    while True:
-        sizes = donors.groupBy("comp").count()
-        largest = sizes.agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("n")).first()
-        if largest["n"] == 1:
-            return _union(tree)
-        # at most one row per range partition and pivot's cell
-        rings = [tuple(r) for r in donors.groupBy("part", "cell").agg(F.min("radius"), F.max("radius"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-                 .withColumn("only", F.when(F.col("c") == F.col("d"), F.col("c"))).drop("c", "d").collect()]
-        rings.sort(key=lambda r: r[:2])
-        asking = donors.where(F.col("comp") != largest["m"]["comp"]).select(F.col("id").alias("qid"), "space", "x", "comp")
-        near = _route(space, asking.withColumn("u", F.lit(float("inf"))), rings, True).checkpoint()
-        found = _shortest(space._meet(near, donors, search, EDGE)).checkpoint()
-        # every asking point found some foreign point, hence every component has a bound
-        again = near.select("qid", "space", "x", "comp", F.col("parts")[0].alias("home")).join(found.select("comp", F.col("dist").alias("u")), "comp")
-        far = _route(space, again, rings, False).checkpoint()
-        edges = _shortest(found.unionByName(space._meet(far, donors, search, EDGE))).checkpoint()
-        tree.append(edges.select("a", "b", F.col("dist").alias("height")).distinct().checkpoint())
-        root = components(edges.select("comp", "other"), "comp", "other").select(F.col("node").alias("comp"), "root")
-        donors = donors.join(root, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root").checkpoint()
+    donors = space.donors.join(points.select("id", "comp"), "id").checkpoint()
+    # at most one row per range partition and pivot's cell
+    rings = [tuple(r) for r in donors.groupBy("part", "cell").agg(F.min("radius"), F.max("radius"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+             .withColumn("only", F.when(F.col("c") == F.col("d"), F.col("c"))).drop("c", "d").collect()]
+    rings.sort(key=lambda r: r[:2])
+    asking = donors.join(asked, "id").select(F.col("id").alias("qid"), "space", "x", "comp", "u")
+    near = _route(space, asking, rings, True).checkpoint()
+    listed = state.where("dist is not null").select("comp", "dist", "a", "b", "other")
+    # every component that asks has an edge in its lists or finds some foreign point, hence has a bound
+    found = _shortest(listed.unionByName(space._meet(near, donors, search, EDGE))).checkpoint()
+    again = near.select("qid", "space", "x", "comp", F.col("parts")[0].alias("home")).join(found.select("comp", F.col("dist").alias("u")), "comp")
+    far = _route(space, again, rings, False).checkpoint()
+    return _shortest(found.unionByName(space._meet(far, donors, search, EDGE)))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

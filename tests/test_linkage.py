@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from strata.operators import linkage as LK
+from strata.operators import metric_join as MJ
 
 SCHEMA = "id long, x array<double>"
 
@@ -83,3 +84,43 @@ def test_odd_rows(spark):
     assert {r["id"]: r["cluster"] for r in LK.cut_tree(df, "id", tree, n_clusters=1).collect()} == {1: 1, 2: 1, 3: 1, 8: 1, 4: 4, 5: 5, 6: 6, None: None}
     with pytest.raises(ValueError):
         LK.cut_tree(df, "id", tree)
+
+
+def test_rows_without_structure_are_compared_once(spark, monkeypatch):
+    """One neighbour join gives the edges of most rounds: rounds that search rings are few, and the tree is the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    x[:40] = x[0] + rng.normal(size=(40, 16)) * 1e-3  # more near copies than a list holds
+    routes = []
+    route = LK._route
+    monkeypatch.setattr(LK, "_route", lambda *a: routes.append(a[3]) or route(*a))
+    df = spark.createDataFrame([(i * 7, r) for i, r in enumerate(x.tolist())], SCHEMA)
+    got = sorted((r["height"], r["a"], r["b"]) for r in LK.linkage_tree(df, "id", "x", part_rows=150).collect())
+    want = plain_tree([i * 7 for i in range(len(x))], x.tolist())
+    assert np.allclose([g[0] for g in got], [w[0] for w in want], atol=1e-12) and [g[1:] for g in got] == [w[1:] for w in want]
+    assert len(routes) <= 4
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e30])
+def test_products_in_single_precision_leave_exact_results(scale):
+    """Donors compared by products are the nearest by plain distances, whatever the vectors' size."""
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(1500, 24))
+    y[700:] = y[:800] + rng.normal(size=(800, 24)) * 1e-7  # pairs that single precision can't tell from equal ones
+    y *= scale
+    pivots = y[:20]
+    cell, radius = MJ._cells(y, pivots, "euclidean")
+    task = MJ.Task(y, cell, radius, pivots, np.array([""] * 20, dtype=object), "euclidean")
+    q, space = y[::5], np.array([""] * 300, dtype=object)
+    row, at, dist = task.nearest(q, radius[::5], space, np.full(300, np.inf), 4)
+    eps = float(np.median(MJ.distances(q, y, "euclidean")))
+    near = np.zeros((300, 1500), dtype=bool)
+    for i, j, m in task.within(q, radius[::5], space, eps):
+        near[(i, j) if m is ... else np.ix_(i, j)] = True if m is None or m is ... else m
+    assert scale != 1 or task._blocks is not None
+    for i in range(300):
+        d = MJ.exact(np.repeat(q[i:i + 1], len(y), axis=0), y, "euclidean")
+        order = np.lexsort((at[row == i], dist[row == i]))[:4]
+        want = np.lexsort((np.arange(len(y)), d))[:4]
+        assert at[row == i][order].tolist() == want.tolist() and dist[row == i][order].tolist() == d[want].tolist()
+        assert (near[i] == (d <= eps)).all()
