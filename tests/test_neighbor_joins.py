@@ -239,3 +239,45 @@ def test_impute_knn_of_repeated_and_null_ids(spark):
     got = NB.impute_knn(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], "id", k=1).collect()
     mean_a, mean_b = 11 / 3, 13 / 5
     assert sorted(((r["id"] or 0, r["a"], r["b"]) for r in got)) == sorted([(1, 2.0, 0.0), (1, 5.0, 9.0), (2, 2.0, 0.0), (3, 4.0, 1.0), (0, mean_a, 3.0), (4, mean_a, mean_b)])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_queries_look_at_the_cells_around_them(monkeypatch, metric):
+    """Bounds to slices are made for cells near enough, not for all slices of a task."""
+    rng = np.random.default_rng(13)
+    y = np.concatenate([rng.random((4000, 1)) * 1e5, rng.random((4000, 2))], axis=1)
+    y[:50] = y[50:100]
+    pivots = y[np.argsort(y[:160, 0])]
+    cell, radius = MJ._cells(y, pivots, metric)
+    plainly = MJ.distances(y, pivots, metric)
+    assert (cell == plainly.argmin(axis=1)).all() and np.allclose(radius, plainly.min(axis=1), rtol=1e-12, atol=0)
+    task = MJ.Task(y, cell, radius, pivots, np.array([""] * 160, dtype=object), metric)
+    monkeypatch.setattr(MJ, "NEAR_QUERIES", 128, raising=False)
+    made = []
+    gap = MJ._gap
+    monkeypatch.setattr(MJ, "_gap", lambda d, *a: made.append(d.size) or gap(d, *a))
+    q = np.concatenate([y[::2], rng.random((2, 3)) * 1e5])
+    d = plain(q, y, metric)
+    upper = np.sort(d, axis=1)[:, 9]
+    row, at, dist = task.nearest(q, MJ._cells(q, pivots, metric)[1], np.array([""] * len(q), dtype=object), upper, 5)
+    assert sum(made) < len(q) * len(task.slices) / 4
+    for i in range(len(q)):
+        mine = np.lexsort((at[row == i], dist[row == i]))[:5]
+        exactly = MJ.exact(np.repeat(q[i:i + 1], len(y), axis=0), y, metric)
+        assert at[row == i][mine].tolist() == np.lexsort((np.arange(len(y)), exactly))[:5].tolist()
+
+
+def test_routes_by_close_cells_and_by_all_cells(spark):
+    """A query gets the same partitions whether few or most cells are close to it."""
+    rng = np.random.default_rng(14)
+    x = rng.random((1500, 2)) * [1000, 1]
+    points = frame(spark, x).select(F.lit("").alias("space"), "x", "id")
+    space = MJ.Space(points, ["id"], part_rows=60)
+    part, cell, lo, hi = space.rings.value
+    u = np.where(np.arange(len(x)) % 3 == 0, 400.0, 2.0)
+    queries = points.select(F.col("id").alias("qid"), "space", "x", F.when(F.col("id") % 3 == 0, 400.0).otherwise(2.0).alias("u"))
+    d = plain(x, space.pivots, "euclidean")
+    hit = MJ._gap(d[:, cell], lo, hi, d.min(axis=1)) <= u[:, None]
+    for some in (queries, queries.where("u = 2")):
+        for r in space._route(some).collect():
+            assert sorted(r["parts"]) == sorted(set(part[hit[r["qid"]]].tolist())) and r["near"] == pytest.approx(d[r["qid"]].min())
