@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import cluster as CL
+from strata.operators import graph as GR
 from strata.operators import metric_join as MJ
 from strata.operators import neighbors as NB
 from strata.operators.graph import components
@@ -135,6 +136,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components_by_rounds_and_by_the_driver(spark, monkeypatch, local):
+    """Edges beyond ``LOCAL_EDGES`` are joined in rounds, with the same roots."""
+    monkeypatch.setattr(GR, "LOCAL_EDGES", local)
+    rng = np.random.default_rng(15)
+    chain = (rng.permutation(100) + 10).tolist()
+    edges = list(zip(chain, chain[1:], strict=False)) + [(500, 501), (501, 500), (7, 7), (2**41, 2**40), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(chain, 10), 500: 500, 501: 500, 2**41: 2**40, 2**40: 2**40}
+
+
 def test_copies_of_queries_do_not_grow_with_the_rows(spark):
     """Rows without structure are copied once per partition, so a table of four times the rows has no more partitions."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
