@@ -86,12 +86,6 @@ def _eps_counts(space: Space, routed: DataFrame, eps: float) -> DataFrame:
             yid, known, weight = pc.fill_null(y["id"], 0).to_numpy(), pc.is_valid(y["id"]).to_numpy(), y["weight"].to_numpy()
             single = (weight == 1).all()
             for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
-                if m is ...:
-                    size += np.bincount(rows, minlength=len(n))
-                    n += np.bincount(rows, weight[donors], len(n)).astype(np.int64)
-                    kept = size[rows] <= LISTED
-                    pairs.append((rows[kept], donors[kept]))
-                    continue
                 hits = np.full(len(rows), len(donors)) if m is None else np.count_nonzero(m, axis=1)
                 size[rows] += hits
                 n[rows] += hits if single else weight[donors].sum() if m is None else m @ weight[donors]
@@ -137,25 +131,22 @@ def _core_links(space: Space, routed: DataFrame, cores: DataFrame, eps: float) -
         border: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, donors, m in make(y).within(matrix(q["x"]), q["near"].to_numpy(), names(q["space"]), eps):
             mine = core[rows]
-            if m is ...:
-                edges.append((iq[rows[mine]], iy[donors[mine]]))
-                border.append((rows[~mine], iy[donors[~mine]]))
-            elif m is None and mine.any():  # a core row links all of them
+            if m is None and mine.any():  # a core row links all of them
                 first = iy[donors[0]]
                 edges += [(iy[donors], np.full(len(donors), first)), (iq[rows[mine]], np.full(mine.sum(), first))]
                 border.append((rows[~mine], np.full((~mine).sum(), first)))
-            else:
-                if m is None:  # fewer donors than min_samples, or the rows were core
-                    m = np.ones((len(rows), len(donors)), dtype=bool)
-                if mine.any():
-                    c = m[mine]
-                    hit = c.any(axis=0)
-                    root = iq[rows[mine]][_chunk_links(c[:, hit])] if hit.any() else np.zeros(0, np.int64)
-                    edges.append((iy[donors[hit]], root))
-                    linked = np.flatnonzero(c.any(axis=1))
-                    edges.append((iq[rows[mine]][linked], iy[donors[c[linked].argmax(axis=1)]]))
-                i, j = np.nonzero(m[~mine])
-                border.append((rows[~mine][i], iy[donors[j]]))
+                continue
+            if m is None:  # fewer donors than min_samples, or the rows were core
+                m = np.ones((len(rows), len(donors)), dtype=bool)
+            if mine.any():
+                c = m[mine]
+                hit = c.any(axis=0)
+                root = iq[rows[mine]][_chunk_links(c[:, hit])] if hit.any() else np.zeros(0, np.int64)
+                edges.append((iy[donors[hit]], root))
+                linked = np.flatnonzero(c.any(axis=1))
+                edges.append((iq[rows[mine]][linked], iy[donors[c[linked].argmax(axis=1)]]))
+            i, j = np.nonzero(m[~mine])
+            border.append((rows[~mine][i], iy[donors[j]]))
             if sum(len(a) for a, _ in edges) > 500_000 or sum(len(a) for a, _ in border) > 500_000:
                 label = forest(np.concatenate([np.arange(len(ids)), *(a for a, _ in edges)]), np.concatenate([label, *(b for _, b in edges)]), len(ids))
                 edges, border = [], [_least(border, label)]
